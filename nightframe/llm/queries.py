@@ -30,3 +30,22 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op7_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a crossing token goes to the line with most of its characters."""
+    from .token_counts import section_tokens
+
+    return section_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written as framed records in id order and read back."""
+    from . import scratch
+    from .token_files import read, write
+
+    folder = scratch.new_folder(spark, "records")
+    manifest = write(table(spark, sf_dir, "documents"), folder, tokenizer("word_bpe_49k.json"), end_id=2)
+    return read(manifest, digest=True).withColumnRenamed("key", "doc_id")
