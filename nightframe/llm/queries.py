@@ -49,3 +49,11 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.new_folder(spark, "records")
     manifest = write(table(spark, sf_dir, "documents"), folder, tokenizer("word_bpe_49k.json"), end_id=2)
     return read(manifest, digest=True).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored in a transport-stream column, parsed and reassembled."""
+    from .transport import mux, parse
+
+    return parse(mux(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"], digest=True)
