@@ -57,3 +57,48 @@ def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .transport import mux, parse
 
     return parse(mux(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"], digest=True)
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the rules and by the listing of crawled spam URLs."""
+    from .url_filter import judge, listing, rules_frame
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, listing(pages), rules_frame(spark)).drop("url")
+
+
+ORACLES["op3_url_filter"] = r"""
+with parts as (
+  select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path
+  from pages),
+rules(r_host, r_path, r_verdict) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits as (
+  select host, path, r_host || r_path as rule, r_verdict, row_number() over (partition by host, path order by length(r_host || r_path) desc, length(r_host) desc) as k
+  from (select distinct host, path from parts) join rules on (host = r_host or ends_with(host, '.' || r_host)) and starts_with(path, r_path))
+select p.page_id, p.host, p.path, f.rule,
+       coalesce(f.r_verdict, case when list_has_any(string_split(p.host, '.'), ['ads-track', 'spam-farm', 'casino-win', 'adult-x', 'cheap-pills', 'free-bets']) then 'block' else 'allow' end) as verdict
+from parts p left join fits f on f.host = p.host and f.path = p.path and f.k = 1
+"""
+
+
+@query
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to deduplicated archives and read back with its revisits resolved."""
+    from . import scratch
+    from .warc import decide, read, resolve, write
+
+    manifest = write(decide(table(spark, sf_dir, "pages")), scratch.new_folder(spark, "warc"))
+    return resolve(read(manifest)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op10_warc_revisits"] = """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+d as (select page_id, octet_length(body)::bigint as payload_bytes, sha256(body) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by 1)
+select d.page_id, d.payload_bytes, d.payload_digest,
+       case when d.page_id > f.first then 'revisit' else 'response' end as record_type,
+       case when d.page_id > f.first then f.first end as refers_to
+from d left join f on d.payload_digest = f.payload_digest and d.payload_bytes >= 100
+"""
