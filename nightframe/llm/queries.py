@@ -102,3 +102,11 @@ select d.page_id, d.payload_bytes, d.payload_digest,
        case when d.page_id > f.first then f.first end as refers_to
 from d left join f on d.payload_digest = f.payload_digest and d.payload_bytes >= 100
 """
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 13-word sequences that begin in a smaller document."""
+    from .substring_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"), digest=True)
