@@ -110,3 +110,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup
 
     return dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query
+def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shingle count and its component of near copies."""
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
