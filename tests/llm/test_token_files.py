@@ -33,7 +33,7 @@ def test_crc32c_of_rows():
 
 def texts():
     rng = random.Random(9)
-    pieces = [" ", "\n", "Word", "naïve", "É", "É", "<|endoftext|>", "1234", "'s", "　", " ", "\t", "日本", "x" * 90]
+    pieces = [" ", "\n", "Word", "naïve", "É", "É", "<|endoftext|>", "1234", "'s", "　", " ", "\t", "日本", "x" * 90, ".", ",", "...!", "#.", "a.", "WORD,", "<|ENDOFTEXT|>", "É.", "e\u0301", ".\u0301", "1."]
     return ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(300)]
 
 
