@@ -1,3 +1,3 @@
 """Registered queries; importing the package fills the registry."""
 
-from . import core, registry  # noqa: F401
+from . import core, registry, sequences  # noqa: F401
