@@ -9,7 +9,10 @@ number of ids. A shuffled read draws index rows and seeks.
 
 Words (between blanks and line feeds, which no token or normal form spans) are
 encoded by the tokenizers library once for each worker's bounded table; a
-document's ids are those of its words, one after the other.
+document's ids are those of its words, one after the other. Stops and commas at
+the end of a word, behind an ASCII letter or digit, are a word of their own, and
+words that differ in ASCII case share an entry, as the vocabulary's rules treat
+them alike (words with ``<`` are kept apart: special tokens have a case).
 
 Nulls are empty texts; null keys sort first; equal keys sort by text; an empty
 table gives no files and an empty result; other columns are left alone.
@@ -29,12 +32,33 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import scratch
 from .bpe import TABLE_LIMIT, WordTable
 from .crc32c import crc32c, masked
-from .textbytes import SpanHash, slices, word_spans
+from .textbytes import LOWER, SpanHash, mix, slices, word_spans
 
 INDEX = np.dtype([("key", "<i8"), ("set", "<i8"), ("offset", "<i8"), ("ids", "<i8")])
 CHUNK = 2 << 20
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, 0x0A]] = True
+STOPS = np.zeros(256, bool)
+STOPS[[ord(c) for c in ".,!?:;"]] = True
+PLAIN = np.zeros(256, bool)
+PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray):
+    """(starts, ends, hashes, first word of each row) of words and the stops behind them."""
+    starts, ends, _ = word_spans(data, offsets, BLANKS)
+    tail = np.flatnonzero(STOPS[data[ends - 1]])
+    at = ends[tail] - 1
+    for _ in range(3):
+        at = np.where((at > starts[tail]) & STOPS[data[at - 1]], at - 1, at)
+    cut = (at > starts[tail]) & PLAIN[data[at - 1]]
+    tail, at = tail[cut], at[cut]
+    ends, starts = np.insert(ends, tail, at), np.insert(starts, tail + 1, at)
+    h = SpanHash(data, LOWER).of(starts, ends)
+    if (odd := np.append(0, np.cumsum(data == 0x3C)))[-1]:
+        odd = np.flatnonzero(odd[ends] > odd[starts])
+        h[odd] = mix(SpanHash(data).of(starts[odd], ends[odd]))
+    return starts, ends, h, np.searchsorted(starts, offsets)
 
 
 class WordEncoder:
@@ -59,8 +83,7 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None):
         """(ids of all texts, id offsets of each text)."""
-        starts, ends, first = word_spans(data, offsets, BLANKS)
-        h = SpanHash(data).of(starts, ends)
+        starts, ends, h, first = split_words(data, offsets)
         table = self.table
         word = table.find(h)
         new = np.flatnonzero(word < 0)
