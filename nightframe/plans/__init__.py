@@ -1,3 +1,3 @@
 """Registered queries; importing the package fills the registry."""
 
-from . import core, registry, rules, sequences, streams  # noqa: F401
+from . import core, registry, rules, sequences, store, streams  # noqa: F401
