@@ -29,7 +29,7 @@ def norm(v):
     return [norm(x) for x in v] if isinstance(v, (list, tuple)) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_oracle(spark, oracle, name):
     df = registry.QUERIES[name](spark, SAMPLE)
     got = oracle.sql(registry.ORACLES[name])
@@ -103,3 +103,21 @@ def test_raw_logs_survive_damage(spark, tmp_path):
     rows = sorted(rawlog.read(spark, str(tmp_path)).collect(), key=lambda r: r["seq"])
     assert [(r["seq"], r["type"], r["ts"], r["corrupt_bytes"]) for r in rows] == [(1, "frzTemp", 1.5, 0), (1, "log", 2.0, 0), (70000, "piezo-dual", 3.0, 7)]
     assert json.loads(rows[2]["frame"])["left1"] == [1, -2, 3] and json.loads(rows[0]["frame"])["amb"] == -3
+
+
+def test_rates_of_made_signals():
+    import numpy as np
+
+    from nightframe.operators import signals
+
+    rng = np.random.default_rng(3)
+    t = np.arange(500 * 30) / 500
+    for bpm in (52, 66, 80, 104):
+        f = bpm / 60
+        x = np.sin(2 * np.pi * f * t) + 0.5 * np.sin(4 * np.pi * f * t) + 0.3 * np.sin(6 * np.pi * f * t) + rng.normal(0, 0.1, len(t))
+        rate, score = signals.heart_rate_of(x[None] * 1e6, 500.0)
+        assert abs(rate[0] - bpm) < 2 and score[0] > 0.3
+    for breaths in (12, 18):
+        x = np.sin(2 * np.pi * 1.2 * t) * (1 + 0.3 * np.sin(2 * np.pi * breaths / 60 * t)) * 1e6
+        assert abs(signals.breathing_of(x[None], 500.0)[0] - breaths) < 2
+    assert np.isnan(signals.heart_rate_of(np.zeros((1, 15000)), 500.0)[0][0])
