@@ -136,3 +136,27 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("contaminated", found["cover"] > 0)
+
+
+ORACLES["op9_substring_dedup"] = r"""
+with w as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as l from documents),
+g as (select r, doc_id, i, array_to_string(l[i:i + 12], ' ') as k from (select *, unnest(range(1, len(l) - 11)) as i from w where len(l) >= 13)),
+f as (select k, min(doc_id) as first from g group by 1),
+m as (select distinct r, unnest(range(i, i + 13)) as i from g join f using (k) where g.doc_id > f.first),
+x as (select r, i, l[i] as word from (select *, unnest(range(1, len(l) + 1)) as i from w)),
+kept as (select x.r, string_agg(word, ' ' order by x.i) filter (m.i is null) as t, count(m.i) as gone from x left join m on m.r = x.r and m.i = x.i group by 1)
+select w.doc_id, cast(len(l) as bigint) as n_words, cast(coalesce(gone, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (r)
+"""
+
+ORACLES["op4_jaccard_components"] = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as l from documents),
+s as (select distinct doc_id, k from (
+  select doc_id, array_to_string(l[i:i + 4], ' ') as k from (select *, unnest(range(1, len(l) - 3)) as i from w where len(l) >= 5)
+  union all select doc_id, array_to_string(l, ' ') from w where len(l) between 1 and 4)),
+n as (select doc_id, count(*) as c from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.k = b.k and a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * p.c >= 75 * (x.c + y.c - p.c)),
+reach as (select doc_id as a, doc_id as b from w union select reach.a, e.b from reach join e on e.a = reach.b),
+least_of as (select a, min(b) as component_id from reach group by 1)
+select w.doc_id, cast(coalesce(n.c, 0) as bigint) as n_shingles, component_id from w left join n using (doc_id) join least_of on least_of.a = w.doc_id
+"""
