@@ -14,12 +14,39 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .textbytes import mix, text_bytes
+
 #: Entries of a chunk.
 CHUNK = 1 << 20
+#: The part of a fingerprint that is compared: a chance meeting only lets a document through to exact steps.
+KEPT = np.uint64(0xFFFFFFFFFFFF0000)
 #: Stands for several documents of one chunk.
 SEVERAL = np.int64(-(2**63))
 
 
+def squeeze(hashes: np.ndarray, docs: np.ndarray) -> bytes:
+    """Entries as bytes: six bytes of each hash and the differences of the sorted documents."""
+    order = np.argsort(docs, kind="stable")
+    hashes, docs = hashes[order], docs[order]
+    several = int(np.searchsorted(docs, SEVERAL, "right"))
+    steps = np.diff(docs[several:])
+    wide = bool(len(steps)) and int(steps.max()) >= 1 << 32
+    head = np.array([len(docs), several, wide, docs[several] if several < len(docs) else 0], np.int64)
+    six = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+    return head.tobytes() + six.tobytes() + steps.astype("<i8" if wide else "<u4").tobytes()
+
+
+def unsqueeze(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, several, wide, first = np.frombuffer(raw, np.int64, 4).tolist()
+    full = np.zeros((n, 8), np.uint8)
+    full[:, 2:] = np.frombuffer(raw, np.uint8, 6 * n, 32).reshape(n, 6)
+    steps = np.frombuffer(raw, "<i8" if wide else "<u4", offset=32 + 6 * n).astype(np.int64)
+    docs = np.full(n, SEVERAL)
+    if n > several:
+        docs[several:] = first + np.append(0, np.cumsum(steps))
+    return full.view("<u8").ravel(), docs
+
+
 def _by_document(docs: np.ndarray, hashes: np.ndarray):
     """(documents, their hashes as bytes) of parallel arrays."""
     order = np.argsort(docs, kind="stable")
@@ -41,7 +68,7 @@ def _groups(hashes: np.ndarray, docs: np.ndarray):
 
 
 def shared(df: DataFrame, entries, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
-    """(doc_id, hits array<binary>): the hashes (8 bytes each) that each document shares with another.
+    """(doc_id, hits binary): the hashes (8 bytes each, cut to ``KEPT``) that each document shares with another.
 
     ``entries(batches)`` yields (document ids, hashes) arrays, one entry for each distinct hash of a document;
     documents without an id take no part. Documents without hits have no row.
@@ -52,15 +79,14 @@ def shared(df: DataFrame, entries, key: str = "doc_id", text: str = "text", rang
 
     def pack(batches):
         def flush(docs, hashes):
-            h, d, group, first, several = _groups(np.concatenate(hashes), np.concatenate(docs))
+            h, d, group, first, several = _groups(np.concatenate(hashes) & KEPT, np.concatenate(docs))
             told = several[group] & (d != SEVERAL)
             spread = n + (TaskContext.get().partitionId() * 31 + flushed) % n
-            who, raw = _by_document(d[told], h[told])
-            rows = [(spread, b"".join(raw), np.repeat(who, [len(x) // 8 for x in raw]).tobytes())] if len(who) else []
+            rows = [(spread, squeeze(h[told], d[told]))] if told.any() else []
             h, d = h[first], np.where(several, SEVERAL, d[first])
             cut = np.searchsorted(h >> np.uint64(64 - bits), np.arange(n + 1, dtype=np.uint64)).tolist()
-            rows += [(k, h[a:b].tobytes(), d[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["part", "hashes", "docs"])
+            rows += [(k, squeeze(h[a:b], d[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], ["part", "entries"])
 
         docs, hashes, size, flushed = [], [], 0, 0
         for d, h in entries(batches):
@@ -75,25 +101,30 @@ def shared(df: DataFrame, entries, key: str = "doc_id", text: str = "text", rang
 
     def meet(table):
         part = table.column("part")[0].as_py()
-        h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
-        d = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64)
+        h, d = (np.concatenate(x) for x in zip(*map(unsqueeze, table.column("entries").to_pylist())))
         if part < n:
             h, d, group, _, several = _groups(h, d)
             told = several[group] & (d != SEVERAL)
             h, d = h[told], d[told]
+        # on to the documents' own groups, again as one row for each
+        to = (mix(d.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        to, h, d = to[order], h[order], d[order]
+        cut = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+        edge = np.append(cut, len(to)).tolist()
+        return pa.table({"part": pa.array(to[cut], pa.int32()), "entries": pa.array([squeeze(h[a:b], d[a:b]) for a, b in zip(edge, edge[1:])], pa.binary())})
+
+    def gather(table):
+        h, d = (np.concatenate(x) for x in zip(*map(unsqueeze, table.column("entries").to_pylist())))
         who, raw = _by_document(d, h)
         return pa.table({"doc_id": pa.array(who, pa.int64()), "hits": pa.array(raw, pa.binary())})
 
-    packed = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack, "part int, hashes binary, docs binary")
-    return packed.groupBy("part").applyInArrow(meet, "doc_id long, hits binary").groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))
+    packed = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack, "part int, entries binary")
+    met = packed.groupBy("part").applyInArrow(meet, "part int, entries binary")
+    return met.groupBy("part").applyInArrow(gather, "doc_id long, hits binary")
 
 
 def hit_lists(column) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of all entries of a column of ``hits``."""
-    rows, parts = [], []
-    for k, lists in enumerate(column.to_pylist()):
-        for raw in lists or ():
-            part = np.frombuffer(raw, np.uint64)
-            rows.append(np.full(len(part), k))
-            parts.append(part)
-    return (np.concatenate(rows), np.concatenate(parts)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    data, offsets = text_bytes(column)
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) // 8), np.frombuffer(data.tobytes(), np.uint64)

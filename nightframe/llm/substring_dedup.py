@@ -21,7 +21,7 @@ over it has a word sequence that also starts in a document with a smaller id.
 
 Fingerprints have 64 bits. Null ids and null texts: a document without an id is
 kept whole and is no source; a null text has no words. Rows of the same id do
-not repeat each other; an empty table gives an empty result; other columns are
+not repeat each other (they are told apart by 30 bits of a hash of their text); an empty table gives an empty result; other columns are
 left alone.
 """
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import scratch
-from .sharing import hit_lists, shared
+from .sharing import KEPT, hit_lists, shared
 from .textbytes import SpanHash, mix, runs, slices, windows, word_spans
 
 WIDTH = 13
@@ -72,40 +72,37 @@ def _anchor_entries(width: int, gram: int):
     return entries
 
 
-def _suffixes(width: int, gram: int):
-    """Docs with hits -> rows of suffixes, and marks that are certain within the task (fingerprint null)."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    names = ["code", "print", "doc_id", "version", "at"]
+def _suffixes(width: int, gram: int, text: str):
+    """Rows with hits -> suffixes, and marks that are certain within the task (fingerprint null).
 
-    def rows(code, print_, doc, version, at, valid):
-        columns = [pa.array(code.view(np.int64)), pa.array(print_.view(np.int64), mask=~valid), pa.array(doc), pa.array(version), pa.array(at.astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, names)
+    ``at`` holds the window's start in its low 32 bits and a tag of the row's version above them.
+    """
+    names = ["code", "print", "doc_id", "at"]
 
     def flush(parts):
-        code, print_, doc, version, at = (np.concatenate(c) for c in zip(*parts))
+        code, print_, doc, at = (np.concatenate(c) for c in zip(*parts))
         order = np.lexsort((doc, print_))
-        code, print_, doc, version, at = code[order], print_[order], doc[order], version[order], at[order]
+        code, print_, doc, at = code[order], print_[order], doc[order], at[order]
         new = np.append(True, print_[1:] != print_[:-1])
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        told = doc > least
-        # of a sequence's suffixes in the least document, the others follow the first in the group's order
-        code[told] = mix(print_[told] + at[told].astype(np.uint64) + doc[told].view(np.uint64))
-        return rows(code, print_, doc, version, at, ~told)
+        told = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        # marks only pass through: any group will do
+        code[told] = mix(print_[told] + at[told].view(np.uint64) + doc[told].view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(print_.view(np.int64), mask=told), pa.array(doc), pa.array(at)], names)
 
     def run(batches):
         parts, size = [], 0
-        for batch, data, offsets in slices(batches, "text"):
+        for batch, data, offsets in slices((b.filter(b.column("hits").is_valid()) for b in batches), text):
             words, first, at, row, anchor = _windows(data, offsets, width, gram)
             hit_row, hit = hit_lists(batch.column("hits"))
             salt = lambda r: mix(r.astype(np.uint64) + np.uint64(1))
-            keep = np.isin(anchor ^ salt(row), hit ^ salt(hit_row))
+            keep = np.isin(anchor & KEPT ^ salt(row), hit ^ salt(hit_row))
             at, row = at[keep], row[keep]
             code = np.zeros(len(at), np.uint64)
             for k in range(8):
                 code = code << np.uint64(8) | words[at + min(k, width - 1)] >> np.uint64(56)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            versions = batch.column("version").to_numpy(zero_copy_only=False)
-            parts.append((code, windows(words, width)[at], ids[row], versions[row], at - first[row]))
+            ids = batch.column("__id").to_numpy(zero_copy_only=False).astype(np.int64)
+            tags = _tags(batch)
+            parts.append((code, windows(words, width)[at], ids[row], (at - first[row]) | tags[row] << 32))
             size += len(at)
             if size >= CHUNK:
                 yield flush(parts)
@@ -113,7 +110,12 @@ def _suffixes(width: int, gram: int):
         if size:
             yield flush(parts)
 
-    return run, ", ".join(f"{n} {t}" for n, t in zip(names, ("long", "long", "long", "long", "int")))
+    return run, ", ".join(f"{n} long" for n in names)
+
+
+def _tags(batch) -> np.ndarray:
+    """30 bits that tell rows of one id apart."""
+    return batch.column("__version").to_numpy(zero_copy_only=False) & 0x3FFFFFFF
 
 
 def _deep_nodes(batches):
@@ -134,33 +136,34 @@ def _deep_nodes(batches):
             marks[leaves] = d > low
             last, least = x[-1], low[-1]
         if marks.any():
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(marks)) for c in ("doc_id", "version", "at")], ["doc_id", "version", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(marks)) for c in ("doc_id", "at")], ["doc_id", "at"])
 
 
-def _versioned(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows told apart by id and text."""
-    return df.withColumns({"doc_id": F.col(key).cast("long"), "text": F.col(text), "version": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """All columns with an id and a version; both joins below read this, so its shuffle by id is made once."""
+    return df.withColumns({"__id": F.col(key).cast("long"), "__version": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
 
 
-def marks(df: DataFrame, width: int = WIDTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, version, starts array<int>): starts of the windows that begin in a smaller document."""
+def _marks(rows: DataFrame, width: int, gram: int, text: str) -> DataFrame:
+    """(__id, starts array<long>): window starts, tagged by version, that begin in a smaller document."""
     gram = min(gram, width)
-    docs = _versioned(df, key, text).select("doc_id", "text", "version").filter("doc_id is not null")
-    hits = scratch.written(shared(docs, _anchor_entries(width, gram)), "anchors")
-    run, schema = _suffixes(width, gram)
-    suffixes = docs.join(hits, "doc_id").mapInArrow(run, schema)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hits = scratch.written(shared(rows, _anchor_entries(width, gram), "__id", text), "anchors").withColumnRenamed("doc_id", "__id")
+    run, schema = _suffixes(width, gram, text)
+    suffixes = rows.join(hits, "__id", "left").mapInArrow(run, schema)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = suffixes.repartitionByRange(n, "code").sortWithinPartitions("code", "print", "doc_id")
-    return leaves.mapInArrow(_deep_nodes, "doc_id long, version long, at int").groupBy("doc_id", "version").agg(F.collect_set("at").alias("starts"))
+    return leaves.mapInArrow(_deep_nodes, "doc_id long, at long").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("at").alias("starts"))
 
 
 def _removed(batch, first: np.ndarray, width: int) -> np.ndarray:
     """Whether each word of the slice goes."""
     cover = np.zeros(int(first[-1]) + 1, np.int64)
     lists = batch.column("starts")
-    size = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()])
-    flat = lists.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    at = np.repeat(first[:-1], size) + flat
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.drop_null().flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(batch.num_rows), size)
+    own = flat >> 32 == _tags(batch)[row]
+    at = first[row[own]] + (flat[own] & 0xFFFFFFFF)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + width, -1)
     return np.cumsum(cover)[:-1] > 0
@@ -184,20 +187,14 @@ def dedup(df: DataFrame, width: int = WIDTH, gram: int = GRAM, key: str = "doc_i
     All columns of ``df``, the text rebuilt from the kept words where any goes; with ``digest`` instead
     (doc_id, n_words, n_removed, kept_sha256) of every row.
     """
-    found = marks(df, width, gram, key, text)
-    rows = _versioned(df, key, text) if digest else df.withColumns({"__id": F.col(key).cast("long"), "__version": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    if digest:
-        rows = rows.select("doc_id", "text", "version").join(found, ["doc_id", "version"], "left").select("doc_id", "text", "starts")
-        names = ["doc_id"]
-        schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    else:
-        found = found.selectExpr("doc_id as __id", "version as __version", "starts")
-        rows = rows.join(found, ["__id", "__version"], "left").select(*df.columns, "starts")
-        names = df.columns
-        schema = df.schema
+    rows = _rows(df.select(key, text) if digest else df, key, text)
+    found = _marks(rows, width, gram, text)
+    joined = rows.join(found, "__id", "left")
+    names = df.columns
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" if digest else df.schema
 
     def run(batches):
-        for batch, data, offsets in slices(batches, "text" if digest else text):
+        for batch, data, offsets in slices(batches, text):
             starts, ends, first = word_spans(data, offsets)
             gone = _removed(batch, first, width)
             removed = np.diff(np.append(0, np.cumsum(gone))[first])
@@ -205,22 +202,21 @@ def dedup(df: DataFrame, width: int = WIDTH, gram: int = GRAM, key: str = "doc_i
             raw, cut = memoryview(out), at.tolist()
             if digest:
                 sha = [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(removed), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(first)), pa.array(removed), pa.array(sha, pa.string())], [key, "n_words", "n_removed", "kept_sha256"])
             else:
                 texts = batch.column(text).to_pylist()
                 for k in np.flatnonzero(removed):
                     texts[k] = bytes(raw[cut[k] : max(cut[k], cut[k + 1] - 1)]).decode()
                 yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column(text).type) if c == text else batch.column(c) for c in names], names)
 
-    return rows.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
 
 
 def maximal_repeats(df: DataFrame, width: int = WIDTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, n_words): stretches of at least ``width`` words whose windows begin in smaller documents."""
-    found = marks(df, width, gram, key, text).select("doc_id", "version", F.array_sort("starts").alias("starts"))
-    at = found.select("doc_id", "version", F.posexplode("starts").alias("k", "at"))
+    found = _marks(_rows(df, key, text), width, gram, text)
+    at = found.select(F.col("__id").alias("doc_id"), F.explode("starts").alias("s")).select("doc_id", F.expr("s >> 32").alias("version"), F.expr("s & 4294967295L").alias("at"))
     # windows that touch or overlap belong to one stretch
-
     w = Window.partitionBy("doc_id", "version").orderBy("at")
     new = (F.col("at") > F.lag("at").over(w) + width).cast("int")
     return at.withColumn("stretch", F.sum(F.coalesce(new, F.lit(0))).over(w)).groupBy("doc_id", "version", "stretch").agg(F.min("at").alias("start"), (F.max("at") + width - F.min("at")).alias("n_words")).select("doc_id", "start", "n_words")
