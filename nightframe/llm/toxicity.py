@@ -32,47 +32,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import scratch
-from .textbytes import LOWER, SpanHash, mix, slices, word_spans
+from .textbytes import LOWER, SpanHash, mix, runs, slices, word_spans
 
 #: Labelled rows that the weights are fitted to, at most.
-MAX_ROWS = 20_000
+MAX_ROWS = 10_000
 FOLDS = 5
 #: Features of a model, at most, and labelled documents that a feature must be in.
-MAX_FEATURES = 2048
-KEPT = 400
+MAX_FEATURES = 1024
+KEPT = 200
+#: Labels that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 MIN_DOCS = 4
 THRESHOLD = 0.5
 CATEGORIES = ("low_quality", "toxic", "severe")
 BREAKS = np.ones(256, bool)
 BREAKS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Beginnings and endings of words, in bytes.
-HEADS = (3, 4, 5, 6, 7, 8)
-TAILS = (4, 6)
+HEADS = (4, 5, 6, 7)
+TAILS = (5,)
 
 
 def features(data: np.ndarray, offsets: np.ndarray):
-    """(row, feature) entries of all words and their parts; repeated within a row."""
+    """Words once for all rows that have them: (row of each word, its number, number of each feature's word, feature).
+
+    A slice's rows share most words, so the parts are hashed for distinct words only.
+    """
     starts, ends, first = word_spans(data, offsets, BREAKS)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     span = SpanHash(data, LOWER)
-    rows, out = [row], [span.of(starts, ends)]
+    whole, at, number = np.unique(span.of(starts, ends), return_index=True, return_inverse=True)
+    starts, ends = starts[at], ends[at]
+    words, out = [np.arange(len(whole))], [whole]
     for k in HEADS:
         at = np.flatnonzero(ends - starts > k)
-        rows.append(row[at])
+        words.append(at)
         out.append(mix(span.of(starts[at], starts[at] + k) ^ np.uint64(k)))
     for k in TAILS:
         at = np.flatnonzero(ends - starts > k)
-        rows.append(row[at])
+        words.append(at)
         out.append(mix(span.of(ends[at] - k, ends[at]) ^ np.uint64(100 + k)))
-    return np.concatenate(rows), np.concatenate(out)
+    return row, number, np.concatenate(words), np.concatenate(out)
 
 
-def distinct(row: np.ndarray, h: np.ndarray):
-    """Entries of each row once."""
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    keep = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])) if len(row) else np.zeros(0, bool)
-    return row[keep], h[keep]
+def spread(row: np.ndarray, number: np.ndarray, word: np.ndarray, feature: np.ndarray, n_features: int):
+    """Distinct (row, feature) for numbered features of words."""
+    order = np.argsort(word, kind="stable")
+    word, feature = word[order], feature[order]
+    lo, hi = np.searchsorted(word, number, "left"), np.searchsorted(word, number, "right")
+    size = hi - lo
+    has = np.flatnonzero(size)
+    lo, size = lo[has], size[has]
+    key = np.unique(np.repeat(row[has], size) * n_features + feature[np.repeat(lo, size) + runs(size)])
+    return key // n_features, key % n_features
 
 
 @dataclass
@@ -109,9 +120,9 @@ def _descend(row, feature, n, width, before, y, l1: float, l2: float, steps: int
     return Linear(float(w[-1]), w[:width], w[width:-1])
 
 
-def fit(row, feature, n, width, before, y, ridge: float = 0.2, rounds: int = 25) -> Linear:
+def fit(row, feature, n, width, before, y, ridge: float = 0.2, rounds: int = 12) -> Linear:
     """Sparse weights in two steps: an L1 penalty chooses features, Newton steps with a small ridge set their weights."""
-    first = _descend(row, feature, n, width, before, y, 3e-4, 1e-5, 300)
+    first = _descend(row, feature, n, width, before, y, 6e-4, 1e-5, 200)
     if not n or not y.any():
         return first
     kept = np.sort(np.argsort(-np.abs(first.weights), kind="stable")[:KEPT])
@@ -148,14 +159,12 @@ class Chain:
 
     def entries(self, data: np.ndarray, offsets: np.ndarray):
         """(row, feature number) of a slice."""
-        row, h = features(data, offsets)
         if not len(self.hashes):
-            return row[:0], row[:0]
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        row, number, word, h = features(data, offsets)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         keep = self.hashes[at] == h
-        row, at = row[keep], at[keep]
-        key = np.unique(row * len(self.hashes) + at)
-        return key // len(self.hashes), key % len(self.hashes)
+        return spread(row, number, word[keep], at[keep], len(self.hashes))
 
     def predict(self, row, feature, n: int) -> np.ndarray:
         out = np.zeros((n, len(self.models)))
@@ -177,13 +186,13 @@ def association(labelled: DataFrame, n_rows: int, positives: list[int], max_feat
 
     def run(batches):
         for batch, data, offsets in slices(batches, "text", 4 << 20):
-            row, h = distinct(*features(data, offsets))
+            row, number, word, h = features(data, offsets)
+            h, feature = np.unique(h, return_inverse=True)
+            row, feature = spread(row, number, word, feature, max(1, len(h)))
             y = np.array(batch.column("y").to_pylist(), np.int64).reshape(-1, k)[row]
-            order = np.argsort(h, kind="stable")
-            h, y = h[order], y[order]
-            cut = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            sums = np.add.reduceat(y, cut, axis=0) if len(cut) else np.zeros((0, k), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(np.diff(np.append(cut, len(h)))), *(pa.array(sums[:, j]) for j in range(k))], ["h", "n", *(f"p{j}" for j in range(k))])
+            n = np.bincount(feature, minlength=len(h))
+            sums = [np.bincount(feature, y[:, j], len(h)).astype(np.int64) for j in range(k)]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), *(pa.array(x) for x in sums)], ["h", "n", *(f"p{j}" for j in range(k))])
 
     counts = labelled.mapInArrow(run, "h long, n long, " + ", ".join(f"p{j} long" for j in range(k))).groupBy("h").agg(*(F.sum(c).alias(c) for c in ("n", *(f"p{j}" for j in range(k))))).filter(F.col("n") >= min_docs)
     scores = [F.abs(F.col(f"p{j}") - F.col("n") * (p / n_rows)) / F.sqrt(F.col("n") * max(p / n_rows * (1 - p / n_rows), 1e-9)) for j, p in enumerate(positives)]
@@ -195,7 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """The chain for the labelled documents."""
     k = len(CATEGORIES)
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    labelled = scratch.written(rows.join(_targets(labels, key), "doc_id"), "labelled")
+    targets = scratch.written(_targets(labels, key), "targets")
+    if targets.count() <= BROADCAST_ROWS:
+        targets = F.broadcast(targets)
+    labelled = scratch.written(rows.join(targets, "doc_id"), "labelled")
     stats = labelled.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.col("y")[j]), F.lit(0)).alias(f"p{j}") for j in range(k))).first()
     n_rows, positives = stats["n"], [stats[f"p{j}"] for j in range(k)]
     if not n_rows:
