@@ -1,8 +1,8 @@
-"""Connected components of links, with checkpoints instead of a growing lineage."""
+"""Connected components of links, with tables of the shared folder instead of a growing lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from . import scratch
 
@@ -13,16 +13,15 @@ def components(links: DataFrame) -> DataFrame:
     Each round a node takes the least label beside it and then its label's label, so chains halve.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = scratch.cut(both)
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
-    labels = scratch.cut(labels)
+    both = scratch.written(both, "links")
+    labels = scratch.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "node").select("node", F.least("component", "m").alias("c"), F.col("component").alias("was"))
-        step = scratch.cut(step)
-        jump = step.select(F.col("node").alias("c"), F.col("c").alias("cc"))
-        new = step.join(jump, "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("component"), (F.least("c", F.coalesce("cc", "c")) < F.col("was")).alias("moved"))
-        new = scratch.cut(new)
-        labels = new.select("node", "component")
-        if not new.filter("moved").limit(1).count():
+        step = labels.join(near, "node").select("node", F.least("component", "m").alias("c"), "component")
+        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
+        new = step.join(jump, "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("to"), "component")
+        seen = Observation()
+        new = new.observe(seen, F.coalesce(F.sum((F.col("to") < F.col("component")).cast("int")), F.lit(0)).alias("moved"))
+        labels = scratch.written(new.select("node", F.col("to").alias("component")), "labels")
+        if not seen.get["moved"]:
             return labels

@@ -8,9 +8,10 @@ separate nothing; pivots are therefore taken where points have near neighbours:
 1. Screen. A point shares at least a known number of its first fingerprints (in
    hash order) with any linked point. Points that share fewer with all others
    have no link and leave; points of distance zero become one point.
-2. Regions. In one global order of shingles, hot ones last, linked points share
-   one of their first ``n - ceil(s n) + 1`` shingles: these name the regions that
-   a point is replicated to, which is the window that covers every linked pair.
+2. Regions. A point must share ``ceil(s n)`` of its shingles with others. In one
+   global order of shingles, rare ones first, linked points share one of their
+   first ``n - ceil(s n) + 1``: these name the regions that a point is replicated
+   to, which is the window that covers every linked pair.
 3. Rounds. Every region that holds several components draws a pivot; exact
    distances to it are computed; points within the radius join its component.
    After a few rounds nearly all regions hold one component.
@@ -40,17 +41,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import scratch
 from .components import components
-from .sharing import hit_lists, shared
-from .textbytes import LOWER, SpanHash, mix, runs, slices, windows, word_spans
+from .sharing import KEPT, hit_lists, shared
+from .textbytes import LOWER, SpanHash, mix, runs, slices, text_bytes, windows, word_spans
 
 WIDTH = 5
 PERCENT = 75
 #: Share of a set, beyond the part a link may lose, that the screen looks at.
 EXTRA = 10
-ROUNDS = 4
-#: Slots of the table of hot shingles, and occurrences in a task from which a slot is reported.
-SLOTS = 1 << 18
-HOT = 8
+ROUNDS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -121,38 +119,31 @@ def _sets(width: int, percent: int):
     return run, "doc_id long, n int, h1 long, h2 long, shingles binary"
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h % np.uint64(SLOTS)).astype(np.int64)
-
-
-def hot_slots(points: DataFrame) -> dict[int, int]:
-    """Occurrences in slots that some task finds hot: at most ``SLOTS`` entries, whatever the input."""
-
-    def run(batches):
-        count = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for raw in batch.column("shingles").to_pylist():
-                count += np.bincount(_slots(np.frombuffer(raw, np.uint64)), minlength=SLOTS) if len(raw) > 1 << 20 else 0
-                if len(raw) <= 1 << 20:
-                    np.add.at(count, _slots(np.frombuffer(raw, np.uint64)), 1)
-        hot = np.flatnonzero(count >= HOT)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(hot), "count": pa.array(count[hot])})
-
-    return {r["slot"]: r["count"] for r in points.select("shingles").mapInArrow(run, "slot long, count long").groupBy("slot").agg(F.sum("count").alias("count")).collect()}
+def _point_entries(batches):
+    """All shingles of points."""
+    for batch in batches:
+        if batch.num_rows:
+            data, offsets = text_bytes(batch.column("text"))
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            yield np.repeat(ids, np.diff(offsets) // 8), np.frombuffer(data.tobytes(), np.uint64)
 
 
-def _regions(hot: dict[int, int], percent: int):
-    """Points -> (cell, point, n): the regions each point belongs to."""
-    table = np.zeros(SLOTS, np.int64)
-    table[list(hot)] = np.log2(np.array(list(hot.values()), np.float64) + 1).astype(np.int64) if hot else 0
+def _regions(percent: int):
+    """Points with hits -> (cell, point, n): the regions of points that share enough of their shingles."""
 
     def run(batches):
         for batch in batches:
             cells, point, size = [], [], []
-            for p, raw in zip(batch.column("point").to_pylist(), batch.column("shingles").to_pylist()):
-                h = np.frombuffer(raw, np.uint64)
-                n = len(h)
-                order = np.lexsort((h, table[_slots(h)]))[: n - int(overlap(n, percent)) + 1]
+            for p, raw, hits in zip(batch.column("point").to_pylist(), batch.column("shingles").to_pylist(), batch.column("hits").to_pylist()):
+                h, told = np.frombuffer(raw, np.uint64), np.sort(np.frombuffer(hits, np.uint64))
+                n, least = len(h), int(overlap(len(h), percent))
+                at = np.minimum(np.searchsorted(told, h & KEPT), len(told) - 1)
+                is_shared = told[at] & KEPT == h & KEPT
+                if is_shared.sum() < least:
+                    continue
+                # rare shingles first: those of this point alone, then by class; all points agree on the order
+                order = np.lexsort((h, np.where(is_shared, told[at] & np.uint64(0xFF00), np.uint64(0))))[: n - least + 1]
+                order = order[is_shared[order]]
                 cells.append(h[order])
                 point.append(np.full(len(order), p))
                 size.append(np.full(len(order), n, np.int32))
@@ -192,16 +183,15 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     between = links.join(la, "a").join(lb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     merged = components(between)
     moved = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-    return scratch.cut(moved.select("point", F.coalesce("to", "component").alias("component")))
+    return scratch.written(moved.select("point", F.coalesce("to", "component").alias("component")), "labels")
 
 
 def link_components(points: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """(point, component) of all points (point, n, shingles: distinct sets in hash order)."""
-    run, schema = _regions(hot_slots(points), percent)
-    regions = points.select("point", "shingles").mapInArrow(run, schema)
-    alone = regions.groupBy("cell").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).filter("lo < hi").select("cell")
-    regions = scratch.written(regions.join(alone, "cell"), "regions")
-    labels = scratch.cut(points.select("point", F.col("point").alias("component")))
+    run, schema = _regions(percent)
+    hits = shared(points, _point_entries, "point", "shingles").withColumnRenamed("doc_id", "point")
+    regions = scratch.written(points.join(hits, "point").select("point", "shingles", "hits").mapInArrow(run, schema), "regions")
+    labels = points.select("point", F.col("point").alias("component"))
     known = points.sparkSession.createDataFrame([], "point long, pivot long, far double")
     for k in range(rounds):
         rows = regions.join(labels, "point")
@@ -225,7 +215,7 @@ def link_components(points: DataFrame, percent: int = PERCENT, rounds: int = ROU
         return labels
     table = known.groupBy("point").agg(F.map_from_entries(F.collect_set(F.struct("pivot", "far"))).alias("far"))
     seen = rows.select("point").distinct()
-    far = scratch.cut(seen.join(table, "point", "left"))
+    far = scratch.written(seen.join(table, "point", "left"), "far")
     a = rows.select("cell", F.col("point").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     b = rows.select("cell", F.col("point").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     pairs = a.join(b, "cell").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_allow("na", "nb", percent)).select("a", "b").distinct()
@@ -244,11 +234,14 @@ def near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, k
     run, schema = _sets(width, percent)
     sets = scratch.written(docs.join(hits, "doc_id", "left").mapInArrow(run, schema), "sets")
     alive = sets.filter("shingles is not null and doc_id is not null")
-    point = F.xxhash64("h1", "h2", "n").alias("point")
-    classes = scratch.written(alive.groupBy(point, "n").agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("shingles")), "points")
+    # small numbers for points: the least id and some bits of the set's hash
+    mark = F.xxhash64("h1", "h2", "n")
+    classes = alive.groupBy(mark.alias("mark"), "n").agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("shingles"))
+    point = F.when(F.abs("rep") < 1 << 46, F.shiftleft("rep", 16).bitwiseOR(F.col("mark").bitwiseAND(F.lit(65535)))).otherwise(F.col("mark"))
+    classes = scratch.written(classes.withColumn("point", point), "points")
     labels = link_components(classes.select("point", "n", "shingles"), percent)
-    of_class = classes.select("point", "rep").join(labels, "point")
+    of_class = classes.select("point", "mark", "rep").join(labels, "point")
     least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_point = of_class.join(least, "component").select("point", "component_id")
-    rows = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("shingles").isNotNull() & F.col("doc_id").isNotNull(), point).alias("point"))
-    return rows.join(of_point, "point", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_mark = of_class.join(least, "component").select("mark", "component_id")
+    rows = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("shingles").isNotNull() & F.col("doc_id").isNotNull(), mark).alias("mark"))
+    return rows.join(of_mark, "mark", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

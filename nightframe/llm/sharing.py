@@ -20,30 +20,33 @@ from .textbytes import mix, text_bytes
 CHUNK = 1 << 20
 #: The part of a fingerprint that is compared: a chance meeting only lets a document through to exact steps.
 KEPT = np.uint64(0xFFFFFFFFFFFF0000)
+#: Class of fingerprints that several documents of one chunk have; below it, the number of documents.
+HOT = np.uint64(255)
 #: Stands for several documents of one chunk.
 SEVERAL = np.int64(-(2**63))
 
 
 def squeeze(hashes: np.ndarray, docs: np.ndarray) -> bytes:
-    """Entries as bytes: six bytes of each hash and the differences of the sorted documents."""
+    """Entries as bytes: seven bytes of each hash and the differences of the sorted documents."""
     order = np.argsort(docs, kind="stable")
     hashes, docs = hashes[order], docs[order]
     several = int(np.searchsorted(docs, SEVERAL, "right"))
     steps = np.diff(docs[several:])
-    wide = bool(len(steps)) and int(steps.max()) >= 1 << 32
-    head = np.array([len(docs), several, wide, docs[several] if several < len(docs) else 0], np.int64)
-    six = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-    return head.tobytes() + six.tobytes() + steps.astype("<i8" if wide else "<u4").tobytes()
+    kind = 2 if len(steps) and int(steps.min()) < 0 else int(bool(len(steps)) and int(steps.max()) >= 1 << 32)
+    head = np.array([len(docs), several, kind, docs[several] if several < len(docs) else 0], np.int64)
+    seven = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:]
+    tail = docs[several:].astype("<i8") if kind == 2 else steps.astype("<i8" if kind else "<u4")
+    return head.tobytes() + seven.tobytes() + tail.tobytes()
 
 
 def unsqueeze(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, several, wide, first = np.frombuffer(raw, np.int64, 4).tolist()
+    n, several, kind, first = np.frombuffer(raw, np.int64, 4).tolist()
     full = np.zeros((n, 8), np.uint8)
-    full[:, 2:] = np.frombuffer(raw, np.uint8, 6 * n, 32).reshape(n, 6)
-    steps = np.frombuffer(raw, "<i8" if wide else "<u4", offset=32 + 6 * n).astype(np.int64)
+    full[:, 1:] = np.frombuffer(raw, np.uint8, 7 * n, 32).reshape(n, 7)
+    tail = np.frombuffer(raw, "<i8" if kind else "<u4", offset=32 + 7 * n).astype(np.int64)
     docs = np.full(n, SEVERAL)
     if n > several:
-        docs[several:] = first + np.append(0, np.cumsum(steps))
+        docs[several:] = tail if kind == 2 else first + np.append(0, np.cumsum(tail))
     return full.view("<u8").ravel(), docs
 
 
@@ -70,6 +73,9 @@ def _groups(hashes: np.ndarray, docs: np.ndarray):
 def shared(df: DataFrame, entries, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """(doc_id, hits binary): the hashes (8 bytes each, cut to ``KEPT``) that each document shares with another.
 
+    The second lowest byte of a hash is its class: ``HOT``, or else its number of documents. All documents that have a
+    hash are told the same class.
+
     ``entries(batches)`` yields (document ids, hashes) arrays, one entry for each distinct hash of a document;
     documents without an id take no part. Documents without hits have no row.
     """
@@ -82,7 +88,7 @@ def shared(df: DataFrame, entries, key: str = "doc_id", text: str = "text", rang
             h, d, group, first, several = _groups(np.concatenate(hashes) & KEPT, np.concatenate(docs))
             told = several[group] & (d != SEVERAL)
             spread = n + (TaskContext.get().partitionId() * 31 + flushed) % n
-            rows = [(spread, squeeze(h[told], d[told]))] if told.any() else []
+            rows = [(spread, squeeze(h[told] | HOT << np.uint64(8), d[told]))] if told.any() else []
             h, d = h[first], np.where(several, SEVERAL, d[first])
             cut = np.searchsorted(h >> np.uint64(64 - bits), np.arange(n + 1, dtype=np.uint64)).tolist()
             rows += [(k, squeeze(h[a:b], d[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
@@ -103,9 +109,11 @@ def shared(df: DataFrame, entries, key: str = "doc_id", text: str = "text", rang
         part = table.column("part")[0].as_py()
         h, d = (np.concatenate(x) for x in zip(*map(unsqueeze, table.column("entries").to_pylist())))
         if part < n:
-            h, d, group, _, several = _groups(h, d)
+            h, d, group, first, several = _groups(h, d)
+            count = np.diff(np.append(first, len(h)))
+            order = np.where(d[first] == SEVERAL, HOT, np.minimum(count, int(HOT) - 1).astype(np.uint64)).astype(np.uint64)
             told = several[group] & (d != SEVERAL)
-            h, d = h[told], d[told]
+            h, d = h[told] | order[group[told]] << np.uint64(8), d[told]
         # on to the documents' own groups, again as one row for each
         to = (mix(d.view(np.uint64)) % np.uint64(n)).astype(np.int64)
         order = np.argsort(to, kind="stable")

@@ -95,7 +95,7 @@ def _suffixes(width: int, gram: int, text: str):
             words, first, at, row, anchor = _windows(data, offsets, width, gram)
             hit_row, hit = hit_lists(batch.column("hits"))
             salt = lambda r: mix(r.astype(np.uint64) + np.uint64(1))
-            keep = np.isin(anchor & KEPT ^ salt(row), hit ^ salt(hit_row))
+            keep = np.isin(anchor & KEPT ^ salt(row), hit & KEPT ^ salt(hit_row))
             at, row = at[keep], row[keep]
             code = np.zeros(len(at), np.uint64)
             for k in range(8):

@@ -51,7 +51,6 @@ def corpus(seed):
 @pytest.mark.parametrize("seed,rounds", [(1, 4), (2, 0)])
 def test_equals_brute_force(spark, monkeypatch, seed, rounds):
     rows = corpus(seed)
-    monkeypatch.setattr(jaccard_join, "HOT", 3)
     monkeypatch.setattr(jaccard_join.link_components, "__defaults__", (75, rounds))
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n int, point string").repartition(3)
     got = jaccard_join.near_duplicates(df).collect()
