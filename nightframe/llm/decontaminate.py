@@ -11,8 +11,9 @@
 3. Search: each passage with its next one (their latent vectors add up) meets the
    items in the latent space. Candidates have a cosine of at least ``COSINE`` and
    so many of the item's content words (those of few items) that the checks could
-   hold. Items come in blocks of ``BLOCK``, so that a large benchmark costs
-   passes, not memory.
+   hold. Items come in blocks of ``BLOCK``; those of a large benchmark are files
+   that each batch of documents meets in turn, so that it costs time, not memory.
+   Rows and results are the same for any blocks.
 4. Checks: the longest common subsequence of words between an item and the
    passages with their surroundings must cover ``COVER`` of the item; and the
    item's answer, its last ``ANSWER`` words, must be there but for one of them, or
@@ -26,12 +27,15 @@ rows get equal results; empty tables give empty results.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import scratch
 from .textbytes import LOWER, WORD_BREAKS, SpanHash, runs, slices, text_bytes, word_spans
 
 SIZE = 24
@@ -169,79 +173,119 @@ def matches(docs: DataFrame, benchmark: DataFrame, model: Latent | None = None,
     model = model or fit(docs, text)
     items = benchmark.filter(F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    n_items = items.count()
-    out = None
-    for block in range(max(1, -(-n_items // BLOCK))):
-        # a block of items is small: BLOCK texts at most
-        rows = items.collect() if n_items <= BLOCK else items.orderBy("id", "text").offset(block * BLOCK).limit(BLOCK).collect()
-        found = _search(docs, rows, model, keep, text, schema, names)
-        out = found if out is None else out.unionByName(found)
-    if n_items > BLOCK:
-        out = out.groupBy(*keep).agg(F.array_distinct(F.flatten(F.collect_list(names[0]))).alias(names[0]), F.max(names[1]).alias(names[1]))
+    many = items.count() > BLOCK
+    folder = scratch.new_folder(docs.sparkSession, "items") if many else None
+    return _search(docs, _blocks(items.toLocalIterator() if many else items.collect(), model, folder), model, keep, text, schema, names)
+
+
+def _stored(x: dict, uri: str) -> str:
+    with scratch.committed(uri) as sink:
+        sink.write(pickle.dumps(x))
+    return uri
+
+
+def _loaded(x: dict | str) -> dict:
+    if isinstance(x, dict):
+        return x
+    with scratch.reader(x) as source:
+        return pickle.loads(source.read())
+
+
+def _blocks(rows, model: Latent, folder: str | None) -> list:
+    """Blocks of at most BLOCK items, indexed by content words; with a folder as files of it.
+
+    The driver holds one block, and the numbers of items of each word of the whole benchmark.
+    """
+    raw, words, uses, total, rows = [], np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, iter(rows)
+    while part := list(islice(rows, BLOCK)):
+        data, offsets = text_bytes(pa.array([r["text"] for r in part], pa.string()))
+        flat, first = words_of(data, offsets)
+        size = np.diff(first).astype(np.int64)
+        x = {"ids": np.array([r["id"] for r in part], np.int64)[size > 0], "flat": flat, "size": size[size > 0]}
+        if not len(flat):
+            continue
+        total += len(x["ids"])
+        own, many = np.unique(_pairs(x)[0], return_counts=True)
+        words, at = np.unique(np.concatenate([words, own]), return_inverse=True)
+        uses = np.bincount(at, np.concatenate([uses, many]), len(words)).astype(np.int64)
+        raw.append(_stored(x, f"{folder}/words-{len(raw)}") if folder else x)
+    out = []
+    for k, x in enumerate(raw):
+        x = _indexed(_loaded(x), model, words[uses <= max(2, COMMON * total)])
+        out.append(_stored(x, f"{folder}/block-{k}") if folder else x)
     return out
 
 
-def _search(docs: DataFrame, rows: list, model: Latent, keep: list[str], text: str, schema: str, columns: tuple[str, str]) -> DataFrame:
-    data, offsets = text_bytes(pa.array([r["text"] for r in rows], pa.string()))
-    h, first = words_of(data, offsets)
-    known = [(r["id"], h[a:b]) for r, a, b in zip(rows, first, first[1:]) if b > a]
-
+def _pairs(x: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each item once, with the item's number; by word."""
+    item = np.repeat(np.arange(len(x["size"])), x["size"])
+    pairs = np.unique(np.stack([x["flat"], item.astype(np.uint64)], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1].astype(np.int64)
+
+
+def _indexed(x: dict, model: Latent, few: np.ndarray) -> dict:
+    """A block with its latent vectors and its content words, which are those of ``few``."""
+    size = x["size"]
+    stop = np.cumsum(size)
+    queries = (counts(x["flat"], stop - size, stop) * model.idf) @ model.basis
+    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
+    # content words with the items that have them; an item without any keeps all its words
+    word, of = _pairs(x)
+    rare = np.isin(word, few)
+    rare |= (np.bincount(of[rare], minlength=len(size)) == 0)[of]
+    word, of = word[rare], of[rare]
+    vocabulary, at_word, n_items = np.unique(word, return_index=True, return_counts=True)
+    content = np.bincount(of, minlength=len(size))
+    # of an item's content words at most (1 - COVER) of its words may be missing, the rest lie in two neighbours
+    need = np.maximum(1, np.minimum(np.ceil((content - (1 - COVER) * size) / 2), 3)).astype(np.int64)
+    return {**x, "begin": stop - size, "queries": queries, "vocabulary": vocabulary, "at_word": at_word, "n_items": n_items, "of": of, "need": need}
+
+
+def _search(docs: DataFrame, blocks: list, model: Latent, keep: list[str], text: str, schema: str, columns: tuple[str, str]) -> DataFrame:
     def run(batches):
-        names = [i for i, _ in known]
-        flat = np.concatenate([x for _, x in known]) if known else np.zeros(0, np.uint64)
-        size = np.array([len(x) for _, x in known], np.int64)
-        stop = np.cumsum(size)
-        queries = (counts(flat, stop - size, stop) * model.idf) @ model.basis if known else np.zeros((0, RANK), np.float32)
-        queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-        # content words with the items that have them; an item without any keeps all its words
-        item = np.repeat(np.arange(len(known)), size)
-        pairs = np.unique(np.stack([flat, item.astype(np.uint64)], 1), axis=0) if known else np.zeros((0, 2), np.uint64)
-        word, of = pairs[:, 0], pairs[:, 1].astype(np.int64)
-        _, number, uses = np.unique(word, return_inverse=True, return_counts=True)
-        rare = uses[number] <= max(2, COMMON * len(known))
-        rare |= (np.bincount(of[rare], minlength=len(known)) == 0)[of] if len(of) else rare
-        word, of = word[rare], of[rare]
-        vocabulary, at_word, n_items = np.unique(word, return_index=True, return_counts=True)
-        content = np.bincount(of, minlength=len(known))
-        # of an item's content words at most (1 - COVER) of its words may be missing, the rest lie in two neighbours
-        need = np.maximum(1, np.minimum(np.ceil((content - (1 - COVER) * size) / 2), 3)).astype(np.int64)
-        lists = [x.tolist() for _, x in known]
         for batch, data, offsets in slices(batches, text):
             h, first = words_of(data, offsets)
             row, begin, end = passages(first)
-            hits: dict[int, dict[int, float]] = {}
-            if len(vocabulary) and len(h):
+            latent, held = None, [([], []) for _ in range(batch.num_rows)]
+            for block in blocks if len(h) else ():
+                x = _loaded(block)
+                ids, vocabulary = x["ids"], x["vocabulary"]
                 found = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
                 at = np.flatnonzero(vocabulary[found] == h)
                 found = found[at]
                 passage = np.searchsorted(begin, at, "right") - 1
-                reps = n_items[found]
+                reps = x["n_items"][found]
                 which = np.repeat(passage, reps)
-                items_of = of[np.repeat(at_word[found], reps) + runs(reps)]
+                items_of = x["of"][np.repeat(x["at_word"][found], reps) + runs(reps)]
                 # a hit counts for its passage and for the pair that begins one passage before
-                before = which[(which > 0) & (row[which] == row[which - 1])] - 1
-                key = np.concatenate([which, before]) * len(known) + np.concatenate([items_of, items_of[(which > 0) & (row[which] == row[which - 1])]])
+                before = (which > 0) & (row[which] == row[which - 1])
+                key = np.concatenate([which, which[before] - 1]) * len(ids) + np.concatenate([items_of, items_of[before]])
                 key, many = np.unique(key, return_counts=True)
-                k, j = key // len(known), key % len(known)
-                enough = many >= need[j]
+                k, j = key // len(ids), key % len(ids)
+                enough = many >= x["need"][j]
                 k, j = k[enough], j[enough]
-                if len(k):
+                if not len(k):
+                    continue
+                if latent is None:
                     latent = np.concatenate([(counts(h, begin[a : a + 2048], end[a : a + 2048]) * model.idf) @ model.basis for a in range(0, len(begin), 2048)])
                     both = np.append(row[1:] == row[:-1], False)
                     latent[both] += latent[np.flatnonzero(both) + 1]
                     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-                    near = (latent[k] * queries[j]).sum(1) >= COSINE
-                    for p, q in zip(k[near].tolist(), j[near].tolist()):
-                        r = int(row[p])
-                        if q in hits.get(r, ()):
-                            continue
-                        size_q = len(lists[q])
-                        lo, hi = max(int(first[r]), int(begin[p]) - size_q), min(int(first[r + 1]), int(begin[p]) + 2 * SIZE + size_q)
-                        sure, cover = holds(lists[q], h[lo:hi].tolist())
-                        if sure:
-                            hits.setdefault(r, {})[q] = cover
-            found = [sorted(names[j] for j in hits.get(r, ())) for r in range(batch.num_rows)]
-            cover = [max(hits[r].values()) if r in hits else 0.0 for r in range(batch.num_rows)]
+                near = (latent[k] * x["queries"][j]).sum(1) >= COSINE
+                hits: set[tuple[int, int]] = set()
+                for p, q in zip(k[near].tolist(), j[near].tolist()):
+                    r = int(row[p])
+                    if (r, q) in hits:
+                        continue
+                    size_q = int(x["size"][q])
+                    lo, hi = max(int(first[r]), int(begin[p]) - size_q), min(int(first[r + 1]), int(begin[p]) + 2 * SIZE + size_q)
+                    sure, cover = holds(x["flat"][x["begin"][q] : x["begin"][q] + size_q].tolist(), h[lo:hi].tolist())
+                    if sure:
+                        hits.add((r, q))
+                        held[r][0].append(int(ids[q]))
+                        held[r][1].append(cover)
+            found = [sorted(i) for i, _ in held]
+            cover = [max(c, default=0.0) for _, c in held]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.list_(pa.int64())), pa.array(cover, pa.float64())], [*keep, *columns])
 
     wanted = list(dict.fromkeys([*keep, text]))

@@ -61,6 +61,21 @@ def test_paraphrases_are_found(spark, monkeypatch):
     assert all(again[d] == got[d] for d in again)
 
 
+def test_blocks_of_items_keep_all_rows(spark, monkeypatch):
+    docs, items, _ = corpus()
+    df = spark.createDataFrame([(*r, 0) for r in docs + [(None, docs[3][1]), (None, docs[4][1]), (None, None), (None, None), (900, None), (901, ""), (3, docs[3][1]), docs[0], docs[0]]], "doc_id long, text string, cover int")
+    # every tenth item has words of nearly all items of its block, but of few in the benchmark
+    bench = spark.createDataFrame(items + [(100 + i, f"shared{i // 10} words{i // 10} own{i} other{i} last{i}") for i in range(30)] + [(None, "x y z"), (99, None)], "item_id long, text string")
+    rows = lambda out: sorted(map(repr, out.collect()))
+    whole, kept = rows(dc.matches(df, bench)), rows(dc.clean(df, bench))
+    assert len(whole) == len(docs) + 9
+    for block in (10, 7, 1):
+        monkeypatch.setattr(dc, "BLOCK", block)
+        assert rows(dc.matches(df, bench)) == whole
+    monkeypatch.setattr(dc, "BLOCK", 10)
+    assert rows(dc.clean(df, bench)) == kept
+
+
 def test_svd_finds_the_leading_space(spark):
     docs, _, _ = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string")
