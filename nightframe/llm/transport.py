@@ -7,8 +7,14 @@ the last unit is stuffed), a time stamp of 3600 ticks of 90 kHz after the one
 before, and every eighth unit is a random-access point with a clock reference.
 
 ``parse`` takes any such column: it reads the program tables (with their
-checksums), finds the first elementary stream, checks its continuity counters,
-reassembles the units, and gives their time stamps and random-access points.
+checksums, over several packets too) and, for each elementary stream of each
+program, checks its continuity counters, reassembles the units, and gives their
+time stamps and random-access points, a row for each stream. Packets without a
+sync byte or with the error flag count as lost. Repeated packets count once,
+announced discontinuities are no errors. Units of length 0 end where the next
+one starts. A unit that lacks its header or some of its bytes is listed in
+``broken``; its samples are those received, ``unit_bytes`` tells where they lie.
+Packets before the first unit start belong to no unit.
 
 Nulls and empty texts give one block of 64 zero bytes; equal texts give equal
 streams; repeated rows give repeated results; an empty table an empty result.
@@ -131,54 +137,132 @@ def stream(payload: bytes) -> bytes:
     return out.tobytes()
 
 
-def _section(packets: np.ndarray, table_id: int) -> bytes | None:
-    """Body of the first sound table section in the packets of one PID."""
-    for row in packets[(packets[:, 1] & 0x40) > 0]:
+@lru_cache(1024)
+def _sound(section: bytes) -> bool:
+    return section_crc(section) == 0
+
+
+def _sections(packets: np.ndarray, table_id: int) -> list[bytes]:
+    """The sound current table sections in the packets of one PID, each once."""
+    out: dict[bytes, None] = {}
+    held, before = None, b""
+    for row in packets:
         raw = row.tobytes()
-        at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-        at += 1 + raw[at]
-        size = int.from_bytes(raw[at + 1 : at + 3], "big") & 0x0FFF
-        if at + 3 + size <= PACKET and raw[at] == table_id and section_crc(raw[at : at + 3 + size]) == 0:
-            return raw[at + 8 : at + 3 + size - 4] if table_id == 0 else raw[at + 3 : at + 3 + size - 4]
-    return None
+        if not raw[3] & 0x10 or raw == before:
+            continue
+        if before and raw[3] & 15 != before[3] + 1 & 15:
+            held = None
+        before = raw
+        body = raw[4 + (1 + raw[4] if raw[3] & 0x20 else 0) :]
+        parts = [body]
+        if raw[1] & 0x40 and body:
+            start = 1 + body[0]
+            parts = [body[1:start], body[start:]]
+        for k, part in enumerate(parts):
+            held = part if k else held and held + part
+            while held and len(held) >= 3 and held[0] != 0xFF:
+                size = 3 + (int.from_bytes(held[1:3], "big") & 0x0FFF)
+                if len(held) < size:
+                    break
+                section, held = held[:size], held[size:]
+                if section[0] == table_id and size >= 12 and section[5] & 1 and _sound(section):
+                    out[section] = None
+            if held is not None and held[:1] in (b"", b"\xff"):
+                held = None  # filled up to the next section start
+    return list(out)
+
+
+#: Stream ids whose units have no optional header.
+PLAIN = {0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF}
+
+
+def _same(a: bytes, b: bytes) -> bool:
+    """Whether a packet repeats the one before; only its clock reference may be another."""
+    if a[3] & 0x20 and a[4] >= 7 and a[5] & 0x10:
+        return a[:6] + a[12:] == b[:6] + b[12:]
+    return a == b
+
+
+def _elementary(packets: np.ndarray) -> dict:
+    """Counts, stamps, access points and samples of the packets of one PID; ``whole``: no header and no byte is missing."""
+    adapted = (packets[:, 3] & 0x20) > 0
+    flags = np.where(adapted & (packets[:, 4] > 0), packets[:, 5], 0)
+    at = np.flatnonzero(packets[:, 3] & 0x10)
+    # a discontinuity may be announced in a packet without payload before
+    announced = np.cumsum(flags & 0x80 > 0)[at]
+    es = packets[at]
+    counter = es[:, 3].astype(np.int16) & 15
+    step = np.diff(counter) & 15
+    keep = np.ones(len(es), bool)
+    bad = np.append(False, (step != 1) & (np.diff(announced) == 0)) if len(es) else keep
+    for k in np.flatnonzero(step == 0) + 1:
+        if _same(es[k].tobytes(), es[k - 1].tobytes()):
+            keep[k] = False
+            # a packet may come twice, not more often
+            bad[k] = k > 1 and not keep[k - 1]
+    errors = int(bad.sum())
+    es, bad, flags = es[keep], bad[keep], flags[at][keep]
+    begin = np.minimum(4 + np.where(es[:, 3] & 0x20, es[:, 4].astype(np.int32) + 1, 0), PACKET)
+    ends = np.append(0, np.cumsum(PACKET - begin))
+    data = es[np.arange(PACKET) >= begin[:, None]].tobytes()
+    head = np.flatnonzero(es[:, 1] & 0x40)
+    stop = np.append(head[1:], len(es)).astype(np.int64)
+    stamps, broken, sizes, samples, whole = [], [], [], [], len(head) > 0
+    gaps = np.append(0, np.cumsum(bad))
+    for k, (a, b) in enumerate(zip(head.tolist(), stop.tolist())):
+        unit = data[ends[a] : ends[b]]
+        size, stamp, skip = int.from_bytes(unit[4:6], "big"), None, 6
+        sound = len(unit) >= 6 and unit[:3] == b"\0\0\1"
+        if sound and unit[3] not in PLAIN:
+            sound = len(unit) >= 9 and unit[6] & 0xC0 == 0x80 and len(unit) >= 9 + unit[8]
+            if sound:
+                skip = 9 + unit[8]
+                if unit[7] & 0x80 and unit[8] >= 5:
+                    stamp = (unit[9] >> 1 & 7) << 30 | unit[10] << 22 | unit[11] >> 1 << 15 | unit[12] << 7 | unit[13] >> 1
+        full = sound and (not size or len(unit) == 6 + size)
+        # without a length, packets can be missing up to the next start
+        lost = gaps[b] > gaps[a + 1] or sound and not size and b < len(es) and bad[b]
+        whole = whole and full and (size > 0 or not lost)
+        if not full or lost:
+            broken.append(k)
+        stamps.append(stamp)
+        samples.append(unit[skip:] if sound else b"")
+        sizes.append(len(samples[-1]))
+    return {"continuity_errors": errors, "time_stamps": stamps, "random_access": np.flatnonzero(flags[head] & 0x40).tolist(), "payload": b"".join(samples), "unit_bytes": sizes, "broken": broken, "whole": bool(whole)}
+
+
+def parse_streams(media: bytes) -> list[dict]:
+    """Program, stream, units and samples of each elementary stream; none where the bytes are no transport stream."""
+    if not media or len(media) < PACKET:
+        return []
+    p = np.frombuffer(media, np.uint8, len(media) // PACKET * PACKET).reshape(-1, PACKET)
+    total = len(p)
+    sound = (p[:, 0] == 0x47) & (p[:, 1] & 0x80 == 0)
+    p = p if sound.all() else p[sound]
+    pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
+    maps: dict[int, int] = {}
+    for section in _sections(p[pid == 0], 0x00):
+        for i in range(8, len(section) - 7, 4):
+            if program := int.from_bytes(section[i : i + 2], "big"):
+                maps.setdefault(program, int.from_bytes(section[i + 2 : i + 4], "big") & 0x1FFF)
+    streams: dict[tuple[int, int], int] = {}
+    for program, map_pid in maps.items():
+        for section in _sections(p[pid == map_pid], 0x02):
+            if int.from_bytes(section[3:5], "big") != program:
+                continue
+            at = 12 + (int.from_bytes(section[10:12], "big") & 0x0FFF)
+            while at + 5 <= len(section) - 4:
+                streams.setdefault((program, int.from_bytes(section[at + 1 : at + 3], "big") & 0x1FFF), section[at])
+                at += 5 + (int.from_bytes(section[at + 3 : at + 5], "big") & 0x0FFF)
+    return [{"program": program, "stream_type": kind, "pid": k, "packets": total, **_elementary(p[pid == k])} for (program, k), kind in streams.items()]
 
 
 def parse_stream(media: bytes) -> dict | None:
-    """Program, stream, units and samples of a transport stream; None where it is none."""
-    if not media or len(media) % PACKET:
-        return None
-    p = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    if (p[:, 0] != 0x47).any():
-        return None
-    pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
-    programs = _section(p[pid == 0], 0x00)
-    if not programs:
+    """The first elementary stream; None where there is none, or where a packet, a unit's header or some of its bytes are missing."""
+    if not media or len(media) % PACKET or (np.frombuffer(media, np.uint8)[::PACKET] != 0x47).any():
         return None
-    entries = [(int.from_bytes(programs[i : i + 2], "big"), int.from_bytes(programs[i + 2 : i + 4], "big") & 0x1FFF) for i in range(0, len(programs) - 3, 4)]
-    program, map_pid = next((e for e in entries if e[0]), (0, 0))
-    streams = _section(p[pid == map_pid], 0x02)
-    if not streams:
-        return None
-    at = 9 + (int.from_bytes(streams[7:9], "big") & 0x0FFF)
-    kind, es_pid = streams[at], int.from_bytes(streams[at + 1 : at + 3], "big") & 0x1FFF
-    es = p[(pid == es_pid) & (p[:, 3] & 0x10 > 0)]
-    if not len(es):
-        return None
-    errors = int(((np.diff(es[:, 3].astype(np.int16) & 15) & 15) != 1).sum())
-    adapted = (es[:, 3] & 0x20) > 0
-    begin = 4 + np.where(adapted, es[:, 4].astype(np.int32) + 1, 0)
-    access = adapted & (es[:, 4] > 0) & (es[:, 5] & 0x40 > 0)
-    head = np.flatnonzero(es[:, 1] & 0x40)
-    h = [es[head, np.minimum(begin[head] + k, PACKET - 1)].astype(np.int64) for k in range(14)]
-    if ((h[0] | h[1]) != 0).any() or (h[2] != 1).any():
-        return None
-    stamps = (h[9] >> 1 & 7) << 30 | h[10] << 22 | h[11] >> 1 << 15 | h[12] << 7 | h[13] >> 1
-    begin[head] += (9 + h[8]).astype(np.int32)
-    samples = es[np.arange(PACKET) >= begin[:, None]]
-    sizes = np.add.reduceat(PACKET - begin, head)
-    if (sizes != (h[4] << 8 | h[5]) - 3 - h[8]).any():
-        return None
-    return {"program": program, "stream_type": kind, "pid": es_pid, "packets": len(p), "continuity_errors": errors, "time_stamps": stamps.tolist(), "random_access": np.flatnonzero(access[head]).tolist(), "payload": samples.tobytes()}
+    found = next(iter(parse_streams(media)), None)
+    return found if found and found["whole"] else None
 
 
 def mux(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,11 +279,11 @@ def mux(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
-PARSED = "program int, stream_type int, pid int, packets int, continuity_errors int, time_stamps array<long>, random_access array<int>, payload binary"
+PARSED = "program int, stream_type int, pid int, packets int, continuity_errors int, time_stamps array<long>, random_access array<int>, payload binary, unit_bytes array<int>, broken array<int>"
 
 
 def parse(df: DataFrame, keep: list[str], media: str = "media", digest: bool = False) -> DataFrame:
-    """The kept columns with what ``parse_stream`` finds; nulls where the bytes are no sound transport stream.
+    """The kept columns with what ``parse_streams`` finds, a row for each elementary stream; one of nulls where there is none.
 
     With ``digest``, sizes and checksums of samples and media instead of the samples, and a ``feature`` line.
     """
@@ -210,20 +294,25 @@ def parse(df: DataFrame, keep: list[str], media: str = "media", digest: bool = F
 
     def run(batches):
         for batch, data, offsets in slices(batches, media):
-            rows, whole, out = offsets.tolist(), memoryview(np.ascontiguousarray(data)), []
-            for a, b in zip(rows, rows[1:]):
-                found = parse_stream(bytes(whole[a:b]))
-                if digest:
-                    p = (found or {}).get("payload")
-                    line = found and "program {program} stream {stream_type}@{pid} packets {packets} continuity errors {continuity_errors}".format(**found) + f" units {len(found['time_stamps'])} last stamp {found['time_stamps'][-1]} random access {len(found['random_access'])}"
-                    out.append((p and len(p), p and hashlib.sha256(p).hexdigest(), p and zlib.crc32(p[-64:]), b - a, hashlib.sha256(whole[a:b]).hexdigest(), line) if p else (None, None, None, b - a, hashlib.sha256(whole[a:b]).hexdigest(), None))
-                else:
-                    out.append(found or {})
-            kept = [batch.column(c) for c in keep]
+            rows, whole, out, of = offsets.tolist(), memoryview(np.ascontiguousarray(data)), [], []
+            for i, (a, b) in enumerate(zip(rows, rows[1:])):
+                sha = digest and hashlib.sha256(whole[a:b]).hexdigest()
+                for found in parse_streams(bytes(whole[a:b])) or [{}]:
+                    of.append(i)
+                    if not digest:
+                        out.append(found)
+                    elif found:
+                        p, stamps = found["payload"], [x for x in found["time_stamps"] if x is not None]
+                        line = "program {program} stream {stream_type}@{pid} packets {packets} continuity errors {continuity_errors}".format(**found) + f" units {len(found['time_stamps'])} last stamp {stamps[-1] if stamps else 'none'} random access {len(found['random_access'])}"
+                        line += f" broken {len(found['broken'])}" if found["broken"] else ""
+                        out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), b - a, sha, line))
+                    else:
+                        out.append((None, None, None, b - a, sha, None))
+            kept = [batch.column(c) if len(of) == batch.num_rows else batch.column(c).take(pa.array(of)) for c in keep]
             if digest:
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(list(c), t) for c, t in zip(zip(*out), types))], [*keep, *names])
             else:
-                kinds = {"program": pa.int32(), "stream_type": pa.int32(), "pid": pa.int32(), "packets": pa.int32(), "continuity_errors": pa.int32(), "time_stamps": pa.list_(pa.int64()), "random_access": pa.list_(pa.int32()), "payload": pa.binary()}
+                kinds = {"program": pa.int32(), "stream_type": pa.int32(), "pid": pa.int32(), "packets": pa.int32(), "continuity_errors": pa.int32(), "time_stamps": pa.list_(pa.int64()), "random_access": pa.list_(pa.int32()), "payload": pa.binary(), "unit_bytes": pa.list_(pa.int32()), "broken": pa.list_(pa.int32())}
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array([x.get(n) for x in out], t) for n, t in kinds.items())], [*keep, *kinds])
 
     return df.select(*keep, media).mapInArrow(run, schema)
