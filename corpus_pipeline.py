@@ -28,9 +28,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 13-word sequences of smaller documents; documents of which nothing is left go."""
-    left = substring_dedup.dedup(docs).withColumn("n_chars", F.length(TEXT).cast(docs.schema["n_chars"].dataType))
-    return left.filter(F.coalesce(F.col(TEXT), F.lit("")) != "").select(*docs.columns)
+    """Texts without the 13-word sequences of smaller documents; documents of which nothing is left go, those without a text stay."""
+    left = substring_dedup.dedup(docs.withColumn("__had", F.coalesce(F.col(TEXT) != "", F.lit(False))))
+    n_chars = F.coalesce(F.length(TEXT).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return left.filter(~F.col("__had") | (F.col(TEXT) != "")).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,15 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in current.collect()} == set(seen["decontamination"])
 
 
+def test_repeats_go_and_rows_without_text_stay(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words), (2, words), (3, None), (4, ""), (5, " \n "), (None, None), (6, "a b"), (7, "own " + words)]
+    docs = spark.createDataFrame([(k, t, "en", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, n_chars long")
+    kept = corpus_pipeline.cut_repeats(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"], r["n_chars"]) for r in kept.collect()))) == sorted(map(repr, [(1, words, len(words)), (3, None, 0), (4, "", 0), (5, " \n ", 3), (None, None, 0), (6, "a b", 3), (7, "own", 3)]))
+
+
 def test_run_on_the_sample(spark):
     out = corpus_pipeline.run(spark, SAMPLE)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() <= 200
