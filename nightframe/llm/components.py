@@ -13,8 +13,9 @@ def components(links: DataFrame) -> DataFrame:
     Each round a node takes the least label beside it and then its label's label, so chains halve.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = scratch.written(both, "links")
-    labels = scratch.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
+    tables, rounds = scratch.Working(links.sparkSession), scratch.Working(links.sparkSession)
+    both = tables.written(both, "links")
+    labels = rounds.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node").select("node", F.least("component", "m").alias("c"), "component")
@@ -22,6 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         new = step.join(jump, "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("to"), "component")
         seen = Observation()
         new = new.observe(seen, F.coalesce(F.sum((F.col("to") < F.col("component")).cast("int")), F.lit(0)).alias("moved"))
-        labels = scratch.written(new.select("node", F.col("to").alias("component")), "labels")
+        labels = rounds.written(new.select("node", F.col("to").alias("component")), "labels")
+        rounds.clear(but_last=1)
         if not seen.get["moved"]:
+            tables.clear()
             return labels

@@ -1,29 +1,37 @@
 """Exact n-gram Jaccard join in the metric space of shingle sets (operator 4).
 
 Documents are points, the distance is one minus the Jaccard similarity, and
-points within the radius are linked. In this space nearly all documents are at
-the greatest distance from any sampled pivot, so Voronoi cells of such pivots
-separate nothing; pivots are therefore taken where points have near neighbours:
+points within the radius are linked. Nearly all documents are at the greatest
+distance from any pivot, where Voronoi cells separate nothing, so the space is
+first cut where no link can cross:
 
 1. Screen. A point shares at least a known number of its first fingerprints (in
    hash order) with any linked point. Points that share fewer with all others
-   have no link and leave; points of distance zero become one point.
-2. Regions. A point must share ``ceil(s n)`` of its shingles with others. In one
+   have no link and leave; equal sets become one point.
+2. Islands. A point must share ``ceil(s n)`` of its shingles with others. In one
    global order of shingles, rare ones first, linked points share one of their
-   first ``n - ceil(s n) + 1``: these name the regions that a point is replicated
-   to, which is the window that covers every linked pair.
-3. Rounds. Every region that holds several components draws a pivot; exact
-   distances to it are computed; points within the radius join its component.
-   After a few rounds nearly all regions hold one component.
-4. Boundary. Pairs of a region that are still in different components are
-   joined exactly where size and the triangle inequality over the distances to
-   the region's pivots allow a link.
-
-So groups of copies cost as many distances as they have points, and no link
-between different texts' components is lost: components are exact.
-
-Shingles are compared by 64-bit hashes (1e9 different shingles collide with a
-chance of 3 %, a pair's similarity changes only if they also meet in it).
+   first ``n - ceil(s n) + 1``. Points that are joined by chains of such shared
+   shingles form an island; linked points lie on the same one.
+3. Regions. An island beyond the size of a leaf draws pivots, the most central
+   points and random ones. Distances to them are computed exactly; points within
+   the radius of a pivot join it. Each point's home is the Voronoi region of its
+   nearest pivot (a region of its own holds those far from every pivot). The
+   triangle inequality gives the windows: a point is replicated to the regions of
+   earlier pivots in which a linked point could be at home. Points of which no
+   partner of a fitting size could be linked leave. Regions are split again until
+   they are leaves, or hold one component only.
+4. Rest. Where windows do not halve the work of a region (its points are about as
+   far from each other as from any pivot), its points outside the largest known
+   component meet that component and each other in blocks: every pair of
+   different components still meets, within bounded tasks.
+5. Leaves are joined exactly in their tasks, from an inverted list of their shared
+   shingles, and give out a forest of links: never more rows than points.
+
+No link is lost: components are exact, whatever the sizes and limits.
+
+Shingles are compared by 64-bit hashes. That counts only between the sets of two
+compared documents (a chance of n^2 / 2^64 that one number is wrong); equal sets
+are told by two such sums and their size.
 
 Words are split at ASCII white space and A-Z are lower-cased; fewer words than
 ``width`` make one shingle. Nulls and texts without words have an empty set and
@@ -34,10 +42,11 @@ columns are left alone.
 
 from __future__ import annotations
 
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import scratch
 from .components import components
@@ -48,7 +57,14 @@ WIDTH = 5
 PERCENT = 75
 #: Share of a set, beyond the part a link may lose, that the screen looks at.
 EXTRA = 10
-ROUNDS = 2
+#: Points and shingles of a leaf; beyond either a region is split.
+LEAF, WEIGHT = 512, 1 << 21
+#: Pivots of a region: so many central points, and as many random ones.
+CENTRES = 4
+#: Distance beyond which a pivot is no point's home.
+FAR = 0.5
+#: Steps of the scale on which sizes of sets are counted.
+STEP = 1.01
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -128,12 +144,12 @@ def _point_entries(batches):
             yield np.repeat(ids, np.diff(offsets) // 8), np.frombuffer(data.tobytes(), np.uint64)
 
 
-def _regions(percent: int):
-    """Points with hits -> (cell, point, n): the regions of points that share enough of their shingles."""
+def _cells(percent: int):
+    """Points with hits -> (cell, point, n, near): the rare shared shingles that name a point's cells, and how many of its shingles others have."""
 
     def run(batches):
         for batch in batches:
-            cells, point, size = [], [], []
+            cells, point, size, near = [], [], [], []
             for p, raw, hits in zip(batch.column("point").to_pylist(), batch.column("shingles").to_pylist(), batch.column("hits").to_pylist()):
                 h, told = np.frombuffer(raw, np.uint64), np.sort(np.frombuffer(hits, np.uint64))
                 n, least = len(h), int(overlap(len(h), percent))
@@ -147,84 +163,211 @@ def _regions(percent: int):
                 cells.append(h[order])
                 point.append(np.full(len(order), p))
                 size.append(np.full(len(order), n, np.int32))
+                near.append(np.full(len(order), is_shared.sum(), np.int32))
             if cells:
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(np.concatenate(cells).view(np.int64)), "point": pa.array(np.concatenate(point)), "n": pa.array(np.concatenate(size))})
-
-    return run, "cell long, point long, n int"
-
-
-def _similar(batches):
-    """Rows with two shingle sets -> numbers of common shingles."""
-    for batch in batches:
-        common = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
-        keep = ("a", "b", "na", "nb")
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(common, pa.int32())], [*keep, "common"])
-
-
-def common_shingles(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """(a, b, na, nb, common) of distinct pairs (a, b)."""
-    left = points.select(F.col("point").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = points.select(F.col("point").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_similar, "a long, b long, na int, nb int, common int")
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(np.concatenate(cells).view(np.int64)), "point": pa.array(np.concatenate(point)), "n": pa.array(np.concatenate(size)), "near": pa.array(np.concatenate(near))})
 
+    return run, "cell long, point long, n int, near int"
 
-def _linked(percent: int):
-    return F.expr(f"100L * common >= {percent}L * (na + nb - common)")
 
-
-def _sizes_allow(a: str, b: str, percent: int):
-    return (100 * F.least(a, b).cast("long")) >= (percent * F.greatest(a, b).cast("long"))
-
-
-def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (point, component) after more links (a, b) between points."""
-    la = labels.select(F.col("point").alias("a"), F.col("component").alias("ca"))
-    lb = labels.select(F.col("point").alias("b"), F.col("component").alias("cb"))
-    between = links.join(la, "a").join(lb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    merged = components(between)
-    moved = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-    return scratch.written(moved.select("point", F.coalesce("to", "component").alias("component")), "labels")
-
-
-def link_components(points: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """(point, component) of all points (point, n, shingles: distinct sets in hash order)."""
-    run, schema = _regions(percent)
+def _islands(points: DataFrame, percent: int, tables: scratch.Working) -> DataFrame:
+    """(region, point, n, near, label): the island of each point that may have a link."""
+    run, schema = _cells(percent)
     hits = shared(points, _point_entries, "point", "shingles").withColumnRenamed("doc_id", "point")
-    regions = scratch.written(points.join(hits, "point").select("point", "shingles", "hits").mapInArrow(run, schema), "regions")
-    labels = points.select("point", F.col("point").alias("component"))
-    known = points.sparkSession.createDataFrame([], "point long, pivot long, far double")
-    for k in range(rounds):
-        rows = regions.join(labels, "point")
-        # a region's pivot of this round, drawn by a hash of its point
-        draw = F.struct(F.xxhash64(F.lit(k), "point").alias("draw"), "point", "n", "component")
-        pivots = rows.groupBy("cell").agg(F.min(draw).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        pivots = pivots.select("cell", F.col("p.point").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.component").alias("pc"))
-        pairs = rows.join(pivots, "cell").filter((F.col("component") != F.col("pc")) & _sizes_allow("n", "pn", percent))
-        pairs = pairs.select(F.col("point").alias("a"), F.col("pivot").alias("b")).distinct()
-        found = scratch.written(common_shingles(pairs, points), "distances")
-        if found.limit(1).count() == 0:
+    cells = tables.written(points.join(hits, "point").select("point", "shingles", "hits").mapInArrow(run, schema), "cells")
+    first = cells.groupBy("cell").agg(F.min("point").alias("a"), F.max("point").alias("z")).filter("a < z").drop("z")
+    edges = cells.join(first, "cell").select("a", F.col("point").alias("b")).distinct()
+    islands = components(edges).select(F.col("node").alias("point"), F.col("component").alias("region"))
+    mine = cells.groupBy("point").agg(F.first("n").alias("n"), F.first("near").alias("near"))
+    return islands.join(mine, "point").select("region", "point", "n", "near", F.col("point").alias("label"))
+
+
+def _sets_of(table):
+    """(shingles of all rows, row of each) of an Arrow table."""
+    data, offsets = text_bytes(table.column("shingles"))
+    return np.frombuffer(data.tobytes(), np.uint64), np.repeat(np.arange(table.num_rows), np.diff(offsets) // 8)
+
+
+def _roots(label: np.ndarray, pairs) -> np.ndarray:
+    """``label`` (small numbers) after the given pairs of labels became one."""
+    for a, b in pairs:
+        a, b = label[a], label[b]
+        if a != b:
+            label[label == max(a, b)] = min(a, b)
+    return label
+
+
+def _leaf(percent: int):
+    """All rows of a leaf -> links (a, b) that join its components: fewer than it has points."""
+
+    def run(table):
+        out = ([], [])
+        point = table.column("point").to_numpy()
+        order = np.flatnonzero(np.append(True, np.diff(np.sort(point)) > 0))
+        if len(order) < len(point):  # a point replicated twice into one leaf
+            table = table.take(pa.array(np.unique(point, return_index=True)[1]))
+            point = table.column("point").to_numpy()
+        _, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
+        n = table.column("n").to_numpy().astype(np.int64)
+        if len(point) > 1 and label.max() > 0:
+            h, row = _sets_of(table)
+            _, word, df = np.unique(h, return_inverse=True, return_counts=True)
+            keep = df[word] > 1
+            word, row = word[keep], row[keep]
+            near = np.bincount(row, minlength=len(point))
+            order = np.argsort(word, kind="stable")
+            posts, start = row[order], np.append(0, np.cumsum(np.bincount(word, minlength=len(df))))
+            mine = np.append(0, np.cumsum(near))
+            own = label == np.bincount(label).argmax()
+            # pairs within the largest known component need no look, all others are seen from the point outside it
+            for x in np.flatnonzero(~own & (near >= overlap(n, percent))).tolist():
+                w = word[mine[x] : mine[x + 1]]
+                long = start[w + 1] - start[w]
+                common = np.bincount(posts[np.repeat(start[w], long) + runs(long)], minlength=len(point))
+                for y in np.flatnonzero((100 * common >= percent * (n[x] + n - common)) & (label != label[x])).tolist():
+                    if label[x] != label[y]:
+                        out[0].append(point[x])
+                        out[1].append(point[y])
+                        label = _roots(label, [(x, y)])
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run, "a long, b long"
+
+
+def _partner(n: np.ndarray, near: np.ndarray, sizes: np.ndarray, many: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the region has another point of a size with which a link is possible.
+
+    A link with a point of size m needs ``percent / (100 + percent) * (n + m)`` common shingles, and ``near`` is the
+    most there can be; and m is at least ``percent`` of n. ``sizes`` are classes of the scale, ``many`` their points.
+    """
+    top = np.floor(near * (100 + percent) / percent - n + 1e-6)
+    low = np.floor(np.log(np.maximum(1, n * percent / 100)) / np.log(STEP)) - 1
+    high = np.where(top >= 1, np.floor(np.log(np.maximum(1, top)) / np.log(STEP)) + 1, -1)
+    sums = np.append(0, np.cumsum(many))
+    seen = sums[np.searchsorted(sizes, high, "right")] - sums[np.searchsorted(sizes, low, "left")]
+    own = np.floor(np.log(n) / np.log(STEP))
+    return (seen - ((own >= low) & (own <= high))) > 0
+
+
+def _measured(percent: int):
+    """A chunk of a region and its pivots (``pivot`` >= 0) -> links with pivots, homes and windows of its points."""
+
+    def run(table):
+        at = table.column("pivot").to_numpy()
+        pivots = table.filter(pa.array(at >= 0)).sort_by("pivot")
+        rows = table.filter(pa.array(at < 0))
+        h, row = _sets_of(rows)
+        n, point, label = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "point", "label"))
+        pn, pp = pivots.column("n").to_numpy().astype(np.int64), pivots.column("point").to_numpy()
+        ph, prow = _sets_of(pivots)
+        sets = [ph[prow == k] for k in range(len(pp))]
+
+        def common(h, row, size):
+            hit = lambda s: np.isin(h, s) if len(s) else np.zeros(len(h), bool)
+            return np.stack([np.bincount(row[hit(s)], minlength=size) for s in sets], 1)
+
+        c, cp = common(h, row, len(n)), common(ph, prow, len(pp))
+        far = 1 - c / (n[:, None] + pn - c)
+        linked = 100 * c >= percent * (n[:, None] + pn - c)
+        joined = np.arange(len(pp))
+        # by the links that are given out: of each point that with the first pivot within the radius
+        for i, j in enumerate((100 * cp >= percent * (pn[:, None] + pn - cp)).argmax(1)):
+            joined = _roots(joined, [(i, j)])
+        first = linked.argmax(1)
+        some = linked.any(1)
+        sizes = np.array(pivots.column("sizes")[0].as_py(), np.int64).reshape(-1, 2)
+        sizes = sizes[np.argsort(sizes[:, 0])]
+        live = _partner(n, rows.column("near").to_numpy().astype(np.int64), sizes[:, 0], sizes[:, 1], percent) | some
+        r = 1 - percent / 100
+        home = np.where(far.min(1) < FAR, far.argmin(1), len(pp))
+        near = far[np.arange(len(n)), np.minimum(home, len(pp) - 1)]
+        reach = np.where(home < len(pp), near + 2 * r, FAR + r) + 1e-9
+        window = (far <= reach[:, None]) & (np.arange(len(pp)) < home[:, None])
+        window[np.arange(len(n))[home < len(pp)], home[home < len(pp)]] = True
+        places = [[*np.flatnonzero(w).tolist(), *([len(pp)] if k == len(pp) else [])] for w, k in zip(window, home.tolist())]
+        return pa.table({
+            "region": rows.column("region"), "point": pa.array(point), "n": rows.column("n"), "near": rows.column("near"),
+            "label": pa.array(np.where(some, pp[joined[first]], label)),
+            "to": pa.array(np.where(some & (pp[first] != point), pp[first], -1)),
+            "places": pa.array([p if x else [] for p, x in zip(places, live)], pa.list_(pa.int32())),
+        })
+
+    return run, "region long, point long, n int, near int, label long, to long, places array<int>"
+
+
+def _split(big: DataFrame, points: DataFrame, percent: int, level: int, leaf: int, weight: int, tables: scratch.Working):
+    """(links with pivots, child regions, blocks of those that no window splits) of regions (region, point, n, near, label, chunks)."""
+    draw = F.xxhash64(F.lit(level), "point")
+    orders = ([(-F.col("near") / F.col("n")), draw], [draw])
+    picks = None
+    for k, order in enumerate(orders):
+        best = Window.partitionBy("region").orderBy(*order, "point")
+        some = big.withColumn("pivot", F.row_number().over(best)).filter(F.col("pivot") <= CENTRES).withColumn("pivot", F.col("pivot") + k * CENTRES)
+        picks = some if picks is None else picks.union(some)
+    picks = picks.groupBy("region", "point").agg(F.min("pivot").alias("pivot"), *(F.first(c).alias(c) for c in ("n", "near", "label", "chunks")))
+    scale = F.floor(F.log("n") / F.log(F.lit(STEP)))
+    sizes = big.groupBy("region", scale.alias("size")).count().groupBy("region").agg(F.flatten(F.collect_list(F.array("size", "count"))).alias("sizes"))
+    columns = ["region", "chunk", "pivot", "point", "n", "near", "label", "sizes"]
+    told = picks.join(sizes, "region").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*columns)
+    dealt = big.withColumns({"chunk": F.pmod(F.xxhash64("point"), F.col("chunks")).cast("int"), "pivot": F.lit(-1), "sizes": F.lit(None).cast("array<bigint>")}).select(*columns)
+    run, schema = _measured(percent)
+    rows = told.union(dealt).join(points.select("point", "shingles"), "point")
+    seen = tables.written(rows.groupBy("region", "chunk").applyInArrow(run, schema), "measured")
+    links = seen.filter("to >= 0").select(F.col("point").alias("a"), F.col("to").alias("b"))
+    left = seen.filter(F.size("places") > 0)
+    total = left.groupBy("region").agg(F.count("*").alias("m"))
+    child = left.withColumn("place", F.explode("places"))
+    parts = child.groupBy("region", "place").agg(F.count("*").alias("k"))
+    halved = parts.groupBy("region").agg(F.sum(F.col("k") * F.col("k")).alias("work")).join(total, "region").select("region", (F.col("work") <= F.col("m") * F.col("m") / 2).alias("halved"))
+    narrow = ["region", "point", "n", "near", "label"]
+    children = child.join(halved.filter("halved"), "region").withColumn("region", F.xxhash64("region", "place")).select(*narrow)
+    # the rest: points of the largest known component, and all others
+    by_label = left.groupBy("region", "label").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    rest = by_label.join(halved.filter("not halved"), "region").groupBy("region").agg(F.max_by("label", "k").alias("main"), F.max("k").alias("in_main"), F.sum("k").alias("k"), F.max_by("w", "k").alias("w_main"), F.sum("w").alias("w"))
+    blocks = lambda k, w: F.greatest(F.ceil(k * 2 / leaf), F.ceil(w * 2 / weight), F.lit(1)).cast("int")
+    rest = rest.filter("in_main < k").select("region", "main", blocks(F.col("in_main"), F.col("w_main")).alias("g_main"), blocks(F.col("k") - F.col("in_main"), F.col("w") - F.col("w_main")).alias("g"))
+    pool = left.join(rest, "region")
+    inside = F.col("label") == F.col("main")
+    own = F.when(inside, F.pmod(F.xxhash64("point"), F.col("g_main"))).otherwise(F.pmod(F.xxhash64("point"), F.col("g"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("g") - 1)
+    meet = F.when(inside, F.transform(others, lambda j: F.struct(j.alias("a"), (-1 - F.col("own")).alias("b")))).otherwise(
+        F.concat(
+            F.transform(others, lambda j: F.struct(F.least(j, F.col("own")).alias("a"), F.greatest(j, F.col("own")).alias("b"))),
+            F.transform(F.sequence(F.lit(0), F.col("g_main") - 1), lambda j: F.struct(F.col("own").alias("a"), (-1 - j).alias("b"))),
+        )
+    )
+    met = pool.withColumn("own", own).withColumn("meet", F.explode(meet)).withColumn("region", F.xxhash64("region", "meet.a", "meet.b")).select(*narrow)
+    return links, children, met
+
+
+def link_components(points: DataFrame, percent: int = PERCENT, leaf: int = LEAF, weight: int = WEIGHT) -> DataFrame:
+    """(point, component) of all points (point, n, shingles: distinct sets in hash order)."""
+    run, schema = _leaf(percent)
+    tables = scratch.Working(points.sparkSession)
+    regions, links = _islands(points, percent, tables), []
+    for level in count():
+        regions = tables.written(regions, "regions")
+        size = regions.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        fits = (F.col("m") <= leaf) & (F.col("w") <= weight) | (F.col("m") <= 2)
+        sized = regions.join(size.select("region", "m", "w", fits.alias("fits")), "region")
+        leaves = sized.filter("fits").drop("m", "w", "fits")
+        big = size.filter(~fits).limit(1).count()
+        if big:
+            chunks = F.greatest(F.ceil(F.col("m") / leaf), F.ceil(F.col("w") / weight)).cast("int")
+            large = tables.written(sized.filter("not fits").withColumn("chunks", chunks).drop("m", "w", "fits"), "large")
+            found, regions, met = _split(large, points, percent, level, leaf, weight, tables)
+            links.append(found)
+            leaves = leaves.union(met)
+        ready = leaves.select("region", "point", "n", "label").join(points.select("point", "shingles"), "point")
+        links.append(tables.written(ready.groupBy("region").applyInArrow(run, schema), "links"))
+        if not big:
             break
-        labels = _merge(labels, found.filter(_linked(percent)))
-        flat = found.select(F.col("a").alias("point"), F.col("b").alias("pivot"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
-        known = known.union(flat)
-    # boundary: regions that still hold several components
-    rows = regions.join(labels, "point")
-    mixed = rows.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("cell")
-    rows = scratch.written(rows.join(mixed, "cell"), "boundary")
-    if rows.limit(1).count() == 0:
-        return labels
-    table = known.groupBy("point").agg(F.map_from_entries(F.collect_set(F.struct("pivot", "far"))).alias("far"))
-    seen = rows.select("point").distinct()
-    far = scratch.written(seen.join(table, "point", "left"), "far")
-    a = rows.select("cell", F.col("point").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    b = rows.select("cell", F.col("point").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = a.join(b, "cell").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_allow("na", "nb", percent)).select("a", "b").distinct()
-    fa, fb = far.select(F.col("point").alias("a"), F.col("far").alias("fa")), far.select(F.col("point").alias("b"), F.col("far").alias("fb"))
-    shared_pivots = F.array_intersect(F.map_keys("fa"), F.map_keys("fb"))
-    apart = F.exists(shared_pivots, lambda p: F.abs(F.element_at("fa", p) - F.element_at("fb", p)) > 1 - percent / 100 + 1e-9)
-    settled = F.coalesce(F.map_contains_key("fa", F.col("b")), F.lit(False)) | F.coalesce(F.map_contains_key("fb", F.col("a")), F.lit(False))
-    pairs = pairs.join(fa, "a").join(fb, "b").filter(~F.coalesce(apart, F.lit(False)) & ~settled).select("a", "b")
-    return _merge(labels, common_shingles(pairs, points).filter(_linked(percent)))
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    merged = components(every)
+    tables.clear()
+    return points.select("point").join(merged.select(F.col("node").alias("point"), "component"), "point", "left").select("point", F.coalesce("component", "point").alias("component"))
 
 
 def near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,16 +375,18 @@ def near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, k
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     hits = shared(docs, _screen_entries(width, percent))
     run, schema = _sets(width, percent)
-    sets = scratch.written(docs.join(hits, "doc_id", "left").mapInArrow(run, schema), "sets")
-    alive = sets.filter("shingles is not null and doc_id is not null")
-    # small numbers for points: the least id and some bits of the set's hash
-    mark = F.xxhash64("h1", "h2", "n")
-    classes = alive.groupBy(mark.alias("mark"), "n").agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("shingles"))
-    point = F.when(F.abs("rep") < 1 << 46, F.shiftleft("rep", 16).bitwiseOR(F.col("mark").bitwiseAND(F.lit(65535)))).otherwise(F.col("mark"))
-    classes = scratch.written(classes.withColumn("point", point), "points")
+    # rows without an id find nothing and stay where they are
+    named = docs.filter("doc_id is not null").join(hits, "doc_id", "left")
+    nameless = docs.filter("doc_id is null").withColumn("hits", F.lit(None).cast("binary"))
+    sets = scratch.written(named.unionByName(nameless).mapInArrow(run, schema), "sets")
+    same = ["h1", "h2", "n"]
+    alive = F.col("shingles").isNotNull() & F.col("doc_id").isNotNull()
+    classes = sets.filter(alive).groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("shingles"))
+    classes = scratch.written(classes.withColumn("point", F.monotonically_increasing_id()), "points")
     labels = link_components(classes.select("point", "n", "shingles"), percent)
-    of_class = classes.select("point", "mark", "rep").join(labels, "point")
+    of_class = classes.select("point", "rep", *same).join(labels, "point")
     least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_mark = of_class.join(least, "component").select("mark", "component_id")
-    rows = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("shingles").isNotNull() & F.col("doc_id").isNotNull(), mark).alias("mark"))
-    return rows.join(of_mark, "mark", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_set = of_class.join(least, "component").select(*same, "component_id")
+    linked = sets.filter(alive).drop("shingles").join(of_set, same)
+    alone = sets.filter(~alive).drop("shingles").withColumn("component_id", F.col("doc_id"))
+    return linked.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")

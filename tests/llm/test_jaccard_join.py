@@ -48,15 +48,61 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,rounds", [(1, 4), (2, 0)])
-def test_equals_brute_force(spark, monkeypatch, seed, rounds):
+@pytest.mark.parametrize("seed,leaf", [(1, 512), (2, 3)])
+def test_equals_brute_force(spark, monkeypatch, seed, leaf):
     rows = corpus(seed)
-    monkeypatch.setattr(jaccard_join.link_components, "__defaults__", (75, rounds))
+    monkeypatch.setattr(jaccard_join.link_components, "__defaults__", (75, leaf, 1 << 21))
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n int, point string").repartition(3)
     got = jaccard_join.near_duplicates(df).collect()
     assert sorted(repr(tuple(r)) for r in got) == brute(rows)
 
 
+def edited_copies(seed, n, size, edits, words=40):
+    """Copies of one text with some words replaced: components of many sizes, and points just beyond the radius."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(size)]
+    rows = []
+    for d in range(n):
+        w = list(base)
+        for _ in range(rng.choice(edits)):
+            w[rng.randrange(size)] = f"e{rng.randrange(words)}"
+        if rng.random() < 0.2:
+            del w[rng.randrange(size) :][: rng.choice([1, 5])]
+        rows.append((d, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("seed,edits,leaf", [(1, [0, 1, 2, 3, 5, 8], 12), (2, [3, 4, 5, 6], 8), (3, [1, 2], 5)])
+def test_large_group_of_edited_copies(spark, monkeypatch, seed, edits, leaf):
+    """Pivots, windows, recursion and blocks find what all pairs find."""
+    rows = edited_copies(seed, 220, 90, edits)
+    monkeypatch.setattr(jaccard_join.link_components, "__defaults__", (75, leaf, 1 << 21))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute(rows)
+
+
+def test_regions_are_split_by_windows(spark):
+    """Several far groups on one island: children of regions are smaller, and nothing is lost."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(30)]
+    rows = []
+    for g in range(8):
+        base = [f"g{g}w{i}" for i in range(40)]
+        for k in range(25):
+            w = base + common
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(9)}"
+            rows.append((g * 100 + k, " ".join(w)))
+    sets = {d: frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for d, t in rows}
+    number = {x: i * 0x9E3779B97F4A7C15 % 2**64 for i, x in enumerate(sorted(set().union(*sets.values())))}
+    points = [(d, len(s), b"".join(x.to_bytes(8, "little") for x in sorted(number[x] for x in s))) for d, s in sets.items()]
+    got = dict(map(tuple, jaccard_join.link_components(spark.createDataFrame(points, "point long, n int, shingles binary"), leaf=20).collect()))
+    low = {}
+    for d, c in got.items():
+        low[c] = min(d, low.get(c, d))
+    assert sorted(repr((d, len(sets[d]), low[c])) for d, c in got.items()) == brute(rows)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(10, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (50, 129)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
