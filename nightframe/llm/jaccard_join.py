@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import scratch
 from .components import components
-from .sharing import KEPT, hit_lists, shared
+from .sharing import KEPT, shared
 from .textbytes import LOWER, SpanHash, mix, runs, slices, text_bytes, windows, word_spans
 
 WIDTH = 5
@@ -63,6 +63,8 @@ LEAF, WEIGHT = 512, 1 << 21
 CENTRES = 4
 #: Distance beyond which a pivot is no point's home.
 FAR = 0.5
+#: Ids (8 bytes each) that may be broadcast.
+BROADCAST_IDS = 1 << 22
 #: Steps of the scale on which sizes of sets are counted.
 STEP = 1.01
 
@@ -109,21 +111,25 @@ def _screen_entries(width: int, percent: int):
             shown, _ = _screen(n, percent)
             keep = runs(n) < np.repeat(shown, n)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield ids[row[keep]], h[keep]
+            some = n > 0
+            yield ids[row[keep]], h[keep], ids[some], _screen(n, percent)[1][some]
 
     return entries
 
 
+def _alive(docs, edge, _, need):
+    """Documents that share as many of the fingerprints they show as a link takes."""
+    return {"doc_id": pa.array(docs[np.diff(edge) >= need], pa.int64())}
+
+
 def _sets(width: int, percent: int):
-    """docs with hits -> (doc_id, n, two set hashes, shingles of those that may have a link)."""
+    """docs with alive -> (doc_id, n, two set hashes, shingles of those that may have a link)."""
     names = ["doc_id", "n", "h1", "h2", "shingles"]
 
     def run(batches):
         for batch, data, offsets in slices(batches, "text"):
-            row, h, n = shingle_sets(data, offsets, width)
-            _, need = _screen(n, percent)
-            hit_row, _ = hit_lists(batch.column("hits"))
-            alive = (np.bincount(hit_row, minlength=len(n)) >= need) & (n > 0)
+            _, h, n = shingle_sets(data, offsets, width)
+            alive = batch.column("alive").fill_null(False).to_numpy(zero_copy_only=False) & (n > 0)
             stop = np.append(0, np.cumsum(n))
             sums = [np.append(np.uint64(0), np.cumsum(x, dtype=np.uint64)) for x in (h, mix(h + np.uint64(0x51ED)))]
             raw, at = h.tobytes(), stop.tolist()
@@ -136,45 +142,36 @@ def _sets(width: int, percent: int):
 
 
 def _point_entries(batches):
-    """All shingles of points."""
+    """All shingles of points, and how many each has."""
     for batch in batches:
         if batch.num_rows:
             data, offsets = text_bytes(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield np.repeat(ids, np.diff(offsets) // 8), np.frombuffer(data.tobytes(), np.uint64)
+            n = np.diff(offsets) // 8
+            yield np.repeat(ids, n), np.frombuffer(data.tobytes(), np.uint64), ids, n
 
 
 def _cells(percent: int):
-    """Points with hits -> (cell, point, n, near): the rare shared shingles that name a point's cells, and how many of its shingles others have."""
+    """Shared shingles of points -> (cell, point, n, near): the rare ones name a point's cells; how many others have of them."""
 
-    def run(batches):
-        for batch in batches:
-            cells, point, size, near = [], [], [], []
-            for p, raw, hits in zip(batch.column("point").to_pylist(), batch.column("shingles").to_pylist(), batch.column("hits").to_pylist()):
-                h, told = np.frombuffer(raw, np.uint64), np.sort(np.frombuffer(hits, np.uint64))
-                n, least = len(h), int(overlap(len(h), percent))
-                at = np.minimum(np.searchsorted(told, h & KEPT), len(told) - 1)
-                is_shared = told[at] & KEPT == h & KEPT
-                if is_shared.sum() < least:
-                    continue
-                # rare shingles first: those of this point alone, then by class; all points agree on the order
-                order = np.lexsort((h, np.where(is_shared, told[at] & np.uint64(0xFF00), np.uint64(0))))[: n - least + 1]
-                order = order[is_shared[order]]
-                cells.append(h[order])
-                point.append(np.full(len(order), p))
-                size.append(np.full(len(order), n, np.int32))
-                near.append(np.full(len(order), is_shared.sum(), np.int32))
-            if cells:
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(np.concatenate(cells).view(np.int64)), "point": pa.array(np.concatenate(point)), "n": pa.array(np.concatenate(size)), "near": pa.array(np.concatenate(near))})
-
-    return run, "cell long, point long, n int, near int"
+    def finish(points, edge, h, n):
+        near = np.diff(edge)
+        row = np.repeat(np.arange(len(points)), near)
+        # of n - least + 1 shingles, rare ones first, the point's own come first; all points agree on the order of the rest
+        take = near - overlap(n, percent) + 1
+        order = np.lexsort((h, h & np.uint64(0xFF00), row))
+        h, row = h[order], row[order]
+        keep = runs(near) < take[row]
+        row = row[keep]
+        return {"cell": pa.array((h[keep] & KEPT).view(np.int64)), "point": pa.array(points[row]), "n": pa.array(n[row], pa.int32()), "near": pa.array(near[row], pa.int32())}
+
+    return finish, "cell long, point long, n int, near int"
 
 
 def _islands(points: DataFrame, percent: int, tables: scratch.Working) -> DataFrame:
     """(region, point, n, near, label): the island of each point that may have a link."""
-    run, schema = _cells(percent)
-    hits = shared(points, _point_entries, "point", "shingles").withColumnRenamed("doc_id", "point")
-    cells = tables.written(points.join(hits, "point").select("point", "shingles", "hits").mapInArrow(run, schema), "cells")
+    finish, schema = _cells(percent)
+    cells = tables.written(shared(points, _point_entries, "point", "shingles", finish, schema), "cells")
     first = cells.groupBy("cell").agg(F.min("point").alias("a"), F.max("point").alias("z")).filter("a < z").drop("z")
     edges = cells.join(first, "cell").select("a", F.col("point").alias("b")).distinct()
     islands = components(edges).select(F.col("node").alias("point"), F.col("component").alias("region"))
@@ -373,11 +370,13 @@ def link_components(points: DataFrame, percent: int = PERCENT, leaf: int = LEAF,
 def near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    hits = shared(docs, _screen_entries(width, percent))
+    ids = scratch.written(shared(docs, _screen_entries(width, percent), finish=_alive, schema="doc_id long"), "alive").withColumn("alive", F.lit(True))
     run, schema = _sets(width, percent)
-    # rows without an id find nothing and stay where they are
-    named = docs.filter("doc_id is not null").join(hits, "doc_id", "left")
-    nameless = docs.filter("doc_id is null").withColumn("hits", F.lit(None).cast("binary"))
+    # few ids go to the texts; otherwise the texts, but those without an id, go to the ids
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    named = docs.filter("doc_id is not null").join(ids, "doc_id", "left")
+    nameless = docs.filter("doc_id is null").withColumn("alive", F.lit(False))
     sets = scratch.written(named.unionByName(nameless).mapInArrow(run, schema), "sets")
     same = ["h1", "h2", "n"]
     alive = F.col("shingles").isNotNull() & F.col("doc_id").isNotNull()

@@ -20,8 +20,10 @@ from .textbytes import mix, text_bytes
 CHUNK = 1 << 20
 #: The part of a fingerprint that is compared: a chance meeting only lets a document through to exact steps.
 KEPT = np.uint64(0xFFFFFFFFFFFF0000)
-#: Class of fingerprints that several documents of one chunk have; below it, the number of documents.
+#: Class of fingerprints that several documents of one chunk have; below ``NUMBER``, the count of documents.
 HOT = np.uint64(255)
+#: Class of entries that carry a document's own number instead of a fingerprint.
+NUMBER = np.uint64(254)
 #: Stands for several documents of one chunk.
 SEVERAL = np.int64(-(2**63))
 
@@ -50,15 +52,6 @@ def unsqueeze(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return full.view("<u8").ravel(), docs
 
 
-def _by_document(docs: np.ndarray, hashes: np.ndarray):
-    """(documents, their hashes as bytes) of parallel arrays."""
-    order = np.argsort(docs, kind="stable")
-    docs, hashes = docs[order], hashes[order]
-    cut = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
-    raw, edge = hashes.tobytes(), np.append(cut, len(docs)).tolist()
-    return docs[cut], [raw[8 * a : 8 * b] for a, b in zip(edge, edge[1:])]
-
-
 def _groups(hashes: np.ndarray, docs: np.ndarray):
     """Entries sorted by hash: (hashes, docs, group of each entry, whether the group has several documents)."""
     order = np.lexsort((docs, hashes))
@@ -70,40 +63,51 @@ def _groups(hashes: np.ndarray, docs: np.ndarray):
     return hashes, docs, group, first, (docs[first] != docs[last]) | (docs[first] == SEVERAL)
 
 
-def shared(df: DataFrame, entries, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
-    """(doc_id, hits binary): the hashes (8 bytes each, cut to ``KEPT``) that each document shares with another.
+def _hits(docs: np.ndarray, edge: list, hashes: np.ndarray, _):
+    """The default result: all hashes of a document as bytes."""
+    raw = hashes.tobytes()
+    return {"doc_id": pa.array(docs, pa.int64()), "hits": pa.array([raw[8 * a : 8 * b] for a, b in zip(edge, edge[1:])], pa.binary())}
+
+
+def shared(df: DataFrame, entries, key: str = "doc_id", text: str = "text", finish=_hits, schema: str = "doc_id long, hits binary") -> DataFrame:
+    """What ``finish`` makes of the hashes (cut to ``KEPT``) that each document shares with another.
 
     The second lowest byte of a hash is its class: ``HOT``, or else its number of documents. All documents that have a
     hash are told the same class.
 
-    ``entries(batches)`` yields (document ids, hashes) arrays, one entry for each distinct hash of a document;
-    documents without an id take no part. Documents without hits have no row.
+    ``entries(batches)`` yields arrays (document ids, hashes), one entry for each distinct hash of a document, and after
+    them, if wanted, (document ids, a number below 2^48 of each). Documents without an id take no part.
+    ``finish(documents, edges, hashes, numbers)`` gets a group of documents with ``hashes[edges[i]:edges[i + 1]]`` those
+    of the i-th in no order, and the least number given for it (-1 without any).
     """
-    n = ranges or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(1, (n - 1).bit_length())
-    n = 1 << bits
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = 2 * partitions
 
     def pack(batches):
-        def flush(docs, hashes):
+        def flush(docs, hashes, whole, numbers):
             h, d, group, first, several = _groups(np.concatenate(hashes) & KEPT, np.concatenate(docs))
             told = several[group] & (d != SEVERAL)
             spread = n + (TaskContext.get().partitionId() * 31 + flushed) % n
-            rows = [(spread, squeeze(h[told] | HOT << np.uint64(8), d[told]))] if told.any() else []
+            through = (np.concatenate([h[told] | HOT << np.uint64(8), *numbers]), np.concatenate([d[told], *whole]))
+            rows = [(spread, squeeze(*through))] if len(through[0]) else []
             h, d = h[first], np.where(several, SEVERAL, d[first])
-            cut = np.searchsorted(h >> np.uint64(64 - bits), np.arange(n + 1, dtype=np.uint64)).tolist()
+            cut = np.searchsorted((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64)).tolist()
             rows += [(k, squeeze(h[a:b], d[a:b])) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], ["part", "entries"])
 
-        docs, hashes, size, flushed = [], [], 0, 0
-        for d, h in entries(batches):
-            docs.append(d)
-            hashes.append(h)
+        parts, size, flushed = ([], [], [], []), 0, 0
+        for d, h, *own in entries(batches):
+            parts[0].append(d)
+            parts[1].append(h)
+            if own:
+                parts[2].append(own[0])
+                parts[3].append(own[1].astype(np.uint64) << np.uint64(16) | NUMBER << np.uint64(8))
             size += len(h)
             if size >= CHUNK:
-                yield flush(docs, hashes)
-                docs, hashes, size, flushed = [], [], 0, flushed + 1
+                yield flush(*parts)
+                parts, size, flushed = ([], [], [], []), 0, flushed + 1
         if size:
-            yield flush(docs, hashes)
+            yield flush(*parts)
 
     def meet(table):
         part = table.column("part")[0].as_py()
@@ -111,11 +115,11 @@ def shared(df: DataFrame, entries, key: str = "doc_id", text: str = "text", rang
         if part < n:
             h, d, group, first, several = _groups(h, d)
             count = np.diff(np.append(first, len(h)))
-            order = np.where(d[first] == SEVERAL, HOT, np.minimum(count, int(HOT) - 1).astype(np.uint64)).astype(np.uint64)
+            order = np.where(d[first] == SEVERAL, HOT, np.minimum(count, int(NUMBER) - 1).astype(np.uint64)).astype(np.uint64)
             told = several[group] & (d != SEVERAL)
             h, d = h[told] | order[group[told]] << np.uint64(8), d[told]
         # on to the documents' own groups, again as one row for each
-        to = (mix(d.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+        to = (mix(d.view(np.uint64)) % np.uint64(partitions)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         to, h, d = to[order], h[order], d[order]
         cut = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
@@ -124,12 +128,22 @@ def shared(df: DataFrame, entries, key: str = "doc_id", text: str = "text", rang
 
     def gather(table):
         h, d = (np.concatenate(x) for x in zip(*map(unsqueeze, table.column("entries").to_pylist())))
-        who, raw = _by_document(d, h)
-        return pa.table({"doc_id": pa.array(who, pa.int64()), "hits": pa.array(raw, pa.binary())})
+        is_number = h >> np.uint64(8) & np.uint64(255) == NUMBER
+        whole, number = d[is_number], (h[is_number] >> np.uint64(16)).astype(np.int64)
+        h, d = h[~is_number], d[~is_number]
+        order = np.argsort(d, kind="stable")
+        h, d = h[order], d[order]
+        first = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
+        docs = d[first]
+        order = np.lexsort((number, whole))
+        whole, number = whole[order], number[order]
+        at = np.searchsorted(whole, docs)
+        own = np.where(np.append(whole, 0)[at] == docs, np.append(number, -1)[at], -1) if len(whole) else np.full(len(docs), -1)
+        return pa.table(finish(docs, np.append(first, len(d)).tolist(), h, own))
 
     packed = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack, "part int, entries binary")
     met = packed.groupBy("part").applyInArrow(meet, "part int, entries binary")
-    return met.groupBy("part").applyInArrow(gather, "doc_id long, hits binary")
+    return met.groupBy("part").applyInArrow(gather, schema)
 
 
 def hit_lists(column) -> tuple[np.ndarray, np.ndarray]:

@@ -52,6 +52,7 @@ def corpus(seed):
 def test_equals_brute_force(spark, monkeypatch, seed, leaf):
     rows = corpus(seed)
     monkeypatch.setattr(jaccard_join.link_components, "__defaults__", (75, leaf, 1 << 21))
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 1 << 22 if seed == 1 else 0)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n int, point string").repartition(3)
     got = jaccard_join.near_duplicates(df).collect()
     assert sorted(repr(tuple(r)) for r in got) == brute(rows)
