@@ -1,20 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval (operator 6).
 
 1. Passages are runs of ``SIZE`` words of each whole text (the last one may be
-   shorter); their TF-IDF vectors have ``DIMENSIONS`` hashed word features,
-   document frequencies are counted over all passages.
+   shorter); their TF-IDF vectors have a feature for each of at most 2^16 word
+   hashes. Features that no item has add nothing to a product with an item and
+   are left out. Document frequencies are counted over all passages.
 2. A randomised SVD in one pass over all passages: with a Gaussian test matrix W,
    tasks add up A'(AW) in fixed-size partial sums; its orthonormal basis spans
    the leading right singular vectors (one power iteration), singular values
-   follow from W'(A'A)W by the Nystroem form. A sum has DIMENSIONS x RANK numbers,
-   whatever the input.
-3. Search: each passage with its next one (their latent vectors add up) meets the
-   items in the latent space. Candidates have a cosine of at least ``COSINE`` and
-   so many of the item's content words (those of few items) that the checks could
-   hold. Items come in blocks of ``BLOCK``; those of a large benchmark are files
-   that each batch of documents meets in turn, so that it costs time, not memory.
-   Rows and results are the same for any blocks.
-4. Checks: the longest common subsequence of words between an item and the
+   follow from W'(A'A)W by the Nystroem form. A sum has at most 2^16 x RANK
+   numbers, whatever the input.
+3. Search: each passage with its next one (their latent vectors add up) meets
+   every item in the latent space; candidates have a cosine of at least
+   ``COSINE``. Items come in blocks of ``BLOCK``; those of a large benchmark are
+   files that each batch of documents meets in turn, so that it costs time, not
+   memory. Rows and results are the same for any blocks.
+4. Bound: a candidate that holds fewer of the item's features than a match in two
+   neighbours must have is dropped (no match is).
+5. Checks: the longest common subsequence of words between an item and the
    passages with their surroundings must cover ``COVER`` of the item; and the
    item's answer, its last ``ANSWER`` words, must be there but for one of them, or
    the cover be nearly full.
@@ -39,12 +41,11 @@ from . import scratch
 from .textbytes import LOWER, WORD_BREAKS, SpanHash, runs, slices, text_bytes, word_spans
 
 SIZE = 24
-DIMENSIONS, RANK, SEED = 512, 48, 7
-COSINE = 0.2
+#: Bits of the hashed features, and dimensions of the latent space.
+BITS, RANK, SEED = 16, 64, 7
+COSINE = 0.4
 COVER, NEARLY, ANSWER = 0.7, 0.9, 4
-BLOCK = 4096
-#: Share of the items above which a word is no content word.
-COMMON = 0.01
+BLOCK = 1024
 BREAKS = WORD_BREAKS.copy()
 BREAKS[[ord(c) for c in ".,;:!?\"'()[]"]] = True
 
@@ -64,84 +65,105 @@ def passages(first: np.ndarray):
     return row, begin, np.minimum(begin + SIZE, first[row + 1])
 
 
-def counts(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Word counts of passages in hashed features (dense float32)."""
-    size = end - begin
-    which = np.repeat(np.arange(len(begin)), size)
-    feature = (h[np.repeat(begin, size) + runs(size)] >> np.uint64(40)).astype(np.int64) % DIMENSIONS
-    return np.bincount(which * DIMENSIONS + feature, minlength=len(begin) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.float32)
+def features_of(h: np.ndarray, begin: np.ndarray, numbers: np.ndarray):
+    """(feature, passage) of the words that have a feature, by passage."""
+    f = numbers[(h >> np.uint64(64 - BITS)).astype(np.int64)]
+    at = np.flatnonzero(f >= 0)
+    return f[at], np.searchsorted(begin, at, "right") - 1
 
 
-def _vectors(batches, text: str, idf: np.ndarray | None):
-    """Dense rows of bounded numbers of passages: counts, or weighted by ``idf``."""
-    for _, data, offsets in slices(batches, text):
-        h, first = words_of(data, offsets)
-        _, begin, end = passages(first)
-        for a in range(0, len(begin), 2048):
-            part = slice(a, a + 2048)
-            tf = counts(h, begin[part], end[part])
-            yield tf if idf is None else tf * idf
+def _by_passage(values: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` for each of ``n`` passages (which come in order)."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    if len(passage):
+        cut = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+        out[passage[cut]] = np.add.reduceat(values, cut, axis=0)
+    return out
 
 
 def _summed(df: DataFrame, run, width: int) -> np.ndarray:
-    """Column sums of fixed-size partial sums: tasks give 64 slices each, slices meet by number, the total is one matrix."""
+    """Column sums of fixed-size partial sums: tasks give 64 slices each, slices meet by number and are added one by one."""
     parts = 64
 
     def tasks(batches):
         total = run(batches)
-        if total is None:
-            return
-        flat = np.ascontiguousarray(total, np.float64).ravel()
-        for k, x in enumerate(np.array_split(flat, parts)):
+        for k, x in enumerate(np.array_split(total.astype(np.float64).ravel(), parts)):
             yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "sums": pa.array([x.tobytes()], pa.binary())})
 
-    def add(table):
-        total = None
-        for raw in table.column("sums").to_pylist():
-            x = np.frombuffer(raw)
-            total = x.copy() if total is None else total + x
-        return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("part").to_pylist(), batch.column("sums")):
+                x = np.frombuffer(raw.as_buffer())
+                total[k] = total[k] + x if k in total else x.copy()
+        for k, x in total.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "sums": pa.array([x.tobytes()], pa.binary())})
 
-    got = {r["part"]: r["sums"] for r in df.mapInArrow(tasks, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()}
+    schema = "part int, sums binary"
+    got = {r["part"]: r["sums"] for r in df.mapInArrow(tasks, schema).repartition(parts, "part").mapInArrow(add, schema).collect()}
     return np.concatenate([np.frombuffer(got[k]) for k in range(parts)]) if got else np.zeros(width)
 
 
 @dataclass
 class Latent:
-    """Inverse document frequencies, an orthonormal basis, and singular values."""
+    """Numbers of the features (-1: none), inverse document frequencies, an orthonormal basis, and singular values."""
 
+    numbers: np.ndarray
     idf: np.ndarray
     basis: np.ndarray
     singular: np.ndarray
 
 
-def fit(docs: DataFrame, text: str = "text") -> Latent:
+def _numbers(items) -> np.ndarray:
+    """The features that the items' words have, numbered; seen item by item."""
+    seen = np.zeros(1 << BITS, bool)
+    while part := list(islice(items, BLOCK)):
+        h, _ = words_of(*text_bytes(pa.array([r["text"] for r in part], pa.string())))
+        seen[(h >> np.uint64(64 - BITS)).astype(np.int64)] = True
+    return np.where(seen, np.cumsum(seen) - 1, -1).astype(np.int32)
+
+
+def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> Latent:
     """Two passes over all passages: document frequencies, then the randomised SVD."""
     only = docs.select(F.col(text).alias("text"))
+    numbers = _numbers(_items(benchmark, item_key, item_text).toLocalIterator())
+    width = int(numbers.max()) + 1
 
     def frequencies(batches):
-        total = np.zeros(DIMENSIONS + 1)
-        for tf in _vectors(batches, "text", None):
-            total[:-1] += (tf > 0).sum(0)
-            total[-1] += len(tf)
+        total = np.zeros(width + 1)
+        for _, data, offsets in slices(batches, "text"):
+            h, first = words_of(data, offsets)
+            _, begin, _ = passages(first)
+            f, p = features_of(h, begin, numbers)
+            total[:-1] += np.bincount(np.unique(p * width + f) % max(width, 1), minlength=width)
+            total[-1] += len(begin)
         return total
 
-    df = _summed(only, frequencies, DIMENSIONS + 1)
+    df = _summed(only, frequencies, width + 1)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + np.float32(0.01)
-    test = np.random.default_rng(SEED).standard_normal((DIMENSIONS, RANK)).astype(np.float32)
+    rank = min(RANK, width)
+    test = np.random.default_rng(SEED).standard_normal((width, rank)).astype(np.float32)
 
     def range_finder(batches):
-        total = np.zeros((DIMENSIONS, RANK))
-        for a in _vectors(batches, "text", idf):
-            total += a.T @ (a @ test)
-        return total
-
-    g = _summed(only, range_finder, DIMENSIONS * RANK).reshape(DIMENSIONS, RANK)
+        total = np.zeros((width, rank), np.float32)
+        weighted = test * idf[:, None]
+        for _, data, offsets in slices(batches, "text"):
+            h, first = words_of(data, offsets)
+            _, begin, _ = passages(first)
+            f, p = features_of(h, begin, numbers)
+            if len(f):
+                rows = _by_passage(weighted[f], p, len(begin))
+                order = np.argsort(f, kind="stable")
+                cut = np.flatnonzero(np.append(True, np.diff(f[order]) > 0))
+                total[f[order][cut]] += np.add.reduceat(rows[p[order]], cut, axis=0)
+        return total * idf[:, None]
+
+    g = _summed(only, range_finder, width * rank).reshape(width, rank)
     basis, _ = np.linalg.qr(g)
     small = basis.T @ g @ np.linalg.pinv(basis.T @ test)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values)
-    return Latent(idf, (basis @ turn[:, order]).astype(np.float32), np.sqrt(np.maximum(values[order], 0)))
+    return Latent(numbers, idf, (basis @ turn[:, order]).astype(np.float32), np.sqrt(np.maximum(values[order], 0)))
 
 
 def lcs(a: list, b: list) -> int:
@@ -167,11 +189,15 @@ def holds(item: list, region: list) -> tuple[bool, float]:
     return cover >= NEARLY or lcs(answer, region) >= max(1, len(answer) - 1), cover
 
 
+def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    return benchmark.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, model: Latent | None = None, keep: list[str] | None = None, text: str = "text", item_key: str = "item_id", item_text: str = "text", names: tuple[str, str] = ("items", "cover")) -> DataFrame:
     """(kept columns, items array<long>, cover double): the benchmark items that each document holds; all rows."""
     keep = keep or ["doc_id"]
-    model = model or fit(docs, text)
-    items = benchmark.filter(F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text"))
+    model = model or fit(docs, benchmark, text, item_key, item_text)
+    items = _items(benchmark, item_key, item_text)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     many = items.count() > BLOCK
     folder = scratch.new_folder(docs.sparkSession, "items") if many else None
@@ -192,98 +218,61 @@ def _loaded(x: dict | str) -> dict:
 
 
 def _blocks(rows, model: Latent, folder: str | None) -> list:
-    """Blocks of at most BLOCK items, indexed by content words; with a folder as files of it.
-
-    The driver holds one block, and the numbers of items of each word of the whole benchmark.
-    """
-    raw, words, uses, total, rows = [], np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, iter(rows)
+    """Blocks of at most BLOCK items with their latent vectors; with a folder as files of it. The driver holds one block."""
+    out, rows = [], iter(rows)
     while part := list(islice(rows, BLOCK)):
-        data, offsets = text_bytes(pa.array([r["text"] for r in part], pa.string()))
-        flat, first = words_of(data, offsets)
-        size = np.diff(first).astype(np.int64)
-        x = {"ids": np.array([r["id"] for r in part], np.int64)[size > 0], "flat": flat, "size": size[size > 0]}
-        if not len(flat):
+        h, first = words_of(*text_bytes(pa.array([r["text"] for r in part], pa.string())))
+        some = np.flatnonzero(np.diff(first) > 0)
+        if not len(some):
             continue
-        total += len(x["ids"])
-        own, many = np.unique(_pairs(x)[0], return_counts=True)
-        words, at = np.unique(np.concatenate([words, own]), return_inverse=True)
-        uses = np.bincount(at, np.concatenate([uses, many]), len(words)).astype(np.int64)
-        raw.append(_stored(x, f"{folder}/words-{len(raw)}") if folder else x)
-    out = []
-    for k, x in enumerate(raw):
-        x = _indexed(_loaded(x), model, words[uses <= max(2, COMMON * total)])
-        out.append(_stored(x, f"{folder}/block-{k}") if folder else x)
+        size, begin = np.diff(first)[some], first[:-1][some]
+        f, item = features_of(h, begin, model.numbers)
+        vectors = _by_passage((model.basis * model.idf[:, None])[f], item, len(some))
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        pairs = np.unique(item * len(model.idf) + f)
+        own, of = pairs % len(model.idf), pairs // len(model.idf)
+        distinct = np.bincount(of, minlength=len(some))
+        # at most (1 - COVER) of an item's words may be missing; two neighbours hold half of the rest at least
+        need = np.maximum(1, np.floor((distinct - (1 - COVER) * size) / 2)).astype(np.int16)
+        x = {"ids": np.array([part[k]["id"] for k in some], np.int64), "flat": h, "begin": begin, "size": size, "vectors": vectors, "own": own, "of": of, "need": need}
+        out.append(_stored(x, f"{folder}/block-{len(out)}") if folder else x)
     return out
 
 
-def _pairs(x: dict) -> tuple[np.ndarray, np.ndarray]:
-    """The words of each item once, with the item's number; by word."""
-    item = np.repeat(np.arange(len(x["size"])), x["size"])
-    pairs = np.unique(np.stack([x["flat"], item.astype(np.uint64)], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1].astype(np.int64)
-
-
-def _indexed(x: dict, model: Latent, few: np.ndarray) -> dict:
-    """A block with its latent vectors and its content words, which are those of ``few``."""
-    size = x["size"]
-    stop = np.cumsum(size)
-    queries = (counts(x["flat"], stop - size, stop) * model.idf) @ model.basis
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-    # content words with the items that have them; an item without any keeps all its words
-    word, of = _pairs(x)
-    rare = np.isin(word, few)
-    rare |= (np.bincount(of[rare], minlength=len(size)) == 0)[of]
-    word, of = word[rare], of[rare]
-    vocabulary, at_word, n_items = np.unique(word, return_index=True, return_counts=True)
-    content = np.bincount(of, minlength=len(size))
-    # of an item's content words at most (1 - COVER) of its words may be missing, the rest lie in two neighbours
-    need = np.maximum(1, np.minimum(np.ceil((content - (1 - COVER) * size) / 2), 3)).astype(np.int64)
-    return {**x, "begin": stop - size, "queries": queries, "vocabulary": vocabulary, "at_word": at_word, "n_items": n_items, "of": of, "need": need}
-
-
 def _search(docs: DataFrame, blocks: list, model: Latent, keep: list[str], text: str, schema: str, columns: tuple[str, str]) -> DataFrame:
     def run(batches):
+        weighted = model.basis * model.idf[:, None]
         for batch, data, offsets in slices(batches, text):
             h, first = words_of(data, offsets)
-            row, begin, end = passages(first)
-            latent, held = None, [([], []) for _ in range(batch.num_rows)]
-            for block in blocks if len(h) else ():
+            row, begin, _ = passages(first)
+            held = [([], []) for _ in range(batch.num_rows)]
+            f, p = features_of(h, begin, model.numbers) if len(h) and blocks else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            if len(f):
+                latent = _by_passage(weighted[f], p, len(begin))
+                both = np.flatnonzero(row[1:] == row[:-1])
+                latent[both] += latent[both + 1]
+                latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+                edge = np.searchsorted(p, np.arange(len(begin) + 1))
+                joined = np.zeros(len(begin), bool)
+                joined[both] = True
+            for block in blocks if len(f) else ():
                 x = _loaded(block)
-                ids, vocabulary = x["ids"], x["vocabulary"]
-                found = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-                at = np.flatnonzero(vocabulary[found] == h)
-                found = found[at]
-                passage = np.searchsorted(begin, at, "right") - 1
-                reps = x["n_items"][found]
-                which = np.repeat(passage, reps)
-                items_of = x["of"][np.repeat(x["at_word"][found], reps) + runs(reps)]
-                # a hit counts for its passage and for the pair that begins one passage before
-                before = (which > 0) & (row[which] == row[which - 1])
-                key = np.concatenate([which, which[before] - 1]) * len(ids) + np.concatenate([items_of, items_of[before]])
-                key, many = np.unique(key, return_counts=True)
-                k, j = key // len(ids), key % len(ids)
-                enough = many >= x["need"][j]
-                k, j = k[enough], j[enough]
-                if not len(k):
+                n = len(x["ids"])
+                near = latent @ x["vectors"].T >= COSINE
+                at = np.flatnonzero(near.any(1))
+                if not len(at):
                     continue
-                if latent is None:
-                    latent = np.concatenate([(counts(h, begin[a : a + 2048], end[a : a + 2048]) * model.idf) @ model.basis for a in range(0, len(begin), 2048)])
-                    both = np.append(row[1:] == row[:-1], False)
-                    latent[both] += latent[np.flatnonzero(both) + 1]
-                    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-                near = (latent[k] * x["queries"][j]).sum(1) >= COSINE
-                hits: set[tuple[int, int]] = set()
-                for p, q in zip(k[near].tolist(), j[near].tolist()):
-                    r = int(row[p])
-                    if (r, q) in hits:
-                        continue
-                    size_q = int(x["size"][q])
-                    lo, hi = max(int(first[r]), int(begin[p]) - size_q), min(int(first[r + 1]), int(begin[p]) + 2 * SIZE + size_q)
-                    sure, cover = holds(x["flat"][x["begin"][q] : x["begin"][q] + size_q].tolist(), h[lo:hi].tolist())
-                    if sure:
-                        hits.add((r, q))
-                        held[r][0].append(int(ids[q]))
-                        held[r][1].append(cover)
+                # the bound, for passages with a candidate: distinct features of the pair that each item has
+                has = np.zeros((len(model.idf), n), np.uint8)
+                has[x["own"], x["of"]] = 1
+                for a in range(0, len(at), 1024):
+                    some = at[a : a + 1024]
+                    stop = np.where(joined[some], edge[np.minimum(some + 2, len(begin))], edge[some + 1])
+                    long = stop - edge[some]
+                    which = np.repeat(np.arange(len(some)), long)
+                    pairs = np.unique(which * len(model.idf) + f[np.repeat(edge[some], long) + runs(long)])
+                    common = _by_passage(has[pairs % len(model.idf)], pairs // len(model.idf), len(some))
+                    _check(x, h, first, row, begin, held, *(v.tolist() for v in _found(some, near[some] & (common >= x["need"]))))
             found = [sorted(i) for i, _ in held]
             cover = [max(c, default=0.0) for _, c in held]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.list_(pa.int64())), pa.array(cover, pa.float64())], [*keep, *columns])
@@ -292,6 +281,25 @@ def _search(docs: DataFrame, blocks: list, model: Latent, keep: list[str], text:
     return docs.select(*wanted).mapInArrow(run, f"{schema}, {columns[0]} array<long>, {columns[1]} double")
 
 
+def _found(some: np.ndarray, mask: np.ndarray):
+    k, j = np.nonzero(mask)
+    return some[k], j
+
+
+def _check(x: dict, h, first, row, begin, held: list, at: list, items: list) -> None:
+    """Adds the items that hold around candidate passages."""
+    for p, q in zip(at, items):
+        r, item = int(row[p]), int(x["ids"][q])
+        if item in held[r][0]:
+            continue
+        size, start = int(x["size"][q]), int(x["begin"][q])
+        lo, hi = max(int(first[r]), int(begin[p]) - size), min(int(first[r + 1]), int(begin[p]) + 2 * SIZE + size)
+        sure, cover = holds(x["flat"][start : start + size].tolist(), h[lo:hi].tolist())
+        if sure:
+            held[r][0].append(item)
+            held[r][1].append(cover)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
     found = matches(docs, benchmark, keep=docs.columns, text=text, names=("__items", "__cover"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from nightframe.llm import decontaminate as dc
 
@@ -77,21 +78,50 @@ def test_blocks_of_items_keep_all_rows(spark, monkeypatch):
 
 
 def test_svd_finds_the_leading_space(spark):
-    docs, _, _ = corpus()
+    docs, items, _ = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    model = dc.fit(df)
+    model = dc.fit(df, spark.createDataFrame(items, "item_id long, text string"))
     rows = []
     for _, text in docs:
-        import pyarrow as pa
-
         h, first = dc.words_of(*dc.text_bytes(pa.array([text])))
-        row, a, b = dc.passages(first)
-        rows.append(dc.counts(h, a, b) * model.idf)
-    full = np.linalg.svd(np.concatenate(rows), compute_uv=False)
+        _, begin, _ = dc.passages(first)
+        f, p = dc.features_of(h, begin, model.numbers)
+        a = np.zeros((len(begin), len(model.idf)))
+        np.add.at(a, (p, f), model.idf[f])
+        rows.append(a)
+    a = np.concatenate(rows)
+    full = np.linalg.svd(a, compute_uv=False)
     assert np.allclose(model.basis.T @ model.basis, np.eye(dc.RANK), atol=1e-3)
     # energy within the basis, against the best basis of that rank
-    energy = np.linalg.norm(np.concatenate(rows) @ model.basis) ** 2
-    assert energy >= 0.7 * (full[: dc.RANK] ** 2).sum()
+    assert np.linalg.norm(a @ model.basis) ** 2 >= 0.7 * (full[: dc.RANK] ** 2).sum()
+
+
+def exhaustive(docs, items):
+    """All pairs of a document and an item that the checks accept around some passage."""
+    parts = lambda text: [(h.tolist(), n) for h, n in [dc.words_of(*dc.text_bytes(pa.array([text or ""], pa.string())))]][0][0]
+    out = set()
+    for i, x in items:
+        item = parts(x)
+        for d, text in docs:
+            w = parts(text)
+            if any(dc.holds(item, w[max(0, a - len(item)) : a + 2 * dc.SIZE + len(item)])[0] for a in range(0, len(w), dc.SIZE)):
+                out.add((d, i))
+    return out
+
+
+def test_recall_of_the_search_with_templates(spark):
+    """Items that differ in a name only, and documents that hold the template with other names."""
+    docs, items, _ = corpus()
+    rng = random.Random(4)
+    template = "question {} wrote the long book about the river and the hills in which year of the old king answer {} of spring".split()
+    items = items[:12] + [(50 + k, " ".join(template).format(f"name{k}", f"year{k}")) for k in range(6)]
+    filler = [w for _, t in docs for w in t.split()]
+    docs = docs[:70] + [(500 + k, " ".join([*rng.sample(filler, 30 * (k % 3)), " ".join(template).format(f"other{k}", f"year{k % 9}"), *rng.sample(filler, 40)])) for k in range(12)]
+    want = exhaustive(docs, items)
+    got = dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], i) for r in got for i in r["items"]}
+    assert found <= want and len(want) > 60
+    assert len(found) >= 0.9 * len(want)
 
 
 def test_empty(spark):
