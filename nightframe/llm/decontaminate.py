@@ -14,8 +14,8 @@
    ``COSINE``. Items come in blocks of ``BLOCK``; those of a large benchmark are
    files that each batch of documents meets in turn, so that it costs time, not
    memory. Rows and results are the same for any blocks.
-4. Bound: a candidate that holds fewer of the item's features than a match in two
-   neighbours must have is dropped (no match is).
+4. Bound: a candidate that holds fewer of the item's features, first of its rare
+   ones, than a match in two neighbours must have is dropped (no match is).
 5. Checks: the longest common subsequence of words between an item and the
    passages with their surroundings must cover ``COVER`` of the item; and the
    item's answer, its last ``ANSWER`` words, must be there but for one of them, or
@@ -42,8 +42,10 @@ from .textbytes import LOWER, WORD_BREAKS, SpanHash, runs, slices, text_bytes, w
 
 SIZE = 24
 #: Bits of the hashed features, and dimensions of the latent space.
-BITS, RANK, SEED = 16, 64, 7
-COSINE = 0.4
+BITS, RANK, SEED = 16, 48, 7
+COSINE = 0.45
+#: Share of passages up to which a feature is rare.
+RARE = 0.002
 COVER, NEARLY, ANSWER = 0.7, 0.9, 4
 BLOCK = 1024
 BREAKS = WORD_BREAKS.copy()
@@ -204,6 +206,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, model: Latent | None = None,
     return _search(docs, _blocks(items.toLocalIterator() if many else items.collect(), model, folder), model, keep, text, schema, names)
 
 
+def _rare(model: Latent) -> np.ndarray:
+    return model.idf >= -np.log(RARE)
+
+
 def _stored(x: dict, uri: str) -> str:
     with scratch.committed(uri) as sink:
         sink.write(pickle.dumps(x))
@@ -234,7 +240,9 @@ def _blocks(rows, model: Latent, folder: str | None) -> list:
         distinct = np.bincount(of, minlength=len(some))
         # at most (1 - COVER) of an item's words may be missing; two neighbours hold half of the rest at least
         need = np.maximum(1, np.floor((distinct - (1 - COVER) * size) / 2)).astype(np.int16)
-        x = {"ids": np.array([part[k]["id"] for k in some], np.int64), "flat": h, "begin": begin, "size": size, "vectors": vectors, "own": own, "of": of, "need": need}
+        rare = np.bincount(of[_rare(model)[own]], minlength=len(some))
+        need_rare = np.maximum(0, np.floor((rare - (1 - COVER) * size) / 2)).astype(np.int16)
+        x = {"ids": np.array([part[k]["id"] for k in some], np.int64), "flat": h, "begin": begin, "size": size, "vectors": vectors, "own": own, "of": of, "need": need, "need_rare": need_rare}
         out.append(_stored(x, f"{folder}/block-{len(out)}") if folder else x)
     return out
 
@@ -255,16 +263,20 @@ def _search(docs: DataFrame, blocks: list, model: Latent, keep: list[str], text:
                 edge = np.searchsorted(p, np.arange(len(begin) + 1))
                 joined = np.zeros(len(begin), bool)
                 joined[both] = True
+                few = np.flatnonzero(_rare(model)[f])
             for block in blocks if len(f) else ():
                 x = _loaded(block)
                 n = len(x["ids"])
                 near = latent @ x["vectors"].T >= COSINE
+                has = np.zeros((len(model.idf), n), np.uint8)
+                has[x["own"], x["of"]] = 1
+                # the bound: rare features of the pair that each item has, then all distinct ones
+                common = _by_passage(has[f[few]], p[few], len(begin))
+                common[both] += common[both + 1]
+                near &= common >= x["need_rare"]
                 at = np.flatnonzero(near.any(1))
                 if not len(at):
                     continue
-                # the bound, for passages with a candidate: distinct features of the pair that each item has
-                has = np.zeros((len(model.idf), n), np.uint8)
-                has[x["own"], x["of"]] = 1
                 for a in range(0, len(at), 1024):
                     some = at[a : a + 1024]
                     stop = np.where(joined[some], edge[np.minimum(some + 2, len(begin))], edge[some + 1])
