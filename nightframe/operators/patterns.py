@@ -52,6 +52,17 @@ def interval_semi(left: DataFrame, right: DataFrame, on: list[str], t: str, lo:
     return rows.join(spans, out, "left_semi").drop("__s")
 
 
+def interval_join(left: DataFrame, right: DataFrame, on: list[str], t: str, lo: Column, hi: Column, take: list[str], segment: int = DAY) -> DataFrame:
+    """Rows of ``left`` with the columns ``take`` of each bounded interval of ``right`` that holds their time (both ends inclusive).
+
+    Intervals are dealt out to the time segments they touch, so the join has an equality on key and segment.
+    """
+    spans = right.select(*on, *take, lo.alias("__lo"), hi.alias("__hi")).filter("__lo <= __hi")
+    spans = spans.withColumn("__s", F.explode(F.sequence(F.floor(F.col("__lo") / segment), F.floor(F.col("__hi") / segment))))
+    rows = left.withColumn("__s", F.floor(F.col(t) / segment))
+    return rows.join(spans, [*on, "__s"]).filter(F.col(t).between(F.col("__lo"), F.col("__hi"))).drop("__s", "__lo", "__hi")
+
+
 def in_bed(movement: DataFrame, sessions: DataFrame) -> DataFrame:
     """Movement during any session of its side."""
     return interval_semi(movement, sessions, ["side"], "t", F.col("entered"), F.coalesce(F.col("left_at"), F.lit(OPEN_END)))

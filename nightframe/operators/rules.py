@@ -2,8 +2,8 @@
 
 Trees are plain dictionaries (as stored in JSON). Unknown values are nulls, so
 SQL's three-valued logic is the rule language's. A back-test evaluates a rule at
-every step of a night at once; only the cooldown between fires is sequential, a
-fold over the bounded steps of one side and day.
+every step at once; only the cooldown between fires is sequential, a chain that
+is walked in time segments.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import units as u
-from .sequences import day_key
+from . import segments as g
 
 MAX_DEPTH, MAX_NODES = 16, 400
 FUNCTIONS = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
@@ -73,35 +73,37 @@ def condition(tree: dict, keys: list[str], t: str = "t", tz: str = "UTC") -> Col
     raise ValueError(f"unknown condition {kind!r}")
 
 
-def evaluate(steps: DataFrame, rule: dict, keys: list[str], t: str = "t") -> DataFrame:
-    """Steps with ``holds`` (null: unknown)."""
+def evaluate(steps: DataFrame, rule: dict, key: str = "side", t: str = "t") -> DataFrame:
+    """Steps with ``holds`` (null: unknown); windows see over the edges of the time segments that steps are dealt by."""
     nodes(rule["when"])
-    return steps.withColumn("holds", condition(rule["when"], keys, t))
+    rows = g.carried(steps, [key], seconds=int(60 * longest(rule)), t=t)
+    return g.own(rows.withColumn("holds", condition(rule["when"], [key, "__seg"], t)))
+
+
+def longest(tree) -> float:
+    """Minutes of the longest window in a tree."""
+    if isinstance(tree, dict):
+        return max([float(tree.get("lastMin", 0)), *map(longest, tree.values())])
+    return max(map(longest, tree), default=0.0) if isinstance(tree, (list, tuple)) else 0.0
 
 
 def backtest(steps: DataFrame, rule: dict, key: str = "side", t: str = "t") -> DataFrame:
     """Each step's wanted set point and whether the rule fires, is held back by its cooldown, or rests.
 
-    A set point is clamped to the rule's band, then to 55 to 110 degrees.
+    A set point is clamped to the rule's band, then to 55 to 110 degrees. Fires are the steps at which the rule holds,
+    each at least a cooldown after the last.
     """
-    keys = [key, "day"]
-    rows = evaluate(steps.withColumn("day", day_key(t)), rule, keys, t)
-    raw = expression(rule["setpoint"], keys, t)
+    nodes(rule["when"])
+    rows = g.carried(steps, [key], seconds=int(60 * max(longest(rule["when"]), longest(rule["setpoint"]))), t=t)
+    raw = expression(rule["setpoint"], [key, "__seg"], t)
     low, high = rule.get("band", (55, 110))
     clamped = F.greatest(F.lit(55.0), F.least(F.lit(110.0), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), raw))))
-    rows = rows.select(key, "day", t, "holds", F.round(F.when(raw.isNotNull(), clamped), 6).alias("setpoint"), (raw != clamped).alias("clamped"))
+    rows = g.own(rows.withColumns({"holds": condition(rule["when"], [key, "__seg"], t), "setpoint": F.round(F.when(raw.isNotNull(), clamped), 6), "clamped": raw != clamped}))
+    on = rows.filter("holds").select(key, t)
     cool = int(rule.get("cooldown_min", 0)) * 60
-    nights = rows.groupBy(key, "day").agg(F.array_sort(F.collect_list(F.struct(t, "holds", "setpoint", "clamped"))).alias("steps"))
-    start = F.struct(F.lit(-(10**15)).cast("long").alias("last"), F.array().cast("array<string>").alias("out"))
-
-    def step(a, x):
-        on = F.coalesce(x["holds"], F.lit(False))
-        fires = on & (x[t] - a["last"] >= cool)
-        outcome = F.when(fires, "fired").when(on, "suppressed").otherwise("idle")
-        return F.struct(F.when(fires, x[t]).otherwise(a["last"]).alias("last"), F.concat(a["out"], F.array(outcome)).alias("out"))
-
-    nights = nights.withColumn("outcomes", F.aggregate("steps", start, step, lambda a: a["out"]))
-    return nights.select(key, F.explode(F.arrays_zip("steps", "outcomes")).alias("x")).select(key, f"x.steps.{t}", "x.steps.holds", "x.steps.setpoint", "x.steps.clamped", F.col("x.outcomes").alias("outcome"))
+    fires = (g.chained(on, [key], cool, t) if cool else on.distinct()).withColumn("__fired", F.lit(True))
+    outcome = F.when(F.col("__fired"), "fired").when(F.col("holds"), "suppressed").otherwise("idle")
+    return rows.join(fires, [key, t], "left").select(key, t, "holds", "setpoint", "clamped", outcome.alias("outcome"))
 
 
 def summary(tested: DataFrame, key: str = "side") -> DataFrame:

@@ -33,19 +33,26 @@ def epoch_duration(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("seconds", F.coalesce(F.least(gap, F.lit(600)), F.lit(300)))
 
 
+CODES = {"wake": "w", "light": "l", "deep": "d", "rem": "r"}
+
+
 def fold_stages(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Smooths stages of each night in place: A-B-A to A-A-A, then impossible changes to light.
 
-    A night is bounded (a few hundred epochs), so its ordered array stays small.
+    A night is bounded (some hundred epochs). Its stages are letters of one text; each fold appends a letter that
+    depends on the last one written and on two that are read.
     """
+    code = F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair))
+    name = F.create_map(*(F.lit(x) for pair in CODES.items() for x in reversed(pair)))
     nights = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "stage", "seconds"))).alias("e"))
-    stages = F.transform("e", lambda x: x["stage"])
-    smooth = """aggregate(sequence(1, greatest(size(s) - 2, 1)), s, (a, i) -> case when size(a) > 2 and a[i - 1] = a[i + 1] and a[i] <> a[i - 1]
-        then concat(slice(a, 1, i), array(a[i - 1]), slice(a, i + 2, size(a))) else a end)"""
-    bad = "((a[i - 1] = 'wake' and a[i] = 'deep') or (a[i - 1] = 'deep' and a[i] in ('wake', 'rem')) or (a[i - 1] = 'rem' and a[i] = 'deep'))"
-    fixed = f"aggregate(sequence(1, greatest(size(s) - 1, 1)), s, (a, i) -> case when size(a) > 1 and {bad} then concat(slice(a, 1, i), array('light'), slice(a, i + 2, size(a))) else a end)"
-    out = nights.withColumn("s", stages).withColumn("s", F.expr(smooth)).withColumn("s", F.expr(fixed))
-    return out.select(*keys, F.posexplode(F.arrays_zip("e", "s"))).select(*keys, "col.e.t", F.col("col.s").alias("stage"), "col.e.seconds")
+    nights = nights.withColumn("s", F.transform("e", lambda x: code[x["stage"]]))
+    smooth = """aggregate(sequence(1, size(s)), '', (a, i) -> concat(a, case when i > 1 and i < size(s) and right(a, 1) = s[i] and s[i - 1] <> s[i] then s[i] else s[i - 1] end))"""
+    bad = "concat(right(a, 1), s[i - 1]) in ('wd', 'dw', 'dr', 'rd')"
+    fixed = f"aggregate(sequence(1, size(s)), '', (a, i) -> concat(a, case when {bad} then 'l' else s[i - 1] end))"
+    for fold in (smooth, fixed):
+        nights = nights.withColumn("s", F.split(F.expr(fold), ""))
+    out = nights.select(*keys, F.posexplode(F.arrays_zip("e", "s")))
+    return out.select(*keys, "col.e.t", name[F.col("col.s")].alias("stage"), "col.e.seconds")
 
 
 def classify(rows: DataFrame, quality: float = 1.0) -> DataFrame:

@@ -57,18 +57,37 @@ def bandpass(x: np.ndarray, rate: float, low: float, high: float, order: int = 4
     return np.fft.irfft(np.fft.rfft(both, axis=1) * gain, both.shape[1], axis=1)[:, :n]
 
 
+def _at(acr: np.ndarray, lags: np.ndarray) -> np.ndarray:
+    """Values between whole lags, by straight lines; none beyond the last."""
+    low = lags.astype(int)
+    part = lags - low
+    inside = low + 1 < acr.shape[1]
+    low = np.minimum(low, acr.shape[1] - 2)
+    return np.where(inside, acr[:, low] * (1 - part) + acr[:, low + 1] * part, 0.0)
+
+
+def _peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
+    """Whether each value is a peak, of which the higher ones rule out others nearer than ``distance``."""
+    peak = np.zeros_like(x, bool)
+    peak[:, 1:-1] = (x[:, 1:-1] > x[:, :-2]) & (x[:, 1:-1] >= x[:, 2:]) & (x[:, 1:-1] >= height)
+    for k in range(len(x)):
+        at = np.flatnonzero(peak[k])
+        for i in at[np.argsort(-x[k, at], kind="stable")]:
+            if peak[k, i]:
+                peak[k, max(0, i - distance + 1) : i] = False
+                peak[k, i + 1 : i + distance] = False
+    return peak
+
+
 def heart_rate_of(x: np.ndarray, rate: float, low: float = 45, high: float = 120) -> tuple[np.ndarray, np.ndarray]:
     """(beats a minute, score): the lag whose autocorrelation and that of its parts is strongest; NaN below 0.1."""
     acr = autocorrelation(bandpass(x, rate, 1.0, 10.0))
     lags = np.arange(int(rate * 60 / high), min(int(rate * 60 / low) + 1, acr.shape[1]))
     if not len(lags):
         return np.full(len(x), np.nan), np.zeros(len(x))
-    score = sum(w * acr[:, np.maximum(1, np.round(lags / k).astype(int))] for k, w in ((1, 1.0), (2, 0.8), (3, 0.6)))
-    # only lags that are peaks themselves
+    score = sum(w * np.maximum(_at(acr, lags / k), 0) for k, w in ((1, 1.0), (2, 0.8), (3, 0.6)))
     inner = acr[:, lags]
-    peak = np.zeros_like(inner, bool)
-    peak[:, 1:-1] = (inner[:, 1:-1] >= inner[:, :-2]) & (inner[:, 1:-1] >= inner[:, 2:])
-    score = np.where(peak & (inner >= 0.02), score, -1)
+    score = np.where(_peaks(inner, 0.02, int(rate * 0.15)), score, -1)
     best = score.argmax(1)
     top = score[np.arange(len(x)), best]
     return np.where(top >= 0.1, 60 * rate / lags[best], np.nan), np.maximum(top, 0)

@@ -1,3 +1,3 @@
 """Registered queries; importing the package fills the registry."""
 
-from . import core, registry, rules, sequences, signals, store, streams  # noqa: F401
+from . import core, lists, registry, rules, sequences, signals, store, streams  # noqa: F401

@@ -1,6 +1,8 @@
 """Queries of window, sequence and state-machine operators.
 
-Sequences run within a side and day, so that their windows and folds stay bounded.
+Series run on over midnight: they are dealt by side and time segment, and what a
+segment's frames and folds need of its neighbours is carried over. Stages belong
+to a night, which is a sleep record of at most sixteen hours.
 """
 
 from __future__ import annotations
@@ -8,128 +10,149 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import units as u
-from ..operators import sequences as s
+from ..operators import segments as g, sequences as s
+from ..operators.patterns import interval_join
 from .core import NOW, reg, rnd
 
-DAY = ["side", "day"]
-BY = "partition by side, t // 86400 order by t"
+SIDE, NIGHT = ["side"], ["night"]
+BY = "partition by side order by t"
 
 
-def by_day(df):
-    return df.withColumn("day", s.day_key())
+def framed(df, lo: int, hi: int, keys=SIDE):
+    """Rows with the context of a frame of ``lo`` before to ``hi`` after, and that frame."""
+    return g.carried(df, keys, before=lo, after=hi), g.within(keys).rowsBetween(-lo, hi)
 
 
 @reg("win_moving_avg5", f"select id, round(avg(heart_rate) over ({BY} rows between 2 preceding and 2 following), 6) as mean from vitals", "vitals")
 def moving_avg5(vitals):
-    return by_day(vitals).select("id", rnd(F.avg("heart_rate").over(s.frame(DAY, -2, 2))).alias("mean"))
+    rows, w = framed(vitals, 2, 2)
+    return g.own(rows.withColumn("mean", rnd(F.avg("heart_rate").over(w)))).select("id", "mean")
 
 
-FILTER = f"""f as (select *, t // 86400 as day, case when heart_rate between 45 and 130 then heart_rate end as raw from vitals),
-g as (select *, list_sort(list(raw) filter (raw is not null) over w) as around, stddev_pop(raw) over w as sd from f window w as (partition by side, day order by t rows between 2 preceding and 2 following)),
-h as (select id, side, day, t, hrv, raw, case when sd > 0 and abs(raw - around[len(around) // 2 + 1]) > 2 * sd then null else raw end as hr from g)"""
+FILTER = f"""f as (select v.*, s.id as night, case when heart_rate between 45 and 130 then heart_rate end as raw from vitals v join sleep_records s on s.side = v.side and v.t between s.entered and least(coalesce(s.left_at, 99999999999), s.entered + 57600)),
+g as (select *, list_sort(list(raw) filter (raw is not null) over w) as around, stddev_pop(raw) over w as sd from f window w as (partition by night order by t rows between 2 preceding and 2 following)),
+h as (select id, side, night, t, hrv, raw, case when sd > 0 and abs(raw - around[len(around) // 2 + 1]) > 2 * sd then null else raw end as hr from g)"""
 
 
-@reg("win_hr_median_filter", f", {FILTER} select id, raw, hr from h", "vitals")
-def median_filter(vitals):
-    return s.hr_median_filter(by_day(vitals), DAY).select("id", "raw", "hr")
+def by_night(rows, sessions):
+    """Rows of each sleep record, by its id; one that is open ends after sixteen hours."""
+    end = F.least(F.coalesce("left_at", F.lit(99999999999)), F.col("entered") + 57600)
+    return interval_join(rows, sessions.withColumn("night", F.col("id")), SIDE, "t", F.col("entered"), end, ["night"])
 
 
-@reg("win_epoch_duration", f"select id, coalesce(least(lead(t) over ({BY}) - t, 600), 300) as seconds from vitals where id % 7 <> 0", "vitals")
-def epoch_duration(vitals):
-    return s.epoch_duration(by_day(vitals.filter("id % 7 <> 0")), DAY).select("id", "seconds")
+@reg("win_hr_median_filter", f", {FILTER} select id, raw, hr from h", "vitals", "movement", "sleep_records")
+def median_filter(vitals, _, sessions):
+    return s.hr_median_filter(by_night(vitals, sessions), NIGHT).select("id", "raw", "hr")
 
 
-@reg("win_gap_break", f"select id, cast(sum(brk) over ({BY}) as bigint) as segment from (select id, side, t, case when t - lag(t) over ({BY}) > 300 then 1 else 0 end as brk from movement where total_movement > 250)", "movement")
-def gap_break(movement):
-    w = Window.partitionBy(*DAY).orderBy("t")
-    rows = by_day(movement.filter("total_movement > 250")).withColumn("brk", F.coalesce((F.col("t") - F.lag("t").over(w) > 300).cast("int"), F.lit(0)))
-    return rows.select("id", F.sum("brk").over(w).alias("segment"))
+@reg("win_epoch_duration", f", {FILTER} select id, coalesce(least(lead(t) over (partition by night order by t) - t, 600), 300) as seconds from h", "vitals", "movement", "sleep_records")
+def epoch_duration(vitals, _, sessions):
+    return s.epoch_duration(by_night(vitals, sessions), NIGHT).select("id", "seconds")
+
+
+@reg("win_gap_break", "select t, cast(sum(brk) over (order by t) as bigint) as segment from (select t, case when t - lag(t) over (order by t) > 120 then 1 else 0 end as brk from bed_temp)", "bed_temp")
+def gap_break(bed, seconds: int = 120):
+    """The number of gaps before each row."""
+    rows, w = g.carried(bed.select("t"), [], before=1), g.within([])
+    rows = g.own(rows.withColumn("brk", F.coalesce((F.col("t") - F.lag("t").over(w) > seconds).cast("int"), F.lit(0))))
+    return g.running_sum(rows, [], "brk", "segment").select("t", "segment")
 
 
 BASE = f"b as (select id, side, t, total_movement, list_sort(list(total_movement) over ({BY} rows between 29 preceding and current row)) as l from movement), c as (select id, side, t, case when len(l) > 10 then greatest(0, total_movement - l[greatest(1, cast(floor(0.05 * len(l) + 0.5) as int))]) else total_movement end as score from b)"
 
 
-def baseline_subtracted(movement):
-    values = F.collect_list("total_movement").over(s.frame(DAY, -29, 0))
-    rows = by_day(movement).withColumn("l", values)
+def baseline_subtracted(movement, more: int = 0):
+    """Scores above the fifth percentile of the last thirty, with ``more`` rows of context for a further frame."""
+    rows = g.carried(movement, SIDE, before=29 + more)
+    rows = rows.withColumn("l", F.collect_list("total_movement").over(g.within(SIDE).rowsBetween(-29, 0)))
     return rows.withColumn("score", F.when(F.size("l") > 10, F.greatest(F.lit(0), F.col("total_movement") - s.nearest_rank(F.col("l"), 5))).otherwise(F.col("total_movement")))
 
 
 @reg("win_baseline_subtract", f", {BASE} select id, score from c", "movement")
 def baseline_subtract(movement):
-    return baseline_subtracted(movement).select("id", "score")
+    return g.own(baseline_subtracted(movement)).select("id", "score")
 
 
 @reg("win_median3", f", {BASE} select id, case when len(l) < 3 then score else list_sort(l)[2] end as median from (select id, score, list(score) over ({BY} rows between 2 preceding and current row) as l from c)", "movement")
 def median3(movement):
-    last = F.collect_list("score").over(s.frame(DAY, -2, 0))
-    return baseline_subtracted(movement).withColumn("m", last).select("id", F.when(F.size("m") < 3, F.col("score")).otherwise(F.try_element_at(F.array_sort("m"), F.lit(2))).alias("median"))
+    last = F.collect_list("score").over(g.within(SIDE).rowsBetween(-2, 0))
+    rows = g.own(baseline_subtracted(movement, 2).withColumn("m", last))
+    return rows.select("id", F.when(F.size("m") < 3, F.col("score")).otherwise(F.try_element_at(F.array_sort("m"), F.lit(2))).alias("median"))
 
 
-@reg("win_abs_delta", f"select id, coalesce(abs(total_movement - lag(total_movement) over ({BY})), 0) as delta from movement where total_movement <> 77", "movement")
+@reg("win_abs_delta", f"select id, coalesce(abs(total_movement - lag(total_movement) over ({BY})), 0) as delta from movement", "movement")
 def abs_delta(movement):
-    w = Window.partitionBy(*DAY).orderBy("t")
-    return by_day(movement.filter("total_movement <> 77")).select("id", F.coalesce(F.abs(F.col("total_movement") - F.lag("total_movement").over(w)), F.lit(0)).alias("delta"))
+    rows = g.carried(movement, SIDE, before=1)
+    delta = F.abs(F.col("total_movement") - F.lag("total_movement").over(g.within(SIDE)))
+    return g.own(rows.withColumn("delta", F.coalesce(delta, F.lit(0)))).select("id", "delta")
 
 
-@reg("win_quietest", f"select side, day, arg_min(t, v * 1e12 + (t % 86400)) as start, round(min(v), 6) as variance from (select side, t // 86400 as day, t, round(var_pop(total_movement) over (partition by side, t // 86400 order by t rows between current row and 299 following), 6) as v, count(*) over (partition by side, t // 86400 order by t rows between current row and 299 following) as n from movement) where n = 300 group by 1, 2", "movement")
+@reg("win_quietest", f"select side, t // 86400 as day, arg_min(t, v * 1e12 + (t % 86400)) as start, round(min(v), 6) as variance from (select side, t, round(var_pop(total_movement) over ({BY} rows between current row and 299 following), 6) as v, count(*) over ({BY} rows between current row and 299 following) as n from movement) where n = 300 group by 1, 2", "movement")
 def quietest(movement, width: int = 300):
-    w = s.frame(DAY, 0, width - 1)
-    rows = by_day(movement).select(*DAY, "t", rnd(F.var_pop("total_movement").over(w)).alias("v"), F.count("*").over(w).alias("n")).filter(F.col("n") == width)
-    return rows.groupBy(*DAY).agg(F.min_by("t", F.col("v") * 1e12 + F.col("t") % 86400).alias("start"), rnd(F.min("v")).alias("variance"))
+    """The quietest run of rows that begins on each day."""
+    rows, w = framed(movement, 0, width - 1)
+    rows = g.own(rows.withColumns({"v": rnd(F.var_pop("total_movement").over(w)), "n": F.count("*").over(w), "day": s.day_key()})).filter(F.col("n") == width)
+    return rows.groupBy("side", "day").agg(F.min_by("t", F.col("v") * 1e12 + F.col("t") % 86400).alias("start"), rnd(F.min("v")).alias("variance"))
 
 
 @reg("win_dynamic_bounds", f"select id, case when len(l) >= 30 then l[cast(floor(len(l) * 0.1) as int) + 1] end as lo, case when len(l) >= 30 then greatest(l[least(len(l), cast(floor(len(l) * 0.9) as int) + 1)], l[cast(floor(len(l) * 0.1) as int) + 1] + 15) end as hi from (select id, coalesce(list_sort(list(heart_rate) filter (heart_rate is not null) over ({BY} rows between 300 preceding and 1 preceding)), []) as l from vitals)", "vitals")
 def dynamic_bounds(vitals):
-    l = F.array_sort(F.collect_list("heart_rate").over(s.frame(DAY, -300, -1)))
-    rows = by_day(vitals).withColumn("l", l).withColumn("n", F.size("l"))
+    rows = g.carried(vitals, SIDE, before=300)
+    l = F.array_sort(F.collect_list("heart_rate").over(g.within(SIDE).rowsBetween(-300, -1)))
+    rows = g.own(rows.withColumn("l", l)).withColumn("n", F.size("l"))
     lo = F.try_element_at("l", F.floor(F.col("n") * 0.1).cast("int") + 1)
     hi = F.try_element_at("l", F.least(F.col("n"), F.floor(F.col("n") * 0.9).cast("int") + 1))
     many = F.col("n") >= 30
     return rows.select("id", F.when(many, lo).alias("lo"), F.when(many, F.greatest(hi, lo + 15)).alias("hi"))
 
 
-@reg("win_successive_diff", f"select side, day, round(sqrt(avg(d * d)), 6) as rmssd from (select side, t // 86400 as day, case when t - lag(t) over ({BY}) < 180 then hrv - lag(hrv) over ({BY}) end as d from vitals where hrv > 0) group by 1, 2", "vitals")
+@reg("win_successive_diff", f"select side, t // 86400 as day, round(sqrt(avg(d * d)), 6) as rmssd from (select side, t, case when t - lag(t) over ({BY}) < 180 then hrv - lag(hrv) over ({BY}) end as d from vitals where hrv > 0) group by 1, 2", "vitals")
 def successive_diff(vitals):
-    w = Window.partitionBy(*DAY).orderBy("t")
+    """Of each day; its first value is compared with the last of the day before."""
+    rows, w = g.carried(vitals.filter("hrv > 0"), SIDE, before=1), g.within(SIDE)
     d = F.when(F.col("t") - F.lag("t").over(w) < 180, F.col("hrv") - F.lag("hrv").over(w))
-    return by_day(vitals.filter("hrv > 0")).withColumn("d", d).groupBy(*DAY).agg(rnd(F.sqrt(F.avg(F.col("d") * F.col("d")))).alias("rmssd"))
+    rows = g.own(rows.withColumns({"d": d, "day": s.day_key()}))
+    return rows.groupBy("side", "day").agg(rnd(F.sqrt(F.avg(F.col("d") * F.col("d")))).alias("rmssd"))
 
 
-@reg("agg_window_fn", "select id, round(avg(heart_rate) over w, 6) as mean, min(heart_rate) over w as lo, max(heart_rate) over w as hi, sum(heart_rate) over w as total, count(heart_rate) over w as n from vitals window w as (partition by side, t // 86400 order by t range between 600 preceding and current row)", "vitals")
+@reg("agg_window_fn", "select id, round(avg(heart_rate) over w, 6) as mean, min(heart_rate) over w as lo, max(heart_rate) over w as hi, sum(heart_rate) over w as total, count(heart_rate) over w as n from vitals window w as (partition by side order by t range between 600 preceding and current row)", "vitals")
 def window_fn(vitals, minutes: int = 10):
-    w = Window.partitionBy(*DAY).orderBy("t").rangeBetween(-minutes * 60, 0)
+    w = g.within(SIDE).rangeBetween(-minutes * 60, 0)
     h = "heart_rate"
-    return by_day(vitals).select("id", rnd(F.avg(h).over(w)).alias("mean"), F.min(h).over(w).alias("lo"), F.max(h).over(w).alias("hi"), F.sum(h).over(w).alias("total"), F.count(h).over(w).alias("n"))
+    rows = g.carried(vitals, SIDE, seconds=minutes * 60)
+    rows = g.own(rows.withColumns({"mean": rnd(F.avg(h).over(w)), "lo": F.min(h).over(w), "hi": F.max(h).over(w), "total": F.sum(h).over(w), "n": F.count(h).over(w)}))
+    return rows.select("id", "mean", "lo", "hi", "total", "n")
 
 
 @reg("agg_sample_variance", f"select id, round(stddev_pop(total_movement) over ({BY} rows between 19 preceding and current row), 6) as sd from movement", "movement")
 def sample_variance(movement):
-    return by_day(movement).select("id", rnd(F.stddev_pop("total_movement").over(s.frame(DAY, -19, 0))).alias("sd"))
+    rows, w = framed(movement, 19, 0)
+    return g.own(rows.withColumn("sd", rnd(F.stddev_pop("total_movement").over(w)))).select("id", "sd")
 
 
 @reg("win_hampel", f"select id, case when abs(hrv - m) > 3 * 1.4826 * greatest(list_sort(list_transform(l, lambda x: abs(x - m)))[len(l) // 2 + 1], 0.000001) then null else hrv end as hrv from (select id, hrv, l, l[len(l) // 2 + 1] as m from (select id, hrv, list_sort(list(hrv) over ({BY} rows between 3 preceding and 3 following)) as l from vitals))", "vitals")
 def hampel(vitals):
-    l = F.array_sort(F.collect_list("hrv").over(s.frame(DAY, -3, 3)))
+    rows, w = framed(vitals, 3, 3)
+    l = F.array_sort(F.collect_list("hrv").over(w))
     mid = lambda a: F.try_element_at(a, (F.size(a) / 2).cast("int") + 1)
-    rows = by_day(vitals).withColumn("l", l).withColumn("m", mid(F.col("l")))
+    rows = g.own(rows.withColumn("l", l)).withColumn("m", mid(F.col("l")))
     rows = rows.withColumn("mad", mid(F.array_sort(F.transform("l", lambda x: F.abs(x - F.col("m"))))))
     return rows.select("id", F.when(F.abs(F.col("hrv") - F.col("m")) > 3 * 1.4826 * F.greatest(F.col("mad"), F.lit(1e-6)), None).otherwise(F.col("hrv")).alias("hrv"))
 
 
-@reg("win_flow_delta", "select t, abs(left_flow - p) > 500 as spike from (select t, left_flow, lag(left_flow) over (partition by t // 86400 order by t) as p from flow where left_flow is not null)", "flow")
+@reg("win_flow_delta", "select t, abs(left_flow - p) > 500 as spike from (select t, left_flow, lag(left_flow) over (order by t) as p from flow where left_flow is not null)", "flow")
 def flow_delta(flow):
-    w = Window.partitionBy(s.day_key()).orderBy("t")
-    rows = flow.filter("left_flow is not null").withColumn("p", F.lag("left_flow").over(w))
+    rows = g.carried(flow.filter("left_flow is not null"), [], before=1)
+    rows = g.own(rows.withColumn("p", F.lag("left_flow").over(g.within([]))))
     return rows.select("t", (F.abs(F.col("left_flow") - F.col("p")) > 500).alias("spike"))
 
 
-@reg("win_edge_powered", "select t, last_value(case when on_now and not coalesce(was, false) then t end ignore nulls) over (partition by t // 86400 order by t) as powered_on_at, on_now from (select t, left_rpm >= 50 as on_now, lag(left_rpm >= 50) over (partition by t // 86400 order by t) as was from flow) qualify on_now", "flow")
+@reg("win_edge_powered", "select t, last_value(case when on_now and not coalesce(was, false) then t end ignore nulls) over (order by t) as powered_on_at, on_now from (select t, left_rpm >= 50 as on_now, lag(left_rpm >= 50) over (order by t) as was from flow) qualify on_now", "flow")
 def edge_powered(flow):
-    w = Window.partitionBy(s.day_key()).orderBy("t")
-    rows = flow.withColumn("on_now", F.col("left_rpm") >= 50)
-    rows = rows.withColumn("edge", F.when(F.col("on_now") & ~F.coalesce(F.lag("on_now").over(w), F.lit(False)), F.col("t")))
-    return rows.withColumn("powered_on_at", F.last("edge", ignorenulls=True).over(w)).filter("on_now").select("t", "powered_on_at", "on_now")
+    rows = g.carried(flow.withColumn("on_now", F.col("left_rpm") >= 50), [], before=1)
+    edge = F.when(F.col("on_now") & ~F.coalesce(F.lag("on_now").over(g.within([])), F.lit(False)), F.col("t"))
+    rows = g.last_known(g.own(rows.withColumn("edge", edge)), [], "edge", "powered_on_at")
+    return rows.filter("on_now").select("t", "powered_on_at", "on_now")
 
 
 @reg("win_ring_tail", "select id, side, t from (select *, row_number() over (partition by side order by t desc) as k from movement) where k <= 120", "movement")
@@ -145,73 +168,82 @@ def flow_anomaly(flow):
     return flow.select("t", F.explode(F.array_compact(F.array(*kinds))).alias("anomaly"))
 
 
-STALL = "s as (select t, t // 86400 as day, left_rpm < 50 as low from flow), r as (select *, row_number() over (partition by day order by t) - row_number() over (partition by day, low order by t) as run from s)"
+STALL = """x as (select t, case when left_flow is not null and left_rpm < 50 then 1 else 0 end as low, case when left_rpm >= 1000 then 1 else 0 end as well from flow),
+c as (select t, case when sum(low) over (order by t rows between 4 preceding and current row) = 5 then 'trip' when sum(well) over (order by t rows between 7 preceding and current row) = 8 then 'recover' end as event from x),
+e as (select t, event, lag(event) over (order by t) as was from c where event is not null)"""
+
 
+@reg("st_stall_guard", f", {STALL} select t, event from e where event <> coalesce(was, 'recover')", "flow")
+def stall_guard(flow, dwell: int = 5, recovery: int = 8, least_rpm: int = 50, healthy_rpm: int = 1000):
+    """When the guard blocks a pump, and when it lets it run again.
 
-@reg("st_stall_guard", f", {STALL} select day, min(t) as since, count(*) as frames from r where low group by day, run having count(*) >= 5", "flow")
-def stall_guard(flow, frames: int = 5, least_rpm: int = 50):
-    """Runs of at least ``frames`` slow frames of a day."""
-    day, low = s.day_key().alias("day"), (F.col("left_rpm") < least_rpm).alias("low")
-    rows = flow.select("t", day, low)
-    run = F.row_number().over(Window.partitionBy("day").orderBy("t")) - F.row_number().over(Window.partitionBy("day", "low").orderBy("t"))
-    return rows.withColumn("run", run).filter("low").groupBy("day", "run").agg(F.min("t").alias("since"), F.count("*").alias("frames")).filter(F.col("frames") >= frames).drop("run")
+    It trips on ``dwell`` slow frames in a row while active and recovers on ``recovery`` healthy ones in a row. A frame
+    that ends such a run changes the state only if the last one that did was of the other kind.
+    """
+    low = F.when(F.col("left_flow").isNotNull() & (F.col("left_rpm") < least_rpm), 1).otherwise(0)
+    rows = g.carried(flow.select("t", low.alias("low"), (F.col("left_rpm") >= healthy_rpm).cast("int").alias("well")), [], before=max(dwell, recovery) - 1)
+    run = lambda c, n: F.sum(c).over(g.within([]).rowsBetween(1 - n, 0)) == n
+    ends = g.own(rows.withColumn("event", F.when(run("low", dwell), "trip").when(run("well", recovery), "recover"))).filter("event is not null")
+    ends = g.carried(ends.select("t", "event"), [], before=1)
+    ends = g.own(ends.withColumn("was", F.coalesce(F.lag("event").over(g.within([])), F.lit("recover"))))
+    return ends.filter("event <> was").select("t", "event")
 
 
 STAGED = f""", {FILTER},
-v as (select h.*, m.total_movement, avg(hr) over (partition by h.side, h.day) as mean_hr from h left join (select side, cast(floor(t / 300.0 + 0.5) as bigint) as k, max_by(total_movement, t) as total_movement from movement group by 1, 2) m on m.side = h.side and m.k = cast(floor(h.t / 300.0 + 0.5) as bigint)),
-e as (select id, side, day, t, coalesce(least(lead(t) over (partition by side, day order by t) - t, 600), 300) as seconds,
+v as (select h.*, m.total_movement, avg(hr) over (partition by h.night) as mean_hr from h left join (select side, cast(floor(t / 300.0 + 0.5) as bigint) as k, max_by(total_movement, t) as total_movement from movement group by 1, 2) m on m.side = h.side and m.k = cast(floor(h.t / 300.0 + 0.5) as bigint)),
+e as (select id, side, night, t, coalesce(least(lead(t) over (partition by night order by t) - t, 600), 300) as seconds,
  case when coalesce(total_movement, 0) > 200 then 'wake' when hr is null then case when coalesce(total_movement, 0) >= 100 then 'wake' else 'light' end
   when hr / mean_hr < 0.92 and coalesce(hrv, 0) >= 40 and coalesce(total_movement, 0) < 50 then 'deep' when hr / mean_hr >= 0.95 and coalesce(total_movement, 0) < 50 and coalesce(hrv, 0) < 40 then 'rem' else 'light' end as stage from v)"""
 
 
-def staged(vitals, movement):
+def staged(vitals, movement, sessions):
     k = u.half_up(F.col("t") / 300).alias("k")
     m = movement.groupBy("side", k).agg(F.max_by("total_movement", "t").alias("total_movement"))
-    rows = s.hr_median_filter(by_day(vitals), DAY).withColumn("k", u.half_up(F.col("t") / 300)).join(m, ["side", "k"], "left")
-    rows = rows.withColumn("mean_hr", F.avg("hr").over(Window.partitionBy(*DAY)))
-    return s.epoch_duration(s.classify(rows), DAY)
+    rows = s.hr_median_filter(by_night(vitals, sessions), NIGHT).withColumn("k", u.half_up(F.col("t") / 300)).join(m, ["side", "k"], "left")
+    rows = rows.withColumn("mean_hr", F.avg("hr").over(Window.partitionBy(*NIGHT)))
+    return s.epoch_duration(s.classify(rows), NIGHT)
 
 
-@reg("stage_classify", f"{STAGED} select id, stage, seconds from e", "vitals", "movement")
-def stage_classify(vitals, movement):
-    return staged(vitals, movement).select("id", "stage", "seconds")
+@reg("stage_classify", f"{STAGED} select id, stage, seconds from e", "vitals", "movement", "sleep_records")
+def stage_classify(vitals, movement, sessions):
+    return staged(vitals, movement, sessions).select("id", "stage", "seconds")
 
 
-@reg("agg_stage_distribution", f"{STAGED} select side, day, " + ", ".join(f"cast(floor(sum(case when stage = '{x}' then seconds else 0 end) * 100.0 / sum(seconds) + 0.5) as bigint) as {x}" for x in ("wake", "light", "deep", "rem")) + " from e group by 1, 2", "vitals", "movement")
-def stage_distribution(vitals, movement):
-    return s.distribution(staged(vitals, movement), DAY)
+@reg("agg_stage_distribution", f"{STAGED} select night, " + ", ".join(f"cast(floor(sum(case when stage = '{x}' then seconds else 0 end) * 100.0 / sum(seconds) + 0.5) as bigint) as {x}" for x in ("wake", "light", "deep", "rem")) + " from e group by 1", "vitals", "movement", "sleep_records")
+def stage_distribution(vitals, movement, sessions):
+    return s.distribution(staged(vitals, movement, sessions), NIGHT)
 
 
-@reg("win_blocks", f"{STAGED}, x as (select *, case when stage <> coalesce(lag(stage) over (partition by side, day order by t), '') then 1 else 0 end as new from e), y as (select *, sum(new) over (partition by side, day order by t) as block from x) select side, day, any_value(stage) as stage, min(t) as start, max(t + seconds) as \"end\" from y group by side, day, block", "vitals", "movement")
-def stage_blocks(vitals, movement):
-    return s.blocks(staged(vitals, movement), DAY)
+@reg("win_blocks", f"{STAGED}, x as (select *, case when stage <> coalesce(lag(stage) over (partition by night order by t), '') then 1 else 0 end as new from e), y as (select *, sum(new) over (partition by night order by t) as block from x) select night, any_value(stage) as stage, min(t) as start, max(t + seconds) as \"end\" from y group by night, block", "vitals", "movement", "sleep_records")
+def stage_blocks(vitals, movement, sessions):
+    return s.blocks(staged(vitals, movement, sessions), NIGHT)
 
 
-SMOOTH = """, o as (select *, row_number() over (partition by side, day order by t) as i, count(*) over (partition by side, day) as n from e),
-a as (select side, day, list(stage order by t) as l, any_value(n) as n from o group by side, day),
-r1 as (select side, day, l, n, 2 as i from a union all
- select side, day, case when i < n and l[i - 1] = l[i + 1] and l[i] <> l[i - 1] then list_concat(l[1:i - 1], [l[i - 1]], l[i + 1:]) else l end, n, i + 1 from r1 where i < n),
-f1 as (select side, day, l, n from r1 where i >= n),
-r2 as (select side, day, l, n, 2 as i from f1 union all
- select side, day, case when (l[i - 1] = 'wake' and l[i] = 'deep') or (l[i - 1] = 'deep' and l[i] in ('wake', 'rem')) or (l[i - 1] = 'rem' and l[i] = 'deep') then list_concat(l[1:i - 1], ['light'], l[i + 1:]) else l end, n, i + 1 from r2 where i <= n),
-f2 as (select side, day, l from r2 where i > n)"""
+SMOOTH = """, o as (select *, row_number() over (partition by night order by t) as i, count(*) over (partition by night) as n from e),
+a as (select night, list(stage order by t) as l, any_value(n) as n from o group by night),
+r1 as (select night, l, n, 2 as i from a union all
+ select night, case when i < n and l[i - 1] = l[i + 1] and l[i] <> l[i - 1] then list_concat(l[1:i - 1], [l[i - 1]], l[i + 1:]) else l end, n, i + 1 from r1 where i < n),
+f1 as (select night, l, n from r1 where i >= n),
+r2 as (select night, l, n, 2 as i from f1 union all
+ select night, case when (l[i - 1] = 'wake' and l[i] = 'deep') or (l[i - 1] = 'deep' and l[i] in ('wake', 'rem')) or (l[i - 1] = 'rem' and l[i] = 'deep') then list_concat(l[1:i - 1], ['light'], l[i + 1:]) else l end, n, i + 1 from r2 where i <= n),
+f2 as (select night, l from r2 where i > n)"""
 
 
-@reg("win_smooth_stages", f"{STAGED}{SMOOTH} select o.side, o.day, o.t, f2.l[o.i] as stage from o join f2 using (side, day)", "vitals", "movement")
-def smooth_stages(vitals, movement):
+@reg("win_smooth_stages", f"{STAGED}{SMOOTH} select o.night, o.t, f2.l[o.i] as stage from o join f2 using (night)", "vitals", "movement", "sleep_records")
+def smooth_stages(vitals, movement, sessions):
     """A-B-A smoothing and transition repair, both left to right in place."""
-    return s.fold_stages(staged(vitals, movement), DAY).select(*DAY, "t", "stage")
+    return s.fold_stages(staged(vitals, movement, sessions), NIGHT).select(*NIGHT, "t", "stage")
 
 
-@reg("agg_quality_score", f"{STAGED}, d as (select side, day, " + ", ".join(f"cast(floor(sum(case when stage = '{x}' then seconds else 0 end) * 100.0 / sum(seconds) + 0.5) as bigint) as {x}" for x in ("wake", "light", "deep", "rem")) + " from e group by 1, 2) select side, day, greatest(0, least(100, cast(floor(100 - (greatest((15 - deep) * 2.0, 0) + greatest((deep - 30) * 1.5, 0) + greatest((20 - rem) * 1.5, 0) + greatest((rem - 35) * 1.0, 0) + greatest((wake - 5) * 2.0, 0)) + 0.5) as bigint))) as score from d", "vitals", "movement")
-def quality(vitals, movement):
-    return s.quality_score(s.distribution(staged(vitals, movement), DAY)).select(*DAY, "score")
+@reg("agg_quality_score", f"{STAGED}, d as (select night, " + ", ".join(f"cast(floor(sum(case when stage = '{x}' then seconds else 0 end) * 100.0 / sum(seconds) + 0.5) as bigint) as {x}" for x in ("wake", "light", "deep", "rem")) + " from e group by 1) select night, greatest(0, least(100, cast(floor(100 - (greatest((15 - deep) * 2.0, 0) + greatest((deep - 30) * 1.5, 0) + greatest((20 - rem) * 1.5, 0) + greatest((rem - 35) * 1.0, 0) + greatest((wake - 5) * 2.0, 0)) + 0.5) as bigint))) as score from d", "vitals", "movement", "sleep_records")
+def quality(vitals, movement, sessions):
+    return s.quality_score(s.distribution(staged(vitals, movement, sessions), NIGHT)).select(*NIGHT, "score")
 
 
-@reg("downsample_avg", "select side, day, (i - 1) // 12 as bin, round(avg(total_movement), 6) as mean from (select side, t // 86400 as day, total_movement, row_number() over (partition by side, t // 86400 order by t) as i from movement) group by 1, 2, 3", "movement")
+@reg("downsample_avg", "select side, (i - 1) // 12 as bin, round(avg(total_movement), 6) as mean from (select side, total_movement, row_number() over (partition by side order by t) as i from movement) group by 1, 2", "movement")
 def downsample_avg(movement, step: int = 12):
-    i = F.row_number().over(Window.partitionBy(*DAY).orderBy("t"))
-    return by_day(movement).withColumn("i", i).groupBy(*DAY, F.expr(f"(i - 1) div {step}").cast("long").alias("bin")).agg(rnd(F.avg("total_movement")).alias("mean"))
+    rows = g.numbered(movement, SIDE)
+    return rows.groupBy("side", F.expr(f"(i - 1) div {step}").cast("long").alias("bin")).agg(rnd(F.avg("total_movement")).alias("mean"))
 
 
 @reg("fn_units", "select t, round(ambient_temp / 100.0, 6) as c, round(ambient_temp / 100.0 * 9 / 5 + 32, 6) as f, cast(floor(82.5 + (ambient_temp % 201 - 100) / 100.0 * 27.5 + 0.5) as bigint) as level_f, case when ambient_temp / 100.0 - humidity / 150.0 > 0.5 then 'up' when ambient_temp / 100.0 - humidity / 150.0 < -0.5 then 'down' else 'stable' end as trend, cast(floor((greatest(55.0, least(95.0, ambient_temp / 30.0)) - 55) / 40 * 9 + 1 + 0.5) as bigint) as scale from bed_temp where ambient_temp is not null", "bed_temp")

@@ -27,4 +27,3 @@ def proj_reduce_cap(spark, sf_dir):
 
 QUERIES["proj_reduce_cap"] = proj_reduce_cap
 ORACLES["proj_reduce_cap"] = "with c as (select vec_id, list_transform(embedding[1:6], lambda x: x::double) as c from embeddings), z as (select *, [(c[1] + c[2]) / 2, (c[3] + c[4]) / 2, (c[5] + c[6]) / 2] as z from c) select vec_id, round(list_max(c), 5) as max, round(list_sum(c) / 6, 5) as mean, round(list_max(c) - list_min(c), 5) as spread, cast(list_position(z, list_max(z)) - 1 as bigint) as peak_zone from z"
-QUERIES["dsp_hr_shs"] = lambda spark, d: _samples(spark, d).select("vec_id", s.heart_rate(F.col("embedding"), 20.0).alias("heart_rate"))

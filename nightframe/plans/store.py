@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from ..operators import store as s
+from ..operators import segments as g, store as s
 from .core import NOW, reg
 
 
@@ -61,53 +61,53 @@ def schedule_groups(automations):
     return curves.groupBy("curve").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-@reg("st_auto_off", "select side, day, min(t) as since, count(*) as minutes from (select side, t, t // 86400 as day, quiet, row_number() over (partition by side, t // 86400 order by t) - row_number() over (partition by side, t // 86400, quiet order by t) as run from (select side, t, total_movement < 150 as quiet from movement)) where quiet group by side, day, run having count(*) >= 5", "movement")
-def auto_off(movement, minutes: int = 5):
-    """Runs of at least so many quiet minutes of a side and day."""
-    rows = movement.select("side", "t", F.expr("t div 86400").alias("day"), (F.col("total_movement") < 150).alias("quiet"))
-    w = lambda *k: Window.partitionBy("side", "day", *k).orderBy("t")
-    run = F.row_number().over(w()) - F.row_number().over(w("quiet"))
-    return rows.withColumn("run", run).filter("quiet").groupBy("side", "day", "run").agg(F.min("t").alias("since"), F.count("*").alias("minutes")).filter(F.col("minutes") >= minutes).drop("run")
+@reg("st_auto_off", ", x as (select side, t, total_movement < 150 as quiet, last_value(case when total_movement >= 150 then t end ignore nulls) over (partition by side order by t) as busy from movement) select side, min(t) as since, count(*) as minutes from x where quiet group by side, busy having count(*) >= 5", "movement")
+def auto_off(movement, minutes: int = 5, still: int = 150):
+    """Stretches without movement that last long enough to switch a side off."""
+    rows = movement.select("side", "t", (F.col("total_movement") < still).alias("quiet"))
+    rows = g.last_known(rows.withColumn("b", F.when(~F.col("quiet"), F.col("t"))), ["side"], "b", "busy")
+    return rows.filter("quiet").groupBy("side", "busy").agg(F.min("t").alias("since"), F.count("*").alias("minutes")).filter(F.col("minutes") >= minutes).drop("busy")
 
 
-@reg("st_downsample_60s", ", r as (select t, i, t as last, true as kept from (select t, row_number() over (partition by t // 3600 order by t) as i, t // 3600 as h from flow) where i = 1 union all select o.t, o.i, case when o.t - r.last >= 60 then o.t else r.last end, o.t - r.last >= 60 from r join (select t, row_number() over (partition by t // 3600 order by t) as i, t // 3600 as h from flow) o on o.h = r.t // 3600 and o.i = r.i + 1) select t from r where kept", "flow")
-def downsample_60s(flow, seconds: int = 60):
-    """The first frame of each hour and every one a minute after the last kept: a fold over an hour's frames."""
-    hours = flow.groupBy(F.expr("t div 3600").alias("h")).agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    none = F.array().cast("array<bigint>")
+CHAIN = ", o as (select t, row_number() over (order by t) as i from (select distinct t from flow)), n as (select o.t, o.i, (select min(x.t) from o x where x.t >= o.t + {0} and x.t < o.t + {0} + 3600) as nxt from o), r as (select t, nxt from n where i = 1 union all select n.t, n.nxt from r join n on n.t = r.nxt)"
 
-    def step(a, x):
-        return F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= seconds), F.concat(a, F.array(x))).otherwise(a)
 
-    return hours.select(F.explode(F.aggregate("ts", none, step)).alias("t"))
+@reg("st_downsample_60s", CHAIN.format(60) + " select t from r", "flow")
+def downsample_60s(flow, seconds: int = 60):
+    """The first frame and then every one a minute after the last kept."""
+    return g.chained(flow.select("t"), [], seconds)
 
 
-@reg("st_cap_downsample", ", r as (select t, i, t as began, h from (select t, row_number() over (partition by t // 3600 order by t) as i, t // 3600 as h from flow where t % 35 <> 0) where i = 1 union all select o.t, o.i, case when o.t - r.began >= 25 then o.t else r.began end, o.h from r join (select t, row_number() over (partition by t // 3600 order by t) as i, t // 3600 as h from flow where t % 35 <> 0) o on o.h = r.h and o.i = r.i + 1) select began, max(t) as t, count(*) as frames from r group by h, began", "flow")
+@reg("st_cap_downsample", CHAIN.format(25) + ", b as (select flow.t, (select max(r.t) from r where r.t <= flow.t) as began from flow) select began, max(t) as t, count(*) as frames from b group by began", "flow")
 def cap_downsample(flow, seconds: int = 25):
     """Windows that begin with their first frame and are closed by the first one ``seconds`` later."""
-    hours = flow.filter("t % 35 <> 0").groupBy(F.expr("t div 3600").alias("h")).agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    none = F.array().cast("array<struct<began: bigint, t: bigint, frames: bigint>>")
+    begins = g.chained(flow.select("t"), [], seconds).withColumn("b", F.col("t"))
+    rows = g.last_known(flow.select("t").join(begins, "t", "left"), [], "b", "began")
+    return rows.groupBy("began").agg(F.max("t").alias("t"), F.count("*").alias("frames"))
 
-    def step(a, x):
-        last = F.try_element_at(a, F.lit(-1))
-        one = F.struct(x.alias("began"), x.alias("t"), F.lit(1).cast("long").alias("frames"))
-        more = F.struct(last["began"].alias("began"), x.alias("t"), (last["frames"] + 1).alias("frames"))
-        return F.when((F.size(a) == 0) | (x - last["began"] >= seconds), F.concat(a, F.array(one))).otherwise(F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(more)))
 
-    return hours.select(F.inline(F.aggregate("ts", none, step)))
+@reg("agg_cap_window", CHAIN.format(25) + ", b as (select flow.t, left_rpm, right_rpm, case when left_rpm > right_rpm then 0 when left_rpm < right_rpm then 1 else 2 end as zone, (select max(r.t) from r where r.t <= flow.t) as began from flow), m as (select began, zone, count(*) as c, min(t) as f from b group by 1, 2) select began, max(t) as t, round(avg(greatest(left_rpm, right_rpm)), 6) as max, round(avg((left_rpm + right_rpm) / 2.0), 6) as mean, round(avg(abs(left_rpm - right_rpm)), 6) as spread, (select arg_max(zone, c * 1e12 - f) from m where m.began = b.began) as peak_zone, count(*) as frames from b group by began", "flow")
+def cap_window(flow, seconds: int = 25):
+    """Means of each window's frames and their most frequent zone (of equals the one seen first)."""
+    begins = g.chained(flow.select("t"), [], seconds).withColumn("b", F.col("t"))
+    zone = F.when(F.col("left_rpm") > F.col("right_rpm"), 0).when(F.col("left_rpm") < F.col("right_rpm"), 1).otherwise(2)
+    rows = g.last_known(flow.select("t", "left_rpm", "right_rpm", zone.alias("zone")).join(begins, "t", "left"), [], "b", "began")
+    modes = rows.groupBy("began", "zone").agg(F.count("*").alias("c"), F.min("t").alias("f")).groupBy("began").agg(F.max_by("zone", F.struct("c", -F.col("f"))).alias("peak_zone"))
+    left, right = F.col("left_rpm"), F.col("right_rpm")
+    means = rows.groupBy("began").agg(F.max("t").alias("t"), F.round(F.avg(F.greatest(left, right)), 6).alias("max"), F.round(F.avg((left + right) / 2), 6).alias("mean"), F.round(F.avg(F.abs(left - right)), 6).alias("spread"), F.count("*").alias("frames"))
+    return means.join(modes, "began")
 
 
-@reg("st_presence_hyst", ", o as (select side, t, t // 86400 as day, total_movement as v, row_number() over (partition by side, t // 86400 order by t) as i from movement), r as (select side, day, t, i, v > 400 as present, 0 as quiet from o where i = 1 union all select o.side, o.day, o.t, o.i, case when not r.present then o.v > 400 else not (o.v < 150 and r.quiet + 1 >= 3) end, case when r.present and o.v < 150 and r.quiet + 1 < 3 then r.quiet + 1 else 0 end from r join o on o.side = r.side and o.day = r.day and o.i = r.i + 1) select side, t, present from r", "movement")
+@reg("st_presence_hyst", ", o as (select side, t, total_movement as v, row_number() over (partition by side order by t) as i from movement), r as (select side, t, i, v > 400 as present, 0 as quiet from o where i = 1 union all select o.side, o.t, o.i, case when not r.present then o.v > 400 else not (o.v < 150 and r.quiet + 1 >= 3) end, case when r.present and o.v < 150 and r.quiet + 1 < 3 then r.quiet + 1 else 0 end from r join o on o.side = r.side and o.i = r.i + 1) select side, t, present from r", "movement")
 def presence_hyst(movement, enter: int = 400, leave: int = 150, quiet: int = 3):
-    """Presence with hysteresis: on above ``enter``, off after ``quiet`` values in a row below ``leave``; a fold over a side's day."""
-    days = movement.groupBy("side", F.expr("t div 86400").alias("day")).agg(F.array_sort(F.collect_list(F.struct("t", F.col("total_movement").alias("v")))).alias("e"))
-    start = F.struct(F.lit(False).alias("on"), F.lit(0).alias("quiet"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(a, x):
-        low = a["on"] & (x["v"] < leave)
-        off = low & (a["quiet"] + 1 >= quiet)
-        on = F.when(a["on"], ~off).otherwise(x["v"] > enter)
-        return F.struct(on.alias("on"), F.when(low & ~off, a["quiet"] + 1).otherwise(0).alias("quiet"), F.concat(a["out"], F.array(on)).alias("out"))
-
-    rows = days.withColumn("on", F.aggregate("e", start, step, lambda a: a["out"]))
-    return rows.select("side", F.explode(F.arrays_zip("e", "on")).alias("x")).select("side", "x.e.t", F.col("x.on").alias("present"))
+    """Presence with hysteresis: on above ``enter``, off after ``quiet`` values in a row below ``leave``.
+
+    The state is -1 for absent, else the number of low values in a row.
+    """
+
+    def step(s, v):
+        low = F.when(s + 1 >= quiet, -1).otherwise(s + 1)
+        return F.when(s < 0, F.when(v > enter, 0).otherwise(-1)).otherwise(F.when(v < leave, low).otherwise(0))
+
+    rows = g.automaton(movement, ["side"], "total_movement", [-1, *range(quiet)], step, -1, "state")
+    return rows.select("side", "t", (F.col("state") >= 0).alias("present"))

@@ -16,13 +16,16 @@ SPECS: dict[str, tuple[str, dict[str, str], str]] = {
     "movement": ("events", {"id": "event_id", "side": "case when event_id % 2 = 0 then 'left' else 'right' end", "t": f"{START} + (event_id {{div}} 2) * 60", "total_movement": "cast(least(1000, floor(value * 4)) as int)"}, ""),
     "vitals": ("events", {"id": "event_id", "side": "case when event_id % 2 = 0 then 'left' else 'right' end", "t": f"{START} + (event_id {{div}} 2) * 60", "heart_rate": "case when event_type = 'error' then null else cast(40 + event_id * 7 % 90 as double) end", "hrv": "cast(event_id * 13 % 320 as double)", "breathing_rate": "cast(6 + event_id * 3 % 22 as double)"}, ""),
     "bed_temp": ("events", {"t": f"{START} + event_id * 60", "ambient_temp": "case when event_id % 17 = 0 then null else 1500 + cast(floor(value * 10) as int) end", "humidity": "cast(3000 + event_id % 4000 as int)", "left_outer_temp": "cast(2000 + event_id * 11 % 900 as int)", "left_center_temp": "case when event_id % 5 = 0 then null else cast(2100 + event_id * 17 % 900 as int) end", "left_inner_temp": "case when event_id % 7 = 0 then null else cast(2050 + event_id * 23 % 900 as int) end"}, "event_type <> 'error'"),
-    "freezer_temp": ("events", {"t": f"{START} + event_id * 60", "ambient_raw": "case when event_id % 50 = 0 then 32768 when event_id % 51 = 0 then -1 else cast(1800 + event_id * 7 % 11000 as int) end", "heatsink_raw": "case when event_id % 40 = 0 then 65535 else cast(2000 + event_id * 29 % 12000 as int) end", "left_water_raw": "case when event_id % 30 = 0 then -32768 else cast(event_id * 31 % 14000 - 1000 as int) end"}, "event_type = 'error' or event_id % 3 = 0"),
-    "light": ("events", {"t": f"{START} + event_id * 60", "lux": "round(value * 3, 3)"}, "event_id % 4 = 1"),
+    "freezer_temp": ("events", {"t": f"{START} + event_id * 60", "ambient_raw": "case when event_id % 50 = 0 then 32768 when event_id % 51 = 0 then -1 else cast(1800 + event_id * 7 % 11000 as int) end", "heatsink_raw": "case when event_id % 40 = 0 then 65535 else cast(2000 + event_id * 29 % 12000 as int) end", "left_water_raw": "case when event_id % 30 = 0 then -32768 else cast(event_id * 31 % 14000 - 1000 as int) end"}, ""),
+    "light": ("events", {"t": f"{START} + event_id * 60", "lux": "round(value * 3, 3)"}, ""),
     "flow": ("events", {"t": f"{START} + event_id * 5", "left_flow": "case when event_id % 37 = 0 then null else cast(event_id * 37 % 1200 as int) end", "right_flow": "cast(event_id * 53 % 1200 as int)", "left_rpm": "cast(case when event_id % 20 < 7 then event_id % 60 else 1900 end as int)", "right_rpm": "cast(case when event_id % 31 < 5 then 0 else 1800 + event_id % 100 end as int)"}, ""),
-    "water": ("events", {"t": f"{START} + event_id * 60", "level": "case when event_type = 'error' then 'low' else 'ok' end"}, "event_id % 3 <> 1"),
-    "automations": ("nation", {"id": "n_nationkey", "name": "n_name", "enabled": "n_nationkey % 3 <> 0", "priority": "cast(n_regionkey as int)", "cooldown_min": "cast(n_nationkey % 5 * 10 as int)"}, ""),
+    "water": ("events", {"t": f"{START} + event_id * 60", "level": "case when event_type = 'error' then 'low' else 'ok' end"}, ""),
+    "automations": ("customer", {"id": "c_custkey", "name": "c_name", "enabled": "c_acctbal > 0", "priority": "cast(c_nationkey as int)", "cooldown_min": "cast(c_custkey % 5 * 10 as int)"}, ""),
     "runs": ("orders", {"id": "o_orderkey", "automation_id": "o_custkey % 30", "fired_at": f"{START} + o_orderkey * 97 % 2000000", "outcome": "case when o_orderstatus = 'F' then 'fired' when o_orderstatus = 'O' then 'suppressed' else 'skipped' end"}, ""),
-    "quality": ("events", {"vitals_id": "event_id", "quality_score": "round(value / 500, 6)"}, "event_id % 3 = 0"),
+    "alerts": ("orders", {"id": "o_orderkey", "kind": "case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'water' else 'pump' end", "side": "case when o_custkey % 2 = 0 then 'left' else 'right' end", "t": f"{START} + o_orderkey * 61", "severity": "o_orderpriority", "acknowledged_at": f"case when o_orderstatus = 'P' then null else {START} + o_orderkey * 61 + 600 end", "dismissed_at": f"case when o_orderstatus = 'F' then {START} + o_orderkey * 61 + 3600 end"}, ""),
+    "calibrations": ("part", {"id": "p_partkey", "side": "case when p_partkey % 2 = 0 then 'left' else 'right' end", "sensor": "case when p_size <= 17 then 'capacitance' when p_size <= 34 then 'piezo' else 'temperature' end", "status": "case when p_type = 'ECONOMY' then 'failed' else 'completed' end", "quality": "round(p_retailprice / 3000, 6)", "t": f"{START} + p_partkey * 90"}, ""),
+    "device_state": ("supplier", {"side": "case when s_suppkey % 2 = 0 then 'left' else 'right' end", "t": f"{START} + s_suppkey * 60", "powered": "s_acctbal > 0", "target_f": "cast(60 + s_nationkey as double)", "current_f": "cast(60 + s_suppkey % 30 as double)"}, ""),
+    "quality": ("events", {"vitals_id": "event_id", "quality_score": "round(value / 500, 6)"}, "event_type <> 'signup'"),
 }
 
 
