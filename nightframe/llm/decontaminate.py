@@ -43,6 +43,8 @@ from .textbytes import LOWER, WORD_BREAKS, SpanHash, runs, slices, text_bytes, w
 SIZE = 24
 #: Bits of the hashed features, and dimensions of the latent space.
 BITS, RANK, SEED = 16, 48, 7
+#: Columns of the test matrix beyond the rank.
+MORE = 16
 COSINE = 0.45
 #: Share of passages up to which a feature is rare.
 RARE = 0.002
@@ -143,11 +145,11 @@ def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str
 
     df = _summed(only, frequencies, width + 1)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + np.float32(0.01)
-    rank = min(RANK, width)
-    test = np.random.default_rng(SEED).standard_normal((width, rank)).astype(np.float32)
+    columns = min(RANK + MORE, width)
+    test = np.random.default_rng(SEED).standard_normal((width, columns)).astype(np.float32)
 
     def range_finder(batches):
-        total = np.zeros((width, rank), np.float32)
+        total = np.zeros((width, columns), np.float32)
         weighted = test * idf[:, None]
         for _, data, offsets in slices(batches, "text"):
             h, first = words_of(data, offsets)
@@ -160,11 +162,11 @@ def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str
                 total[f[order][cut]] += np.add.reduceat(rows[p[order]], cut, axis=0)
         return total * idf[:, None]
 
-    g = _summed(only, range_finder, width * rank).reshape(width, rank)
+    g = _summed(only, range_finder, width * columns).reshape(width, columns)
     basis, _ = np.linalg.qr(g)
     small = basis.T @ g @ np.linalg.pinv(basis.T @ test)
     values, turn = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(-values)
+    order = np.argsort(-values)[:RANK]
     return Latent(numbers, idf, (basis @ turn[:, order]).astype(np.float32), np.sqrt(np.maximum(values[order], 0)))
 
 

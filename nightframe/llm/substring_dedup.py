@@ -72,7 +72,7 @@ def _anchor_entries(width: int, gram: int):
     return entries
 
 
-def _suffixes(width: int, gram: int, text: str):
+def _suffixes(width: int, gram: int):
     """Rows with hits -> suffixes, and marks that are certain within the task (fingerprint null).
 
     ``at`` holds the window's start in its low 32 bits and a tag of the row's version above them.
@@ -91,7 +91,7 @@ def _suffixes(width: int, gram: int, text: str):
 
     def run(batches):
         parts, size = [], 0
-        for batch, data, offsets in slices((b.filter(b.column("hits").is_valid()) for b in batches), text):
+        for batch, data, offsets in slices((b.filter(b.column("hits").is_valid()) for b in batches), "text"):
             words, first, at, row, anchor = _windows(data, offsets, width, gram)
             hit_row, hit = hit_lists(batch.column("hits"))
             salt = lambda r: mix(r.astype(np.uint64) + np.uint64(1))
@@ -140,15 +140,19 @@ def _deep_nodes(batches):
 
 
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """All columns with an id and a version; both joins below read this, so its shuffle by id is made once."""
-    return df.withColumns({"__id": F.col(key).cast("long"), "__version": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    """The text, an id, a version, and all other columns as one, whatever their names.
+
+    Both joins below read this, so its shuffle by id is made once.
+    """
+    rest = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text))
+    return df.select(F.col(key).cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__version"), F.col(text).alias("text"), rest.alias("rest"))
 
 
-def _marks(rows: DataFrame, width: int, gram: int, text: str) -> DataFrame:
+def _marks(rows: DataFrame, width: int, gram: int) -> DataFrame:
     """(__id, starts array<long>): window starts, tagged by version, that begin in a smaller document."""
     gram = min(gram, width)
-    hits = scratch.written(shared(rows, _anchor_entries(width, gram), "__id", text), "anchors").withColumnRenamed("doc_id", "__id")
-    run, schema = _suffixes(width, gram, text)
+    hits = scratch.written(shared(rows, _anchor_entries(width, gram), "__id", "text"), "anchors").withColumnRenamed("doc_id", "__id")
+    run, schema = _suffixes(width, gram)
     suffixes = rows.join(hits, "__id", "left").mapInArrow(run, schema)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = suffixes.repartitionByRange(n, "code").sortWithinPartitions("code", "print", "doc_id")
@@ -188,33 +192,34 @@ def dedup(df: DataFrame, width: int = WIDTH, gram: int = GRAM, key: str = "doc_i
     (doc_id, n_words, n_removed, kept_sha256) of every row.
     """
     rows = _rows(df.select(key, text) if digest else df, key, text)
-    found = _marks(rows, width, gram, text)
+    found = _marks(rows, width, gram)
     joined = rows.join(found, "__id", "left")
-    names = df.columns
+    names = [key, text] if digest else df.columns
     schema = f"{key} {df.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" if digest else df.schema
 
     def run(batches):
-        for batch, data, offsets in slices(batches, text):
+        for batch, data, offsets in slices(batches, "text"):
             starts, ends, first = word_spans(data, offsets)
+            rest = dict(zip((c for c in names if c != text), batch.column("rest").flatten()))
             gone = _removed(batch, first, width)
             removed = np.diff(np.append(0, np.cumsum(gone))[first])
             out, at = _kept(data, starts, ends, first, gone)
             raw, cut = memoryview(out), at.tolist()
             if digest:
                 sha = [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(first)), pa.array(removed), pa.array(sha, pa.string())], [key, "n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([rest[key], pa.array(np.diff(first)), pa.array(removed), pa.array(sha, pa.string())], [key, "n_words", "n_removed", "kept_sha256"])
             else:
-                texts = batch.column(text).to_pylist()
+                texts = batch.column("text").to_pylist()
                 for k in np.flatnonzero(removed):
                     texts[k] = bytes(raw[cut[k] : max(cut[k], cut[k + 1] - 1)]).decode()
-                yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column(text).type) if c == text else batch.column(c) for c in names], names)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, batch.column("text").type) if c == text else rest[c] for c in names], names)
 
     return joined.mapInArrow(run, schema)
 
 
 def maximal_repeats(df: DataFrame, width: int = WIDTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, n_words): stretches of at least ``width`` words whose windows begin in smaller documents."""
-    found = _marks(_rows(df, key, text), width, gram, text)
+    found = _marks(_rows(df, key, text), width, gram)
     at = found.select(F.col("__id").alias("doc_id"), F.explode("starts").alias("s")).select("doc_id", F.expr("s >> 32").alias("version"), F.expr("s & 4294967295L").alias("at"))
     # windows that touch or overlap belong to one stretch
     w = Window.partitionBy("doc_id", "version").orderBy("at")

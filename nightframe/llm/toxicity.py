@@ -213,17 +213,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not n_rows:
         return Chain(CATEGORIES, np.zeros(0, np.uint64), [Linear() for _ in CATEGORIES])
     chain = Chain(CATEGORIES, association(labelled, n_rows, positives, max_features, min_docs), [])
-    # the bounded sample: about max_rows rows by a hash of the id, each as its few chosen features
-    share = min(1.0, max_rows / n_rows)
-    drawn = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # the sample: the max_rows rows with the least hashes of id and text, each as its few chosen features
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
+    labelled = labelled.withColumn("draw", draw)
+    share = int(min(1.0, 1.2 * max_rows / n_rows) * (1 << 20))
 
     def reduce_rows(batches):
         for batch, data, offsets in slices(batches, "text"):
             row, f = chain.entries(data, offsets)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f.astype(np.int32)))], ["doc_id", "y", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f.astype(np.int32))), batch.column("draw")], ["doc_id", "y", "f", "draw"])
 
-    sample = drawn.mapInArrow(reduce_rows, "doc_id long, y array<int>, f array<int>").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(folds))).orderBy("doc_id", "f").collect()
+    def sampled(rows):
+        fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(folds))
+        rows = rows.mapInArrow(reduce_rows, "doc_id long, y array<int>, f array<int>, draw long").withColumn("fold", fold)
+        return rows.orderBy("draw", "doc_id", "f", "y").limit(max_rows).collect()
+
+    # rows of few ids and texts may all lie beyond the share of hashes that is looked at first
+    sample = sampled(labelled.filter(F.col("draw") <= share)) or sampled(labelled)
     n, width = len(sample), len(chain.hashes)
     y = np.array([r["y"] for r in sample], np.float64).reshape(n, k)
     fold = np.array([r["fold"] for r in sample], np.int64)

@@ -81,7 +81,7 @@ def lookup_keys(urls: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """The pages with host, path, rule and verdict.
+    """The pages with host, path, rule and verdict; these four replace columns of the same names.
 
     ``listed``: (host, path) of URLs to block; ``rules``: (host, path, verdict), of moderate number.
     The lengths of rules' paths come to the driver: at most as many as a URL may have characters.
@@ -89,15 +89,16 @@ def judge(pages: DataFrame, listed: DataFrame, rules: DataFrame, url: str = "url
     rule_rows = rules.select(F.lit("prefix").alias("kind"), "host", "path", "verdict").distinct()
     entries = rule_rows.unionByName(listed.select(F.lit("exact").alias("kind"), "host", "path", F.lit("block").alias("verdict")).distinct())
     n_entries, lengths = entries.agg(F.count("*"), F.collect_set(F.when(F.col("kind") == "prefix", F.length("path")))).first()
-    pages = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
+    pages = pages.withColumns({"__host": host(F.col(url)), "__path": path(F.col(url))}).drop("host", "path", "rule", "verdict")
+    pages = pages.withColumnsRenamed({"__host": "host", "__path": "path"})
     urls = pages.select("host", "path").filter("host <> '' or path <> ''").distinct()
     maybe = possible(lookup_keys(urls, sorted(lengths)), entries.select("kind", "host", "path"), n_entries)
     sure = maybe.join(entries.hint("shuffle_hash"), ["kind", "host", "path"])
     by_rule = F.when(F.col("kind") == "prefix", F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("h"), F.concat("host", "path").alias("rule"), "verdict"))
-    found = sure.groupBy(F.col("u_host").alias("host"), F.col("u_path").alias("path")).agg(F.max(by_rule).alias("best"))
-    return pages.join(found.withColumn("hit", F.lit(True)), ["host", "path"], "left").select(
-        *(c for c in pages.columns), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.when(F.col("hit"), F.lit("block")), F.lit("allow")).alias("verdict")
-    )
+    found = sure.groupBy(F.col("u_host").alias("host"), F.col("u_path").alias("path")).agg(F.max(by_rule).alias("__best"))
+    verdict = F.coalesce("__best.verdict", F.when(F.col("__hit"), F.lit("block")), F.lit("allow"))
+    joined = pages.join(found.withColumn("__hit", F.lit(True)), ["host", "path"], "left")
+    return joined.select(*pages.columns, F.col("__best.rule").alias("rule"), verdict.alias("verdict"))
 
 
 #: Rules of the registered query: (host, path, verdict).

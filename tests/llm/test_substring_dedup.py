@@ -49,8 +49,8 @@ def test_equals_brute_force(spark, monkeypatch, seed, width, gram):
     got = substring_dedup.dedup(df, width, gram, digest=True).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((d, n, g, hashlib.sha256(k.encode()).hexdigest())) for d, n, g, k in want)
     if seed == 1:
-        back = substring_dedup.dedup(df.drop("starts", "version").withColumn("source", substring_dedup.F.lit("x")), width, gram)
-        assert back.columns == ["doc_id", "text", "source"]
+        back = substring_dedup.dedup(df.withColumn("source", substring_dedup.F.lit("x")), width, gram)
+        assert back.columns == ["doc_id", "text", "starts", "version", "source"]
         assert sorted(repr((r[0], r[1])) for r in back.collect()) == sorted(repr((d, k if g else t)) for (d, _, g, k), (_, t) in zip(want, rows))
         repeats = substring_dedup.maximal_repeats(df, width, gram).collect()
         assert all(r["n_words"] >= width for r in repeats)
@@ -60,3 +60,12 @@ def test_equals_brute_force(spark, monkeypatch, seed, width, gram):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.dedup(df, digest=True).count() == 0
+
+
+def test_other_columns_stay(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    names = ["starts", "hits", "__id", "__version", "rest", "at", "code"]
+    df = spark.createDataFrame([(k, words, *(f"{n}{k}" for n in names)) for k in (1, 2)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {r["doc_id"]: r for r in substring_dedup.dedup(df).collect()}
+    assert got[1]["text"] == words and got[2]["text"] == ""
+    assert all(got[k][n] == f"{n}{k}" for k in (1, 2) for n in names)

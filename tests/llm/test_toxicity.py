@@ -45,3 +45,14 @@ def test_without_labels_or_documents(spark):
     chain = toxicity.train(df, none)
     assert [r["rejected"] for r in toxicity.score(df, chain).collect()] == [False]
     assert toxicity.score(df.limit(0), chain).count() == 0
+
+
+def test_sample_is_bounded_and_never_empty(spark):
+    """Many rows of one id and text: the sample has max_rows of them, whatever their hash."""
+    from nightframe.llm import toxicity
+
+    for text in ("mild words here", "other words there", "more of them"):
+        docs = spark.createDataFrame([(7, text)] * 400, "doc_id long, text string")
+        labels = spark.createDataFrame([(7, 1, 1)], "doc_id long, quality int, toxic int")
+        chain = toxicity.train(docs, labels, max_rows=20, min_docs=1)
+        assert toxicity.score(docs, chain).filter("rejected").count() == 400

@@ -32,6 +32,15 @@ def test_equals_brute_force(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(r["url"], listed, url_filter.RULES), r["url"]
 
 
+def test_other_columns_stay(spark):
+    """Columns with names that the operator uses, and those it puts in place of the page's."""
+    names = "page_id url hit best rule verdict host path kind block u_host u_path".split()
+    df = spark.createDataFrame([tuple([1, "http://x.com/de/1", *names[2:]])], "page_id long, " + ", ".join(f"{c} string" for c in names[1:]))
+    got = url_filter.judge(df, url_filter.listing(df), url_filter.rules_frame(spark))
+    assert sorted(got.columns) == sorted(names)
+    assert got.first().asDict() == dict(zip(names, names)) | {"page_id": 1, "url": "http://x.com/de/1", "host": "x.com", "path": "/de/1", "rule": "com/de/", "verdict": "block"}
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     df = spark.range(4000).selectExpr("'exact' kind", "concat('h', id, '.org') host", "'/' path")
     listed, others = df.filter("cast(substring(host, 2, length(host) - 5) as int) < 2000"), df
