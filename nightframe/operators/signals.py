@@ -89,7 +89,15 @@ def heart_rate_of(x: np.ndarray, rate: float, low: float = 45, high: float = 120
     inner = acr[:, lags]
     score = np.where(_peaks(inner, 0.02, int(rate * 0.15)), score, -1)
     best = score.argmax(1)
-    top = score[np.arange(len(x)), best]
+    every = np.arange(len(x))
+    # a lag of two beats scores high as well: where half of it is as strong a peak, that is the beat
+    half = np.round(lags[best] / 2).astype(int) - lags[0]
+    for k in np.flatnonzero(half > 0):
+        near = np.arange(max(0, half[k] - 3), half[k] + 4)
+        better = near[score[k, near].argmax()]
+        if score[k, better] > 0 and inner[k, better] >= 0.9 * inner[k, best[k]]:
+            best[k] = better
+    top = score[every, best]
     return np.where(top >= 0.1, 60 * rate / lags[best], np.nan), np.maximum(top, 0)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Those new rows whose key is not in the target, one for each key."""
-    return rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti").select(*target.columns)
+    return rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti").select(*rows.columns)
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -244,9 +244,9 @@ def overlay(vitals, movement):
     return a.union(b).groupBy("side", "t").agg(F.max_by("v", "priority").alias("v"))
 
 
-@reg("set_except_remote", "select id from automations where id not in (select automation_id from runs where outcome = 'fired' and id % 997 = 0)", "automations", "runs")
+@reg("set_except_remote", "select id from automations where id not in (select automation_id from runs where outcome = 'fired')", "automations", "runs")
 def except_remote(automations, runs):
-    return automations.join(runs.filter("outcome = 'fired' and id % 997 = 0").select(F.col("automation_id").alias("id")), "id", "left_anti").select("id")
+    return automations.join(runs.filter("outcome = 'fired'").select(F.col("automation_id").alias("id")), "id", "left_anti").select("id")
 
 
 @reg("flt_plausible_vitals", "select id, side, t from vitals where (heart_rate is null or heart_rate between 30 and 180) and (hrv is null or (hrv > 0 and hrv <= 400)) and (breathing_rate is null or breathing_rate between 6 and 30)", "vitals")
@@ -309,7 +309,14 @@ reg("top_vitals", "select id, side, t, hrv from vitals where side = 'left' order
 reg("top_movement", "select id, side, t, total_movement from movement where side = 'right' order by t desc limit 288", "movement")(lambda m: top(m.filter("side = 'right'"), "t", 288, 1000))
 reg("top_sleep_records", "select id, side, entered from sleep_records where side = 'left' order by entered desc limit 30", "movement", "sleep_records")(lambda _, s: top(s.filter("side = 'left'").select("id", "side", "entered"), "entered", 30, 100))
 reg("top_bed_temp", "select t, round(ambient_temp / 100 * 9 / 5 + 32, 6) as ambient_f from bed_temp order by t desc limit 1440", "bed_temp")(lambda b: top(b.select("t", rnd(u.c_to_f(u.centi_to_c(F.col("ambient_temp")))).alias("ambient_f")), "t", 1440, 1440))
-reg("rules_by_priority", "select id, name, priority, row_number() over (order by priority desc, id) as place from automations", "automations")(lambda a: a.select("id", "name", "priority", F.row_number().over(Window.orderBy(F.desc("priority"), "id")).cast("long").alias("place")))
+@reg("rules_by_priority", "select id, name, priority, row_number() over (order by priority desc, id) as place from automations", "automations")
+def rules_by_priority(automations):
+    """Rules in the order they are looked at: places within a priority, after all rules of higher ones."""
+    counts = automations.groupBy("priority").agg(F.count("*").alias("c"))
+    higher = F.sum("c").over(Window.orderBy(F.desc("priority")).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("priority", F.coalesce(higher, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("priority").orderBy("id")) + F.col("before")
+    return automations.join(counts, "priority").select("id", "name", "priority", place.alias("place"))
 
 
 @reg("stride_sample", "select t, total_movement from (select *, row_number() over (order by t) - 1 as i, count(*) over () as n from movement where side = 'left') where i % (cast(ceil(n / 500.0) as bigint)) = 0", "movement")

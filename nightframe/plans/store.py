@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import segments as g, store as s
+from ..operators import patterns as p, segments as g, store as s
 from .core import NOW, reg
 
 
-@reg("sink_insert_ignore", "select id, side, t, total_movement from movement where id % 3 = 0 and not exists (select 1 from movement m where m.side = movement.side and m.t = movement.t and m.id % 2 = 0)", "movement")
-def insert_ignore(movement):
-    return s.insert_ignore(movement.filter("id % 2 = 0"), movement.filter("id % 3 = 0"), ["side", "t"])
+@reg("sink_insert_ignore", "select v.id, v.side, v.t, v.hrv from vitals v where not exists (select 1 from movement m join sleep_records s on s.side = m.side and m.t between s.entered and coalesce(s.left_at, 99999999999) where m.side = v.side and m.t = v.t)", "vitals", "movement", "sleep_records")
+def insert_ignore(vitals, movement, sessions):
+    """The vitals that a store gets which already has the rows of all nights."""
+    held = p.in_bed(movement, sessions).select("side", "t")
+    return s.insert_ignore(held, vitals.select("id", "side", "t", "hrv"), ["side", "t"])
 
 
-@reg("sink_upsert_keyed", "select side, arg_max(id, t * 2 + n) as id, max(t) as t from (select side, id, t, 0 as n from movement where id % 2 = 0 union all select side, id, t, 1 from movement where id % 5 = 0) group by 1", "movement")
-def upsert(movement):
-    m = movement.select("side", "id", "t")
-    return s.upsert(m.filter("id % 2 = 0"), m.filter("id % 5 = 0"), ["side"], "t")
+@reg("sink_upsert_keyed", "select automation_id, arg_max(id, fired_at * 1000000 + id) as id, max(fired_at) as fired_at from runs group by 1", "runs")
+def upsert(runs):
+    """The store of each automation's latest run after the runs that fired and then all others were put in."""
+    rows = runs.select("automation_id", "id", "fired_at", (F.col("fired_at") * 1000000 + F.col("id")).alias("version"))
+    fired = runs["outcome"] == "fired"
+    return s.upsert(rows.filter(fired), rows.filter(~fired), ["automation_id"], "version").select("automation_id", "id", "fired_at")
 
 
 @reg("dml_retention", f"select id, t from movement where t >= {NOW} - 86400", "movement")

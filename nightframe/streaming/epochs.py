@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh path in the cluster's shared folder (a local one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="nightframe-")
+    """A fresh path in the cluster's shared folder (a local one only where none is set and all tasks run on this machine)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="nightframe-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
