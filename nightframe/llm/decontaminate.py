@@ -76,15 +76,26 @@ def features_of(h: np.ndarray, begin: np.ndarray, numbers: np.ndarray):
     return f[at], np.searchsorted(begin, at, "right") - 1
 
 
-def _by_passage(values: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of ``values`` for each of ``n`` passages (which come in order)."""
-    out = np.zeros((n, values.shape[1]), values.dtype)
-    if len(passage):
+def _by_passage(table: np.ndarray, f: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows ``f`` of ``table`` for each of ``n`` passages (which come in order): first words, second words and so on."""
+    out = np.zeros((n, table.shape[1]), table.dtype)
+    if len(f):
         cut = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-        out[passage[cut]] = np.add.reduceat(values, cut, axis=0)
+        long = np.diff(np.append(cut, len(f)))
+        place = runs(long)
+        order = np.argsort(place.astype(np.uint16) if long.max() < 1 << 16 else place, kind="stable")
+        edges = np.append(0, np.cumsum(np.bincount(place))).tolist()
+        for a, b in zip(edges, edges[1:]):
+            out[passage[order[a:b]]] += table[f[order[a:b]]]
     return out
 
 
+def _by_feature(f: np.ndarray, passage: np.ndarray):
+    """(order of the words by feature and then passage, first word of each feature in it)."""
+    order = np.argsort(f.astype(np.uint16), kind="stable")
+    return order, np.flatnonzero(np.append(True, np.diff(f[order]) > 0))
+
+
 def _summed(df: DataFrame, run, width: int) -> np.ndarray:
     """Column sums of fixed-size partial sums: tasks give 64 slices each, slices meet by number and are added one by one."""
     parts = 64
@@ -139,7 +150,10 @@ def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str
             h, first = words_of(data, offsets)
             _, begin, _ = passages(first)
             f, p = features_of(h, begin, numbers)
-            total[:-1] += np.bincount(np.unique(p * width + f) % max(width, 1), minlength=width)
+            if len(f):
+                order, _ = _by_feature(f, p)
+                f, p = f[order], p[order]
+                total[:-1] += np.bincount(f[np.append(True, (np.diff(f) > 0) | (np.diff(p) > 0))], minlength=width)
             total[-1] += len(begin)
         return total
 
@@ -156,10 +170,10 @@ def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str
             _, begin, _ = passages(first)
             f, p = features_of(h, begin, numbers)
             if len(f):
-                rows = _by_passage(weighted[f], p, len(begin))
-                order = np.argsort(f, kind="stable")
-                cut = np.flatnonzero(np.append(True, np.diff(f[order]) > 0))
-                total[f[order][cut]] += np.add.reduceat(rows[p[order]], cut, axis=0)
+                order, cut = _by_feature(f, p)
+                # turned, so that what is added up lies together
+                rows = np.ascontiguousarray(_by_passage(weighted, f, p, len(begin)).T)
+                total[f[order[cut]]] += np.add.reduceat(np.take(rows, p[order], axis=1), cut, axis=1).T
         return total * idf[:, None]
 
     g = _summed(only, range_finder, width * columns).reshape(width, columns)
@@ -235,7 +249,7 @@ def _blocks(rows, model: Latent, folder: str | None) -> list:
             continue
         size, begin = np.diff(first)[some], first[:-1][some]
         f, item = features_of(h, begin, model.numbers)
-        vectors = _by_passage((model.basis * model.idf[:, None])[f], item, len(some))
+        vectors = _by_passage(model.basis * model.idf[:, None], f, item, len(some))
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         pairs = np.unique(item * len(model.idf) + f)
         own, of = pairs % len(model.idf), pairs // len(model.idf)
@@ -244,7 +258,8 @@ def _blocks(rows, model: Latent, folder: str | None) -> list:
         need = np.maximum(1, np.floor((distinct - (1 - COVER) * size) / 2)).astype(np.int16)
         rare = np.bincount(of[_rare(model)[own]], minlength=len(some))
         need_rare = np.maximum(0, np.floor((rare - (1 - COVER) * size) / 2)).astype(np.int16)
-        x = {"ids": np.array([part[k]["id"] for k in some], np.int64), "flat": h, "begin": begin, "size": size, "vectors": vectors, "own": own, "of": of, "need": need, "need_rare": need_rare}
+        vocabulary, places = np.unique(h, return_inverse=True)
+        x = {"ids": np.array([part[k]["id"] for k in some], np.int64), "flat": h, "vocabulary": vocabulary, "places": places, "begin": begin, "size": size, "vectors": vectors, "own": own, "of": of, "need": need, "need_rare": need_rare}
         out.append(_stored(x, f"{folder}/block-{len(out)}") if folder else x)
     return out
 
@@ -258,7 +273,7 @@ def _search(docs: DataFrame, blocks: list, model: Latent, keep: list[str], text:
             held = [([], []) for _ in range(batch.num_rows)]
             f, p = features_of(h, begin, model.numbers) if len(h) and blocks else (np.zeros(0, np.int32), np.zeros(0, np.int64))
             if len(f):
-                latent = _by_passage(weighted[f], p, len(begin))
+                latent = _by_passage(weighted, f, p, len(begin))
                 both = np.flatnonzero(row[1:] == row[:-1])
                 latent[both] += latent[both + 1]
                 latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
@@ -273,20 +288,21 @@ def _search(docs: DataFrame, blocks: list, model: Latent, keep: list[str], text:
                 has = np.zeros((len(model.idf), n), np.uint8)
                 has[x["own"], x["of"]] = 1
                 # the bound: rare features of the pair that each item has, then all distinct ones
-                common = _by_passage(has[f[few]], p[few], len(begin))
+                common = _by_passage(has, f[few], p[few], len(begin))
                 common[both] += common[both + 1]
                 near &= common >= x["need_rare"]
                 at = np.flatnonzero(near.any(1))
                 if not len(at):
                     continue
+                known = _known(x, h, model.numbers)
                 for a in range(0, len(at), 1024):
                     some = at[a : a + 1024]
                     stop = np.where(joined[some], edge[np.minimum(some + 2, len(begin))], edge[some + 1])
                     long = stop - edge[some]
                     which = np.repeat(np.arange(len(some)), long)
                     pairs = np.unique(which * len(model.idf) + f[np.repeat(edge[some], long) + runs(long)])
-                    common = _by_passage(has[pairs % len(model.idf)], pairs // len(model.idf), len(some))
-                    _check(x, h, first, row, begin, held, *(v.tolist() for v in _found(some, near[some] & (common >= x["need"]))))
+                    common = _by_passage(has, pairs % len(model.idf), pairs // len(model.idf), len(some))
+                    _check(x, h, known, first, row, begin, held, *_found(some, near[some] & (common >= x["need"])))
             found = [sorted(i) for i, _ in held]
             cover = [max(c, default=0.0) for _, c in held]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.list_(pa.int64())), pa.array(cover, pa.float64())], [*keep, *columns])
@@ -300,15 +316,55 @@ def _found(some: np.ndarray, mask: np.ndarray):
     return some[k], j
 
 
-def _check(x: dict, h, first, row, begin, held: list, at: list, items: list) -> None:
+def _known(x: dict, h: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """For each word its place among the block's distinct words, or their number where it is none of them."""
+    out = np.full(len(h), len(x["vocabulary"]), np.int32)
+    some = np.flatnonzero(numbers[(h >> np.uint64(64 - BITS)).astype(np.int64)] >= 0)
+    at = np.minimum(np.searchsorted(x["vocabulary"], h[some]), len(x["vocabulary"]) - 1)
+    same = x["vocabulary"][at] == h[some]
+    out[some[same]] = at[same]
+    return out
+
+
+def _covers(x: dict, known: np.ndarray, lo: np.ndarray, hi: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """``lcs`` of candidates (regions, items of at most 64 words), all of them at once: one step for each word of the longest region."""
+    none = len(x["vocabulary"])
+    long = int((hi - lo).max())
+    position = lo[:, None] + np.arange(long)
+    words = np.where(position < hi[:, None], known[np.minimum(position, len(known) - 1)], none)
+    order = np.argsort(items, kind="stable")
+    cut = np.flatnonzero(np.append(True, np.diff(items[order]) > 0))
+    masks = np.empty((long, len(items)), np.uint64)
+    where = np.zeros(none + 1, np.uint64)
+    for group in np.split(order, cut[1:]):
+        start, size = (int(x[c][items[group[0]]]) for c in ("begin", "size"))
+        own = x["places"][start : start + size]
+        np.bitwise_or.at(where, own, np.uint64(1) << np.arange(size, dtype=np.uint64))
+        masks[:, group] = where[words[group]].T
+        where[own] = 0
+    full = ~np.uint64(0) >> (64 - x["size"][items]).astype(np.uint64)
+    row = full.copy()
+    for m in masks:
+        u = row & m
+        row = (row + u | row - u) & full
+    return x["size"][items] - np.bitwise_count(row)
+
+
+def _check(x: dict, h, known, first, row, begin, held: list, at: np.ndarray, items: np.ndarray) -> None:
     """Adds the items that hold around candidate passages."""
-    for p, q in zip(at, items):
-        r, item = int(row[p]), int(x["ids"][q])
+    size = x["size"][items]
+    lo = np.maximum(first[row[at]], begin[at] - size)
+    hi = np.minimum(first[row[at] + 1], begin[at] + 2 * SIZE + size)
+    maybe = np.ones(len(at), bool)
+    short = np.flatnonzero(size <= 64)
+    for a in range(0, len(short), 4096):
+        k = short[a : a + 4096]
+        maybe[k] = _covers(x, known, lo[k], hi[k], items[k]) / size[k] >= COVER
+    for k in np.flatnonzero(maybe).tolist():
+        r, item, start = int(row[at[k]]), int(x["ids"][items[k]]), int(x["begin"][items[k]])
         if item in held[r][0]:
             continue
-        size, start = int(x["size"][q]), int(x["begin"][q])
-        lo, hi = max(int(first[r]), int(begin[p]) - size), min(int(first[r + 1]), int(begin[p]) + 2 * SIZE + size)
-        sure, cover = holds(x["flat"][start : start + size].tolist(), h[lo:hi].tolist())
+        sure, cover = holds(x["flat"][start : start + int(size[k])].tolist(), h[lo[k] : hi[k]].tolist())
         if sure:
             held[r][0].append(item)
             held[r][1].append(cover)

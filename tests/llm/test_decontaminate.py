@@ -129,3 +129,20 @@ def test_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert dc.matches(docs, bench).count() == 0
     assert dc.matches(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), bench).collect()[0]["items"] == []
+
+
+def test_covers_of_many_candidates_are_those_of_one():
+    rng = np.random.default_rng(5)
+    size = np.array([1, 2, 30, 63, 64, 64])
+    begin = np.append(0, np.cumsum(size)[:-1])
+    flat = rng.integers(0, 40, size.sum()).astype(np.uint64) << np.uint64(48)
+    vocabulary, places = np.unique(flat, return_inverse=True)
+    x = {"flat": flat, "vocabulary": vocabulary, "places": places, "size": size, "begin": begin}
+    text = rng.integers(0, 50, 400).astype(np.uint64) << np.uint64(48)
+    text[100:164] = flat[begin[4] :][:64]
+    known = dc._known(x, text, np.zeros(1 << d.BITS, np.int32))
+    items = rng.integers(0, len(size), 300)
+    lo = np.append(rng.integers(0, 400, 297), [100, 399, 0])
+    hi = np.minimum(400, lo + rng.integers(1, 150, 300))
+    want = [dc.lcs(flat[begin[i] : begin[i] + size[i]].tolist(), text[a:b].tolist()) for i, a, b in zip(items, lo, hi)]
+    assert dc._covers(x, known, lo, hi, items).tolist() == want
