@@ -42,10 +42,10 @@ from .textbytes import LOWER, WORD_BREAKS, SpanHash, runs, slices, text_bytes, w
 
 SIZE = 24
 #: Bits of the hashed features, and dimensions of the latent space.
-BITS, RANK, SEED = 16, 48, 7
+BITS, RANK, SEED = 16, 64, 7
 #: Columns of the test matrix beyond the rank.
 MORE = 16
-COSINE = 0.45
+COSINE = 0.4
 #: Share of passages up to which a feature is rare.
 RARE = 0.002
 COVER, NEARLY, ANSWER = 0.7, 0.9, 4

@@ -140,7 +140,7 @@ def test_covers_of_many_candidates_are_those_of_one():
     x = {"flat": flat, "vocabulary": vocabulary, "places": places, "size": size, "begin": begin}
     text = rng.integers(0, 50, 400).astype(np.uint64) << np.uint64(48)
     text[100:164] = flat[begin[4] :][:64]
-    known = dc._known(x, text, np.zeros(1 << d.BITS, np.int32))
+    known = dc._known(x, text, np.zeros(1 << dc.BITS, np.int32))
     items = rng.integers(0, len(size), 300)
     lo = np.append(rng.integers(0, 400, 297), [100, 399, 0])
     hi = np.minimum(400, lo + rng.integers(1, 150, 300))
