@@ -112,3 +112,22 @@ def wall_to_utc(day: Column, minute: Column, zone: str) -> Column:
     midnight = F.to_timestamp(F.date_format(day, "yyyy-MM-dd"))
     local = F.timestamp_seconds(F.unix_timestamp(midnight) + minute * 60)
     return F.unix_timestamp(F.to_utc_timestamp(local, zone))
+
+
+def chronological(minutes: Column) -> Column:
+    """Minutes of the day in the order of a schedule: with times in both halves of the day and a gap above twelve hours it runs over midnight."""
+    by_clock = F.array_sort(minutes)
+    steps = F.zip_with(F.slice(by_clock, 2, F.greatest(F.size(minutes) - 1, F.lit(0))), F.slice(by_clock, 1, F.greatest(F.size(minutes) - 1, F.lit(0))), lambda b, a: b - a)
+    both = F.exists(minutes, lambda m: m < 720) & F.exists(minutes, lambda m: m >= 720)
+    night = both & F.exists(steps, lambda d: d > 720)
+    shifted = F.transform(minutes, lambda m: F.when(night & (m < 720), m + 1440).otherwise(m))
+    return F.transform(F.array_sort(shifted), lambda m: m % 1440)
+
+
+def rebased(minute: Column, old: tuple[int, int], new: tuple[int, int]) -> Column:
+    """A set point's minute moved from one window to another with its share of it kept; those outside go to the end."""
+    was, now = (old[1] - old[0]) % 1440, (new[1] - new[0]) % 1440
+    if was == 0:
+        return F.pmod(minute + (new[0] - old[0]), F.lit(1440))
+    share = F.least(F.pmod(minute - old[0], F.lit(1440)), F.lit(was)) / was
+    return F.pmod(new[0] + F.floor(share * now + 0.5), F.lit(1440))

@@ -105,3 +105,58 @@ def wall_time(runs):
     """Clock texts, minutes until seven, and the instants of the same wall times in another zone."""
     minute = u.minute_of_day(F.col("fired_at"))
     return runs.select("id", f.clock12(minute).alias("clock"), f.span(minute, F.lit(420)).cast("long").alias("until"), f.wall_to_utc(F.to_date(F.timestamp_seconds("fired_at")), minute, "America/New_York").alias("utc"))
+
+
+@reg("fn_set_points", ", p as (select id, list_transform(range(4), lambda k: (id * 37 + k * 60 * (id % 5 + 2)) % 1440) as m from automations), n as (select id, m, len(list_filter(m, lambda x: x < 720)) > 0 and len(list_filter(m, lambda x: x >= 720)) > 0 and len(list_filter(range(1, 4), lambda i: list_sort(m)[i + 1] - list_sort(m)[i] > 720)) > 0 as night from p) select id, list_transform(list_sort(list_transform(m, lambda x: case when night and x < 720 then x + 1440 else x end)), lambda x: x % 1440) as ordered, list_transform(m, lambda x: cast((1380 + floor(least((x - 1320 + 1440) % 1440, 480) / 480.0 * 510 + 0.5)) % 1440 as bigint)) as moved from n", "automations")
+def set_points(automations):
+    """Set points in the order of their night, and moved from 22:00-06:00 to 23:00-07:30."""
+    points = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (F.col("id") * 37 + k * 60 * (F.col("id") % 5 + 2)) % 1440)
+    rows = automations.select("id", points.alias("m"))
+    return rows.select("id", f.chronological(F.col("m")).alias("ordered"), F.transform("m", lambda x: f.rebased(x, (1320, 360), (1380, 450)).cast("long")).alias("moved"))
+
+
+def _pump_sql(side):
+    return f"{side}_rpm >= 50 or coalesce(t - last_value(case when {side}_rpm < 50 and was_{side} >= 50 then t end ignore nulls) over (order by t) < 5, false) as {side}"
+
+
+@reg("st_pump_state", f", w as (select *, lag(left_rpm) over (order by t) as was_left, lag(right_rpm) over (order by t) as was_right from flow), a as (select t, {_pump_sql('left')}, {_pump_sql('right')} from w) select t, \"left\" as left_active, \"right\" as right_active, case when \"left\" and \"right\" then 'symmetric' when \"left\" then 'left' when \"right\" then 'right' else 'idle' end as state from a", "flow")
+def pump_state(flow, least: int = 50, guard: int = 5):
+    """Which pumps run, or have stopped less than ``guard`` seconds ago, at each frame."""
+    rows = g.carried(flow.select("t", "left_rpm", "right_rpm"), [], before=1)
+    w = g.within([])
+    stopped = {f"{s}_off": F.when((F.col(f"{s}_rpm") < least) & (F.lag(f"{s}_rpm").over(w) >= least), F.col("t")) for s in ("left", "right")}
+    rows = g.own(rows.withColumns(stopped))
+    for s in ("left", "right"):
+        rows = g.last_known(rows, [], f"{s}_off", f"{s}_since")
+    left, right = ((F.col(f"{s}_rpm") >= least) | F.coalesce(F.col("t") - F.col(f"{s}_since") < guard, F.lit(False)) for s in ("left", "right"))
+    state = F.when(left & right, "symmetric").when(left, "left").when(right, "right").otherwise("idle")
+    return rows.select("t", left.alias("left_active"), right.alias("right_active"), state.alias("state"))
+
+
+@reg("st_cross_channel", ", j as (select v.side, v.t, v.hrv / 320 as acr, m.total_movement * 1000 as std from vitals v join movement m on m.side = v.side and m.t = v.t) select a.side, a.t, round(case when b.acr > 0.3 and b.std > 0.7 * a.std and a.std < 400000 then 0 else a.acr end, 6) as acr from j a left join j b on b.t = a.t and b.side <> a.side", "vitals", "movement")
+def cross_channel(vitals, movement, enter: int = 400000):
+    """The periodicity of each side, none where the other side's is clear and its energy as strong: then it is the other sleeper's."""
+    energy = movement.select("side", "t", (F.col("total_movement") * 1000).alias("std"))
+    rows = vitals.select("side", "t", (F.col("hrv") / 320).alias("acr")).join(energy, ["side", "t"])
+    sides = rows.groupBy("t").agg(*(F.max(F.when(F.col("side") == s, F.struct("acr", "std"))).alias(s) for s in ("left", "right")))
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("side"), F.col(a).alias("own"), F.col(b).alias("other")) for a, b in (("left", "right"), ("right", "left")))))
+    coupled = (F.col("x.other.acr") > 0.3) & (F.col("x.other.std") > 0.7 * F.col("x.own.std")) & (F.col("x.own.std") < enter)
+    return sides.select("t", each.alias("x")).filter("x.own is not null").select("x.side", "t", F.round(F.when(coupled, 0.0).otherwise(F.col("x.own.acr")), 6).alias("acr"))
+
+
+ZONES = ("outer", "center", "inner")
+TOTAL = " + ".join(f"var_pop(c_{z}) over w" for z in ZONES)
+
+
+@reg("cal_cap_v1", ", z as (select t, " + ", ".join(f"coalesce(left_{z}_temp, 0) as c_{z}" for z in ZONES) + f" from bed_temp), q as (select t, round({TOTAL}, 4) as v, count(*) over w as n, max(t) over w as last, " + ", ".join(f"avg(c_{z}) over w as m_{z}, stddev_pop(c_{z}) over w as s_{z}" for z in ZONES) + " from z window w as (order by t rows between current row and 299 following)) select t as start, last as until, round(greatest(0, least(1, 1 - v / 100000)), 3) as quality, " + ", ".join(f"round(m_{z}, 2) as mean_{z}, round(greatest(s_{z}, 5.0), 2) as std_{z}" for z in ZONES) + " from q where n = 300 order by v, t limit 1", "bed_temp")
+def cal_cap(frames, width: int = 300, floor: float = 5.0):
+    """Mean and deviation of three channels over the quietest ``width`` frames, the first such; missing channels count as 0."""
+    rows = frames.select("t", *(F.coalesce(f"left_{z}_temp", F.lit(0)).alias(z) for z in ZONES))
+    w = g.within([]).rowsBetween(0, width - 1)
+    made = {f"m_{z}": F.avg(z).over(w) for z in ZONES} | {f"s_{z}": F.stddev_pop(z).over(w) for z in ZONES}
+    made |= {"v": F.round(sum(F.var_pop(z).over(w) for z in ZONES), 4), "n": F.count("*").over(w), "last": F.max("t").over(w)}
+    rows = g.own(g.carried(rows, [], after=width - 1).withColumns(made)).filter(F.col("n") == width)
+    best = rows.agg(F.min(F.struct("v", "t", "last", *(f"{k}_{z}" for z in ZONES for k in "ms"))).alias("b")).filter("b is not null")
+    quality = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("b.v") / 100000)), 3)
+    stats = (c for z in ZONES for c in (F.round(f"b.m_{z}", 2).alias(f"mean_{z}"), F.round(F.greatest(f"b.s_{z}", F.lit(floor)), 2).alias(f"std_{z}")))
+    return best.select(F.col("b.t").alias("start"), F.col("b.last").alias("until"), quality.alias("quality"), *stats)

@@ -57,3 +57,20 @@ def test_short_absences_belong_to_the_session_and_long_ones_end_it(spark):
     always = df.withColumn("present", ss.F.lit(True))
     assert [(r["entered"], r["duration"]) for r in ss.sessions(always, ["side"], longest=1000).orderBy("entered").collect()] == [(-10, 1000), (992, 1000)]
     assert ss.sessions(df.limit(0), ["side"]).count() == 0
+
+
+def test_frames_with_odd_values(spark):
+    from nightframe.functions import frames as f
+
+    F = ss.F
+    df = spark.createDataFrame([([1.0, 3.0, 2.0, 4.0, 5.0, 7.0],), ([1.0] * 8,), ([1.0, 2.0],), ([-1.0, *[1.0] * 7],), (None,), ([],)], "v array<double>")
+    rows = df.select(f.zone_triple(F.col("v")).alias("z"), f.compensated(F.col("v")).alias("c")).collect()
+    assert [r["z"] for r in rows] == [[2.0, 3.0, 6.0], [1.0] * 3, None, [0.0, 1.0, 1.0], None, None]
+    assert [r["c"] and [round(x, 6) for x in r["c"]] for r in rows] == [[2.0, 3.0, 6.0], [1.16] * 3, None, None, None, None]
+    assert [list(r) for r in spark.range(1).select(f.centi(F.lit(-327.68)), f.centi(F.lit(20.125)), f.centi_int(F.lit(-32768)), f.slug(F.lit("--Bed Room_1!")), f.slug(F.lit("??")), f.generation(F.lit("x-I05-B0708DE3")), f.generation(F.lit(None).cast("string"))).collect()] == [[None, 2012, None, "bed-room_1", "device", 4, 3]]
+    orders = spark.createDataFrame([([1320, 60, 360],), ([600, 480, 1200],), ([],)], "m array<int>").select(f.chronological(F.col("m")).alias("m"))
+    assert [r["m"] for r in orders.collect()] == [[1320, 60, 360], [480, 600, 1200], []]
+    moved = spark.createDataFrame([(1320,), (120,), (720,)], "m int").select(f.rebased(F.col("m"), (1320, 360), (1380, 420)).alias("x"), f.rebased(F.col("m"), (60, 60), (90, 200)).alias("y"))
+    assert [tuple(r) for r in moved.collect()] == [(1380, 1350), (180, 150), (420, 750)]
+    times = spark.createDataFrame([(5,), (None,), (1700000000,), (1800000000,)], "t long").select(f.sane_time(F.col("t"), F.lit(1750000000), 60).alias("t"))
+    assert [r["t"] for r in times.collect()] == [1750000000, 1750000000, 1700000000, 1750000000]
