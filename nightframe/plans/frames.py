@@ -60,7 +60,7 @@ QUERIES["norm_cap_extract"] = cap_extract
 ORACLES["norm_cap_extract"] = CHANNELS + "d as (select vec_id, c, (c[7] + c[8]) / 2 + 1 - 1.16 as r, c[1] > 0.2 as gone from c) select vec_id, " + ", ".join(f"case when not gone then round((c[{2 * i + 1}] + c[{2 * i + 2}]) / 2 + 1 - r, 5) end as {n}" for i, n in enumerate(Z)) + " from d"
 
 
-def presence_z(spark, sf_dir, threshold: float = 3.0):
+def presence_z(spark, sf_dir, threshold: float = 6.0):
     """Presence where the pair means are, in sum, more than ``threshold`` deviations from the profile of all samples."""
     rows = channels(spark, sf_dir).select("vec_id", f.zone_triple(F.col("c")).alias("z"))
     profile = rows.agg(*(a(F.col("z")[i]).alias(f"{n}{i}") for i in range(3) for n, a in (("m", F.avg), ("s", F.stddev_pop))))
@@ -69,7 +69,7 @@ def presence_z(spark, sf_dir, threshold: float = 3.0):
 
 
 QUERIES["st_presence_z"] = presence_z
-ORACLES["st_presence_z"] = CHANNELS + "z as (select vec_id, (c[1] + c[2]) / 2 as a, (c[3] + c[4]) / 2 as b, (c[5] + c[6]) / 2 as d from c), p as (select " + ", ".join(f"avg({x}) as m{x}, greatest(stddev_pop({x}), 0.001) as s{x}" for x in "abd") + " from z), s as (select vec_id, " + " + ".join(f"abs(({x} - m{x}) / s{x})" for x in "abd") + " as score from z, p) select vec_id, round(score, 5) as score, score > 3.0 as present from s"
+ORACLES["st_presence_z"] = CHANNELS + "z as (select vec_id, (c[1] + c[2]) / 2 as a, (c[3] + c[4]) / 2 as b, (c[5] + c[6]) / 2 as d from c), p as (select " + ", ".join(f"avg({x}) as m{x}, greatest(stddev_pop({x}), 0.001) as s{x}" for x in "abd") + " from z), s as (select vec_id, " + " + ".join(f"abs(({x} - m{x}) / s{x})" for x in "abd") + " as score from z, p) select vec_id, round(score, 5) as score, score > 6.0 as present from s"
 
 
 @reg("win_counter_delta", ", w as (select *, l - lag(l) over (partition by tap order by t) as dl, r - lag(r) over (partition by tap order by t) as dr from gestures), v as (select * from w where dl >= 0 and dr >= 0) select tap, t, 'left' as side, unnest(range(1, dl + 1)) as n from v union all select tap, t, 'right', unnest(range(1, dr + 1)) from v", "gestures")
