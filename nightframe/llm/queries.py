@@ -160,3 +160,68 @@ reach as (select doc_id as a, doc_id as b from w union select reach.a, e.b from
 least_of as (select a, min(b) as component_id from reach group by 1)
 select w.doc_id, cast(coalesce(n.c, 0) as bigint) as n_shingles, component_id from w left join n using (doc_id) join least_of on least_of.a = w.doc_id
 """
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sound vector's product code, from Lloyd rounds over cover trees."""
+    from .product_codes import product_codes
+
+    return product_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _vector_sql() -> str:
+    """The six rounds written out one after the other."""
+    nearest = "select r, part, min(d * 16 + entry) % 16 as entry, min(d * 16 + entry) // 16 as d from (select c.r, c.part, b.entry, sum((c.x - b.e) * (c.x - b.e)) as d from c join b{k} b using (part, i) group by 1, 2, 3) group by 1, 2"
+    sql = [
+        "with k as (select row_number() over (order by vec_id, embedding) - 1 as r, vec_id, label, embedding from embeddings where embedding is not null and len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x))))",
+        "c as (select r, (j - 1) // n as part, (j - 1) % n as i, cast(floor(4096 * cast(x as double)) as bigint) as x from (select r, unnest(embedding) as x, unnest(range(1, len(embedding) + 1)) as j, len(embedding) // 8 as n from k))",
+        "b0 as (select part, r as entry, i, x as e from c where r < 16)",
+    ]
+    for k in range(6):
+        sql += [f"a{k} as ({nearest.format(k=k)})", f"b{k + 1} as (select b.part, b.entry, b.i, coalesce(m.e, b.e) as e from b{k} b left join (select part, entry, i, cast(floor(sum(c.x) / count(*)) as bigint) as e from c join a{k} using (r, part) group by 1, 2, 3) m using (part, entry, i))"]
+    sql += [f"f as ({nearest.format(k=6)})", "v as (select r, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(d) as bigint) as error from f group by 1)"]
+    return ",\n".join(sql) + "\nselect vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, (select sha256(string_agg(cast(e as varchar), ',' order by part, entry, i)) from b6) as codebooks_sha256 from v join k using (r)"
+
+
+ORACLES["op11_vector_codes"] = _vector_sql()
+
+
+@query
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whole, in one of forty shards of equal counts, uniformly shuffled."""
+    from pyspark.sql import functions as F
+
+    from .shards import shuffle
+
+    out = shuffle(table(spark, sf_dir, "documents"), 40)
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language, in all orders."""
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+with recursive d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as l, min(doc_id) over (partition by t) as first from d),
+m as (select w.part, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic,
+  (case when len(l) < 200 then 1 else 0 end) + (case when 100 * len(list_distinct(l)) < 50 * len(l) then 2 else 0 end)
+  + (case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) then 4 else 0 end)
+  + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end) + (case when w.doc_id > first then 16 else 0 end) as mask
+  from w left join labels using (doc_id)),
+c as (select part, mask, good, toxic, count(*) as n from m group by all),
+orders(o) as (select '' union all select o || x from orders, (values ('A'), ('B'), ('C'), ('D'), ('E')) v(x) where instr(o, x) = 0),
+s as (select o as filter_order, step, 1 << (ascii(o[step]) - 65) as bit, list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(o[i]) - 65))) as earlier
+  from (select o, unnest(range(1, 6)) as step from orders where len(o) = 5)),
+x as (select c.*, filter_order, step, mask & bit <> 0 as fails, mask & coalesce(earlier, 0) <> 0 as gone, mask = bit as alone, s.bit from c, s),
+steps as (select part, filter_order, cast(step as int) as step, bit, cast(coalesce(sum(n) filter (not fails and not gone), 0) as bigint) as kept, cast(coalesce(sum(n) filter (fails and not gone), 0) as bigint) as removed,
+  cast(coalesce(sum(n) filter (fails and gone), 0) as bigint) as redundant, cast(coalesce(sum(n) filter (alone), 0) as bigint) as unique_fails,
+  cast(coalesce(sum(n) filter (fails and not gone and good), 0) as bigint) as good_lost, cast(coalesce(sum(n) filter (fails and not gone and toxic), 0) as bigint) as toxic_lost from x group by all)
+select * exclude (bit), cast(sum(removed) over (partition by part, bit) as bigint) as shapley from steps
+"""
