@@ -1,3 +1,3 @@
 """Registered queries; importing the package fills the registry."""
 
-from . import core, frames, lists, registry, rules, sequences, sessions, signals, store, streams  # noqa: F401
+from . import core, frames, lists, registry, rules, sequences, sessions, signals, store, streams, trackers  # noqa: F401

@@ -27,6 +27,7 @@ SPECS: dict[str, tuple[str, dict[str, str], str]] = {
     "alerts": ("orders", {"id": "o_orderkey", "kind": "case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'water' else 'pump' end", "side": "case when o_custkey % 2 = 0 then 'left' else 'right' end", "t": f"{START} + o_orderkey * 61", "severity": "o_orderpriority", "acknowledged_at": f"case when o_orderstatus = 'P' then null else {START} + o_orderkey * 61 + 600 end", "dismissed_at": f"case when o_orderstatus = 'F' then {START} + o_orderkey * 61 + 3600 end"}, ""),
     "calibrations": ("part", {"id": "p_partkey", "side": "case when p_partkey % 2 = 0 then 'left' else 'right' end", "sensor": "case when p_size <= 17 then 'capacitance' when p_size <= 34 then 'piezo' else 'temperature' end", "status": "case when p_type = 'ECONOMY' then 'failed' else 'completed' end", "quality": "round(p_retailprice / 3000, 6)", "t": f"{START} + p_partkey * 90"}, ""),
     "device_state": ("supplier", {"side": "case when s_suppkey % 2 = 0 then 'left' else 'right' end", "t": f"{START} + s_suppkey * 60", "powered": "s_acctbal > 0", "target_f": "cast(60 + s_nationkey as double)", "current_f": "cast(60 + s_suppkey % 30 as double)"}, ""),
+    "piezo": ("events", {"device": "user_id % 4", "t": f"{START} + event_id", "left": "case when event_id % 211 = 0 then cast(0 as double) else value * case when event_id % 97 < 6 then 400 else 1 end end", "right": "value * (0.3e0 + cast(event_id % 7 as double) / 10) * case when event_id % 97 < 6 then 400 else 1 end"}, ""),
     "quality": ("events", {"vitals_id": "event_id", "quality_score": "round(value / 500, 6)"}, "event_type <> 'signup'"),
 }
 
