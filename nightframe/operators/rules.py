@@ -31,16 +31,23 @@ def nodes(tree: dict, depth: int = 1) -> int:
     return n
 
 
+def named(signal: str) -> Column:
+    """The column of a signal, whose name may have dots."""
+    return F.col(f"`{signal}`")
+
+
 def expression(tree: dict, keys: list[str], t: str = "t") -> Column:
     """A number of each step."""
     kind = tree["kind"]
     if kind == "literal":
         return F.lit(float(tree["value"]))
+    if kind == "column":  # compiled already
+        return tree["column"]
     if kind == "signal":
-        return F.col(tree["key"]).cast("double")
+        return named(tree["key"]).cast("double")
     if kind == "window":
         w = Window.partitionBy(*keys).orderBy(t).rangeBetween(-int(tree["lastMin"] * 60), 0)
-        return FUNCTIONS[tree["fn"]](F.col(tree["signal"])).over(w).cast("double")
+        return FUNCTIONS[tree["fn"]](named(tree["signal"])).over(w).cast("double")
     if kind == "clamp":
         x = expression(tree["value"], keys, t)
         known = x.isNotNull()

@@ -30,12 +30,12 @@ f as (select side, i, t, case when coalesce(holds, false) then 'fired' else 'idl
  union all select o.side, o.i, o.t, case when coalesce(o.holds, false) then case when o.t - f.last >= 1800 then 'fired' else 'suppressed' end else 'idle' end, case when coalesce(o.holds, false) and o.t - f.last >= 1800 then o.t else f.last end from f join o on o.side = f.side and o.i = f.i + 1)"""
 
 
-@reg("rule_backtest", f", {FOLD} select o.side, o.t, o.holds, round(o.setpoint, 6) as setpoint, o.raw <> o.setpoint as clamped, f.outcome from o join f using (side, i)", "vitals")
-def rule_backtest(vitals):
+@reg("rule_replay", f", {FOLD} select o.side, o.t, o.holds, round(o.setpoint, 6) as setpoint, o.raw <> o.setpoint as clamped, f.outcome from o join f using (side, i)", "vitals")
+def rule_replay(vitals):
     return r.backtest(vitals, RULE)
 
 
-@reg("rule_backtest_summary", f", {FOLD} select o.side, count(*) filter (f.outcome = 'fired') as fires, count(*) filter (f.outcome = 'suppressed') as suppressed, count(*) filter (o.raw <> o.setpoint) as clamped, count(*) as steps from o join f using (side, i) group by 1", "vitals")
+@reg("rule_replay_summary", f", {FOLD} select o.side, count(*) filter (f.outcome = 'fired') as fires, count(*) filter (f.outcome = 'suppressed') as suppressed, count(*) filter (o.raw <> o.setpoint) as clamped, count(*) as steps from o join f using (side, i) group by 1", "vitals")
 def rule_summary(vitals):
     return r.summary(r.backtest(vitals, RULE))
 
