@@ -207,12 +207,19 @@ def full_zip(movement):
 
 @reg("join_runs_left", "select r.id, r.fired_at, r.outcome, a.name from runs r left join automations a on a.id = r.automation_id", "runs", "automations")
 def runs_left(runs, automations):
-    return runs.join(F.broadcast(automations.select(F.col("id").alias("automation_id"), "name")), "automation_id", "left").select("id", "fired_at", "outcome", "name")
+    return runs.join(automations.select(F.col("id").alias("automation_id"), "name"), "automation_id", "left").select("id", "fired_at", "outcome", "name")
 
 
-@reg("join_rule_status", "select a.id, a.name, x.last_fired, x.last_outcome, coalesce(x.fired, 0) as fired from automations a left join (select automation_id, max(fired_at) as last_fired, max_by(outcome, fired_at * 1000000 + id) as last_outcome, count(*) filter (outcome = 'fired') as fired from runs group by 1) x on x.automation_id = a.id", "automations", "runs")
-def rule_status(automations, runs):
-    x = runs.groupBy("automation_id").agg(F.max("fired_at").alias("last_fired"), F.max_by("outcome", F.col("fired_at") * 1000000 + F.col("id")).alias("last_outcome"), F.count_if(F.col("outcome") == "fired").alias("fired"))
+#: The local day of the clock that the fires are counted to.
+TODAY = "date_trunc('day', to_timestamp({0}) at time zone '{1}') at time zone '{1}'"
+
+
+@reg("join_rule_status", f"select a.id, a.name, x.last_fired, x.last_outcome, coalesce(x.fired, 0) as fired from automations a left join (select automation_id, max(fired_at) as last_fired, max_by(outcome, fired_at * 1000000 + id) as last_outcome, count(*) filter (outcome = 'fired' and fired_at >= epoch({TODAY.format(NOW, 'America/New_York')})) as fired from runs where fired_at <= {NOW} group by 1) x on x.automation_id = a.id", "automations", "runs")
+def rule_status(automations, runs, now: int = NOW, tz: str = "America/New_York"):
+    """Every rule with its last run, and how often it has fired since local midnight."""
+    local = F.date_trunc("day", F.from_utc_timestamp(F.timestamp_seconds(F.lit(now)), tz))
+    midnight = F.unix_timestamp(F.to_utc_timestamp(local, tz))
+    x = runs.filter(F.col("fired_at") <= now).groupBy("automation_id").agg(F.max("fired_at").alias("last_fired"), F.max_by("outcome", F.struct("fired_at", "id")).alias("last_outcome"), F.count_if((F.col("outcome") == "fired") & (F.col("fired_at") >= midnight)).alias("fired"))
     return automations.join(x.withColumnRenamed("automation_id", "id"), "id", "left").select("id", "name", "last_fired", "last_outcome", F.coalesce("fired", F.lit(0)).alias("fired"))
 
 
@@ -292,10 +299,10 @@ def min_session(_, sessions, now: int = NOW):
     return sessions.filter(F.coalesce("left_at", F.lit(now)) - F.col("entered") >= 1800).select("id", "side")
 
 
-@reg("latest_per_key", "select side, max(t) as t, arg_max(heart_rate, t) as heart_rate, arg_max(hrv, t) as hrv from (select side, t, coalesce(heart_rate, -1) as heart_rate, hrv from vitals) group by 1", "vitals")
+@reg("latest_per_key", "select side, t, heart_rate, hrv from vitals qualify row_number() over (partition by side order by t desc) = 1", "vitals")
 def latest_per_key(vitals):
-    last = F.max_by(F.struct("t", "heart_rate", "hrv"), "t").alias("x")
-    return vitals.groupBy("side").agg(last).select("side", "x.t", F.coalesce("x.heart_rate", F.lit(-1.0)).alias("heart_rate"), "x.hrv")
+    """Each side's newest row, with the nulls it has."""
+    return vitals.groupBy("side").agg(F.max_by(F.struct("t", "heart_rate", "hrv"), "t").alias("x")).select("side", "x.t", "x.heart_rate", "x.hrv")
 
 
 def top(df: DataFrame, by: str, limit: int, most: int) -> DataFrame:
@@ -330,9 +337,14 @@ def stride_sample(movement, most: int = 500):
     return rows.join(F.broadcast(days), "day").withColumn("i", i).filter(F.col("i") % F.ceil(F.col("n") / most) == 0).select("t", "total_movement")
 
 
-@reg("pick_last_night", f"select side, arg_min(id, k) as id from (select side, id, case when coalesce(left_at, {NOW}) - entered >= 10800 and (entered % 86400 // 3600 >= 20 or entered % 86400 // 3600 < 4) then 0 when entered >= {NOW} - 86400 then 1 else 2 end * 100000000000 + ({NOW} - entered) as k from sleep_records where entered between {NOW} - 7 * 86400 and {NOW}) group by 1", "movement", "sleep_records")
-def pick_last_night(_, sessions, now: int = NOW):
-    hour = F.expr("entered % 86400 div 3600")
-    tier = F.when((F.coalesce("left_at", F.lit(now)) - F.col("entered") >= 10800) & ((hour >= 20) | (hour < 4)), 0).when(F.col("entered") >= now - 86400, 1).otherwise(2)
+@reg("pick_last_night", f"""select side, id from (select side, id, row_number() over (partition by side order by tier, case when tier = 1 then -length end, -entered, -id) as k from (
+ select *, coalesce(left_at, {NOW}) - entered as length, case when coalesce(left_at, {NOW}) - entered >= 10800 and (hour >= 20 or hour < 4) then 0 when entered >= {NOW} - 86400 then 1 else 2 end as tier
+ from (select *, extract(hour from to_timestamp(entered) at time zone 'America/New_York') as hour from sleep_records where entered between {NOW} - 7 * 86400 and {NOW}))) where k = 1""", "movement", "sleep_records")
+def pick_last_night(_, sessions, now: int = NOW, tz: str = "America/New_York"):
+    """Each side's last night: the newest session of three hours or more that began in a local evening; else the longest of the last day, of equals the newer; else the newest of the week."""
+    hour = F.hour(F.from_utc_timestamp(F.timestamp_seconds("entered"), tz))
+    length = F.coalesce("left_at", F.lit(now)) - F.col("entered")
+    tier = F.when((length >= 10800) & ((hour >= 20) | (hour < 4)), 0).when(F.col("entered") >= now - 86400, 1).otherwise(2)
     rows = sessions.filter(F.col("entered").between(now - 7 * 86400, now))
-    return rows.groupBy("side").agg(F.min_by("id", tier * F.lit(100000000000) + (now - F.col("entered"))).alias("id"))
+    best = F.struct(-tier, F.when(tier == 1, length), "entered", "id")
+    return rows.groupBy("side").agg(F.max_by("id", best).alias("id"))

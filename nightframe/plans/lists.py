@@ -244,11 +244,16 @@ def dml_batch_schedules(automations):
     return changed.union(gone.select(F.col("id") + 1000000000, "priority"))
 
 
-@reg("sink_mqtt_state", "select side, '{\"heart_rate\":' || coalesce(cast(cast(heart_rate as int) as varchar), 'null') || ',\"t\":' || cast(t as varchar) || '}' as payload from (select side, arg_max(coalesce(heart_rate, -1), t) as heart_rate, max(t) as t from vitals group by 1)", "vitals")
-def sink_mqtt_state(vitals):
-    """The retained message of each side's latest vitals."""
-    last = vitals.groupBy("side").agg(F.max_by(F.struct(F.coalesce("heart_rate", F.lit(-1)).cast("int").alias("heart_rate"), "t"), "t").alias("x"))
-    return last.select("side", F.to_json("x").alias("payload"))
+@reg("sink_mqtt_state", """, v as (select side, t, heart_rate, hrv, breathing_rate from vitals qualify row_number() over (partition by side order by t desc) = 1),
+m as (select side, total_movement from movement qualify row_number() over (partition by side order by t desc) = 1)
+select side, '{"heart_rate":' || coalesce(cast(cast(heart_rate as int) as varchar), 'null') || ',"hrv":' || coalesce(cast(cast(hrv as int) as varchar), 'null') || ',"breathing_rate":' || coalesce(cast(cast(breathing_rate as int) as varchar), 'null') || ',"movement":' || coalesce(cast(total_movement as varchar), 'null') || ',"t":' || cast(t as varchar) || '}' as payload from v left join m using (side)""", "vitals", "movement")
+def sink_mqtt_state(vitals, movement):
+    """The retained message of each side's latest vitals and movement; what was not measured is null."""
+    vital = F.struct(*(F.col(c).cast("int").alias(c) for c in ("heart_rate", "hrv", "breathing_rate")), "t")
+    last = vitals.groupBy("side").agg(F.max_by(vital, "t").alias("v"))
+    moved = movement.groupBy("side").agg(F.max_by("total_movement", "t").alias("movement"))
+    message = F.struct("v.heart_rate", "v.hrv", "v.breathing_rate", "movement", "v.t")
+    return last.join(moved, "side", "left").select("side", F.to_json(message, {"ignoreNullFields": "false"}).alias("payload"))
 
 
 @reg("rule_series", "select 'vitals.' || side || '.heart_rate' as key, t, heart_rate as value from vitals where heart_rate is not null union all select 'vitals.' || side || '.hrv', t, hrv from vitals where hrv is not null union all select 'movement.' || side, t, cast(total_movement as double) from movement", "vitals", "movement")
@@ -256,14 +261,3 @@ def rule_series(vitals, movement):
     """All signals as one table of (key, t, value)."""
     long = vitals.unpivot(["side", "t"], ["heart_rate", "hrv"], "signal", "value").filter("value is not null").select(F.concat(F.lit("vitals."), "side", F.lit("."), "signal").alias("key"), "t", "value")
     return long.union(movement.select(F.concat(F.lit("movement."), "side"), "t", F.col("total_movement").cast("double")))
-
-
-@reg("rule_trigger", "select id, coalesce(v <> lag(v) over (partition by side order by t), false) as changed, t % 600 = 0 as tick, t % 86400 >= 79200 and t % 86400 < 79800 and row_number() over (partition by side, t // 86400, t % 86400 >= 79200 and t % 86400 < 79800 order by t) = 1 as at_time from (select id, side, t, heart_rate as v from vitals)", "vitals")
-def rule_trigger(vitals):
-    """When a rule is looked at: every ten minutes, when a signal changed, once a day at 22:00 with ten minutes' grace."""
-    before = vitals.select("side", (F.col("t") + 60).alias("t"), F.col("heart_rate").alias("p"))
-    clock = F.col("t") % 86400
-    grace = (clock >= 79200) & (clock < 79800)
-    first = F.row_number().over(Window.partitionBy("side", F.expr("t div 86400"), grace).orderBy("t")) == 1
-    rows = vitals.join(before, ["side", "t"], "left")
-    return rows.select("id", F.coalesce(F.col("heart_rate") != F.col("p"), F.lit(False)).alias("changed"), (F.col("t") % 600 == 0).alias("tick"), (grace & first).alias("at_time"))
