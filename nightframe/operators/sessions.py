@@ -30,6 +30,14 @@ class Stay:
         self.pending = self.start = self.since = self.seen = None
         self.exits, self.present, self.absent = 0, [], []
 
+    def dump(self) -> dict:
+        """All but the settings, as plain values."""
+        return {k: getattr(self, k) for k in ("here", "pending", "start", "since", "seen", "exits", "present", "absent")}
+
+    def load(self, state: dict) -> None:
+        for k, v in state.items():
+            setattr(self, k, list(v) if isinstance(v, list) else v)
+
     def step(self, t: int, present: bool) -> dict | None:
         flip = present != self.here and self.pending is not None and t - self.pending >= self.debounce
         edge = self.pending if flip else t

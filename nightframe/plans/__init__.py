@@ -1,3 +1,3 @@
 """Registered queries; importing the package fills the registry."""
 
-from . import backtests, core, engine, frames, lists, registry, rules, sequences, sessions, signals, store, streams, trackers  # noqa: F401
+from . import backtests, beds, core, engine, frames, lists, registry, rules, sequences, sessions, signals, store, streams, trackers  # noqa: F401

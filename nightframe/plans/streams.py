@@ -6,13 +6,13 @@ from ..streaming import epochs
 from .registry import ORACLES, QUERIES
 
 
-def st_movement_epoch(spark, sf_dir):
+def stream_hourly_movement(spark, sf_dir):
     out = epochs.run_available(epochs.movement_epochs(epochs.event_stream(spark, sf_dir)))
     return out.selectExpr("cast(start as timestamp_ntz) as start", "event_type", "movement", "n")
 
 
-QUERIES["st_movement_epoch"] = st_movement_epoch
-ORACLES["st_movement_epoch"] = """
+QUERIES["stream_hourly_movement"] = stream_hourly_movement
+ORACLES["stream_hourly_movement"] = """
 with e as (select date_trunc('hour', ts) as start, event_type, cast(least(1000, floor(value * 4)) as int) as score from events)
 select start, event_type, cast(sum(score) as bigint) as movement, count(*) as n from e
 where start + interval 1 hour <= (select max(ts) from events) - interval 2 hour group by 1, 2
