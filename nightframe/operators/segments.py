@@ -76,10 +76,10 @@ def running_sum(df: DataFrame, keys: list[str], value: str, name: str, t: str =
     return rows.withColumn(name, F.sum(value).over(within(keys, t)) + F.coalesce("__prefix", F.lit(0))).drop("__seg", "__prefix")
 
 
-def numbered(df: DataFrame, keys: list[str], name: str = "i", t: str = "t", width: int = DAY) -> DataFrame:
-    """The number of each row in its key's time order, from 1."""
+def numbered(df: DataFrame, keys: list[str], name: str = "i", t: str = "t", width: int = DAY, order: str | None = None) -> DataFrame:
+    """The number of each row in its key's time order, from 1; ``order``: a column that also tells rows of one time apart."""
     rows = _with_prefix(df, keys, F.count("*"), F.sum, t, width)
-    return rows.withColumn(name, F.row_number().over(within(keys, t)) + F.coalesce("__prefix", F.lit(0))).drop("__seg", "__prefix")
+    return rows.withColumn(name, F.row_number().over(within(keys, order or t)) + F.coalesce("__prefix", F.lit(0))).drop("__seg", "__prefix")
 
 
 def last_known(df: DataFrame, keys: list[str], value: str, name: str, t: str = "t", width: int = DAY) -> DataFrame:
