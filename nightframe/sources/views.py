@@ -11,6 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 START = 1704067200
 
+#: Frames as text, one of each shape and some that are none.
+N = "cast(event_id % 900 as string)"
+HEAD = """'{"type":"%s","ts":' || cast(event_id as string) || ',"""
+WIRE = [
+    HEAD % "bedTemp2" + f"""\"mcu":30.5,"left":{{"amb":' || {N} || '.25,"hu":' || {N} || '.5,"temps":[21.5,' || {N} || '.75,22]}},"right":{{"amb":1.5,"temps":[20,-327.68,"x"]}}}}'""",
+    HEAD % "bedTemp2" + f"""\"mcu":null,"left":{{"amb":-327.68,"hu":null,"temps":[' || {N} || '.5,20.25]}},"right":{{"amb":' || {N} || ',"hu":40.5}}}}'""",
+    HEAD % "bedTemp" + f"""\"amb":' || {N} || ',"mcu":-32768,"hu":4100,"left":{{"out":2100,"cen":' || {N} || ',"in":"7"}},"right":{{"cen":-32768}}}}'""",
+    HEAD % "bedTemp" + f"""\"amb":"warm","left":null,"right":[1,2]}}'""",
+    HEAD % "capSense" + f"""\"left":{{"out":' || {N} || ',"cen":2,"in":3,"status":"good"}},"right":{{"out":null,"cen":5,"in":' || {N} || '}}}}'""",
+    HEAD % "capSense2" + f"""\"left":{{"values":[1.5,2,' || {N} || ',4,5.25,6,7,8],"status":"ok"}},"right":[1,null,"a",' || {N} || '.5],"status":null}}'""",
+    HEAD % "capSense2" + f"""\"left":' || {N} || '.5,"right":{{"values":"none"}},"status":"cold"}}'""",
+    HEAD % "frzTemp" + f"""\"left":' || {N} || ',"right":-32768,"amb":2500.5,"hs":null}}'""",
+    HEAD % "frzHealth" + f"""\"left":{{"pump":{{"rpm":' || {N} || ',"duty":0.5}},"tec":{{"current":1.25}},"temps":{{"flowrate":' || {N} || '}}}},"right":{{"pump":{{"rpm":null}}}},"fan":{{"top":{{"rpm":900,"duty":0.25}},"bottom":{{"rpm":' || {N} || '}}}}}}'""",
+    HEAD % "frzHealth" + """\"left":{},"fan":{"top":5}}'""",
+    HEAD % "frzTherm" + f"""\"left":' || {N} || '.5,"right":{{"power":' || {N} || '}}}}'""",
+    HEAD % "frzTherm" + """\"left":null,"right":true}'""",
+    HEAD % "log" + f"""\"msg":"' || {N} || '"}}'""",
+    HEAD % "bedTemp2" + """\"left":{"amb":1'""",
+    f"""'{{"type":5,"left":{{"out":1,"cen":2,"in":' || {N} || '}},"right":{{"values":[]}}}}'""",
+]
+
 #: name: (table, {column: expression}, condition); ``{div}`` is integer division.
 SPECS: dict[str, tuple[str, dict[str, str], str]] = {
     "movement": ("events", {"id": "event_id", "side": "case when event_id % 2 = 0 then 'left' else 'right' end", "t": f"{START} + (event_id {{div}} 2) * 60", "total_movement": "cast(least(1000, floor(value * 4)) as int)"}, ""),
@@ -31,6 +52,7 @@ SPECS: dict[str, tuple[str, dict[str, str], str]] = {
     "samples": ("events", {"side": "case when event_id % 2 = 0 then 'left' else 'right' end", "t": f"{START} + (event_id {{div}} 2) * 7 + (event_id {{div}} 2) % 3", "present": "((event_id {div} 2) {div} 150 % 3 <> 0) <> (event_id % 82 < 2)", "a": "case when event_type = 'error' then null else value / 64 end", "b": "value / 128", "c": "cast(event_id % 13 as double) / 4"}, ""),
     "set_points": ("part", {"id": "p_partkey", "owner": "p_partkey {div} 10", "day": "cast(p_partkey * 3 % 7 as int)", "minute": "cast(p_partkey * 37 % 1440 as int)", "temperature": "cast(60 + p_size % 30 as int)", "enabled": "p_partkey % 3 <> 0"}, ""),
     "moments": ("orders", {"id": "o_orderkey", "owner": "o_custkey % 400", "zone": "case when o_orderkey % 2 = 0 then 'America/New_York' else 'Europe/Berlin' end", "t": "case when o_orderkey % 3 = 0 then 1729728000 else 1709856000 end + o_orderkey * 977 % 2246400"}, ""),
+    "wire": ("events", {"id": "event_id", "frame": f"case event_id % {len(WIRE)} " + " ".join(f"when {i} then {e}" for i, e in enumerate(WIRE)).replace("{", "{{").replace("}", "}}") + " end"}, ""),
     "quality": ("events", {"vitals_id": "event_id", "quality_score": "round(value / 500, 6)"}, "event_type <> 'signup'"),
 }
 
