@@ -71,7 +71,8 @@ def condition(tree: dict, keys: list[str], t: str = "t", tz: str = "UTC") -> Col
     if kind == "compare":
         return getattr(expression(tree["left"], keys, t), COMPARE[tree["op"]])(expression(tree["right"], keys, t))
     if kind == "between":
-        return expression(tree["value"], keys, t).between(expression(tree["min"], keys, t), expression(tree["max"], keys, t))
+        x, lo, hi = (expression(tree[k], keys, t) for k in ("value", "min", "max"))
+        return F.when(x.isNotNull() & lo.isNotNull() & hi.isNotNull(), x.between(lo, hi))  # one unknown makes it unknown
     if kind == "timeBetween":
         start, end = (int(x[:2]) * 60 + int(x[3:]) for x in (tree["start"], tree["end"]))
         return u.within_clock(u.minute_of_day(F.col(t), tz), start, end)

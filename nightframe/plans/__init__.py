@@ -1,3 +1,3 @@
 """Registered queries; importing the package fills the registry."""
 
-from . import backtests, beds, calendar, core, engine, frames, lists, registry, rules, sequences, sessions, shapes, signals, store, streams, trackers  # noqa: F401
+from . import backtests, beds, calendar, core, engine, frames, lists, registry, rules, sequences, sessions, shapes, signals, store, stored, streams, trackers  # noqa: F401

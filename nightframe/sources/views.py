@@ -32,6 +32,33 @@ WIRE = [
     f"""'{{"type":5,"left":{{"out":1,"cen":2,"in":' || {N} || '}},"right":{{"values":[]}}}}'""",
 ]
 
+#: Stored rules as text: five sound ones and five that are not.
+K = "cast(c_custkey % 300 as string)"
+_RULE = '\'{"name":"r","enabled":true,"trigger":{"kind":"tick","everyMin":5},"actions":[{"kind":"notify","message":"x"}]%s}\''
+_SIGNAL, _LITERAL = '{"kind":"signal","signal":"%s"}', "{\"kind\":\"literal\",\"value\":' || %s || '}"
+_COMPARE = '{"kind":"compare","op":"%s","left":%s,"right":%s}'
+_WINDOW = '{"kind":"window","fn":"%s","signal":"bed.value","lastMin":%s}'
+STORED = [
+    _RULE % (',"conditions":' + _COMPARE % (">", _SIGNAL % "bed.value", _LITERAL % K)),
+    _RULE % (',"conditions":{"kind":"and","conditions":[{"kind":"between","subject":' + _SIGNAL % "left.heartRate" + ',"min":{"kind":"literal","value":40},"max":{"kind":"literal","value":90}},{"kind":"not","condition":' + _COMPARE % (">", _SIGNAL % "bed.value", '{"kind":"binary","op":"+","left":{"kind":"literal","value":100},"right":' + _LITERAL % K + "}") + "}]}"),
+    _RULE % (',"conditions":' + _COMPARE % (">", _WINDOW % ("avg", 40), '{"kind":"binary","op":"+","left":{"kind":"literal","value":50},"right":{"kind":"binary","op":"/","left":' + _LITERAL % K + ',"right":{"kind":"literal","value":4}}}')),
+    _RULE % (',"conditions":{"kind":"or","conditions":[' + _COMPARE % ("<", _SIGNAL % "bed.value", _LITERAL % K) + "," + _COMPARE % (">", _SIGNAL % "no.such", _LITERAL % K) + "]}"),
+    _RULE % (',"conditions":{"kind":"and","conditions":[{"kind":"timeBetween","start":"20:00","end":"07:00"},' + _COMPARE % (">", _WINDOW % ("max", 40), '{"kind":"binary","op":"*","left":' + _LITERAL % K + ',"right":{"kind":"literal","value":3}}') + "]}"),
+    _RULE.replace("}'", "") % ',"conditions":{' + "'",
+    _RULE % ',"conditions":{"kind":"maybe"}',
+    _RULE % (',"conditions":' + '{"kind":"not","condition":' * 17 + '{"kind":"and","conditions":[]}' + "}" * 17),
+    _RULE % (',"conditions":' + _COMPARE % (">", _WINDOW % ("avg", 0), _LITERAL % K)),
+    _RULE % "",
+]
+POINTS = ["""'[{"time":"22:00","temperature":' || cast(55 + c_custkey % 50 as string) || '},{"time":"23:30","temperature":70}]'""", "'[]'", """'[{"time":"25:00","temperature":70}]'""", "'[{'"]
+VECTORS = ["'[1.5,' || cast(c_custkey % 7 as string) || ',3]'", "'[1,2]'", "'[1,null,3]'"]
+
+
+def cases(key: str, of: list[str]) -> str:
+    """One of several expressions by a key; braces are doubled for the formatting of views."""
+    return (f"case {key} % {len(of)} " + " ".join(f"when {i} then {e}" for i, e in enumerate(of)) + " end").replace("{", "{{").replace("}", "}}")
+
+
 #: name: (table, {column: expression}, condition); ``{div}`` is integer division.
 SPECS: dict[str, tuple[str, dict[str, str], str]] = {
     "movement": ("events", {"id": "event_id", "side": "case when event_id % 2 = 0 then 'left' else 'right' end", "t": f"{START} + (event_id {{div}} 2) * 60", "total_movement": "cast(least(1000, floor(value * 4)) as int)"}, ""),
@@ -52,7 +79,9 @@ SPECS: dict[str, tuple[str, dict[str, str], str]] = {
     "samples": ("events", {"side": "case when event_id % 2 = 0 then 'left' else 'right' end", "t": f"{START} + (event_id {{div}} 2) * 7 + (event_id {{div}} 2) % 3", "present": "((event_id {div} 2) {div} 150 % 3 <> 0) <> (event_id % 82 < 2)", "a": "case when event_type = 'error' then null else value / 64 end", "b": "value / 128", "c": "cast(event_id % 13 as double) / 4"}, ""),
     "set_points": ("part", {"id": "p_partkey", "owner": "p_partkey {div} 10", "day": "cast(p_partkey * 3 % 7 as int)", "minute": "cast(p_partkey * 37 % 1440 as int)", "temperature": "cast(60 + p_size % 30 as int)", "enabled": "p_partkey % 3 <> 0"}, ""),
     "moments": ("orders", {"id": "o_orderkey", "owner": "o_custkey % 400", "zone": "case when o_orderkey % 2 = 0 then 'America/New_York' else 'Europe/Berlin' end", "t": "case when o_orderkey % 3 = 0 then 1729728000 else 1709856000 end + o_orderkey * 977 % 2246400"}, ""),
-    "wire": ("events", {"id": "event_id", "frame": f"case event_id % {len(WIRE)} " + " ".join(f"when {i} then {e}" for i, e in enumerate(WIRE)).replace("{", "{{").replace("}", "}}") + " end"}, ""),
+    "wire": ("events", {"id": "event_id", "frame": cases("event_id", WIRE)}, ""),
+    "stored": ("customer", {"id": "c_custkey", "owner": "c_custkey {div} 10", "rule": cases("c_custkey", STORED), "points": cases("c_custkey", POINTS), "vector": cases("c_custkey", VECTORS)}, ""),
+    "steps": ("events", {"id": "event_id", "owner": "user_id {div} 10", "t": f"{START} + event_id * 30", "value": "value", "rate": "case when event_type = 'error' then null else cast(40 + event_id * 7 % 90 as double) end"}, ""),
     "quality": ("events", {"vitals_id": "event_id", "quality_score": "round(value / 500, 6)"}, "event_type <> 'signup'"),
 }
 
