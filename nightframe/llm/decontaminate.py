@@ -14,11 +14,15 @@
    ``COSINE``. Items come in blocks of ``BLOCK``; those of a large benchmark are
    files that each batch of documents meets in turn, so that it costs time, not
    memory. Rows and results are the same for any blocks.
-4. Bound: a candidate that holds fewer of the item's features, first of its rare
-   ones, than a match in two neighbours must have is dropped (no match is).
+   Items of more than ``LONG`` words are searched by parts of at most ``PART``: an
+   item that is covered to some share has a part that is covered to it at least.
+   Those of at most ``FEW`` words are candidates wherever the bound lets them.
+4. Bound: a candidate that holds fewer of the part's features, first of its rare
+   ones, than a match that spans four passages must have in two neighbours is
+   dropped.
 5. Checks: the longest common subsequence of words between an item and the
-   passages with their surroundings must cover ``COVER`` of the item; and the
-   item's answer, its last ``ANSWER`` words, must be there but for one of them, or
+   passages with their surroundings must cover ``COVER`` of the item (first asked of
+   the part alone); and the item's answer, its last ``ANSWER`` words, must be there but for one of them, or
    the cover be nearly full.
 
 Words are lower-cased (A-Z) and split at ASCII white space, stops, quotes and
@@ -50,6 +54,9 @@ COSINE = 0.4
 RARE = 0.002
 COVER, NEARLY, ANSWER = 0.7, 0.9, 4
 BLOCK = 1024
+LONG, PART = 64, 48
+#: Words up to which an item is too small a part of two passages for a cosine: the bound alone selects.
+FEW = 6
 BREAKS = WORD_BREAKS.copy()
 BREAKS[[ord(c) for c in ".,;:!?\"'()[]"]] = True
 
@@ -239,8 +246,16 @@ def _loaded(x: dict | str) -> dict:
         return pickle.loads(source.read())
 
 
+def _parts(size: np.ndarray, begin: np.ndarray):
+    """(item, first word, words) of the parts that items of ``size`` words from ``begin`` on are searched by."""
+    count = np.where(size > LONG, -(-size // PART), 1)
+    item, k = np.repeat(np.arange(len(size)), count), runs(count)
+    lo, hi = (k * size[item] // count[item], (k + 1) * size[item] // count[item])
+    return item, begin[item] + lo, hi - lo
+
+
 def _blocks(rows, model: Latent, folder: str | None) -> list:
-    """Blocks of at most BLOCK items with their latent vectors; with a folder as files of it. The driver holds one block."""
+    """Blocks of at most BLOCK parts of items with their latent vectors; with a folder as files of it. The driver holds one block."""
     out, rows = [], iter(rows)
     while part := list(islice(rows, BLOCK)):
         h, first = words_of(*text_bytes(pa.array([r["text"] for r in part], pa.string())))
@@ -248,22 +263,31 @@ def _blocks(rows, model: Latent, folder: str | None) -> list:
         if not len(some):
             continue
         size, begin = np.diff(first)[some], first[:-1][some]
-        f, item = features_of(h, begin, model.numbers)
-        vectors = _by_passage(model.basis * model.idf[:, None], f, item, len(some))
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        pairs = np.unique(item * len(model.idf) + f)
-        own, of = pairs % len(model.idf), pairs // len(model.idf)
-        distinct = np.bincount(of, minlength=len(some))
-        # at most (1 - COVER) of an item's words may be missing; two neighbours hold half of the rest at least
-        need = np.maximum(1, np.floor((distinct - (1 - COVER) * size) / 2)).astype(np.int16)
-        rare = np.bincount(of[_rare(model)[own]], minlength=len(some))
-        need_rare = np.maximum(0, np.floor((rare - (1 - COVER) * size) / 2)).astype(np.int16)
         vocabulary, places = np.unique(h, return_inverse=True)
-        x = {"ids": np.array([part[k]["id"] for k in some], np.int64), "flat": h, "vocabulary": vocabulary, "places": places, "begin": begin, "size": size, "vectors": vectors, "own": own, "of": of, "need": need, "need_rare": need_rare}
-        out.append(_stored(x, f"{folder}/block-{len(out)}") if folder else x)
+        whole = {"ids": np.array([part[k]["id"] for k in some], np.int64), "flat": h, "vocabulary": vocabulary, "places": places, "begin": begin, "size": size}
+        item, lo, words = _parts(size, begin)
+        for k in range(0, len(item), BLOCK):
+            x = whole | _searched(h, item[k : k + BLOCK], lo[k : k + BLOCK], words[k : k + BLOCK], model)
+            out.append(_stored(x, f"{folder}/block-{len(out)}") if folder else x)
     return out
 
 
+def _searched(h: np.ndarray, item: np.ndarray, lo: np.ndarray, words: np.ndarray, model: Latent) -> dict:
+    """What the search needs of parts of items: latent vectors, features, and how many of them a match must have."""
+    n, a, b = len(item), int(lo[0]), int(lo[-1] + words[-1])
+    f, of = features_of(h[a:b], lo - a, model.numbers)
+    vectors = _by_passage(model.basis * model.idf[:, None], f, of, n)
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    pairs = np.unique(of * len(model.idf) + f)
+    own, of = pairs % len(model.idf), pairs // len(model.idf)
+    distinct = np.bincount(of, minlength=n)
+    # at most (1 - COVER) of a part's words may be missing; of four passages two neighbours hold half of the rest at least
+    need = np.maximum(1, np.floor((distinct - (1 - COVER) * words) / 2)).astype(np.int16)
+    rare = np.bincount(of[_rare(model)[own]], minlength=n)
+    need_rare = np.maximum(0, np.floor((rare - (1 - COVER) * words) / 2)).astype(np.int16)
+    return {"part_of": item, "part_begin": lo, "part_size": words, "vectors": vectors, "own": own, "of": of, "need": need, "need_rare": need_rare, "least": np.where(words > FEW, COSINE, -2).astype(np.float32)}
+
+
 def _search(docs: DataFrame, blocks: list, model: Latent, keep: list[str], text: str, schema: str, columns: tuple[str, str]) -> DataFrame:
     def run(batches):
         weighted = model.basis * model.idf[:, None]
@@ -283,11 +307,11 @@ def _search(docs: DataFrame, blocks: list, model: Latent, keep: list[str], text:
                 few = np.flatnonzero(_rare(model)[f])
             for block in blocks if len(f) else ():
                 x = _loaded(block)
-                n = len(x["ids"])
-                near = latent @ x["vectors"].T >= COSINE
+                n = len(x["part_of"])
+                near = latent @ x["vectors"].T >= x["least"]
                 has = np.zeros((len(model.idf), n), np.uint8)
                 has[x["own"], x["of"]] = 1
-                # the bound: rare features of the pair that each item has, then all distinct ones
+                # the bound: rare features of the pair that each part has, then all distinct ones
                 common = _by_passage(has, f[few], p[few], len(begin))
                 common[both] += common[both + 1]
                 near &= common >= x["need_rare"]
@@ -327,7 +351,7 @@ def _known(x: dict, h: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 
 
 def _covers(x: dict, known: np.ndarray, lo: np.ndarray, hi: np.ndarray, items: np.ndarray) -> np.ndarray:
-    """``lcs`` of candidates (regions, items of at most 64 words), all of them at once: one step for each word of the longest region."""
+    """``lcs`` of candidates (regions, parts of at most 64 words), all of them at once: one step for each word of the longest region."""
     none = len(x["vocabulary"])
     long = int((hi - lo).max())
     position = lo[:, None] + np.arange(long)
@@ -350,21 +374,28 @@ def _covers(x: dict, known: np.ndarray, lo: np.ndarray, hi: np.ndarray, items: n
     return x["size"][items] - np.bitwise_count(row)
 
 
-def _check(x: dict, h, known, first, row, begin, held: list, at: np.ndarray, items: np.ndarray) -> None:
-    """Adds the items that hold around candidate passages."""
+def _check(x: dict, h, known, first, row, begin, held: list, at: np.ndarray, parts: np.ndarray) -> None:
+    """Adds the items that hold around candidate passages: first their parts, then they."""
+    items = x["part_of"][parts]
     size = x["size"][items]
     lo = np.maximum(first[row[at]], begin[at] - size)
     hi = np.minimum(first[row[at] + 1], begin[at] + 2 * SIZE + size)
-    maybe = np.ones(len(at), bool)
-    short = np.flatnonzero(size <= 64)
-    for a in range(0, len(short), 4096):
-        k = short[a : a + 4096]
-        maybe[k] = _covers(x, known, lo[k], hi[k], items[k]) / size[k] >= COVER
-    for k in np.flatnonzero(maybe).tolist():
-        r, item, start = int(row[at[k]]), int(x["ids"][items[k]]), int(x["begin"][items[k]])
+    asked = x | {"begin": x["part_begin"], "size": x["part_size"]}
+    maybe = np.zeros(len(at), bool)
+    order = np.argsort(hi - lo, kind="stable")
+    a = 0
+    while a < len(order):
+        # long regions are taken fewer at a time
+        k = order[a : a + 4096]
+        k = k[: max(1, (1 << 20) // int((hi - lo)[k[-1]]))]
+        maybe[k] = _covers(asked, known, lo[k], hi[k], parts[k]) / x["part_size"][parts[k]] >= COVER
+        a += len(k)
+    for p, j in np.unique(np.stack([at[maybe], items[maybe]], 1), axis=0).tolist():
+        r, item, start, long = int(row[p]), int(x["ids"][j]), int(x["begin"][j]), int(x["size"][j])
         if item in held[r][0]:
             continue
-        sure, cover = holds(x["flat"][start : start + int(size[k])].tolist(), h[lo[k] : hi[k]].tolist())
+        region = h[max(int(first[r]), int(begin[p]) - long) : min(int(first[r + 1]), int(begin[p]) + 2 * SIZE + long)]
+        sure, cover = holds(x["flat"][start : start + long].tolist(), region.tolist())
         if sure:
             held[r][0].append(item)
             held[r][1].append(cover)

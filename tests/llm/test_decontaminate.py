@@ -124,6 +124,40 @@ def test_recall_of_the_search_with_templates(spark):
     assert len(found) >= 0.9 * len(want)
 
 
+def test_items_of_any_length(spark, monkeypatch):
+    """Verbatim and edited items of 1 to 1,000 words, found as by comparing all passages with all items."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randint(3, 6))) for _ in range(4000)]
+    usual = words[:60]
+    draw = lambda: rng.choice(usual) if rng.random() < 0.4 else rng.choice(words)
+    sizes = [1, 2, 13, 47, 64, 65, 96, 97, 140, 250, 400, 1000]
+    items = [(10 * n + k, [rng.choice(words[60:]) if n < 3 else draw() for _ in range(n)]) for n in sizes for k in range(3)]
+    docs, d = [(0, ""), (1, " ".join(draw() for _ in range(3000)))], 2
+    for i, x in items:
+        for edited in (False, True):
+            y = list(x)
+            if edited and len(y) > 12:
+                for _ in range(len(y) // 10):
+                    k = rng.randrange(len(y) - 5)
+                    y[k : k + 1] = rng.choice([[], [draw()], [draw(), draw()]])
+            before, after = ([draw() for _ in range(rng.choice([0, 7, 130]))] for _ in range(2))
+            docs.append((d, " ".join(before + y + after)))
+            d += 1
+    items = [(i, " ".join(x)) for i, x in items]
+    want = exhaustive(docs, items)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: {(r["doc_id"], i) for r in dc.matches(df, bench).collect() for i in r["items"]}
+    got = found()
+    assert got <= want and len(want) >= 2 * len(items)
+    for n in sizes:
+        of = {(a, i) for a, i in want if 10 * n <= i < 10 * n + 3}
+        assert len(of) >= 6 and len(got & of) >= 0.9 * len(of), n
+        plain = {(2 + 2 * k, i) for k, (i, _) in enumerate(items) if 10 * n <= i < 10 * n + 3}
+        assert plain <= got, n
+    monkeypatch.setattr(dc, "BLOCK", 7)  # parts of one item in several blocks
+    assert found() == got
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
