@@ -82,6 +82,7 @@ SPECS: dict[str, tuple[str, dict[str, str], str]] = {
     "wire": ("events", {"id": "event_id", "frame": cases("event_id", WIRE)}, ""),
     "stored": ("customer", {"id": "c_custkey", "owner": "c_custkey {div} 10", "rule": cases("c_custkey", STORED), "points": cases("c_custkey", POINTS), "vector": cases("c_custkey", VECTORS)}, ""),
     "steps": ("events", {"id": "event_id", "owner": "user_id {div} 10", "t": f"{START} + event_id * 30", "value": "value", "rate": "case when event_type = 'error' then null else cast(40 + event_id * 7 % 90 as double) end"}, ""),
+    "recording": ("events", {"side": "case when event_id % 2 = 0 then 'left' else 'right' end", "i": "event_id {div} 2", "x": "value"}, "event_id % 997 <> 5"),
     "quality": ("events", {"vitals_id": "event_id", "quality_score": "round(value / 500, 6)"}, "event_type <> 'signup'"),
 }
 
