@@ -156,12 +156,13 @@ def hrv(samples: DataFrame, keys: list[str], rate: float, span: int = 300, every
     """(keys, at, intervals, hrv): every ``every`` seconds the variability over the last ``span`` seconds' windows.
 
     Each window's interval is found once; it then goes to the ends it counts for, and a chain runs over the few of each. Each
-    window is filtered by itself. ``at`` counts seconds from sample 0.
+    window is filtered by itself. ``at`` counts seconds from sample 0; the last end is the first one after a key's last interval.
     """
     beats = windows(samples, keys, int(size * rate), int(hop * rate), {"ms": beat_interval(rate)}).filter("ms is not null")
+    final = beats.groupBy(*keys).agg(F.max("w").alias("__w"))
     first = F.ceil((F.col("w") * hop + size) / every)
-    last = F.floor((F.col("w") * hop + span) / every)
-    ends = beats.filter(first <= last).select(*keys, "w", "ms", F.explode(F.sequence(first, last)).alias("end")).filter(F.col("end") * every >= span)
+    last = F.least(F.floor((F.col("w") * hop + span) / every), F.ceil((F.col("__w") * hop + size) / every))
+    ends = beats.join(final, keys).filter(first <= last).select(*keys, "w", "ms", F.explode(F.sequence(first, last)).alias("end")).filter(F.col("end") * every >= span)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("w")
