@@ -7,6 +7,7 @@ reads it from there, so a failed job leaves the old one whole.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -53,3 +54,12 @@ def replace(df: DataFrame, root: str, partition: str | None = None) -> str:
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; nulls are empty cells."""
     df.write.csv(path, header=True, emptyValue="", nullValue="")
+
+
+def retain_all(tables: dict[str, DataFrame], t: str, now: int, days: int) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(each table without rows before the cutoff, (name, kept, deleted) of all of them); rows without a time stay and count as kept."""
+    cutoff = now - days * 86400
+    old = F.coalesce(F.col(t) < cutoff, F.lit(False))
+    kept = {name: df.filter(~old) for name, df in tables.items()}
+    each = [df.agg(F.lit(name).alias("name"), F.count_if(~old).alias("kept"), F.count_if(old).alias("deleted")) for name, df in tables.items()]
+    return kept, reduce(DataFrame.unionByName, each)

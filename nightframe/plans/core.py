@@ -111,15 +111,6 @@ def light_summary(light):
     return light.agg(rnd(F.avg("lux")).alias("avg_lux"), F.min("lux").alias("min_lux"), F.max("lux").alias("max_lux"), F.count("*").alias("n")).filter("n > 0")
 
 
-@reg("agg_water_trend", "select n, cast(floor(low * 100.0 / n + 0.5) as bigint) as low_percent, case when n < 2 then 'unknown' when r_low / r_n - o_low / o_n > 0.2 then 'declining' when r_low / r_n - o_low / o_n < -0.2 then 'rising' else 'stable' end as trend from (select count(*) as n, count(*) filter (level = 'low') as low, count(*) filter (level = 'low' and t >= mid) * 1.0 as r_low, count(*) filter (t >= mid) as r_n, count(*) filter (level = 'low' and t <= mid) * 1.0 as o_low, count(*) filter (t <= mid) as o_n from (select *, (min(t) over () + max(t) over ()) // 2 as mid from water))", "water")
-def water_trend(water):
-    mid = F.broadcast(water.agg(F.expr("(min(t) + max(t)) div 2").alias("mid")))
-    low, recent, older = F.col("level") == "low", F.col("t") >= F.col("mid"), F.col("t") <= F.col("mid")
-    a = water.join(mid).agg(F.count("*").alias("n"), F.count_if(low).alias("low"), F.count_if(low & recent).alias("rl"), F.count_if(recent).alias("rn"), F.count_if(low & older).alias("ol"), F.count_if(older).alias("o"))
-    change = F.col("rl") / F.col("rn") - F.col("ol") / F.col("o")
-    return a.select("n", u.half_up(F.col("low") * 100 / F.col("n")).alias("low_percent"), F.when(F.col("n") < 2, "unknown").when(change > 0.2, "declining").when(change < -0.2, "rising").otherwise("stable").alias("trend"))
-
-
 @reg("agg_peak_recent", f"select side, coalesce(max(total_movement) filter (t > {NOW} - 900 and t <= {NOW}), 0) as peak, coalesce(max(total_movement) filter (t > {NOW} - 900 and t <= {NOW}), 0) >= 50 as active from movement group by 1", "movement")
 def peak_recent(movement, now: int = NOW):
     peak = F.coalesce(F.max(F.when((F.col("t") > now - 900) & (F.col("t") <= now), F.col("total_movement"))), F.lit(0))

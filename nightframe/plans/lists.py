@@ -133,34 +133,11 @@ def join_profile_lookup(vitals, calibrations):
     return vitals.join(F.broadcast(piezo), "side", "left").select("id", "side", "quality")
 
 
-@reg("cal_piezo", ", q as (select side, t, round(var_pop(total_movement) over w, 6) as v, avg(total_movement) over w as mean, sqrt(avg(total_movement * total_movement) over w) as rms, count(*) over w as n from movement window w as (partition by side, t // 86400 order by t rows between current row and 299 following)), b as (select side, arg_min(mean, v * 1e12 + t % 1000000) as mean, arg_min(rms, v * 1e12 + t % 1000000) as rms from q where n = 300 group by 1) select side, round(mean, 6) as mean, round(greatest(50000.0, 6 * rms), 6) as threshold, round(1 - mean / greatest(50000.0, 6 * rms), 6) as quality from b", "movement")
-def cal_piezo(movement, width: int = 300):
-    """Threshold of presence from the quietest run of records that lies within a day."""
-    w = Window.partitionBy("side", F.expr("t div 86400")).orderBy("t").rowsBetween(0, width - 1)
-    x = F.col("total_movement")
-    rows = movement.select("side", "t", rnd(F.var_pop(x).over(w)).alias("v"), F.avg(x).over(w).alias("mean"), F.sqrt(F.avg(x * x).over(w)).alias("rms"), F.count("*").over(w).alias("n")).filter(F.col("n") == width)
-    key = F.col("v") * 1e12 + F.col("t") % 1000000
-    best = rows.groupBy("side").agg(F.min_by("mean", key).alias("mean"), F.min_by("rms", key).alias("rms"))
-    threshold = F.greatest(F.lit(50000.0), 6 * F.col("rms"))
-    return best.select("side", rnd("mean").alias("mean"), rnd(threshold).alias("threshold"), rnd(1 - F.col("mean") / threshold).alias("quality"))
-
-
 @reg("val_piezo_presence", "select id, total_movement > 400 as present from movement", "movement")
 def val_piezo_presence(movement, threshold: int = 400):
     return movement.select("id", (F.col("total_movement") > threshold).alias("present"))
 
 
-@reg("val_hr", "select id, case when heart_rate between 30 and 100 then heart_rate end as heart_rate, case when hrv between 8 and 100 then hrv end as hrv, case when breathing_rate between 6 and 22 then breathing_rate end as breathing_rate, round(cast(0.4 as double) * case when heart_rate between 30 and 100 then 1 else 0 end + 0.3 * case when hrv between 8 and 100 then 1 else 0 end + 0.15 * case when breathing_rate between 6 and 22 then 1 else 0 end + 0.15, 6) as quality from vitals", "vitals")
-def val_hr(vitals):
-    """Hard limits of vitals and the weighted share of those that hold; movement counts as sound."""
-    limits = {"heart_rate": (30, 100, 0.4), "hrv": (8, 100, 0.3), "breathing_rate": (6, 22, 0.15)}
-    ok = {c: F.col(c).between(lo, hi) for c, (lo, hi, _) in limits.items()}
-    score = F.lit(0.15)
-    for c, (_, _, weight) in limits.items():
-        score = score + F.when(ok[c], weight).otherwise(0.0)
-    return vitals.select("id", *(F.when(ok[c], F.col(c)).alias(c) for c in limits), rnd(score).alias("quality"))
-
-
 # the state of each side
 
 STATE = f"""d as (select side, arg_max(powered, t) as powered, arg_max(target_f, t) as target_f, arg_max(current_f, t) as current_f from device_state group by 1),
@@ -205,13 +182,6 @@ def st_expected_stop(flow):
     return flow.select("t", "left_rpm", (low & excused).alias("expected"))
 
 
-@reg("st_occupancy", f"select side, coalesce(max(total_movement) filter (t >= {NOW} - 900 and t <= {NOW}), 0) as peak, coalesce(max(total_movement) filter (t >= {NOW} - 900 and t <= {NOW}), 0) >= 50 as occupied from movement group by 1", "movement")
-def st_occupancy(movement, now: int = NOW, least: int = 50):
-    """Occupied by movement of the last quarter of an hour (the level signal needs frames that no table carries)."""
-    peak = F.coalesce(F.max(F.when(F.col("t").between(now - 900, now), F.col("total_movement"))), F.lit(0))
-    return movement.groupBy("side").agg(peak.alias("peak")).withColumn("occupied", F.col("peak") >= least)
-
-
 @reg("st_scheduler_liveness", f"select id, name from automations where {NOW} - cooldown_min * 60 < {NOW} - 1200", "automations")
 def st_scheduler_liveness(automations, now: int = NOW, stale: int = 1200):
     """Jobs whose next run should have come long ago."""
@@ -254,10 +224,3 @@ def sink_mqtt_state(vitals, movement):
     moved = movement.groupBy("side").agg(F.max_by("total_movement", "t").alias("movement"))
     message = F.struct("v.heart_rate", "v.hrv", "v.breathing_rate", "movement", "v.t")
     return last.join(moved, "side", "left").select("side", F.to_json(message, {"ignoreNullFields": "false"}).alias("payload"))
-
-
-@reg("rule_series", "select 'vitals.' || side || '.heart_rate' as key, t, heart_rate as value from vitals where heart_rate is not null union all select 'vitals.' || side || '.hrv', t, hrv from vitals where hrv is not null union all select 'movement.' || side, t, cast(total_movement as double) from movement", "vitals", "movement")
-def rule_series(vitals, movement):
-    """All signals as one table of (key, t, value)."""
-    long = vitals.unpivot(["side", "t"], ["heart_rate", "hrv"], "signal", "value").filter("value is not null").select(F.concat(F.lit("vitals."), "side", F.lit("."), "signal").alias("key"), "t", "value")
-    return long.union(movement.select(F.concat(F.lit("movement."), "side"), "t", F.col("total_movement").cast("double")))

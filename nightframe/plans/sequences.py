@@ -80,13 +80,6 @@ def median3(movement):
     return rows.select("id", F.when(F.size("m") < 3, F.col("score")).otherwise(F.try_element_at(F.array_sort("m"), F.lit(2))).alias("median"))
 
 
-@reg("win_abs_delta", f"select id, coalesce(abs(total_movement - lag(total_movement) over ({BY})), 0) as delta from movement", "movement")
-def abs_delta(movement):
-    rows = g.carried(movement, SIDE, before=1)
-    delta = F.abs(F.col("total_movement") - F.lag("total_movement").over(g.within(SIDE)))
-    return g.own(rows.withColumn("delta", F.coalesce(delta, F.lit(0)))).select("id", "delta")
-
-
 @reg("win_quietest", f"select side, t // 86400 as day, arg_min(t, v * 1e12 + (t % 86400)) as start, round(min(v), 6) as variance from (select side, t, round(var_pop(total_movement) over ({BY} rows between current row and 299 following), 6) as v, count(*) over ({BY} rows between current row and 299 following) as n from movement) where n = 300 group by 1, 2", "movement")
 def quietest(movement, width: int = 300):
     """The quietest run of rows that begins on each day."""
@@ -161,34 +154,6 @@ def ring_tail(movement, keep: int = 120):
     return movement.withColumn("k", k).filter(F.col("k") <= keep).select("id", "side", "t")
 
 
-@reg("st_flow_anomaly", "select t, unnest(list_filter([case when left_flow is null and left_rpm >= 50 then 'missing' end, case when left_rpm >= 50 and abs(left_flow) < 5 then 'no_flow' end, case when left_rpm >= 50 and right_rpm >= 50 and abs(left_flow - right_flow) > 300 then 'asymmetry' end], lambda x: x is not null)) as anomaly from flow", "flow")
-def flow_anomaly(flow):
-    on, both = F.col("left_rpm") >= 50, (F.col("left_rpm") >= 50) & (F.col("right_rpm") >= 50)
-    kinds = [F.when(F.col("left_flow").isNull() & on, "missing"), F.when(on & (F.abs("left_flow") < 5), "no_flow"), F.when(both & (F.abs(F.col("left_flow") - F.col("right_flow")) > 300), "asymmetry")]
-    return flow.select("t", F.explode(F.array_compact(F.array(*kinds))).alias("anomaly"))
-
-
-STALL = """x as (select t, case when left_flow is not null and left_rpm < 50 then 1 else 0 end as low, case when left_rpm >= 1000 then 1 else 0 end as well from flow),
-c as (select t, case when sum(low) over (order by t rows between 4 preceding and current row) = 5 then 'trip' when sum(well) over (order by t rows between 7 preceding and current row) = 8 then 'recover' end as event from x),
-e as (select t, event, lag(event) over (order by t) as was from c where event is not null)"""
-
-
-@reg("st_stall_guard", f", {STALL} select t, event from e where event <> coalesce(was, 'recover')", "flow")
-def stall_guard(flow, dwell: int = 5, recovery: int = 8, least_rpm: int = 50, healthy_rpm: int = 1000):
-    """When the guard blocks a pump, and when it lets it run again.
-
-    It trips on ``dwell`` slow frames in a row while active and recovers on ``recovery`` healthy ones in a row. A frame
-    that ends such a run changes the state only if the last one that did was of the other kind.
-    """
-    low = F.when(F.col("left_flow").isNotNull() & (F.col("left_rpm") < least_rpm), 1).otherwise(0)
-    rows = g.carried(flow.select("t", low.alias("low"), (F.col("left_rpm") >= healthy_rpm).cast("int").alias("well")), [], before=max(dwell, recovery) - 1)
-    run = lambda c, n: F.sum(c).over(g.within([]).rowsBetween(1 - n, 0)) == n
-    ends = g.own(rows.withColumn("event", F.when(run("low", dwell), "trip").when(run("well", recovery), "recover"))).filter("event is not null")
-    ends = g.carried(ends.select("t", "event"), [], before=1)
-    ends = g.own(ends.withColumn("was", F.coalesce(F.lag("event").over(g.within([])), F.lit("recover"))))
-    return ends.filter("event <> was").select("t", "event")
-
-
 STAGED = f""", {FILTER},
 v as (select h.*, m.total_movement, avg(hr) over (partition by h.night) as mean_hr from h left join (select side, cast(floor(t / 300.0 + 0.5) as bigint) as k, max_by(total_movement, t) as total_movement from movement group by 1, 2) m on m.side = h.side and m.k = cast(floor(h.t / 300.0 + 0.5) as bigint)),
 e as (select id, side, night, t, coalesce(least(lead(t) over (partition by night order by t) - t, 600), 300) as seconds,

@@ -23,11 +23,6 @@ def upsert(runs):
     return s.upsert(rows.filter(fired), rows.filter(~fired), ["automation_id"], "version").select("automation_id", "id", "fired_at")
 
 
-@reg("dml_retention", f"select id, t from movement where t >= {NOW} - 86400", "movement")
-def retention(movement):
-    return s.retain(movement, "t", NOW, 1).select("id", "t")
-
-
 @reg("dml_cap_retention", f"select id, t from movement where t > {NOW} - 2 * 86400", "movement")
 def cap_retention(movement):
     return s.retain(movement, "t", NOW, 2, inclusive=True).select("id", "t")
@@ -65,14 +60,6 @@ def schedule_groups(automations):
     return curves.groupBy("curve").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-@reg("st_auto_off", ", x as (select side, t, total_movement < 150 as quiet, last_value(case when total_movement >= 150 then t end ignore nulls) over (partition by side order by t) as busy from movement) select side, min(t) as since, count(*) as minutes from x where quiet group by side, busy having count(*) >= 5", "movement")
-def auto_off(movement, minutes: int = 5, still: int = 150):
-    """Stretches without movement that last long enough to switch a side off."""
-    rows = movement.select("side", "t", (F.col("total_movement") < still).alias("quiet"))
-    rows = g.last_known(rows.withColumn("b", F.when(~F.col("quiet"), F.col("t"))), ["side"], "b", "busy")
-    return rows.filter("quiet").groupBy("side", "busy").agg(F.min("t").alias("since"), F.count("*").alias("minutes")).filter(F.col("minutes") >= minutes).drop("busy")
-
-
 CHAIN = ", o as (select t, row_number() over (order by t) as i from (select distinct t from flow)), n as (select o.t, o.i, (select min(x.t) from o x where x.t >= o.t + {0} and x.t < o.t + {0} + 3600) as nxt from o), r as (select t, nxt from n where i = 1 union all select n.t, n.nxt from r join n on n.t = r.nxt)"
 
 

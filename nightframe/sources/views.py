@@ -76,7 +76,7 @@ SPECS: dict[str, tuple[str, dict[str, str], str]] = {
     "calibrations": ("part", {"id": "p_partkey", "side": "case when p_partkey % 2 = 0 then 'left' else 'right' end", "sensor": "case when p_size <= 17 then 'capacitance' when p_size <= 34 then 'piezo' else 'temperature' end", "status": "case when p_type = 'ECONOMY' then 'failed' else 'completed' end", "quality": "round(p_retailprice / 3000, 6)", "t": f"{START} + p_partkey * 90"}, ""),
     "device_state": ("supplier", {"side": "case when s_suppkey % 2 = 0 then 'left' else 'right' end", "t": f"{START} + s_suppkey * 60", "powered": "s_acctbal > 0", "target_f": "cast(60 + s_nationkey as double)", "current_f": "cast(60 + s_suppkey % 30 as double)"}, ""),
     "piezo": ("events", {"device": "user_id % 4", "t": f"{START} + event_id", "left": "case when event_id % 211 = 0 then cast(0 as double) else value * case when event_id % 97 < 6 then 400 else 1 end end", "right": "value * (0.3e0 + cast(event_id % 7 as double) / 10) * case when event_id % 97 < 6 then 400 else 1 end"}, ""),
-    "samples": ("events", {"side": "case when event_id % 2 = 0 then 'left' else 'right' end", "t": f"{START} + (event_id {{div}} 2) * 7 + (event_id {{div}} 2) % 3", "present": "((event_id {div} 2) {div} 150 % 3 <> 0) <> (event_id % 82 < 2)", "a": "case when event_type = 'error' then null else value / 64 end", "b": "value / 128", "c": "cast(event_id % 13 as double) / 4"}, ""),
+    "samples": ("events", {"side": "case when event_id % 2 = 0 then 'left' else 'right' end", "t": f"{START} + (event_id {{div}} 2) * 7 + (event_id {{div}} 2) % 3", "present": "((event_id {div} 2) {div} 150 % 3 <> 0) <> (event_id % 82 < 2)", "a": "case when event_type = 'error' then null else value / 64 end", "b": "value / 128", "c": "cast(event_id % 13 as double) / 4", "ref": "1.16e0 + cast(event_id % 9 as double) / 100 - 0.04e0"}, ""),
     "set_points": ("part", {"id": "p_partkey", "owner": "p_partkey {div} 10", "day": "cast(p_partkey * 3 % 7 as int)", "minute": "cast(p_partkey * 37 % 1440 as int)", "temperature": "cast(60 + p_size % 30 as int)", "enabled": "p_partkey % 3 <> 0"}, ""),
     "moments": ("orders", {"id": "o_orderkey", "owner": "o_custkey % 400", "zone": "case when o_orderkey % 2 = 0 then 'America/New_York' else 'Europe/Berlin' end", "t": "case when o_orderkey % 3 = 0 then 1729728000 else 1709856000 end + o_orderkey * 977 % 2246400"}, ""),
     "wire": ("events", {"id": "event_id", "frame": cases("event_id", WIRE)}, ""),
