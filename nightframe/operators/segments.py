@@ -89,6 +89,25 @@ def last_known(df: DataFrame, keys: list[str], value: str, name: str, t: str = "
     return rows.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(within(keys, t)), "__prefix")).drop("__seg", "__prefix")
 
 
+def spreads(df: DataFrame, keys: list[str], values: list[str], width: int, t: str = "t") -> DataFrame:
+    """``df`` with ``n`` (rows of the frame), ``last`` (its last time), and the mean and variance of each value over a row and the ``width`` - 1 after it.
+
+    Frames are differences of running sums, so a row costs the same at any width. Values are whole numbers: their sums are exact.
+    """
+    rows = carried(df, keys, after=width - 1, t=t)
+    so_far = within(keys, t).rowsBetween(Window.unboundedPreceding, 0)
+    at = lambda c: F.lead(c, width - 1).over(within(keys, t))
+    sums = {f"__s{k}": F.sum(F.col(v).cast("long")).over(so_far) for k, v in enumerate(values)} | {f"__q{k}": F.sum(F.col(v).cast("long") * F.col(v).cast("long")).over(so_far) for k, v in enumerate(values)}
+    rows = rows.withColumns(sums)
+    ends = {"last": at(t)} | {f"__{x}e{k}": at(f"__{x}{k}") for k in range(len(values)) for x in "sq"}
+    rows = own(rows.withColumns(ends)).withColumn("n", F.when(F.col("last").isNotNull(), width))
+    for k, v in enumerate(values):
+        total = F.col(f"__se{k}") - F.col(f"__s{k}") + F.col(v)
+        squares = F.col(f"__qe{k}") - F.col(f"__q{k}") + F.col(v).cast("long") * F.col(v).cast("long")
+        rows = rows.withColumns({f"mean_{v}": total / width, f"var_{v}": (width * squares - total * total) / (width * width)})
+    return rows.drop(*sums, *(c for c in ends if c != "last"))
+
+
 def _segments(df: DataFrame, keys: list[str], item: Column, t: str, width: int) -> DataFrame:
     return df.groupBy(*keys, segment_of(t, width).alias("__seg")).agg(F.array_sort(F.collect_list(item)).alias("e"))
 

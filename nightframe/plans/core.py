@@ -100,10 +100,13 @@ def _clean_sql(c: str) -> str:
     return f"case when {c} in (32768, 65535, -32768, -1) or {c} not between -5000 and 12500 then null else {c} end"
 
 
-@reg("norm_freezer", f"select t, {_clean_sql('ambient_raw')} as ambient, {_clean_sql('heatsink_raw')} as heatsink, {_clean_sql('left_water_raw')} as left_water from freezer_temp where coalesce({_clean_sql('ambient_raw')}, {_clean_sql('heatsink_raw')}, {_clean_sql('left_water_raw')}) is not null", "freezer_temp")
+FREEZER = ("ambient", "heatsink", "left_water", "right_water")
+
+
+@reg("norm_freezer", "select * from (select t, " + ", ".join(f"{_clean_sql(c + '_raw')} as {c}" for c in FREEZER) + f" from freezer_temp) where coalesce({', '.join(FREEZER)}) is not null", "freezer_temp")
 def norm_freezer(freezer):
-    out = freezer.select("t", *(sensor(F.col(f"{c}_raw")).alias(c) for c in ("ambient", "heatsink", "left_water")))
-    return out.filter(F.coalesce("ambient", "heatsink", "left_water").isNotNull())
+    out = freezer.select("t", *(sensor(F.col(f"{c}_raw")).alias(c) for c in FREEZER))
+    return out.filter(F.coalesce(*FREEZER).isNotNull())
 
 
 @reg("agg_light_summary", "select round(avg(lux), 6) as avg_lux, min(lux) as min_lux, max(lux) as max_lux, count(*) as n from light having count(*) > 0", "light")
@@ -166,15 +169,6 @@ def sleep_avg(_, sessions):
     return sessions.groupBy("side").agg(rnd(F.avg("duration")).alias("mean_duration"), rnd(F.avg("exits")).alias("mean_exits"), F.max("entered").alias("latest"))
 
 
-@reg("agg_weekly_nights", f", k as (select side, cast(to_timestamp(entered) at time zone 'UTC' as date) - case when (entered % 86400) < 21600 then 1 else 0 end as night, duration from sleep_records), g as (select unnest(generate_series(date '2023-12-31', date '2024-01-06', interval 1 day))::date as night) select s.side, cast(g.night as varchar) as night, round(coalesce(sum(duration), 0) / 3600.0, 6) as hours from g cross join (select unnest(['left', 'right']) as side) s left join k on k.night = g.night and k.side = s.side group by 1, 2", "movement", "sleep_records")
-def weekly_nights(_, sessions, start: str = "2023-12-31"):
-    spark = sessions.sparkSession
-    grid = spark.sql(f"select side, night from (select explode(sequence(date '{start}', date_add(date '{start}', 6))) as night) lateral view explode(array('left', 'right')) x as side")
-    early = F.when(F.col("entered") % 86400 < 21600, 1).otherwise(0)
-    k = sessions.select("side", F.date_sub(F.to_date(F.timestamp_seconds("entered")), early).alias("night"), "duration")
-    return grid.join(k, ["side", "night"], "left").groupBy("side", F.col("night").cast("string").alias("night")).agg(rnd(F.coalesce(F.sum("duration"), F.lit(0)) / 3600).alias("hours"))
-
-
 @reg("join_asof_backward", "select m.id, m.side, m.t, case when m.t - v.t <= 900 then v.heart_rate end as heart_rate from movement m asof left join (select * from vitals where heart_rate is not null) v on m.side = v.side and m.t >= v.t", "movement", "vitals")
 def asof(movement, vitals):
     return p.asof_backward(movement.select("id", "side", "t"), vitals, ["side"], "t", "heart_rate", 900)
@@ -187,12 +181,14 @@ def bucket_nearest(vitals, movement):
     return vitals.withColumn("k", u.half_up(F.col("t") / 300)).join(b, ["side", "k"], "left").select("id", "side", "t", "total_movement")
 
 
-@reg("join_full_zip", "select coalesce(l.k, r.k) as bucket, coalesce(l.n, 0) as left_total, coalesce(r.n, 0) as right_total from (select t // 1800 as k, cast(sum(total_movement) as bigint) as n from movement where side = 'left' and total_movement > 100 group by 1) l full join (select t // 1800 as k, cast(sum(total_movement) as bigint) as n from movement where side = 'right' and total_movement > 300 group by 1) r on l.k = r.k", "movement")
+@reg("join_full_zip", "select coalesce(l.k, r.k) as bucket, coalesce(l.n, 0) as left_total, coalesce(r.n, 0) as right_total from (select t // 1800 as k, cast(sum(total_movement) as bigint) as n from movement where side = 'left' group by 1) l full join (select t // 1800 as k, cast(sum(total_movement) as bigint) as n from movement where side = 'right' group by 1) r on l.k = r.k", "movement")
 def full_zip(movement):
-    def half(side, least):
-        return movement.filter((F.col("side") == side) & (F.col("total_movement") > least)).groupBy(F.expr("t div 1800").alias("bucket")).agg(F.sum("total_movement").alias(f"{side}_total"))
+    """Both sides' movement in half hours, 0 where a side has none."""
+
+    def half(side):
+        return movement.filter(F.col("side") == side).groupBy(F.expr("t div 1800").alias("bucket")).agg(F.sum("total_movement").alias(f"{side}_total"))
 
-    both = half("left", 100).join(half("right", 300), "bucket", "full")
+    both = half("left").join(half("right"), "bucket", "full")
     return both.select("bucket", F.coalesce("left_total", F.lit(0)).alias("left_total"), F.coalesce("right_total", F.lit(0)).alias("right_total"))
 
 

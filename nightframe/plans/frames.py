@@ -152,11 +152,33 @@ TOTAL = " + ".join(f"var_pop(c_{z}) over w" for z in ZONES)
 def cal_cap(frames, width: int = 300, floor: float = 5.0):
     """Mean and deviation of three channels over the quietest ``width`` frames, the first such; missing channels count as 0."""
     rows = frames.select("t", *(F.coalesce(f"left_{z}_temp", F.lit(0)).alias(z) for z in ZONES))
-    w = g.within([]).rowsBetween(0, width - 1)
-    made = {f"m_{z}": F.avg(z).over(w) for z in ZONES} | {f"s_{z}": F.stddev_pop(z).over(w) for z in ZONES}
-    made |= {"v": F.round(sum(F.var_pop(z).over(w) for z in ZONES), 4), "n": F.count("*").over(w), "last": F.max("t").over(w)}
-    rows = g.own(g.carried(rows, [], after=width - 1).withColumns(made)).filter(F.col("n") == width)
-    best = rows.agg(F.min(F.struct("v", "t", "last", *(f"{k}_{z}" for z in ZONES for k in "ms"))).alias("b")).filter("b is not null")
+    rows = g.spreads(rows, [], list(ZONES), width).filter("n is not null")
+    stats = [c for z in ZONES for c in (F.col(f"mean_{z}").alias(f"m_{z}"), F.sqrt(f"var_{z}").alias(f"s_{z}"))]
+    best = rows.agg(F.min(F.struct(F.round(sum(F.col(f"var_{z}") for z in ZONES), 4).alias("v"), "t", "last", *stats)).alias("b")).filter("b is not null")
     quality = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("b.v") / 100000)), 3)
     stats = (c for z in ZONES for c in (F.round(f"b.m_{z}", 2).alias(f"mean_{z}"), F.round(F.greatest(f"b.s_{z}", F.lit(floor)), 2).alias(f"std_{z}")))
     return best.select(F.col("b.t").alias("start"), F.col("b.last").alias("until"), quality.alias("quality"), *stats)
+
+
+PAIRS = {"a": (0, 1), "b": (2, 3), "c": (4, 5), "ref": (6, 7)}
+MEANS = ", ".join(f"(c[{i + 1}] + c[{j + 1}]) / 2 as {n}" for n, (i, j) in PAIRS.items())
+
+
+def cal_cap_float(spark, sf_dir, width: int = 300, least: int = 60, floor: float = 0.05, ref_floor: float = 0.001):
+    """Mean and deviation of the channel pairs over the quietest run of frames, of all where there are fewer; none below ``least`` frames."""
+    rows = channels(spark, sf_dir).select("vec_id", *((F.col("c")[i] + F.col("c")[j]).alias(f"__{n}") for n, (i, j) in PAIRS.items()))
+    rows = rows.select("vec_id", *((F.col(f"__{n}") / 2).alias(n) for n in PAIRS))
+    count = rows.count()
+    size = min(width, count)
+    w = g.within([], "vec_id").rowsBetween(0, max(size, 1) - 1)
+    made = {f"{k}_{n}": a(n).over(w) for n in PAIRS for k, a in (("m", F.avg), ("s", F.stddev_pop))}
+    made |= {"v": F.round(sum(F.var_pop(n).over(w) for n in ("a", "b", "c")), 6), "n": F.count("*").over(w), "last": F.max("vec_id").over(w)}
+    rows = g.own(g.carried(rows, [], after=max(size, 1) - 1, t="vec_id").withColumns(made)).filter((F.col("n") == size) & F.lit(count >= least))
+    best = rows.agg(F.min(F.struct("v", "vec_id", "last", *(f"{k}_{n}" for n in PAIRS for k in "ms"))).alias("b")).filter("b is not null")
+    quality = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("b.v") / 10)), 3)
+    stats = (c for n in PAIRS for c in (F.round(f"b.m_{n}", 4).alias(f"mean_{n}"), F.round(F.greatest(f"b.s_{n}", F.lit(ref_floor if n == "ref" else floor)), 4).alias(f"std_{n}")))
+    return best.select(F.col("b.vec_id").alias("start"), F.col("b.last").alias("until"), quality.alias("quality"), *stats)
+
+
+QUERIES["cal_cap_v2"] = cal_cap_float
+ORACLES["cal_cap_v2"] = CHANNELS + f"z as (select vec_id, {MEANS} from c), k as (select count(*) as total from z), q as (select vec_id, round(var_pop(a) over w + var_pop(b) over w + var_pop(c) over w, 6) as v, count(*) over w as n, max(vec_id) over w as last, " + ", ".join(f"avg({n}) over w as m_{n}, stddev_pop({n}) over w as s_{n}" for n in PAIRS) + " from z window w as (order by vec_id rows between current row and 299 following)) select vec_id as start, last as until, round(greatest(0, least(1, 1 - v / 10)), 3) as quality, " + ", ".join(f"round(m_{n}, 4) as mean_{n}, round(greatest(s_{n}, {0.001 if n == 'ref' else 0.05}), 4) as std_{n}" for n in PAIRS) + " from q, k where n = least(300, total) and total >= 60 order by v, vec_id limit 1"

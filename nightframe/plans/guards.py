@@ -13,19 +13,11 @@ from .core import NOW, _clean_sql, reg, rnd, sensor
 from .frames import CHANNELS, channels
 from .lists import profiles
 from .registry import ORACLES, QUERIES
+from .sequences import PUMPS, each_pump
 
 SIDES = ("left", "right")
 
 
-def both_sides(flow: DataFrame) -> DataFrame:
-    """(side, t, rpm, flow) of each side's pump."""
-    each = F.explode(F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"{x}_rpm").alias("rpm"), F.col(f"{x}_flow").alias("flow")) for x in SIDES)))
-    return flow.select("t", each.alias("x")).select("x.side", "t", "x.rpm", "x.flow")
-
-
-PUMPS = "p as (" + " union all ".join(f"select '{x}' as side, t, {x}_rpm as rpm, {x}_flow as flow from flow" for x in SIDES) + ")"
-
-
 @reg("st_stall_guard", f""", {PUMPS},
 a as (select p.side, p.t, p.rpm, coalesce(d.powered and p.t - d.t <= 86400, false) as act, row_number() over (partition by p.side order by p.t) as i from p asof left join device_state d on d.side = p.side and d.t <= p.t),
 r as (select side, cast(0 as bigint) as i, cast(null as bigint) as t, 0 as low, 0 as well, false as b, cast(null as varchar) as event from (select distinct side from a)
@@ -36,7 +28,7 @@ select side, t, event from r where event is not null""", "flow", "device_state")
 def stall_guard(flow, device):
     """Both pumps' guards; a pump should run while its side was last switched on."""
     on = device.select("side", "t", F.col("powered").cast("double").alias("active"))
-    frames = p.asof_backward(both_sides(flow).select("side", "t", "rpm"), on, ["side"], "t", "active", g.DAY)
+    frames = p.asof_backward(each_pump(flow).select("side", "t", "rpm"), on, ["side"], "t", "active", g.DAY)
     return gd.stall_guard(frames.withColumn("active", F.col("active") > 0), ["side"])
 
 
@@ -93,7 +85,7 @@ select side, t, gated, round(case when gated then 0 else coalesce(list_sum(delta
 def pump_gate_cap(samples, flow):
     """Movement without what the pumps cause."""
     moved = gd.deltas(samples, ["side"], ["a", "b", "c"])
-    return gd.pump_gate(moved, both_sides(flow), ["side"]).select("side", "t", "gated", rnd("movement", 9).alias("movement"))
+    return gd.pump_gate(moved, each_pump(flow), ["side"]).select("side", "t", "gated", rnd("movement", 9).alias("movement"))
 
 
 LIMITS = {"heart_rate": (30, 100), "hrv": (8, 100), "breathing_rate": (6, 22)}
@@ -136,10 +128,9 @@ def val_hr(vitals, calibrations, now: int = NOW):
 @reg("cal_piezo", ", q as (select side, t, round(var_pop(total_movement) over w, 6) as v, avg(total_movement) over w as mean, sqrt(avg(total_movement * total_movement) over w) as rms, count(*) over w as n from movement window w as (partition by side order by t rows between current row and 299 following)), b as (select *, row_number() over (partition by side order by v, t) as k from q where n = 300) select side, round(mean, 6) as mean, round(greatest(50000.0, 6 * rms), 6) as threshold, round(1 - mean / greatest(50000.0, 6 * rms), 6) as quality from b where k = 1", "movement")
 def cal_piezo(movement, width: int = 300):
     """Threshold of presence from the quietest run of records, the first of equals; runs lie anywhere in the series."""
-    x, w = F.col("total_movement"), g.within(["side"]).rowsBetween(0, width - 1)
-    rows = g.carried(movement.select("side", "t", "total_movement"), ["side"], after=width - 1)
-    rows = g.own(rows.withColumns({"v": rnd(F.var_pop(x).over(w)), "mean": F.avg(x).over(w), "rms": F.sqrt(F.avg(x * x).over(w)), "n": F.count("*").over(w)})).filter(F.col("n") == width)
-    best = rows.groupBy("side").agg(F.min(F.struct("v", "t", "mean", "rms")).alias("b"))
+    rows = g.spreads(movement.select("side", "t", "total_movement"), ["side"], ["total_movement"], width).filter("n is not null")
+    mean, var = F.col("mean_total_movement"), F.col("var_total_movement")
+    best = rows.groupBy("side").agg(F.min(F.struct(rnd(var).alias("v"), "t", mean.alias("mean"), F.sqrt(var + mean * mean).alias("rms"))).alias("b"))
     threshold = F.greatest(F.lit(50000.0), 6 * F.col("b.rms"))
     return best.select("side", rnd("b.mean").alias("mean"), rnd(threshold).alias("threshold"), rnd(1 - F.col("b.mean") / threshold).alias("quality"))
 
@@ -232,3 +223,15 @@ def water_trend(water, hours: int = HOURS, now: int = NOW):
     change = share("rl", "rn") - share("ol", "o")
     trend = F.when(F.col("n") < 2, "unknown").when(change > 0.2, "declining").when(change < -0.2, "rising").otherwise("stable")
     return a.select("n", "low", (F.col("n") - F.col("low")).alias("ok"), u.half_up(F.try_divide(F.col("low") * 100, F.col("n"))).alias("low_percent"), trend.alias("trend"))
+
+
+@reg("cap_zone_replay", ", f as (select s.id as night, s.side, m.t, m.a, m.b, m.c, row_number() over (partition by s.id order by m.t) - 1 as i, count(*) over (partition by s.id) as n from sleep_records s join samples m on m.side = s.side and m.t between s.entered and s.left_at where m.a is not null and s.left_at is not null) select night, side, t, round(a, 9) as a, round(b, 9) as b, round(c, 9) as c, case when a >= b and a >= c then 0 when b >= c then 1 else 2 end as peak_zone from f where i % greatest(1, cast(ceil(n / 300.0) as bigint)) = 0", "samples", "movement", "sleep_records")
+def zone_replay(samples, _, sessions, most: int = 300):
+    """Each night's frames with whole zones, every k-th so that at most ``most`` are shown, the first always."""
+    closed = sessions.filter("left_at is not null").select("side", F.col("id").alias("night"), "entered", "left_at")
+    rows = p.interval_join(samples.filter("a is not null").select("side", "t", "a", "b", "c"), closed, ["side"], "t", F.col("entered"), F.col("left_at"), ["night"])
+    counts = rows.groupBy("side", "night").agg(F.count("*").alias("n"))
+    shown = g.numbered(rows, ["side", "night"]).join(counts, ["side", "night"]).filter((F.col("i") - 1) % F.greatest(F.lit(1), F.ceil(F.col("n") / most)) == 0)
+    a, b, c = (F.col(x) for x in "abc")
+    peak = F.when((a >= b) & (a >= c), 0).when(b >= c, 1).otherwise(2)
+    return shown.select("night", "side", "t", rnd("a", 9).alias("a"), rnd("b", 9).alias("b"), rnd("c", 9).alias("c"), peak.alias("peak_zone"))

@@ -83,9 +83,9 @@ def median3(movement):
 @reg("win_quietest", f"select side, t // 86400 as day, arg_min(t, v * 1e12 + (t % 86400)) as start, round(min(v), 6) as variance from (select side, t, round(var_pop(total_movement) over ({BY} rows between current row and 299 following), 6) as v, count(*) over ({BY} rows between current row and 299 following) as n from movement) where n = 300 group by 1, 2", "movement")
 def quietest(movement, width: int = 300):
     """The quietest run of rows that begins on each day."""
-    rows, w = framed(movement, 0, width - 1)
-    rows = g.own(rows.withColumns({"v": rnd(F.var_pop("total_movement").over(w)), "n": F.count("*").over(w), "day": s.day_key()})).filter(F.col("n") == width)
-    return rows.groupBy("side", "day").agg(F.min_by("t", F.col("v") * 1e12 + F.col("t") % 86400).alias("start"), rnd(F.min("v")).alias("variance"))
+    rows = g.spreads(movement.select("side", "t", "total_movement"), SIDE, ["total_movement"], width).filter("n is not null")
+    rows = rows.withColumns({"v": rnd("var_total_movement"), "day": s.day_key()})
+    return rows.groupBy("side", "day").agg(F.min_by("t", F.struct("v", "t")).alias("start"), rnd(F.min("v")).alias("variance"))
 
 
 @reg("win_dynamic_bounds", f"select id, case when len(l) >= 30 then l[cast(floor(len(l) * 0.1) as int) + 1] end as lo, case when len(l) >= 30 then greatest(l[least(len(l), cast(floor(len(l) * 0.9) as int) + 1)], l[cast(floor(len(l) * 0.1) as int) + 1] + 15) end as hi from (select id, coalesce(list_sort(list(heart_rate) filter (heart_rate is not null) over ({BY} rows between 300 preceding and 1 preceding)), []) as l from vitals)", "vitals")
@@ -133,19 +133,30 @@ def hampel(vitals):
     return rows.select("id", F.when(F.abs(F.col("hrv") - F.col("m")) > 3 * 1.4826 * F.greatest(F.col("mad"), F.lit(1e-6)), None).otherwise(F.col("hrv")).alias("hrv"))
 
 
-@reg("win_flow_delta", "select t, abs(left_flow - p) > 500 as spike from (select t, left_flow, lag(left_flow) over (order by t) as p from flow where left_flow is not null)", "flow")
+def each_pump(flow):
+    """(side, t, rpm, flow) of both pumps."""
+    each = F.explode(F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"{x}_rpm").alias("rpm"), F.col(f"{x}_flow").alias("flow")) for x in ("left", "right"))))
+    return flow.select("t", each.alias("x")).select("x.side", "t", "x.rpm", "x.flow")
+
+
+PUMPS = "p as (" + " union all ".join(f"select '{x}' as side, t, {x}_rpm as rpm, {x}_flow as flow from flow" for x in ("left", "right")) + ")"
+
+
+@reg("win_flow_delta", f", {PUMPS} select side, t, abs(flow - was) > 500 as spike from (select side, t, flow, lag(flow) over (partition by side order by t) as was from p where flow is not null)", "flow")
 def flow_delta(flow):
-    rows = g.carried(flow.filter("left_flow is not null"), [], before=1)
-    rows = g.own(rows.withColumn("p", F.lag("left_flow").over(g.within([]))))
-    return rows.select("t", (F.abs(F.col("left_flow") - F.col("p")) > 500).alias("spike"))
+    """Jumps of each side's flow from its last known one."""
+    rows = g.carried(each_pump(flow).filter("flow is not null"), SIDE, before=1)
+    rows = g.own(rows.withColumn("was", F.lag("flow").over(g.within(SIDE))))
+    return rows.select("side", "t", (F.abs(F.col("flow") - F.col("was")) > 500).alias("spike"))
 
 
-@reg("win_edge_powered", "select t, last_value(case when on_now and not coalesce(was, false) then t end ignore nulls) over (order by t) as powered_on_at, on_now from (select t, left_rpm >= 50 as on_now, lag(left_rpm >= 50) over (order by t) as was from flow) qualify on_now", "flow")
+@reg("win_edge_powered", f", {PUMPS} select side, t, last_value(case when on_now and not coalesce(was, false) then t end ignore nulls) over (partition by side order by t) as powered_on_at, on_now from (select side, t, rpm >= 50 as on_now, lag(rpm >= 50) over (partition by side order by t) as was from p) qualify on_now", "flow")
 def edge_powered(flow):
-    rows = g.carried(flow.withColumn("on_now", F.col("left_rpm") >= 50), [], before=1)
-    edge = F.when(F.col("on_now") & ~F.coalesce(F.lag("on_now").over(g.within([])), F.lit(False)), F.col("t"))
-    rows = g.last_known(g.own(rows.withColumn("edge", edge)), [], "edge", "powered_on_at")
-    return rows.filter("on_now").select("t", "powered_on_at", "on_now")
+    """When each running pump was last started."""
+    rows = g.carried(each_pump(flow).select("side", "t", (F.col("rpm") >= 50).alias("on_now")), SIDE, before=1)
+    edge = F.when(F.col("on_now") & ~F.coalesce(F.lag("on_now").over(g.within(SIDE)), F.lit(False)), F.col("t"))
+    rows = g.last_known(g.own(rows.withColumn("edge", edge)), SIDE, "edge", "powered_on_at")
+    return rows.filter("on_now").select("side", "t", "powered_on_at", "on_now")
 
 
 @reg("win_ring_tail", "select id, side, t from (select *, row_number() over (partition by side order by t desc) as k from movement) where k <= 120", "movement")
@@ -234,3 +245,18 @@ def surface_signals(bed):
     z = F.array_compact(F.array("left_outer_temp", "left_center_temp", "left_inner_temp"))
     mean = F.aggregate("z", F.lit(0.0), lambda a, x: a + x) / F.size("z")
     return bed.withColumn("z", z).select("t", rnd(mean).alias("mean"), F.when(F.size("z") >= 2, F.array_max("z") - F.array_min("z")).alias("spread"), (F.col("left_inner_temp") - F.col("left_outer_temp")).alias("gradient"))
+
+
+STAGE_NAMES = ("wake", "light", "deep", "rem")
+
+
+@reg("agg_weekly_nights", STAGED + ", z as (select night, " + ", ".join(f"cast(sum(case when stage = '{x}' then seconds else 0 end) as bigint) as {x}" for x in STAGE_NAMES) + " from e group by 1), k as (select s.id, s.side, cast(to_timestamp(entered) at time zone 'UTC' as date) - case when (entered % 86400) < 21600 then 1 else 0 end as d, duration, z.* exclude (night) from sleep_records s left join z on z.night = s.id), w as (select cast(unnest(generate_series(date '2023-12-31', date '2024-01-06', interval 1 day)) as date) as d) select x.side, cast(w.d as varchar) as night, round(coalesce(sum(duration), 0) / 3600.0, 6) as hours, " + ", ".join(f"cast(coalesce(sum({x}), 0) as bigint) as {x}" for x in STAGE_NAMES) + " from w cross join (select unnest(['left', 'right']) as side) x left join k on k.d = w.d and k.side = x.side group by 1, 2", "vitals", "movement", "sleep_records")
+def weekly_nights(vitals, movement, sessions, start: str = "2023-12-31"):
+    """A week's nights of each side: hours asleep and seconds in each stage; a night begins before six in the morning."""
+    spark = sessions.sparkSession
+    grid = spark.sql(f"select side, d from (select explode(sequence(date '{start}', date_add(date '{start}', 6))) as d) lateral view explode(array('left', 'right')) x as side")
+    stages = staged(vitals, movement, sessions).groupBy("night").agg(*(F.sum(F.when(F.col("stage") == x, F.col("seconds")).otherwise(0)).alias(x) for x in STAGE_NAMES))
+    early = F.when(F.col("entered") % 86400 < 21600, 1).otherwise(0)
+    k = sessions.select(F.col("id").alias("night"), "side", F.date_sub(F.to_date(F.timestamp_seconds("entered")), early).alias("d"), "duration").join(stages, "night", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return grid.join(k.drop("night"), ["side", "d"], "left").groupBy("side", F.col("d").cast("string").alias("night")).agg(rnd(total("duration") / 3600).alias("hours"), *(total(x).cast("long").alias(x) for x in STAGE_NAMES))

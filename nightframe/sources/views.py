@@ -64,7 +64,7 @@ SPECS: dict[str, tuple[str, dict[str, str], str]] = {
     "movement": ("events", {"id": "event_id", "side": "case when event_id % 2 = 0 then 'left' else 'right' end", "t": f"{START} + (event_id {{div}} 2) * 60", "total_movement": "cast(least(1000, floor(value * 4)) as int)"}, ""),
     "vitals": ("events", {"id": "event_id", "side": "case when event_id % 2 = 0 then 'left' else 'right' end", "t": f"{START} + (event_id {{div}} 2) * 60", "heart_rate": "case when event_type = 'error' then null else cast(40 + event_id * 7 % 90 as double) end", "hrv": "cast(event_id * 13 % 320 as double)", "breathing_rate": "cast(6 + event_id * 3 % 22 as double)"}, ""),
     "bed_temp": ("events", {"t": f"{START} + event_id * 60", "ambient_temp": "case when event_id % 17 = 0 then null else 1500 + cast(floor(value * 10) as int) end", "humidity": "cast(3000 + event_id % 4000 as int)", "left_outer_temp": "cast(2000 + event_id * 11 % 900 as int)", "left_center_temp": "case when event_id % 5 = 0 then null else cast(2100 + event_id * 17 % 900 as int) end", "left_inner_temp": "case when event_id % 7 = 0 then null else cast(2050 + event_id * 23 % 900 as int) end"}, "event_type <> 'error'"),
-    "freezer_temp": ("events", {"t": f"{START} + event_id * 60", "ambient_raw": "case when event_id % 50 = 0 then 32768 when event_id % 51 = 0 then -1 else cast(1800 + event_id * 7 % 11000 as int) end", "heatsink_raw": "case when event_id % 40 = 0 then 65535 else cast(2000 + event_id * 29 % 12000 as int) end", "left_water_raw": "case when event_id % 30 = 0 then -32768 else cast(event_id * 31 % 14000 - 1000 as int) end"}, ""),
+    "freezer_temp": ("events", {"t": f"{START} + event_id * 60", "ambient_raw": "case when event_id % 50 = 0 then 32768 when event_id % 51 = 0 then -1 else cast(1800 + event_id * 7 % 11000 as int) end", "heatsink_raw": "case when event_id % 40 = 0 then 65535 else cast(2000 + event_id * 29 % 12000 as int) end", "left_water_raw": "case when event_id % 30 = 0 then -32768 else cast(event_id * 31 % 14000 - 1000 as int) end", "right_water_raw": "case when event_id % 23 = 0 then 65535 else cast(event_id * 17 % 13000 as int) end"}, ""),
     "bed_frames": ("events", {"t": f"{START} + event_id * 60", "left_amb": "case when event_type = 'error' then cast(-327.68 as double) else value / 16 end", "right_amb": "case when event_type = 'signup' then null else value / 8 end", "left_hu": "case when event_type = 'view' then null else value / 5 end", "right_hu": "value / 6", "outer_c": "value / 32", "center_c": "case when event_type = 'click' then cast(-327.68 as double) else value / 20 end", "inner_c": "value / 25", "n_temps": "case when event_type = 'purchase' then 2 else 3 end"}, ""),
     "gestures": ("events", {"tap": "case when event_type in ('click', 'view') then 'double' else 'triple' end", "t": f"{START} + event_id * 2", "l": "event_id % 60 {div} 3", "r": "event_id % 45 {div} 2"}, ""),
     "light": ("events", {"t": f"{START} + event_id * 60", "lux": "round(value * 3, 3)"}, ""),
