@@ -65,6 +65,8 @@ CENTRES = 4
 FAR = 0.5
 #: Ids (8 bytes each) that may be broadcast.
 BROADCAST_IDS = 1 << 22
+#: Bytes of text whose shingles are held at once (a longer text stands alone).
+SLICE = 1 << 20
 #: Steps of the scale on which sizes of sets are counted.
 STEP = 1.01
 
@@ -106,7 +108,7 @@ def _screen(n: np.ndarray, percent: int):
 
 def _screen_entries(width: int, percent: int):
     def entries(batches):
-        for batch, data, offsets in slices(batches, "text"):
+        for batch, data, offsets in slices(batches, "text", SLICE):
             row, h, n = shingle_sets(data, offsets, width)
             shown, _ = _screen(n, percent)
             keep = runs(n) < np.repeat(shown, n)
@@ -127,7 +129,7 @@ def _sets(width: int, percent: int):
     names = ["doc_id", "n", "h1", "h2", "shingles"]
 
     def run(batches):
-        for batch, data, offsets in slices(batches, "text"):
+        for batch, data, offsets in slices(batches, "text", SLICE):
             _, h, n = shingle_sets(data, offsets, width)
             alive = batch.column("alive").fill_null(False).to_numpy(zero_copy_only=False) & (n > 0)
             stop = np.append(0, np.cumsum(n))

@@ -81,7 +81,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for k, base in enumerate((_BASE, _INVERSE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
