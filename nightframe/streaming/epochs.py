@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
-def work_folder(spark: SparkSession) -> str:
-    """A fresh path in the cluster's shared folder (a local one only where none is set and all tasks run on this machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="nightframe-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.shared import folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +22,7 @@ def movement_epochs(events: DataFrame, width: str = "1 hour", late: str = "2 hou
 
 def run_available(stream: DataFrame, schema_from: DataFrame | None = None) -> DataFrame:
     """Run a stream over what is there, into Parquet, and read the sink."""
-    spark, folder = stream.sparkSession, work_folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, folder(stream.sparkSession, "stream")
     query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
