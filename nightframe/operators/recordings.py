@@ -30,14 +30,14 @@ FEWEST, WIDEST_GAP, FEWEST_STEPS, HRV_MS = 10, 3, 5, (5, 100)
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
-def windows(samples: DataFrame, keys: list[str], size: int, hop: int, kernels: dict[str, Kernel], i: str = "i", x: str = "x") -> DataFrame:
-    """(keys, w, names) of each whole window: window w has the ``size`` samples from number ``w * hop`` on; each kernel gives a number for each row of a matrix."""
+def windows(samples: DataFrame, keys: list[str], size: int, hop: int, kernels: dict[str | tuple[str, ...], Kernel], i: str = "i", x: str = "x") -> DataFrame:
+    """(keys, w, names) of each whole window: window w has the ``size`` samples from number ``w * hop`` on; each kernel gives a number for each row of a matrix, or a column for each of its names."""
     width = -(-max(STRETCH, size) // hop) * hop
     rows = samples.select(*keys, F.col(i).cast("long").alias("__i"), F.col(x).cast("double").alias("__x")).dropna().filter("__i >= 0")
     own = F.floor(F.col("__i") / width)
     early = F.when((F.col("__i") % width < size - hop) & (own > 0), own - 1)
     rows = rows.withColumn("__s", F.explode(F.filter(F.array(own, early), lambda s: s.isNotNull())))
-    names = list(kernels)
+    names = [n for k in kernels for n in ([k] if isinstance(k, str) else k)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         start = int(pdf["__s"].iloc[0]) * width
@@ -51,7 +51,8 @@ def windows(samples: DataFrame, keys: list[str], size: int, hop: int, kernels: d
         for name, kernel in kernels.items():
             # matrices of some megabytes
             parts = [kernel(all_of[k]) for k in np.array_split(whole, max(1, len(whole) * size >> 20))]
-            found[name] = pd.array([None if v != v else v for v in np.concatenate(parts)], "Float64")
+            columns = np.concatenate(parts).reshape(len(whole), -1).T
+            found |= {n: pd.array([None if v != v else v for v in c], "Float64") for n, c in zip([name] if isinstance(name, str) else name, columns)}
         out = pd.DataFrame(found)
         for k in keys:
             out[k] = pdf[k].iloc[0]

@@ -22,24 +22,24 @@ def likely(rate: float, usual: float) -> bool:
     return bool(np.exp(-0.5 * ((rate - usual) / SPREAD) ** 2) > LIKELY)
 
 
+def believed(rate: float, recent: list[float], misses: int) -> tuple[float, list[float], int]:
+    """(rate told, the rates remembered, misses in a row) after one candidate."""
+    usual = median(recent) if recent else rate
+    # the rate itself, or its octaves where they lie in range
+    fits = [x for x, (lo, hi) in ((rate, (rate, rate)), (rate / 2, HALF), (rate * 2, DOUBLE)) if lo <= x <= hi and likely(x, usual)]
+    if fits:
+        return fits[0], [*recent, fits[0]][-REMEMBERED:], 0
+    return (rate, [rate], 0) if misses + 1 == GIVE_UP else (rate, recent, misses + 1)
+
+
 def track(state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
     """Rates told, one for each candidate; ``state``: the last rates that were believed, and how many since were not."""
     recent, misses, told = list(state["recent"]), state["misses"], []
     for rate in rows["rate"].to_numpy(np.float64, na_value=np.nan):
-        if np.isnan(rate):
-            told.append(None)
-            continue
-        rate = float(rate)
-        usual = median(recent) if recent else rate
-        # the rate itself, or its octaves where they lie in range
-        fits = [x for x, (lo, hi) in ((rate, (rate, rate)), (rate / 2, HALF), (rate * 2, DOUBLE)) if lo <= x <= hi and likely(x, usual)]
-        if fits:
-            recent, misses = [*recent, fits[0]][-REMEMBERED:], 0
-        elif misses + 1 == GIVE_UP:
-            recent, misses = [rate], 0
-        else:
-            misses += 1
-        told.append(fits[0] if fits else rate)
+        value = None
+        if not np.isnan(rate):
+            value, recent, misses = believed(float(rate), recent, misses)
+        told.append(value)
     return {"recent": recent, "misses": misses}, pd.DataFrame({"t": rows["t"].to_numpy(), "rate": pd.array(told, "Float64")})
 
 

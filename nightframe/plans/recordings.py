@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from ..operators import recordings as r
-from ..sources.views import view
+from pyspark.sql import functions as F
+
+from ..operators import recordings as r, vitals as v
+from ..operators.patterns import asof_backward
+from ..sources.views import START, view
 from .core import reg, rnd
 from .registry import QUERIES
+from .sequences import each_pump
 
 RATE, SIZE, HOP = 8, 10 * 8, 5 * 8
 WINDOWED = f"""
@@ -32,3 +36,16 @@ def window_std(recording):
 
 # a chain of medians and tracked means has no SQL form; a plain loop tests it
 QUERIES["dsp_hrv"] = lambda spark, sf_dir: r.hrv(view(spark, sf_dir, "recording"), ["side"], RATE)
+
+
+def vitals_emit(spark, sf_dir):
+    """Vitals of both sides, a row a minute while somebody is there; thresholds of the events' values, about 200."""
+    found = v.minutes(view(spark, sf_dir, "recording"), ["side"], RATE)
+    found = v.uncoupled(found, [], "side", 150.0)
+    pumps = each_pump(view(spark, sf_dir, "flow")).select("side", F.col("t").alias("at"), (F.col("rpm") >= 50).cast("double").alias("pump"))
+    rows = asof_backward(found.withColumn("at", F.col("at") + START), pumps, ["side"], "at", "pump", 60)
+    return v.emitted(rows.withColumn("pump", F.coalesce(F.col("pump") > 0, F.lit(False))), ["side"], 150.0, 60.0)
+
+
+# heart rates by autocorrelation have no SQL form; plain loops test the fold
+QUERIES["st_vitals_emit"] = vitals_emit
