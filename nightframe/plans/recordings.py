@@ -39,12 +39,12 @@ QUERIES["dsp_hrv"] = lambda spark, sf_dir: r.hrv(view(spark, sf_dir, "recording"
 
 
 def vitals_emit(spark, sf_dir):
-    """Vitals of both sides, a row a minute while somebody is there; thresholds of the events' values, about 200."""
+    """Vitals of both sides, a row a minute while somebody is there; thresholds for the events' spread of about 50."""
     found = v.minutes(view(spark, sf_dir, "recording"), ["side"], RATE)
-    found = v.uncoupled(found, [], "side", 150.0)
+    found = v.uncoupled(found, [], "side", 45.0)
     pumps = each_pump(view(spark, sf_dir, "flow")).select("side", F.col("t").alias("at"), (F.col("rpm") >= 50).cast("double").alias("pump"))
     rows = asof_backward(found.withColumn("at", F.col("at") + START), pumps, ["side"], "at", "pump", 60)
-    return v.emitted(rows.withColumn("pump", F.coalesce(F.col("pump") > 0, F.lit(False))), ["side"], 150.0, 60.0)
+    return v.emitted(rows.withColumn("pump", F.coalesce(F.col("pump") > 0, F.lit(False))), ["side"], 45.0, 40.0)
 
 
 # heart rates by autocorrelation have no SQL form; plain loops test the fold
