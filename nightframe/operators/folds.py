@@ -76,6 +76,8 @@ def fold(df: DataFrame, keys: list[str], run: Run, start: object, out: str, t: s
             told[k] = pdf[k].iloc[0]
         return told
 
+    if not rows.agg(F.max("__seg")).first()[0]:  # every key is one segment: there is nothing to guess
+        return rows.withColumn("entry", F.lit(begin)).groupBy(*on).applyInPandas(tell, f"{typed}{out}")
     schema = f"{typed}__seg bigint, entry string, exit string"
     states = shared.written(both.groupBy(*on).applyInPandas(guess, schema), "states")
     true_entry = F.coalesce(F.lag("exit").over(Window.partitionBy(*keys).orderBy("__seg")), F.lit(begin))
