@@ -38,7 +38,7 @@ f as (select device, cast(0 as bigint) as i, cast(null as bigint) as t, cast(nul
 """
 
 
-@reg("st_pump_gate_energy", GATE + " select device, t, d as dropped, round(b, 4) as baseline from f where i > 0", "piezo")
+@reg("st_pump_gate_energy", GATE + " select device, t, d as dropped, round(b, 9) as baseline from f where i > 0", "piezo")
 def pump_gate_energy(piezo):
     """Records of which both channels jump together, dropped with the seconds after them."""
-    return tr.energy_gate(piezo, ["device"]).select("device", "t", "dropped", rnd(F.col("baseline"), 4).alias("baseline"))
+    return tr.energy_gate(piezo, ["device"]).select("device", "t", "dropped", rnd(F.col("baseline"), 9).alias("baseline"))
