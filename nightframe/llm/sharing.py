@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .textbytes import mix, text_bytes
+from .textbytes import give_back, mix, text_bytes
 
 #: Entries of a chunk.
 CHUNK = 1 << 20
@@ -108,8 +108,11 @@ def shared(df: DataFrame, entries, key: str = "doc_id", text: str = "text", fini
                 parts, size, flushed = ([], [], [], []), 0, flushed + 1
         if size:
             yield flush(*parts)
+        parts = None
+        give_back()
 
     def meet(table):
+        give_back()
         part = table.column("part")[0].as_py()
         h, d = (np.concatenate(x) for x in zip(*map(unsqueeze, table.column("entries").to_pylist())))
         if part < n:
@@ -127,6 +130,7 @@ def shared(df: DataFrame, entries, key: str = "doc_id", text: str = "text", fini
         return pa.table({"part": pa.array(to[cut], pa.int32()), "entries": pa.array([squeeze(h[a:b], d[a:b]) for a, b in zip(edge, edge[1:])], pa.binary())})
 
     def gather(table):
+        give_back()
         h, d = (np.concatenate(x) for x in zip(*map(unsqueeze, table.column("entries").to_pylist())))
         is_number = h >> np.uint64(8) & np.uint64(255) == NUMBER
         whole, number = d[is_number], (h[is_number] >> np.uint64(16)).astype(np.int64)

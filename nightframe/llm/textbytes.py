@@ -7,6 +7,8 @@ loop over documents. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -114,6 +116,15 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are reused, and what one stage has freed would count against the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def runs(counts: np.ndarray) -> np.ndarray:
     """0..count-1 for each count, one after the other."""
     counts = np.asarray(counts, np.int64)
