@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.shared import folder
+from ..sources import shared
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def movement_epochs(events: DataFrame, width: str = "1 hour", late: str = "2 hou
 
 def run_available(stream: DataFrame, schema_from: DataFrame | None = None) -> DataFrame:
     """Run a stream over what is there, into Parquet, and read the sink."""
-    spark, folder = stream.sparkSession, folder(stream.sparkSession, "stream")
+    spark, folder = stream.sparkSession, shared.folder(stream.sparkSession, "stream")
     query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
