@@ -47,6 +47,8 @@ def windows(samples: DataFrame, keys: list[str], size: int, hop: int, kernels: d
         missing = np.append(0, np.cumsum(np.isnan(dense)))
         at = np.arange(len(all_of)) * hop
         whole = np.flatnonzero(missing[at + size] == missing[at])
+        if not len(whole):
+            return pd.DataFrame(columns=["w", *names, *keys])
         found = {"w": start // hop + whole}
         for name, kernel in kernels.items():
             # matrices of some megabytes
