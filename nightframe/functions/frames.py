@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 NO_SENSOR, NO_SENSOR_INT = -327.68, -32768
 NO_CHANNEL, NOMINAL = -1.0, 1.16
 OLDEST = 1577836800
-BANDS = [(-8, "cold_deep"), (-5, "cold_mid"), (-2, "cold_soft"), (1, "neutral"), (4, "warm_soft"), (7, "warm_mid")]
+BANDS = [(-8, "much_cooler"), (-5, "cooler"), (-2, "a_little_cooler"), (1, "as_it_is"), (4, "a_little_warmer"), (7, "warmer")]
 
 
 def sensed(x: Column) -> Column:
@@ -63,7 +63,7 @@ def delta_band(delta: Column) -> Column:
     out = F.when(delta.isNull(), None)
     for limit, name in BANDS:
         out = out.when(delta <= limit, name)
-    return out.otherwise("warm_deep")
+    return out.otherwise("much_warmer")
 
 
 def nice_max(v: Column) -> Column:

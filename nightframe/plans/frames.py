@@ -89,7 +89,7 @@ def rate_limit(alerts):
     return g.chained(alerts, ["kind"], 300)
 
 
-@reg("fn_scalars", "select t, case when d <= -8 then 'cold_deep' when d <= -5 then 'cold_mid' when d <= -2 then 'cold_soft' when d <= 1 then 'neutral' when d <= 4 then 'warm_soft' when d <= 7 then 'warm_mid' else 'warm_deep' end as band, target_f - 80 as from_base, floor(current_f / 7 * 10 + 0.5) / 10 as tenth, cast(case when ceil(current_f / 100) = 0 then ceil(current_f) else ceil(current_f / 100) * 100 end as bigint) as axis, cast(greatest(-100, least(100, floor((target_f - 82.5) / 27.5 * 100 + 0.5))) as bigint) as level, cast(greatest(0, least(100, floor(2 * (100 - current_f - 30) + 0.5))) as bigint) as signal from (select *, target_f - current_f as d from device_state)", "device_state")
+@reg("fn_scalars", "select t, case when d <= -8 then 'much_cooler' when d <= -5 then 'cooler' when d <= -2 then 'a_little_cooler' when d <= 1 then 'as_it_is' when d <= 4 then 'a_little_warmer' when d <= 7 then 'warmer' else 'much_warmer' end as band, target_f - 80 as from_base, floor(current_f / 7 * 10 + 0.5) / 10 as tenth, cast(case when ceil(current_f / 100) = 0 then ceil(current_f) else ceil(current_f / 100) * 100 end as bigint) as axis, cast(greatest(-100, least(100, floor((target_f - 82.5) / 27.5 * 100 + 0.5))) as bigint) as level, cast(greatest(0, least(100, floor(2 * (100 - current_f - 30) + 0.5))) as bigint) as signal from (select *, target_f - current_f as d from device_state)", "device_state")
 def scalars(state):
     """Bands, offsets, axis ends, levels and signal strengths of set points."""
     now, target = F.col("current_f"), F.col("target_f")
