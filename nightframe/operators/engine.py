@@ -124,7 +124,8 @@ def decide(rules: list[dict]):
                 continue
             own["acts"] = [x for x in own["acts"] if now - x < HOUR]
             if len(own["acts"]) >= MOST_ACTIONS:
-                own["off"], out["outcome"], out["reason"] = True, "error", "runaway-disabled"
+                own |= {"off": True, "fired": None, "acts": []}
+                out["outcome"], out["reason"] = "error", "runaway-disabled"
                 continue
             results = []
             for action, raw in zip(rule["actions"], row["temps"]):
@@ -144,6 +145,12 @@ def decide(rules: list[dict]):
                 own["fired"] = now
             else:
                 out["reason"] = whats[0] if whats else None
+        # what no later row can ask for is forgotten, so that a guessed state becomes the true one
+        end = int(rows["t"].max()) if len(rows) else 0
+        for rule, own in zip(rules, state["rules"]):
+            own["acts"] = [x for x in own["acts"] if end - x < HOUR]
+            if own["fired"] is not None and end - own["fired"] >= 60 * (rule.get("cooldownMin") or 0):
+                own["fired"] = None
         columns = ["t", "rule", "outcome", "reason", "temp", "writes"]
         return state, pd.DataFrame(told, columns=columns).astype({"t": "int64", "temp": "Float64", "writes": "int32"})
 
