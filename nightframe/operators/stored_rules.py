@@ -19,6 +19,8 @@ from . import segments as g
 from .rules import MAX_DEPTH, MAX_NODES
 
 BLOCK = 64
+#: Seconds of a segment of steps: a week of minutes is some ten thousand.
+SEGMENT = 7 * g.DAY
 #: Top level of a stored rule; trees stay text.
 TOP = "name string, enabled boolean, side string, cooldownMin double, dryRun boolean, trigger string, conditions string, actions string, _corrupt_record string"
 DAYS = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"]
@@ -228,7 +230,7 @@ def evaluated(steps: DataFrame, checked: DataFrame, owner: str, signals: dict[st
     minutes = sound.agg(F.max(reach("conditions"))).first()[0] or 0
     counts = sound.groupBy(owner).agg(F.ceil(F.count("*") / BLOCK).alias("__blocks"))
     sound = sound.join(counts, owner).withColumn("__block", F.pmod(F.xxhash64(rule_id), F.col("__blocks")))
-    rows = g.carried(steps.select(owner, t, *(F.col(c).cast("double").alias(c) for c in dict.fromkeys(signals.values()))).dropna(subset=[owner, t]), [owner], seconds=60 * minutes, t=t)
+    rows = g.carried(steps.select(owner, t, *(F.col(c).cast("double").alias(c) for c in dict.fromkeys(signals.values()))).dropna(subset=[owner, t]), [owner], seconds=60 * minutes, t=t, width=SEGMENT)
     on = [owner, "__seg", "__block"]
     left = rows.join(sound.select(owner, "__block").distinct(), owner)
     right = sound.drop("__blocks").join(rows.filter("__own").select(owner, "__seg").distinct(), owner)
