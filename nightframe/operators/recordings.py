@@ -41,7 +41,8 @@ def windows(samples: DataFrame, keys: list[str], size: int, hop: int, kernels: d
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         start = int(pdf["__s"].iloc[0]) * width
-        dense = np.full(width + size - hop, np.nan)
+        # windows further apart than they are long leave samples between them
+        dense = np.full(width + max(0, size - hop), np.nan)
         np.fmax.at(dense, pdf["__i"].to_numpy() - start, pdf["__x"].to_numpy())
         all_of = np.lib.stride_tricks.sliding_window_view(dense, size)[::hop]
         missing = np.append(0, np.cumsum(np.isnan(dense)))

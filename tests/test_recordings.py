@@ -88,3 +88,10 @@ def test_periodic_signals_score_high_and_silence_zero():
 
 def test_harmonics_are_replaced_by_the_usual_interval():
     assert r.believed([800.0, 810.0, 1610.0, 405.0, 1000.0]) == [800.0, 810.0, 805.0, pytest.approx((800 + 810 + 805) / 3), None]
+
+
+def test_windows_may_lie_apart(spark, monkeypatch):
+    monkeypatch.setattr(r, "STRETCH", 30)
+    rows = [("a", i, float(i)) for i in range(200) if i != 65]
+    got = {o["w"]: o["total"] for o in r.windows(spark.createDataFrame(rows, SCHEMA), ["k"], 10, 20, {"total": lambda m: m.sum(axis=1)}).collect()}
+    assert got == {w: sum(range(20 * w, 20 * w + 10)) for w in range(10) if w != 3}
