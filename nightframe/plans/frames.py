@@ -140,7 +140,7 @@ def cross_channel(vitals, movement, enter: int = 400000):
     rows = vitals.select("side", "t", (F.col("hrv") / 320).alias("acr")).join(energy, ["side", "t"])
     sides = rows.groupBy("t").agg(*(F.max(F.when(F.col("side") == s, F.struct("acr", "std"))).alias(s) for s in ("left", "right")))
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("side"), F.col(a).alias("own"), F.col(b).alias("other")) for a, b in (("left", "right"), ("right", "left")))))
-    coupled = (F.col("x.other.acr") > 0.3) & (F.col("x.other.std") > 0.7 * F.col("x.own.std")) & (F.col("x.own.std") < enter)
+    coupled = (F.col("x.other.acr") > 0.3) & (10 * F.col("x.other.std") > 7 * F.col("x.own.std")) & (F.col("x.own.std") < enter)
     return sides.select("t", each.alias("x")).filter("x.own is not null").select("x.side", "t", F.round(F.when(coupled, 0.0).otherwise(F.col("x.own.acr")), 6).alias("acr"))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nightframe.operators import engine, guards, segments, store
-from nightframe.plans import core, lists, store as stores
+from nightframe.plans import core, frames, lists, store as stores
 
 T0 = core.NOW
 
@@ -132,3 +132,10 @@ def test_ids_beyond_a_million_reach_into_the_seconds_of_a_version(spark):
 def test_the_latest_time_need_not_be_the_latest_runs(spark):
     runs = spark.createDataFrame([(5_000_000, 1, T0 - 9, "fired"), (7, 1, T0 - 6, "skipped"), (3, None, T0, None), (2, 2, T0, "fired"), (4, 2, T0, "skipped")], "id long, automation_id long, fired_at long, outcome string")
     assert {tuple(r) for r in stores.upsert(runs).collect()} == {(1, 5_000_000, T0 - 6), (None, 3, T0), (2, 4, T0)}
+
+
+def test_seven_tenths_of_the_energy_are_not_more_than_seven_tenths(spark):
+    rows = [(side, k, 128.0) for k in range(1, 101) for side in ("left", "right")]
+    moved = [(side, k, n * k) for k in range(1, 101) for side, n in (("left", 7), ("right", 10))]
+    got = frames.cross_channel(spark.createDataFrame(rows, "side string, t long, hrv double"), spark.createDataFrame(moved, "side string, t long, total_movement int"), enter=10**9)
+    assert {(r["side"], r["acr"]) for r in got.collect()} == {("left", 0.0), ("right", 0.4)}
