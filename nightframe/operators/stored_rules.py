@@ -138,6 +138,22 @@ def longest(tree) -> int:
     return max([own, *map(longest, kids)])
 
 
+def _sums(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The sums of ``x[lo:hi]``: differences of running sums, with what each addition rounded off, so that earlier values leave no trace."""
+    total = np.append(0.0, np.cumsum(x))
+    lost = np.append(0.0, np.cumsum(_rounded_off(total[:-1], x, total[1:])))
+    near = total[hi] - total[lo]
+    exact = near + (_rounded_off(total[hi], -total[lo], near) + (lost[hi] - lost[lo]))
+    return np.where(np.isfinite(exact), exact, near)
+
+
+def _rounded_off(a: np.ndarray, b: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """What ``a + b`` is more than its rounded ``total``."""
+    with np.errstate(invalid="ignore"):
+        back = total - a
+        return (a - (total - back)) + (b - back)
+
+
 class Steps:
     """Signals of a segment's steps, in time order; unknown numbers are not-a-number."""
 
@@ -158,8 +174,7 @@ class Steps:
             return n
         with np.errstate(invalid="ignore", divide="ignore"):
             if fn in ("sum", "avg"):
-                total = np.append(0.0, np.cumsum(np.where(known, x, 0.0)))
-                total = np.where(n > 0, total[hi] - total[lo], np.nan)
+                total = np.where(n > 0, _sums(np.where(known, x, 0.0), lo, hi), np.nan)
                 return total if fn == "sum" else total / n
         # extremes by ranges of powers of two
         best, worst = (np.fmin, np.inf) if fn == "min" else (np.fmax, -np.inf)

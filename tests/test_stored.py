@@ -1,6 +1,8 @@
 import json
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,13 @@ def test_shapes(spark):
     rows = {r["id"]: r for r in shapes.uniform(df).collect()}
     assert rows[6]["kind"] == "bedTemp2" and rows[6]["ts"] == 5 and rows[6]["left_outer"] is None and rows[6]["other"] is None
     assert rows[4]["other"] == "{" and rows[1]["kind"] is None and rows[1]["other"] == texts[0][1]
+
+
+def test_sums_of_windows_hold_nothing_of_earlier_values():
+    rng = random.Random(5)
+    t = [600 * k + k % 3 for k in range(20_000)]
+    x = [rng.randrange(56_000) / 100 for _ in t]
+    one = s.Steps(np.array(t), {"x": np.array(x)}, 0)
+    assert (one.window("avg", "x", 1) == x).all()
+    assert (one.window("sum", "x", 11)[1:] == [a + b for a, b in zip(x, x[1:])]).all()
+    assert (one.window("sum", "x", 60) == [math.fsum(v for v, u in zip(x[max(0, k - 9) : k + 1], t[max(0, k - 9) : k + 1]) if u >= t[k] - 3600) for k in range(len(t))]).all()
