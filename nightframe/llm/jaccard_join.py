@@ -63,8 +63,8 @@ LEAF, WEIGHT = 512, 1 << 21
 CENTRES = 4
 #: Distance beyond which a pivot is no point's home.
 FAR = 0.5
-#: Ids (8 bytes each) that may be broadcast.
-BROADCAST_IDS = 1 << 22
+#: Ids that may be broadcast: some tens of bytes each in the driver, and nothing else is.
+BROADCAST_IDS = 1 << 18
 #: Bytes of text whose shingles are held at once (a longer text stands alone).
 SLICE = 1 << 20
 #: Steps of the scale on which sizes of sets are counted.
@@ -170,15 +170,15 @@ def _cells(percent: int):
     return finish, "cell long, point long, n int, near int"
 
 
-def _islands(points: DataFrame, percent: int, tables: scratch.Working) -> DataFrame:
+def _islands(points: DataFrame, percent: int, tables: scratch.Working, many: bool) -> DataFrame:
     """(region, point, n, near, label): the island of each point that may have a link."""
     finish, schema = _cells(percent)
     cells = tables.written(shared(points, _point_entries, "point", "shingles", finish, schema), "cells")
     first = cells.groupBy("cell").agg(F.min("point").alias("a"), F.max("point").alias("z")).filter("a < z").drop("z")
-    edges = cells.join(first, "cell").select("a", F.col("point").alias("b")).distinct()
+    edges = cells.join(scratch.dealt(first, many), "cell").select("a", F.col("point").alias("b")).distinct()
     islands = components(edges).select(F.col("node").alias("point"), F.col("component").alias("region"))
     mine = cells.groupBy("point").agg(F.first("n").alias("n"), F.first("near").alias("near"))
-    return islands.join(mine, "point").select("region", "point", "n", "near", F.col("point").alias("label"))
+    return islands.join(scratch.dealt(mine, many), "point").select("region", "point", "n", "near", F.col("point").alias("label"))
 
 
 def _sets_of(table):
@@ -294,7 +294,7 @@ def _measured(percent: int):
     return run, "region long, point long, n int, near int, label long, to long, places array<int>"
 
 
-def _split(big: DataFrame, points: DataFrame, percent: int, level: int, leaf: int, weight: int, tables: scratch.Working):
+def _split(big: DataFrame, points: DataFrame, percent: int, level: int, leaf: int, weight: int, tables: scratch.Working, many: bool):
     """(links with pivots, child regions, blocks of those that no window splits) of regions (region, point, n, near, label, chunks)."""
     draw = F.xxhash64(F.lit(level), "point")
     orders = ([(-F.col("near") / F.col("n")), draw], [draw])
@@ -307,25 +307,25 @@ def _split(big: DataFrame, points: DataFrame, percent: int, level: int, leaf: in
     scale = F.floor(F.log("n") / F.log(F.lit(STEP)))
     sizes = big.groupBy("region", scale.alias("size")).count().groupBy("region").agg(F.flatten(F.collect_list(F.array("size", "count"))).alias("sizes"))
     columns = ["region", "chunk", "pivot", "point", "n", "near", "label", "sizes"]
-    told = picks.join(sizes, "region").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*columns)
+    told = picks.join(scratch.dealt(sizes, many), "region").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*columns)
     dealt = big.withColumns({"chunk": F.pmod(F.xxhash64("point"), F.col("chunks")).cast("int"), "pivot": F.lit(-1), "sizes": F.lit(None).cast("array<bigint>")}).select(*columns)
     run, schema = _measured(percent)
-    rows = told.union(dealt).join(points.select("point", "shingles"), "point")
+    rows = told.union(dealt).join(scratch.dealt(points.select("point", "shingles"), many), "point")
     seen = tables.written(rows.groupBy("region", "chunk").applyInArrow(run, schema), "measured")
     links = seen.filter("to >= 0").select(F.col("point").alias("a"), F.col("to").alias("b"))
     left = seen.filter(F.size("places") > 0)
     total = left.groupBy("region").agg(F.count("*").alias("m"))
     child = left.withColumn("place", F.explode("places"))
     parts = child.groupBy("region", "place").agg(F.count("*").alias("k"))
-    halved = parts.groupBy("region").agg(F.sum(F.col("k") * F.col("k")).alias("work")).join(total, "region").select("region", (F.col("work") <= F.col("m") * F.col("m") / 2).alias("halved"))
+    halved = parts.groupBy("region").agg(F.sum(F.col("k") * F.col("k")).alias("work")).join(scratch.dealt(total, many), "region").select("region", (F.col("work") <= F.col("m") * F.col("m") / 2).alias("halved"))
     narrow = ["region", "point", "n", "near", "label"]
-    children = child.join(halved.filter("halved"), "region").withColumn("region", F.xxhash64("region", "place")).select(*narrow)
+    children = child.join(scratch.dealt(halved.filter("halved"), many), "region").withColumn("region", F.xxhash64("region", "place")).select(*narrow)
     # the rest: points of the largest known component, and all others
     by_label = left.groupBy("region", "label").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
-    rest = by_label.join(halved.filter("not halved"), "region").groupBy("region").agg(F.max_by("label", "k").alias("main"), F.max("k").alias("in_main"), F.sum("k").alias("k"), F.max_by("w", "k").alias("w_main"), F.sum("w").alias("w"))
+    rest = by_label.join(scratch.dealt(halved.filter("not halved"), many), "region").groupBy("region").agg(F.max_by("label", "k").alias("main"), F.max("k").alias("in_main"), F.sum("k").alias("k"), F.max_by("w", "k").alias("w_main"), F.sum("w").alias("w"))
     blocks = lambda k, w: F.greatest(F.ceil(k * 2 / leaf), F.ceil(w * 2 / weight), F.lit(1)).cast("int")
     rest = rest.filter("in_main < k").select("region", "main", blocks(F.col("in_main"), F.col("w_main")).alias("g_main"), blocks(F.col("k") - F.col("in_main"), F.col("w") - F.col("w_main")).alias("g"))
-    pool = left.join(rest, "region")
+    pool = left.join(scratch.dealt(rest, many), "region")
     inside = F.col("label") == F.col("main")
     own = F.when(inside, F.pmod(F.xxhash64("point"), F.col("g_main"))).otherwise(F.pmod(F.xxhash64("point"), F.col("g"))).cast("int")
     others = F.sequence(F.lit(0), F.col("g") - 1)
@@ -342,22 +342,22 @@ def _split(big: DataFrame, points: DataFrame, percent: int, level: int, leaf: in
 def link_components(points: DataFrame, percent: int = PERCENT, leaf: int = LEAF, weight: int = WEIGHT) -> DataFrame:
     """(point, component) of all points (point, n, shingles: distinct sets in hash order)."""
     run, schema = _leaf(percent)
-    tables = scratch.Working(points.sparkSession)
-    regions, links = _islands(points, percent, tables), []
+    tables, many = scratch.Working(points.sparkSession), points.count() > scratch.BROADCAST_ROWS
+    regions, links = _islands(points, percent, tables, many), []
     for level in count():
         regions = tables.written(regions, "regions")
         size = regions.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         fits = (F.col("m") <= leaf) & (F.col("w") <= weight) | (F.col("m") <= 2)
-        sized = regions.join(size.select("region", "m", "w", fits.alias("fits")), "region")
+        sized = regions.join(scratch.dealt(size.select("region", "m", "w", fits.alias("fits")), many), "region")
         leaves = sized.filter("fits").drop("m", "w", "fits")
         big = size.filter(~fits).limit(1).count()
         if big:
             chunks = F.greatest(F.ceil(F.col("m") / leaf), F.ceil(F.col("w") / weight)).cast("int")
             large = tables.written(sized.filter("not fits").withColumn("chunks", chunks).drop("m", "w", "fits"), "large")
-            found, regions, met = _split(large, points, percent, level, leaf, weight, tables)
+            found, regions, met = _split(large, points, percent, level, leaf, weight, tables, many)
             links.append(found)
             leaves = leaves.union(met)
-        ready = leaves.select("region", "point", "n", "label").join(points.select("point", "shingles"), "point")
+        ready = leaves.select("region", "point", "n", "label").join(scratch.dealt(points.select("point", "shingles"), many), "point")
         links.append(tables.written(ready.groupBy("region").applyInArrow(run, schema), "links"))
         if not big:
             break
@@ -366,7 +366,7 @@ def link_components(points: DataFrame, percent: int = PERCENT, leaf: int = LEAF,
         every = every.union(more)
     merged = components(every)
     tables.clear()
-    return points.select("point").join(merged.select(F.col("node").alias("point"), "component"), "point", "left").select("point", F.coalesce("component", "point").alias("component"))
+    return points.select("point").join(scratch.dealt(merged.select(F.col("node").alias("point"), "component"), many), "point", "left").select("point", F.coalesce("component", "point").alias("component"))
 
 
 def near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -374,9 +374,8 @@ def near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, k
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ids = scratch.written(shared(docs, _screen_entries(width, percent), finish=_alive, schema="doc_id long"), "alive").withColumn("alive", F.lit(True))
     run, schema = _sets(width, percent)
-    # few ids go to the texts; otherwise the texts, but those without an id, go to the ids
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    # few ids go to the texts; otherwise the texts, but those without an id, go to the ids, and needn't be sorted
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
     named = docs.filter("doc_id is not null").join(ids, "doc_id", "left")
     nameless = docs.filter("doc_id is null").withColumn("alive", F.lit(False))
     sets = scratch.written(named.unionByName(nameless).mapInArrow(run, schema), "sets")
@@ -384,10 +383,11 @@ def near_duplicates(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, k
     alive = F.col("shingles").isNotNull() & F.col("doc_id").isNotNull()
     classes = sets.filter(alive).groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("shingles").alias("shingles"))
     classes = scratch.written(classes.withColumn("point", F.monotonically_increasing_id()), "points")
+    many = classes.count() > scratch.BROADCAST_ROWS
     labels = link_components(classes.select("point", "n", "shingles"), percent)
-    of_class = classes.select("point", "rep", *same).join(labels, "point")
+    of_class = classes.select("point", "rep", *same).join(scratch.dealt(labels, many), "point")
     least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_set = of_class.join(least, "component").select(*same, "component_id")
-    linked = sets.filter(alive).drop("shingles").join(of_set, same)
+    of_set = of_class.join(scratch.dealt(least, many), "component").select(*same, "component_id")
+    linked = sets.filter(alive).drop("shingles").join(scratch.dealt(of_set, many), same)
     alone = sets.filter(~alive).drop("shingles").withColumn("component_id", F.col("doc_id"))
     return linked.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")

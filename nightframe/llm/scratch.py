@@ -44,6 +44,15 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows beyond which no side of a join may be broadcast.
+BROADCAST_ROWS = 1 << 18
+
+
+def dealt(df: DataFrame, many: bool) -> DataFrame:
+    """``df`` for a join that deals out both sides where there are ``many`` rows: a small file can hold millions, which a broadcast passes through the driver."""
+    return df.hint("merge") if many else df
+
+
 class Working:
     """Tables of the shared folder that are removed once all that was made of them is written itself."""
 

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from nightframe.llm import components, jaccard_join
+from nightframe.llm import components, jaccard_join, scratch
 
 
 def brute(rows, width=5, percent=75):
@@ -113,3 +113,16 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.near_duplicates(df).count() == 0
+
+
+def test_nothing_that_grows_with_the_input_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 0, raising=False)
+    seen = []
+    stored = scratch._stored
+    monkeypatch.setattr(scratch, "_stored", lambda df, path: seen.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, path))
+    rows = [(i, " ".join(f"w{k}" for k in range(i % 5 * 100, i % 5 * 100 + 40)) + f" e{i // 5 % 2}") for i in range(40)] + [(99, None)]
+    out = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    seen.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {i: i % 5 for i in range(40)} | {99: 99}
+    assert any("Join" in plan for plan in seen) and not any("Broadcast" in plan for plan in seen)
