@@ -3,8 +3,9 @@
 A series is cut into segments of so many rows. Each is first run over the end of the segment before it, from the
 starting state; what that leaves is the guess at its own entry. A state that forgets (a window of recent values, a
 guard, a mean that old values fade from) is then nearly always the true one. Guesses are compared with what the segment
-before really leaves, and only segments that were entered otherwise are run again, until none is. So the result is the
-sequential one, always; the work is two passes where guesses hold, and at worst a pass for each segment.
+before leaves, and segments that could be entered otherwise are run again and remember both, until the runs from the
+start of the series to its end are known. So the result is the sequential one, always; the work is two passes where guesses hold, some
+more where a part of the state (the phase of a clock) takes turns and is never forgotten, and at worst a pass for each segment.
 
 What passes between segments is one state each. A segment is one group of a bounded number of rows; rows of equal time
 stay together. Segments, states and repairs are tables of the shared folder, so a lost executor costs its tasks only.
@@ -76,12 +77,29 @@ def fold(df: DataFrame, keys: list[str], run: Run, start: object, out: str, t: s
             told[k] = pdf[k].iloc[0]
         return told
 
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The true entries as far as the runs from them are known, and the first that is not."""
+        known, state, told = {(s, a): b for s, a, b in zip(pdf["__seg"], pdf["entry"], pdf["exit"])}, begin, []
+        for seg in sorted(set(pdf["__seg"])):
+            told.append([*(pdf[k].iloc[0] for k in keys), seg, state, (seg, state) in known])
+            if not told[-1][-1]:
+                break
+            state = known[seg, state]
+        return pd.DataFrame(told, columns=[*on, "entry", "known"])
+
     if not rows.agg(F.max("__seg")).first()[0]:  # every key is one segment: there is nothing to guess
         return rows.withColumn("entry", F.lit(begin)).groupBy(*on).applyInPandas(tell, f"{typed}{out}")
     schema = f"{typed}__seg bigint, entry string, exit string"
     states = shared.written(both.groupBy(*on).applyInPandas(guess, schema), "states")
-    true_entry = F.coalesce(F.lag("exit").over(Window.partitionBy(*keys).orderBy("__seg")), F.lit(begin))
-    while not (wrong := shared.written(states.withColumn("want", true_entry).filter("want <> entry").select(*on, F.col("want").alias("entry")), "wrong")).isEmpty():
-        mended = rows.join(wrong, on).groupBy(*on).applyInPandas(again, schema)
-        states = shared.written(states.join(wrong.select(*on), on, "left_anti").unionByName(mended), "states")
-    return rows.join(states.select(*on, "entry"), on).groupBy(*on).applyInPandas(tell, f"{typed}{out}")
+    order_of = Window.partitionBy(*keys).orderBy("__seg")
+    following = states.select(*on, F.lead("__seg").over(order_of).alias("__next")).filter("__next is not null")
+    while True:
+        path = shared.written(states.groupBy(*keys).applyInPandas(walk, f"{typed}__seg bigint, entry string, known boolean"), "path")
+        lost = path.filter("not known").select(*keys, F.col("__seg").alias("__from"))
+        if lost.isEmpty():
+            break
+        after = states.join(following, on).select(*keys, F.col("__next").alias("__seg"), F.col("exit").alias("entry")).distinct()
+        wanted = after.join(lost, keys).filter("__seg >= __from").drop("__from").join(states.select(*on, "entry"), [*on, "entry"], "left_anti")
+        wanted = shared.written(wanted, "wanted")
+        states = shared.written(states.unionByName(rows.join(wanted, on).groupBy(*on, "entry").applyInPandas(again, schema)), "states")
+    return rows.join(path.select(*on, "entry"), on).groupBy(*on).applyInPandas(tell, f"{typed}{out}")

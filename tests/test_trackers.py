@@ -63,3 +63,19 @@ def test_gated_energy_equals_one_loop(spark, seed):
     got = trackers.energy_gate(spark.createDataFrame(rows), ["k"], width=50, warm=20).toPandas().sort_values("t")
     assert got["dropped"].tolist() == want["dropped"].tolist() and want["dropped"].any()
     assert got["baseline"].tolist() == want["baseline"].tolist()
+
+
+def test_a_phase_that_is_never_forgotten_takes_no_pass_for_each_segment(spark, monkeypatch):
+    def run(state, rows):
+        told = []
+        for t in rows["t"].tolist():
+            state = (state + 1) % 9
+            told += [t] * (state == 0)
+        return state, pd.DataFrame({"at": told})
+
+    written, passes = folds.shared.written, []
+    monkeypatch.setattr(folds.shared, "written", lambda df, what: passes.append(what) or written(df, what))
+    rows = [(k, t) for k in "ab" for t in range(2000)]
+    got = folds.fold(spark.createDataFrame(rows, "k string, t long"), ["k"], run, 0, "at bigint", width=100, warm=10).collect()
+    assert sorted((r["k"], r["at"]) for r in got) == [(k, t) for k in "ab" for t in range(8, 2000, 9)]
+    assert passes.count("states") <= 11
