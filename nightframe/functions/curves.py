@@ -92,6 +92,22 @@ def set_points(curve: DataFrame, keys: list[str], bed: str = "bed") -> DataFrame
     return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("clock", "degrees")))).alias("curve"))
 
 
+def _clocked(bed: int, wake: int, intensity: str | None, low: float | None, high: float | None) -> list[tuple[str, int]]:
+    """The set points of one schedule in the order of the clock."""
+    last = {(bed + minute) % 1440: BASE + offset for minute, offset, _ in knots(bed, wake, intensity, low, high)}
+    return [(f"{m // 60:02d}:{m % 60:02d}", degrees) for m, degrees in sorted(last.items())]
+
+
+def with_set_points(schedules: DataFrame, bed: str = "bed", wake: str = "wake", intensity: str = "intensity", low: str = "low", high: str = "high") -> DataFrame:
+    """``schedules`` that have a curve with ``curve``, the map of ``set_points``.
+
+    A schedule is one row before and after, so no knots are grouped and a task's memory doesn't grow with the table.
+    """
+    points = F.udf(_clocked, "array<struct<clock: string, degrees: int>>", useArrow=True)
+    found = points(*(F.col(c) for c in (bed, wake, intensity, low, high)))
+    return schedules.dropna(subset=[bed, wake]).withColumn("curve", F.map_from_entries(found))
+
+
 def as_text(curve: Column) -> Column:
     """A map of set points as ``HH:MM@degrees`` in the order of the clock."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(curve)), lambda e: F.concat_ws("@", e["key"], e["value"].cast("string"))), "|")

@@ -22,8 +22,12 @@ h as (select id, bed, j, phase, cast(floor(a0 + sp * n / m + 0.5) as int) as min
 o as (select *, cast(row_number() over (partition by id order by minute, j) - 1 as int) as i from h)"""
 
 
+def schedules(automations):
+    return automations.selectExpr("id", *(f"{e} as {k}" for k, e in SCHEDULED.items()))
+
+
 def curves(automations):
-    return cv.curves(automations.selectExpr("id", *(f"{e} as {k}" for k, e in SCHEDULED.items())))
+    return cv.curves(schedules(automations))
 
 
 reg("fn_curve", CURVE + ' select id, i, minute, "offset", phase from o', "automations")(lambda a: curves(a).select("id", "i", "minute", "offset", "phase"))
@@ -32,7 +36,8 @@ reg("fn_curve", CURVE + ' select id, i, minute, "offset", phase from o', "automa
 @reg("fn_curve_map", CURVE + ", l as (select id, lpad(cast((bed + minute + 1440) % 1440 // 60 as varchar), 2, '0') || ':' || lpad(cast((bed + minute + 1440) % 1440 % 60 as varchar), 2, '0') as clock, arg_max(80 + \"offset\", i) as degrees from o group by 1, 2) select id, string_agg(clock || '@' || degrees, '|' order by clock) as curve from l group by 1", "automations")
 def curve_map(automations):
     """Each automation's curve as set points of the clock."""
-    return cv.set_points(curves(automations), ["id"]).select("id", cv.as_text(F.col("curve")).alias("curve"))
+    each = schedules(automations.select("id").repartition("id").distinct())
+    return cv.with_set_points(each).select("id", cv.as_text(F.col("curve")).alias("curve"))
 
 
 #: The instant of a wall time: the first of two, with the offset before a gap.

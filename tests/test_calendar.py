@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nightframe.functions import calendar as c, curves as cv
+from nightframe.plans import calendar as plans
 
 
 def at(zone, *wall, fold=0):
@@ -68,3 +69,15 @@ def test_curves_join_schedules_and_become_maps(spark):
     maps = {r["id"]: r["curve"] for r in cv.set_points(points, ["id"]).collect()}
     assert maps[1]["21:15"] == 80 and maps[1]["22:00"] == 82 and maps[1]["07:00"] == 86 and len(maps[1]) == 23
     assert len(maps[3]) < 22 and maps[3]["00:01"] == 85
+
+
+def test_a_map_of_set_points_needs_no_rows_for_its_knots(spark):
+    rows = [(i, i * 37 % 1440 if i % 29 else None, (i * 53 + 400) % 1440 if i % 31 else None, ("cool", None, "warm")[i % 3], None if i % 7 == 0 else 60.0 + i % 9, 81.0 + i % 9) for i in range(200)]
+    schedules = spark.createDataFrame(rows, "id int, bed int, wake int, intensity string, low double, high double")
+    grouped = {r["id"]: r["curve"] for r in cv.set_points(cv.curves(schedules), ["id"]).collect()}
+    got = {r["id"]: r["curve"] for r in cv.with_set_points(schedules).collect()}
+    assert got == grouped and 180 < len(got) < 200
+    twice = spark.createDataFrame([(8,), (3,), (8,), (29,), (None,)], "id long")
+    curves = plans.curve_map(twice)
+    assert sorted(r["id"] for r in curves.collect()) == [3, 8]
+    assert "PythonUDTF" not in curves._jdf.queryExecution().executedPlan().toString()
