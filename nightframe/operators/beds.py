@@ -8,7 +8,9 @@ run whole (``folds``) or as it comes (``streaming.beds``).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import folds
@@ -34,34 +36,82 @@ def scored(state: dict, total: float, scale: float) -> int:
     return sorted(last)[1] if len(last) == SMOOTHED else last[-1]
 
 
+def _added(total: float, values: np.ndarray) -> float:
+    """One by one: a sum of another order could round otherwise."""
+    for v in values.tolist():
+        total += v
+    return total
+
+
+def _rows(told: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame([[row.get(c) for c in COLUMNS] for row in told], columns=COLUMNS, dtype=object)
+    return out.astype({c: "Int64" for c in ("t", "entered", "left_at", "duration", "exits", "movement")})
+
+
+def _moved(channels: pd.Series, before: list[float] | None, closed: np.ndarray) -> tuple[np.ndarray, list[float] | None]:
+    """How far each sample moved from the last whole one of its session, and the last whole one at the end; the samples ``closed`` end one."""
+    held = pa.array(channels, pa.list_(pa.float64()), from_pandas=True)
+    sizes = held.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    flat = held.flatten().to_numpy(zero_copy_only=False)
+    n, known = len(sizes), before or []
+    # a row each; the first is the last whole one of before, shorter ones end in zeros
+    table = np.zeros((n + 1, max(sizes.max(initial=0), len(known))))
+    table[0, : len(known)] = known
+    row = np.repeat(np.arange(1, n + 1), sizes)
+    table[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    sizes = np.concatenate([[len(known)], sizes])
+    whole = np.flatnonzero((sizes > 0) & ~np.isnan(table).any(axis=1))
+    was, now = whole[:-1], whole[1:]
+    # sample i is row i + 1
+    ends = np.searchsorted(closed, whole - 1)
+    like = (sizes[was] == sizes[now]) & (ends[:-1] == ends[1:])
+    moved, steps = np.zeros(n), np.zeros(len(now))
+    for c in range(table.shape[1]):
+        steps += np.abs(table[now, c] - table[was, c])
+    moved[now[like] - 1] = steps[like]
+    if not len(whole) or len(closed) > ends[-1]:
+        return moved, None
+    return moved, table[whole[-1], : sizes[whole[-1]]].tolist()
+
+
 def follower(scale: float = SCALE, rules: tuple[int, int, int, int] = (DEBOUNCE, ABSENCE, SHORTEST, LONGEST)):
     """The step over rows (t, present, channels): it tells closed sessions and epochs of movement."""
 
     def run(state: dict, rows: pd.DataFrame):
-        stay, told = Stay(*rules), []
+        stay, state = Stay(*rules), dict(state)
         stay.load(state["stay"])
-        state = dict(state)
-        for t, present, channels in zip(rows["t"].tolist(), rows["present"].tolist(), rows["channels"].tolist()):
-            whole = channels is not None and len(channels) and not any(c is None or c != c for c in channels)
-            if whole:
-                before, now = state["before"], [float(c) for c in channels]
-                if before is not None and len(before) == len(now):
-                    state["sum"] += sum(abs(a - b) for a, b in zip(now, before))
-                state["before"] = now
-            if state["last"] is None:
-                state["last"] = t
-            if t - state["last"] >= EPOCH:
-                if stay.start is not None:
-                    told.append({"kind": "movement", "t": t, "movement": scored(state, state["sum"], scale)})
-                state |= {"last": t, "sum": 0.0}
-            was_open = stay.start is not None
-            if done := stay.step(t, bool(present)):
-                told.append({"kind": "session", "t": t, **done})
-            if was_open and stay.start is None:
-                state |= {"sum": 0.0, "before": None, "scores": [], "medians": []}
-        state["stay"] = stay.dump()
-        out = pd.DataFrame([[row.get(c) for c in COLUMNS] for row in told], columns=COLUMNS, dtype=object)
-        return state, out.astype({c: "Int64" for c in ("t", "entered", "left_at", "duration", "exits", "movement")})
+        t, told = rows["t"].to_numpy(np.int64), []
+        if not len(t):
+            return state, _rows(told)
+        # where the stay can change: the samples stepped at, whether it is open after each, its closings and what they tell
+        at, opened, closed, done = [-1], [stay.start is not None], [], {}
+        for i, session in stay.steps(t, rows["present"].to_numpy(bool)):
+            at.append(i)
+            opened.append(stay.start is not None)
+            if opened[-2] and not opened[-1]:
+                closed.append(i)
+            if session:
+                done[i] = session
+        moved, before = _moved(rows["channels"], state["before"], np.array(closed, np.int64))
+        ticks, last = [], int(t[0]) if state["last"] is None else state["last"]
+        while (i := int(np.searchsorted(t, last + EPOCH))) < len(t):
+            ticks.append(i)
+            last = int(t[i])
+        inside = np.array(opened)[np.searchsorted(at, ticks) - 1] if ticks else ()
+        epochs, ends = dict(zip(ticks, inside)), set(closed)
+        # sums start anew after each epoch and each end of a session
+        begun, total = 0, state["sum"]
+        for i in sorted({*ticks, *closed, *done}):
+            if epochs.get(i):
+                told.append({"kind": "movement", "t": int(t[i]), "movement": scored(state, _added(total, moved[begun : i + 1]), scale)})
+            if i in done:
+                told.append({"kind": "session", "t": int(t[i]), **done[i]})
+            if i in epochs or i in ends:
+                begun, total = i + 1, 0.0
+            if i in ends:
+                state |= {"scores": [], "medians": []}
+        state |= {"stay": stay.dump(), "last": last, "sum": _added(total, moved[begun:]), "before": before}
+        return state, _rows(told)
 
     return run
 

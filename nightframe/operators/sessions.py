@@ -77,12 +77,15 @@ class Stay:
         return out
 
     def feed(self, t: np.ndarray, present: np.ndarray) -> Iterator[dict]:
-        """Steps through the samples at which something can change; those between only prolong a presence."""
+        """The sessions that close."""
+        return (out for _, out in self.steps(t, present) if out)
+
+    def steps(self, t: np.ndarray, present: np.ndarray) -> Iterator[tuple[int, dict | None]]:
+        """Steps through the samples at which something can change, with what each tells; those between only prolong a presence."""
         changes = np.flatnonzero(np.diff(present)) + 1
         i, n = 0, len(t)
         while i < n:
-            if out := self.step(int(t[i]), bool(present[i])):
-                yield out
+            yield i, self.step(int(t[i]), bool(present[i]))
             nearest = np.searchsorted(changes, i, "right")
             nxt = int(changes[nearest]) if nearest < len(changes) else n
             if bool(present[i]) != self.here and self.pending is None:

@@ -96,3 +96,24 @@ def test_baseline_comes_off_after_ten_epochs():
 
 def test_no_samples(spark):
     assert beds.follow(spark.createDataFrame([], SCHEMA), ["side"]).collect() == []
+
+
+def test_waiting_samples_are_packed_and_count_once(spark):
+    rows = made(5)
+    late = max(r[1] for r in rows) - 120
+    by_time = sorted(rows, key=lambda r: r[1])
+    source, out, state = (shared.folder(spark, x) for x in ("source", "out", "state"))
+    for a, b in ((0, 900), (900, 1800)):
+        again = by_time[a - 300 : a] if a else []  # the watermark has passed some of them, others wait
+        spark.createDataFrame(by_time[a:b] + again, SCHEMA).write.mode("append").parquet(source)
+        told = stream.run(stream.follow(spark.readStream.schema(SCHEMA).parquet(source), ["side"]), out, state)
+    assert flat(told.collect()) == loop([r for r in rows if r[1] <= late])
+    before = spark.conf.get(stream.PROVIDER, None)
+    spark.conf.set(stream.PROVIDER, stream.ROCKS)
+    try:
+        followed = stream.follow(spark.readStream.schema(SCHEMA).parquet(source), ["side"])
+        query = followed.writeStream.format("noop").option("checkpointLocation", shared.folder(spark, "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(stream.PROVIDER, before) if before else spark.conf.unset(stream.PROVIDER)
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) < 100
