@@ -112,13 +112,35 @@ def _segments(df: DataFrame, keys: list[str], item: Column, t: str, width: int)
     return df.groupBy(*keys, segment_of(t, width).alias("__seg")).agg(F.array_sort(F.collect_list(item)).alias("e"))
 
 
-def _told(segments: DataFrame, keys: list[str], start: Column, step: Callable[[Column, Column], Column], each: Column) -> DataFrame:
-    """(keys, __seg, state): the state at the start of each segment, folded over one small value ``each`` of the earlier ones."""
-    rows = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__seg", each.alias("x")))).alias("all"))
-    first = F.struct(start.alias("s"), F.array().cast(f"array<{'bigint'}>").alias("out"))
-    fold = F.aggregate("all", first, lambda a, x: F.struct(step(a["s"], x["x"]).alias("s"), F.concat(a["out"], F.array(a["s"])).alias("out")), lambda a: a["out"])
-    pairs = F.arrays_zip(F.transform("all", lambda x: x["__seg"]).alias("seg"), fold.alias("state"))
-    return rows.select(*keys, F.explode(pairs).alias("p")).select(*keys, F.col("p.seg").alias("__seg"), F.col("p.state").alias("state"))
+#: Segments that a fold goes over at once, and how often so many are made one before the last fold.
+FAN, LEVELS = 256, 2
+
+
+def _told(segments: DataFrame, keys: list[str], start: Column, step: Callable[[Column, Column], Column], each: Column, merged: Callable[[Column], Column]) -> DataFrame:
+    """(keys, __seg, state): the state at the start of each segment, folded over one small value ``each`` of the earlier ones.
+
+    ``merged`` makes the values ``x`` of neighbouring segments one value of the same kind, so folds go over at most ``FAN`` of them: up
+    to the values of long segments, and with the states at their starts down again. Only the longest ones of a key, 65,536 segments
+    each, are folded together.
+    """
+    wide = lambda level: level.withColumn("__up", F.floor(F.col("__seg") / FAN))
+    all_of = F.array_sort(F.collect_list(F.struct("__seg", "x"))).alias("all")
+    levels = [segments.select(*keys, "__seg", each.alias("x"))]
+    for _ in range(LEVELS):
+        up = wide(levels[-1]).groupBy(*keys, "__up").agg(all_of)
+        levels.append(up.select(*keys, F.col("__up").alias("__seg"), merged(F.col("all")).alias("x")))
+
+    def down(groups: DataFrame, begin: Column) -> DataFrame:
+        first = F.struct(begin.alias("s"), F.array().cast("array<bigint>").alias("out"))
+        fold = F.aggregate("all", first, lambda a, x: F.struct(step(a["s"], x["x"]).alias("s"), F.concat(a["out"], F.array(a["s"])).alias("out")), lambda a: a["out"])
+        pairs = F.arrays_zip(F.transform("all", lambda x: x["__seg"]).alias("seg"), fold.alias("state"))
+        return groups.select(*keys, F.explode(pairs).alias("p")).select(*keys, F.col("p.seg").alias("__seg"), F.col("p.state").alias("state"))
+
+    states = down(levels[-1].groupBy(*keys).agg(all_of), start)
+    for level in reversed(levels[:-1]):
+        above = states.withColumnRenamed("__seg", "__up")
+        states = down(wide(level).groupBy(*keys, "__up").agg(all_of).join(above, [*keys, "__up"]), F.col("state"))
+    return states
 
 
 NEVER = -(10**15)
@@ -140,7 +162,15 @@ def chained(df: DataFrame, keys: list[str], seconds: int, t: str = "t", width: i
         door = F.try_element_at(F.filter(x, lambda d: d["d"] >= last + seconds), F.lit(1))
         return F.coalesce(door["leave"], last)
 
-    start = _told(rows, keys, F.lit(NEVER).cast("long"), through, F.col("doors"))
+    def merged(parts):
+        """The doors of the first ``seconds`` of all segments and the next one, each with where it leaves the last segment."""
+        doors = F.flatten(F.transform(parts, lambda p: F.transform(p["x"], lambda d: d["d"])))
+        begins = parts[0]["x"][0]["d"]  # cheap, as it is asked for at each door
+        near = F.filter(doors, lambda d: d < begins + seconds)
+        found = F.concat(near, F.slice(doors, F.size(near) + 1, 1))
+        return F.transform(found, lambda d: F.struct(d.alias("d"), F.aggregate(parts, d - seconds, lambda a, p: through(a, p["x"])).alias("leave")))
+
+    start = _told(rows, keys, F.lit(NEVER).cast("long"), through, F.col("doors"), merged)
     begun = rows.join(start, [*keys, "__seg"])
     # walking marks a kept time by itself, all others by null
     last = F.struct(F.col("state").alias("s"), F.array().cast("array<bigint>").alias("out"))
@@ -156,7 +186,9 @@ def automaton(df: DataFrame, keys: list[str], value: str, states: list[int], ste
     rows = _segments(df, keys, F.struct(F.col(t).alias("t"), F.col(value).alias("v")), t, width)
     runs = F.array(*(F.aggregate("e", F.lit(s).cast("long"), lambda a, x: step(a, x["v"]).cast("long")) for s in states))
     at = lambda s: F.array_position(F.array(*(F.lit(x).cast("long") for x in states)), s)
-    told = _told(rows.withColumn("runs", runs), keys, F.lit(start).cast("long"), lambda s, x: F.element_at(x, at(s).cast("int")), F.col("runs"))
+    through = lambda s, x: F.element_at(x, at(s).cast("int"))
+    merged = lambda parts: F.array(*(F.aggregate(parts, F.lit(s).cast("long"), lambda a, p: through(a, p["x"])) for s in states))
+    told = _told(rows.withColumn("runs", runs), keys, F.lit(start).cast("long"), through, F.col("runs"), merged)
     begun = rows.join(told, [*keys, "__seg"])
     first = F.struct(F.col("state").alias("s"), F.array().cast("array<bigint>").alias("out"))
     walked = F.aggregate("e", first, lambda a, x: F.struct(step(a["s"], x["v"]).cast("long").alias("s"), F.concat(a["out"], F.array(step(a["s"], x["v"]).cast("long"))).alias("out")), lambda a: a["out"])

@@ -139,3 +139,31 @@ def test_seven_tenths_of_the_energy_are_not_more_than_seven_tenths(spark):
     moved = [(side, k, n * k) for k in range(1, 101) for side, n in (("left", 7), ("right", 10))]
     got = frames.cross_channel(spark.createDataFrame(rows, "side string, t long, hrv double"), spark.createDataFrame(moved, "side string, t long, total_movement int"), enter=10**9)
     assert {(r["side"], r["acr"]) for r in got.collect()} == {("left", 0.0), ("right", 0.4)}
+
+
+@pytest.mark.parametrize("seconds", [7, 90, 400])
+def test_folds_over_segments_go_up_and_down_levels(spark, monkeypatch, seconds):
+    """Segments of 40 seconds, 3 to a longer one: gaps, several keys, and steps that reach over segments."""
+    monkeypatch.setattr(segments, "FAN", 3)
+    rng, rows = random.Random(seconds), []
+    for key in "abc":
+        t = rng.randrange(50)
+        for _ in range(300):
+            t += rng.choice([1, 2, 9, 30]) if rng.random() < 0.97 else rng.choice([100, 2000])
+            rows.append((key, t, rng.choice([100, 100, 300, 500])))
+    df = spark.createDataFrame(rows, "k string, t long, v int")
+    kept, last = [], {}
+    for key, t, _ in rows:
+        if t - last.get(key, -(10**9)) >= seconds:
+            last[key] = t
+            kept.append((key, t))
+    assert sorted(map(tuple, segments.chained(df, ["k"], seconds, width=40).collect())) == kept
+    step = lambda s, v: F.when(v > 400, 0).when((s >= 0) & (v < 150), F.when(s == 2, -1).otherwise(s + 1)).otherwise(s)
+    told, state = [], {}
+    for key, t, v in rows:
+        s = state.get(key, -1)
+        state[key] = 0 if v > 400 else (-1 if s == 2 else s + 1) if s >= 0 and v < 150 else s
+        told.append((key, t, state[key]))
+    got = segments.automaton(df, ["k"], "v", [-1, 0, 1, 2], step, -1, "s", width=40)
+    assert sorted(map(tuple, got.collect())) == told
+    assert segments.chained(df.filter("v is null"), ["k"], seconds).count() == 0
