@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from . import folds, patterns, segments as g
+from . import folds, segments as g
 
 # fixed values
 DWELL, RECOVERY, LEAST_RPM, HEALTHY_RPM = 5, 8, 50, 1000
@@ -77,8 +77,9 @@ def auto_off(ticks: DataFrame, keys: list[str], minutes: int, enabled: bool = Tr
 
 def last_before(df: DataFrame, keys: list[str], value: str, name: str, t: str = "t") -> DataFrame:
     """``df`` with the last known ``value`` before each row, its own not counted."""
-    rows = g.carried(g.last_known(df, keys, value, "__known", t), keys, before=1, t=t)
-    return g.own(rows.withColumn(name, F.lag("__known").over(g.within(keys, t)))).drop("__known")
+    rows = g.headed(df.withColumn("__known", F.col(value)), keys, ["__known"], t)
+    w = Window.partitionBy(*keys, "__seg").orderBy("__own", t).rowsBetween(Window.unboundedPreceding, -1)
+    return g.own(rows.withColumn(name, F.last("__known", ignorenulls=True).over(w))).drop("__known")
 
 
 def deltas(samples: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
@@ -96,12 +97,18 @@ def total(values: Column) -> Column:
 def pump_gate(moved: DataFrame, pumps: DataFrame, keys: list[str], nominal: float = 1.16) -> DataFrame:
     """``moved`` (with ``deltas`` and ``ref``) with ``gated`` and ``movement``: none while the own pump runs or has stopped less than three seconds ago, nor
     where the reference has moved and two channels with it. ``pumps``: (keys, t, rpm) of each side."""
-    runs = pumps.select(*keys, "t", F.col("rpm").cast("double").alias("rpm"))
-    before = last_before(runs, keys, "rpm", "was")
-    stops = before.filter((F.coalesce("rpm", F.lit(0.0)) <= 0) & (F.col("was") > 0)).select(*keys, "t", F.lit(1.0).alias("stopped"))
-    rows = patterns.asof_backward(moved, runs.withColumnRenamed("rpm", "__rpm"), keys, "t", "__rpm", g.DAY)
-    rows = patterns.asof_backward(rows, stops, keys, "t", "stopped", PUMP_GUARD - 1)
+    runs = last_before(pumps.select(*keys, "t", F.col("rpm").cast("double").alias("rpm")), keys, "rpm", "was")
+    stops = F.when((F.coalesce("rpm", F.lit(0.0)) <= 0) & (F.col("was") > 0), F.col("t"))
+    runs = runs.select(*keys, "t", F.when(F.col("rpm").isNotNull(), F.struct("t", "rpm")).alias("__run"), stops.alias("__stop"))
+    # both in one order, a pump's row before what moves at its time
+    others = [c for c in moved.columns if c not in (*keys, "t")]
+    both = moved.select(*keys, "t", F.struct(*others).alias("__row")).unionByName(runs, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "__seg").orderBy("__own", "t", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = g.headed(both, keys, ["__run", "__stop"]).withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("__run", "__stop")})
+    rows = g.own(rows.filter("__row is not null")).withColumns({c: F.col(f"__row.{c}") for c in others}).drop("__row")
+    running = F.when(F.col("t") - F.col("__run.t") <= g.DAY, F.col("__run.rpm"))
     shift = F.abs(F.col("ref") - nominal)
     along = F.size(F.filter("deltas", lambda d: d > shift * REF_SHARE)) >= 2
-    gated = (F.coalesce("__rpm", F.lit(0.0)) > 0) | F.col("stopped").isNotNull() | F.coalesce((shift > REF_MOVED) & F.col("deltas").isNotNull() & along, F.lit(False))
-    return rows.withColumns({"gated": gated, "movement": F.when(gated, 0.0).otherwise(total(F.col("deltas")))}).drop("__rpm", "stopped")
+    stopped = F.coalesce(F.col("t") - F.col("__stop") < PUMP_GUARD, F.lit(False))
+    gated = (F.coalesce(running, F.lit(0.0)) > 0) | stopped | F.coalesce((shift > REF_MOVED) & F.col("deltas").isNotNull() & along, F.lit(False))
+    return rows.withColumns({"gated": gated, "movement": F.when(gated, 0.0).otherwise(total(F.col("deltas")))}).select(*moved.columns, "gated", "movement")

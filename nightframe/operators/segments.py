@@ -89,6 +89,18 @@ def last_known(df: DataFrame, keys: list[str], value: str, name: str, t: str = "
     return rows.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(within(keys, t)), "__prefix")).drop("__seg", "__prefix")
 
 
+def headed(df: DataFrame, keys: list[str], values: list[str], t: str = "t", width: int = DAY) -> DataFrame:
+    """``df`` with ``__seg`` and ``__own``, and for each segment a row, not its own, of the last known ``values`` before it.
+
+    Ordered by ``__own`` and time, a segment's frames then see what they would see in the whole series, after one sort.
+    """
+    rows = df.withColumns({"__seg": segment_of(t, width), "__own": F.lit(True)})
+    each = rows.groupBy(*keys, "__seg").agg(*(F.max_by(v, F.when(F.col(v).isNotNull(), F.col(t))).alias(v) for v in values))
+    w = Window.partitionBy(*keys).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+    heads = each.select(*keys, "__seg", *(F.last(v, ignorenulls=True).over(w).alias(v) for v in values), F.lit(False).alias("__own"))
+    return rows.unionByName(heads, allowMissingColumns=True)
+
+
 def spreads(df: DataFrame, keys: list[str], values: list[str], width: int, t: str = "t") -> DataFrame:
     """``df`` with ``n`` (rows of the frame), ``last`` (its last time), and the mean and variance of each value over a row and the ``width`` - 1 after it.
 

@@ -84,7 +84,7 @@ j as (select d.*, coalesce(p.rpm, 0) > 0 or coalesce(d.t - o.t < 3, false) or co
 select side, t, gated, round(case when gated then 0 else coalesce(list_sum(deltas), 0) end, 9) as movement from j""", "samples", "flow")
 def pump_gate_cap(samples, flow):
     """Movement without what the pumps cause."""
-    moved = gd.deltas(samples, ["side"], ["a", "b", "c"])
+    moved = gd.deltas(samples, ["side"], ["a", "b", "c"]).select("side", "t", "ref", "deltas")
     return gd.pump_gate(moved, each_pump(flow), ["side"]).select("side", "t", "gated", rnd("movement", 9).alias("movement"))
 
 

@@ -167,3 +167,17 @@ def test_folds_over_segments_go_up_and_down_levels(spark, monkeypatch, seconds):
     got = segments.automaton(df, ["k"], "v", [-1, 0, 1, 2], step, -1, "s", width=40)
     assert sorted(map(tuple, got.collect())) == told
     assert segments.chained(df.filter("v is null"), ["k"], seconds).count() == 0
+
+
+def test_the_last_before_and_the_pumps_state_reach_over_segments(spark):
+    day = 86400
+    rows = spark.createDataFrame([("x", 5, 1.0), ("x", 6, None), ("x", 3 * day, None), ("x", 3 * day + 1, 4.0), ("y", 3 * day, 2.0), ("x", 9 * day, 7.0)], "k string, t long, v double")
+    before = guards.last_before(rows, ["k"], "v", "was")
+    assert {(r["k"], r["t"]): r["was"] for r in before.collect()} == {("x", 5): None, ("x", 6): 1.0, ("x", 3 * day): 1.0, ("x", 3 * day + 1): 1.0, ("y", 3 * day): None, ("x", 9 * day): 4.0}
+    moved = spark.createDataFrame([("x", t, 1.16, [1.0]) for t in (day - 1, day, day + 1, day + 2, 2 * day, 2 * day + 1, 4 * day)], "side string, t long, ref double, deltas array<double>")
+    pumps = spark.createDataFrame([("x", day - 50, 900.0), ("x", day - 1, 0.0), ("x", 2 * day - 9, 5.0), ("x", 2 * day, None), ("y", day, 1.0)], "side string, t long, rpm double")
+    out = guards.pump_gate(moved, pumps, ["side"])
+    assert {r["t"]: r["gated"] for r in out.collect()} == {day - 1: True, day: True, day + 1: True, day + 2: False, 2 * day: True, 2 * day + 1: True, 4 * day: False}
+    assert out.columns == ["side", "t", "ref", "deltas", "gated", "movement"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Generate" not in plan
