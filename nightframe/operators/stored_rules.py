@@ -3,18 +3,25 @@
 A stored rule is text. Its top level is parsed permissively, so a broken row keeps its text and says what is wrong; its trees, which may nest
 to any depth, stay text there and are checked in the tasks. Sound conditions are evaluated by numpy over time segments of each
 owner's steps: a group holds one segment and at most ``BLOCK`` rules, so neither a long history nor many rules meet
-in one task, and a thousand rules add rows, not plan nodes.
+in one task, and a thousand rules add rows, not plan nodes. Groups are small and many, so they are not handed over one by one: sorted
+partitions are streamed through the tasks in large batches and cut into groups there.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
+from ..sources import shared
 from . import segments as g
 from .rules import MAX_DEPTH, MAX_NODES
 
@@ -113,14 +120,19 @@ def problem(trigger: str | None, conditions: str | None, actions: str | None) ->
 
 
 def parsed(rules: DataFrame, text: str = "rule") -> DataFrame:
-    """``rules`` with the columns of ``TOP`` but the last, and ``problem``: null for a sound rule; a column of one of these names is replaced."""
+    """``rules`` with the columns of ``TOP`` but the last, and ``problem``: null for a sound rule; a column of one of these names is replaced.
+
+    Small texts are costly to check, so they are dealt out first, as a file of all of them may be one task's, and the check is marked so that
+    a filter of its result doesn't move it to where the file is read.
+    """
 
     @F.pandas_udf("string")
     def wrong(trigger: pd.Series, conditions: pd.Series, actions: pd.Series) -> pd.Series:
         return pd.Series([problem(*(None if pd.isna(x) else x for x in row)) for row in zip(trigger, conditions, actions)], dtype=object)
 
+    wrong = wrong.asNondeterministic()
     made = [f.split()[0] for f in TOP.split(", ")][:-1]
-    rows = rules.drop(*(c for c in [*made, "problem"] if c != text)).withColumn("__r", F.from_json(text, TOP, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    rows = rules.drop(*(c for c in [*made, "problem"] if c != text)).repartition(int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("__r", F.from_json(text, TOP, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     broken = F.col(text).isNull() | F.col("__r").isNull() | F.col("__r._corrupt_record").isNotNull()
     rows = rows.select(*(c for c in rows.columns if c != "__r"), *(F.col(f"__r.{c}").alias(c) for c in made), broken.alias("__broken"))
     return rows.withColumn("problem", F.when(F.col("__broken"), "no JSON").otherwise(wrong("trigger", "conditions", "actions"))).drop("__broken")
@@ -230,41 +242,102 @@ class Steps:
         return np.where(np.isnan(a) | np.isnan(b), np.nan, test)
 
 
-def evaluated(steps: DataFrame, checked: DataFrame, owner: str, signals: dict[str, str], rule_id: str = "id", t: str = "t", offset: int = 0) -> DataFrame:
-    """(owner, id, t, holds): whether each sound rule of an owner holds at each of the owner's steps; null is unknown.
-
-    ``signals`` maps the signals that rules name to columns of ``steps``; others are unknown. ``offset``: seconds of the clock ahead of
-    UTC. Steps without an owner or time are left out.
-    """
-    sound = checked.filter("problem is null").select(owner, rule_id, "conditions")
+@lru_cache(4096)
+def _tree(text: str) -> dict:
+    return json.loads(text)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], on: list[str], arrays: Callable[[pa.RecordBatch], list]) -> Iterator[list]:
+    """``arrays`` of each group of sorted rows, which may run over several batches."""
+    join = lambda parts: parts[0] if len(parts) == 1 else np.concatenate(parts) if isinstance(parts[0], np.ndarray) else pa.concat_arrays(parts)
+    whole = lambda pieces: [join(parts) for parts in zip(*pieces)]
+    held, last = [], None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys, values = [batch.column(batch.schema.get_field_index(c)) for c in on], arrays(batch)
+        new = np.zeros(n - 1, bool)
+        for k in keys:
+            new |= pc.not_equal(k.slice(1), k.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+        if held and last != [k[0] for k in keys]:
+            yield whole(held)
+            held = []
+        for lo, hi in zip(edges, edges[1:]):
+            if lo:
+                yield whole(held)
+                held = []
+            held.append([v[lo:hi] for v in values])
+        last = [k[n - 1] for k in keys]
+    if held:
+        yield whole(held)
+
+
+def _run(steps: DataFrame, checked: DataFrame, owner: str, signals: dict[str, str], rule_id: str, t: str, offset: int, told: Callable, out: str) -> DataFrame:
+    """(owner, id, out): of each group and rule the arrays that ``told`` makes of the own steps' times and truths, the rule's id for each."""
+    columns = list(dict.fromkeys(signals.values()))
+    steps = steps.select(owner, t, *(F.col(c).cast("double").alias(c) for c in columns)).dropna(subset=[owner, t])
 
     @F.pandas_udf("int")
     def reach(conditions: pd.Series) -> pd.Series:
         return conditions.map(lambda c: longest(json.loads(c))).astype("int32")
 
-    minutes = sound.agg(F.max(reach("conditions"))).first()[0] or 0
+    # written, as each read of them would check all texts again
+    sound = checked.filter("problem is null").select(owner, rule_id, "conditions")
+    sound = shared.written(sound.withColumn("__reach", reach("conditions")), "rules")
+    minutes = sound.agg(F.max("__reach")).first()[0] or 0
     counts = sound.groupBy(owner).agg(F.ceil(F.count("*") / BLOCK).alias("__blocks"))
-    sound = sound.join(counts, owner).withColumn("__block", F.pmod(F.xxhash64(rule_id), F.col("__blocks")))
-    rows = g.carried(steps.select(owner, t, *(F.col(c).cast("double").alias(c) for c in dict.fromkeys(signals.values()))).dropna(subset=[owner, t]), [owner], seconds=60 * minutes, t=t, width=SEGMENT)
+    sound = sound.join(counts, owner).select(owner, F.pmod(F.xxhash64(rule_id), F.col("__blocks")).alias("__block"), F.col(rule_id).alias("__rule"), F.col("conditions").alias("__tree"))
+    rows = g.carried(steps, [owner], seconds=60 * minutes, t=t, width=SEGMENT)
     on = [owner, "__seg", "__block"]
     left = rows.join(sound.select(owner, "__block").distinct(), owner)
-    right = sound.drop("__blocks").join(rows.filter("__own").select(owner, "__seg").distinct(), owner)
-    right = right.select(*(F.col(c).alias(f"{c}_r") for c in on), F.col(rule_id).alias("__rule"), "conditions")
-
-    def run(s: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        s = s.sort_values(t, kind="stable")
-        own = s["__own"].to_numpy(bool)
-        if r.empty or not own.any():
-            return pd.DataFrame(columns=[owner, rule_id, t, "holds"])
-        held = Steps(s[t].to_numpy(np.int64), {k: s[c].to_numpy(np.float64) for k, c in signals.items()}, offset)
-        parts = []
-        for key, text in zip(r["__rule"], r["conditions"]):
-            truth = held.truth(json.loads(text))[own]
-            parts.append(pd.DataFrame({owner: s[owner].to_numpy()[own], rule_id: key, t: held.t[own], "holds": pd.array(np.where(np.isnan(truth), None, truth == 1), "boolean")}))
-        return pd.concat(parts)
-
-    typed = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c, d in ((owner, steps), (rule_id, checked), (t, steps)))
-    return left.groupBy(*on).cogroup(right.groupBy(*(f"{c}_r" for c in on))).applyInPandas(run, f"{typed}, holds boolean")
+    right = rows.filter("__own").select(owner, "__seg").distinct().join(sound, owner)
+    both = left.unionByName(right, allowMissingColumns=True).repartition(*on).sortWithinPartitions(*on, F.col(t).asc_nulls_first())
+    schema = StructType([both.schema[owner], both.schema["__rule"], *StructType.fromDDL(out)])
+
+    def arrays(batch: pa.RecordBatch) -> list:
+        c = lambda name: batch.column(batch.schema.get_field_index(name))
+        plain = lambda x: x.to_numpy(zero_copy_only=False)
+        return [c(owner), c("__rule"), c("__tree"), plain(c("__tree").is_valid()), plain(c("__own").fill_null(False)), plain(c(t).cast("int64", safe=False).fill_null(0)), *(plain(c(x)) for x in columns)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, waiting = [], 0
+        for owners, ids, texts, rule, own, times, *values in _groups(batches, on, arrays):
+            n = int(rule.sum())  # rules have no time and come first
+            own = own[n:]
+            if not n or not own.any():
+                continue
+            held = Steps(times[n:], {k: values[columns.index(c)][n:] for k, c in signals.items()}, offset)
+            for i in range(n):
+                got = told(held.t[own], held.truth(_tree(texts[i].as_py()))[own])
+                at = pa.array(np.full(len(got[0]), i))
+                made.append(pa.RecordBatch.from_arrays([owners.take(at), ids.take(at), *got], names=schema.names))
+                waiting += len(at)
+            if waiting >= 10_000 or len(made) >= 1_000:
+                yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+                made, waiting = [], 0
+        if made:
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+
+    return both.mapInArrow(run, schema).withColumnRenamed("__rule", rule_id)
+
+
+def evaluated(steps: DataFrame, checked: DataFrame, owner: str, signals: dict[str, str], rule_id: str = "id", t: str = "t", offset: int = 0) -> DataFrame:
+    """(owner, id, t, holds): whether each sound rule of an owner holds at each of the owner's steps; null is unknown.
+
+    ``signals`` maps the signals that rules name to columns of ``steps``; others are unknown. ``offset``: seconds of the clock ahead of
+    UTC. Steps without an owner or time are left out. The sound rules are a table of the shared folder, which is not removed.
+    """
+    kind = steps.schema[t].dataType
+    told = lambda times, truth: [pa.array(times).cast("int64"), pa.array(truth == 1, mask=np.isnan(truth))]
+    return _run(steps, checked, owner, signals, rule_id, t, offset, told, f"`{t}` bigint, holds boolean").withColumn(t, F.col(t).cast(kind))
+
+
+def tallied(steps: DataFrame, checked: DataFrame, owner: str, signals: dict[str, str], rule_id: str = "id", t: str = "t", offset: int = 0) -> DataFrame:
+    """(owner, id, steps, held, unknown): the rows of ``evaluated`` counted in the tasks, some rows for each rule."""
+    told = lambda times, truth: [pa.array([x], pa.int64()) for x in (len(truth), int((truth == 1).sum()), int(np.isnan(truth).sum()))]
+    return _run(steps, checked, owner, signals, rule_id, t, offset, told, "steps bigint, held bigint, unknown bigint")
 
 
 # other stored values

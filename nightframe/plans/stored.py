@@ -16,8 +16,9 @@ h as (select id, case kind when 0 then value > k when 1 then rate between 40 and
 @reg("rule_stored", SOUND + " select id, count(*) as steps, count(*) filter (holds) as held, count(*) filter (holds is null) as unknown from h group by 1", "stored", "steps")
 def rule_stored(stored, steps):
     """How often each stored rule holds over its owner's steps: all sound rules in one plan."""
-    told = s.evaluated(steps, s.parsed(stored), "owner", {"bed.value": "value", "left.heartRate": "rate"})
-    return told.groupBy("id").agg(F.count("*").alias("steps"), F.count_if("holds").alias("held"), F.count_if(F.col("holds").isNull()).alias("unknown"))
+    asked = stored.join(steps.select("owner").distinct(), "owner", "left_semi")  # others have no step to hold at
+    told = s.tallied(steps, s.parsed(asked), "owner", {"bed.value": "value", "left.heartRate": "rate"})
+    return told.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("steps", "held", "unknown")))
 
 
 @reg("rule_problems", " select case id % 10 when 5 then 'no JSON' when 6 then 'unknown kind ''maybe''' when 7 then 'too deep' when 8 then 'window has a bad lastMin' when 9 then 'no conditions' end as problem, count(*) as rules from stored group by 1", "stored")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from nightframe.functions import shapes
 from nightframe.operators import rules, stored_rules as s
+from nightframe.plans import registry
 
 T0 = 1704067200
 OK = {"trigger": {"kind": "tick", "everyMin": 1}, "actions": [{"kind": "notify", "message": "m"}]}
@@ -124,3 +125,33 @@ def test_sums_of_windows_hold_nothing_of_earlier_values():
     assert (one.window("avg", "x", 1) == x).all()
     assert (one.window("sum", "x", 11)[1:] == [a + b for a, b in zip(x, x[1:])]).all()
     assert (one.window("sum", "x", 60) == [math.fsum(v for v, u in zip(x[max(0, k - 9) : k + 1], t[max(0, k - 9) : k + 1]) if u >= t[k] - 3600) for k in range(len(t))]).all()
+
+
+def test_groups_run_over_batches_and_are_counted_in_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(s, "BLOCK", 3)
+    rng = random.Random(7)
+    steps = [(o, T0 + 90_000 * i + rng.randrange(3), rng.choice([None, 1.0, 2.5, 41.0]), None) for o in ("a", "b", "", None) for i in range(40)]
+    df = spark.createDataFrame(steps, "o string, t int, a double, b double")
+    table = spark.createDataFrame([(o, i, json.dumps(OK | {"conditions": cond(rng)})) for o in ("a", "", "c", None) for i in [*range(9), None]], "o string, id int, rule string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = []
+    for n in (size, "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            each = s.evaluated(df, s.parsed(table), "o", {"a": "a", "b": "b", "c": "a"})
+            assert dict(each.dtypes) == {"o": "string", "id": "int", "t": "int", "holds": "boolean"}
+            counted = each.groupBy("o", "id").agg(F.count("*"), F.count_if("holds"), F.count_if(F.col("holds").isNull()))
+            told = s.tallied(df, s.parsed(table), "o", {"a": "a", "b": "b", "c": "a"}).groupBy("o", "id").agg(F.sum("steps"), F.sum("held"), F.sum("unknown"))
+            got += [sorted(map(repr, map(tuple, x.collect()))) for x in (counted, told)]
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got[0]) == 20 and got[1:] == got[:1] * 3
+
+
+def test_rules_are_dealt_out_and_checked_once(spark):
+    told = registry.QUERIES["rule_stored"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "wrong(" not in told and "CoGroup" not in told  # the sound ones are read from a table, groups are streamed
+    sound = s.parsed(spark.createDataFrame([("x", 1, "{}")], "o string, id int, rule string")).filter("problem is null")
+    lines = sound._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = lambda what: next(i for i, line in enumerate(lines) if what in line)
+    assert at("wrong(") < at("Repartition")
