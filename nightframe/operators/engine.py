@@ -3,7 +3,9 @@
 All rules of a device are evaluated in one plan: triggers, conditions and temperatures are columns of the ticks, and a tick
 becomes a row for each rule whose trigger comes. What follows depends on what rules did before (when one last fired, its
 actions of the last hour, what was last sent to each side) and is a fold over a device's rows by time and place of the
-rule, run by segments and repaired (``folds``).
+rule, run by segments and repaired (``folds``). Ticks with each trigger, and the evaluations, are written to the shared folder, as triggers
+and folds join them with what is made of them: left in one plan, the ticks would be made again more than a hundred times. The last ones are
+not removed.
 
 Rules are dictionaries: ``id``, ``trigger`` (``tick``, ``signalChange`` or ``timeOfDay``), ``conditions``, ``actions``
 (``setTemperature``, ``setPower``, ``notify``), ``side`` (none: both), ``cooldownMin``, ``dryRun``. Ticks hold the signals
@@ -19,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import units as u
+from ..sources import shared
 from . import folds, patterns, rules as r, segments as g
 
 # fixed values of the engine
@@ -58,9 +61,11 @@ def evaluations(ticks: DataFrame, rules: list[dict], keys: list[str], t: str = "
     rows = ticks
     for gate in (f"{x}_{s}" for x in GATES for s in SIDES):
         rows = rows.withColumn(gate, F.coalesce(gate, F.lit(False)) if gate in ticks.columns else F.lit(False))
+    rows = shared.written(rows, "ticks")
     for i, rule in enumerate(rules):
         r.nodes(rule["conditions"])
-        rows = triggered(rows, rule["trigger"], keys, f"__on{i}", t, tz)
+        done, rows = rows, shared.written(triggered(rows, rule["trigger"], keys, f"__on{i}", t, tz), "ticks")
+        shared.remove(done)
     reach = max((r.longest([rule["conditions"], rule["actions"]]) for rule in rules), default=0)
     seg = [*keys, "__seg"]
     rows = g.carried(rows, keys, seconds=int(60 * reach), t=t)
@@ -108,7 +113,8 @@ def decide(rules: list[dict]):
     """The fold's step over rows of ``evaluations``; its state: each rule's last fire, recent actions and whether it is off, and what was sent."""
 
     def run(state: dict, rows: pd.DataFrame):
-        told = []
+        told, end = [], int(rows["t"].max()) if len(rows) else 0
+        rows = rows[~rows["place"].isin([i for i, own in enumerate(state["rules"]) if own["off"]])]
         for row in rows.to_dict("records"):
             rule, own, now = rules[row["place"]], state["rules"][row["place"]], int(row["t"])
             if own["off"]:
@@ -146,7 +152,6 @@ def decide(rules: list[dict]):
             else:
                 out["reason"] = whats[0] if whats else None
         # what no later row can ask for is forgotten, so that a guessed state becomes the true one
-        end = int(rows["t"].max()) if len(rows) else 0
         for rule, own in zip(rules, state["rules"]):
             own["acts"] = [x for x in own["acts"] if end - x < HOUR]
             if own["fired"] is not None and end - own["fired"] >= 60 * (rule.get("cooldownMin") or 0):
@@ -163,5 +168,5 @@ def begin(rules: list[dict]) -> dict:
 
 def runs(ticks: DataFrame, rules: list[dict], keys: list[str], t: str = "t", tz: str = "UTC", **cut) -> DataFrame:
     """(keys, t, rule, outcome, reason, temp, writes): the audit of every evaluation of every rule, in the order of ``rules``."""
-    rows = evaluations(ticks, rules, keys, t, tz).withColumnRenamed(t, "t")
+    rows = shared.written(evaluations(ticks, rules, keys, t, tz), "evaluations").withColumnRenamed(t, "t")
     return folds.fold(rows, keys, decide(rules), begin(rules), "t bigint, rule string, outcome string, reason string, temp double, writes int", order=["place"], **cut)

@@ -7,6 +7,10 @@ before leaves, and segments that could be entered otherwise are run again and re
 start of the series to its end are known. So the result is the sequential one, always; the work is two passes where guesses hold, some
 more where a part of the state (the phase of a clock) takes turns and is never forgotten, and at worst a pass for each segment.
 
+A part that is kept for good once it is there (a rule that was turned off, what was sent last to a side that no rule sets any more) is in no
+warm-up from the starting state. Where a pass has brought the known runs on by one segment only, all later segments are therefore guessed
+anew, by a warm-up from the state that the series is known to have there: a pass or two for each change of such a part, not for each segment.
+
 What passes between segments is one state each. A segment is one group of a bounded number of rows; rows of equal time
 stay together. Segments, states and repairs are tables of the shared folder, so a lost executor costs its tasks only.
 """
@@ -66,6 +70,10 @@ def fold(df: DataFrame, keys: list[str], run: Run, start: object, out: str, t: s
         state, _ = run(json.loads(entry), mine)
         return pd.DataFrame([[*mine.iloc[0][on], entry, json.dumps(state)]], columns=[*on, "entry", "exit"])
 
+    def renewed(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, _ = run(json.loads(pdf["entry"].iloc[0]), pdf.sort_values(by, kind="stable"))
+        return pd.DataFrame([[*pdf.iloc[0][on], json.dumps(state)]], columns=[*on, "entry"])
+
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
         entry = pdf["entry"].iloc[0]
         state, _ = run(json.loads(entry), pdf.sort_values(by, kind="stable"))
@@ -93,13 +101,20 @@ def fold(df: DataFrame, keys: list[str], run: Run, start: object, out: str, t: s
     states = shared.written(both.groupBy(*on).applyInPandas(guess, schema), "states")
     order_of = Window.partitionBy(*keys).orderBy("__seg")
     following = states.select(*on, F.lead("__seg").over(order_of).alias("__next")).filter("__next is not null")
+    was = None
     while True:
         path = shared.written(states.groupBy(*keys).applyInPandas(walk, f"{typed}__seg bigint, entry string, known boolean"), "path")
-        lost = path.filter("not known").select(*keys, F.col("__seg").alias("__from"))
+        lost = path.filter("not known").select(*keys, F.col("__seg").alias("__from"), F.col("entry").alias("__state"))
         if lost.isEmpty():
             break
         after = states.join(following, on).select(*keys, F.col("__next").alias("__seg"), F.col("exit").alias("entry")).distinct()
-        wanted = after.join(lost, keys).filter("__seg >= __from").drop("__from").join(states.select(*on, "entry"), [*on, "entry"], "left_anti")
+        after = after.join(lost, keys).filter("__seg >= __from").select(*on, "entry")
+        if was is not None:
+            slow = lost.join(was, keys).filter("__from <= __was + 1").select(*keys, "__from", F.col("__state").alias("entry"))
+            fresh = late.join(following.select(*keys, F.col("__next").alias("__seg")), on).join(slow, keys).filter("__seg > __from")
+            after = after.unionByName(fresh.groupBy(*on).applyInPandas(renewed, f"{typed}__seg bigint, entry string")).distinct()
+        was = lost.select(*keys, F.col("__from").alias("__was"))
+        wanted = after.join(states.select(*on, "entry"), [*on, "entry"], "left_anti")
         wanted = shared.written(wanted, "wanted")
         states = shared.written(states.unionByName(rows.join(wanted, on).groupBy(*on, "entry").applyInPandas(again, schema)), "states")
     return rows.join(path.select(*on, "entry"), on).groupBy(*on).applyInPandas(tell, f"{typed}{out}")

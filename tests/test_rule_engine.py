@@ -156,3 +156,14 @@ def test_a_manual_change_holds_half_an_hour(spark):
 
 def test_no_ticks(spark):
     assert engine.runs(spark.createDataFrame([], COLUMNS), [{"id": "r", "trigger": TICK, "conditions": ALWAYS, "actions": [SET(SIG("a"))]}], ["device"]).collect() == []
+
+
+def test_a_rule_that_was_turned_off_takes_no_pass_for_each_segment(spark, monkeypatch):
+    written, passes = engine.folds.shared.written, []
+    monkeypatch.setattr(engine.folds.shared, "written", lambda df, what: passes.append(what) or written(df, what))
+    rng = random.Random(4)
+    ticks = [{"device": "x", "t": 1704067200 + 60 * i, "a": 60.0 + rng.randrange(40), "b": 60.0 + rng.randrange(40)} for i in range(900)]
+    rules = [{"id": "fast", "trigger": TICK, "conditions": ALWAYS, "actions": [SET(SIG("a"))]}, {"id": "slow", "trigger": {"kind": "tick", "everyMin": 10}, "conditions": ALWAYS, "actions": [SET(SIG("b"))], "side": "left"}]
+    got = compared(spark, ticks, rules, width=60, warm=30)
+    assert [r["outcome"] for r in got if r["rule"] == "fast"].count("error") == 1
+    assert passes.count("states") <= 4 and passes.count("evaluations") == 1

@@ -79,3 +79,23 @@ def test_a_phase_that_is_never_forgotten_takes_no_pass_for_each_segment(spark, m
     got = folds.fold(spark.createDataFrame(rows, "k string, t long"), ["k"], run, 0, "at bigint", width=100, warm=10).collect()
     assert sorted((r["k"], r["at"]) for r in got) == [(k, t) for k in "ab" for t in range(8, 2000, 9)]
     assert passes.count("states") <= 11
+
+
+def test_what_is_kept_for_good_takes_no_pass_for_each_segment(spark, monkeypatch):
+    def run(state, rows):
+        told = []
+        for t, v in zip(rows["t"].tolist(), rows["v"].tolist()):
+            if state["kept"] is None and v > 50:
+                state["kept"] = int(v)
+            state["last"] = int(v)
+            told.append((t, state["kept"], state["last"]))
+        return state, pd.DataFrame(told, columns=["at", "kept", "last"])
+
+    written, passes = folds.shared.written, []
+    monkeypatch.setattr(folds.shared, "written", lambda df, what: passes.append(what) or written(df, what))
+    rng = np.random.default_rng(3)
+    rows = [(k, t, int(rng.integers(0, 99)) if t >= n else 0) for k, n in (("a", 150), ("b", 30), ("c", 5000)) for t in range(2000)]
+    got = folds.fold(spark.createDataFrame(rows, "k string, t long, v int"), ["k"], run, {"kept": None, "last": None}, "at bigint, kept int, last int", width=100, warm=10).collect()
+    want = [(k, *x) for k in "abc" for x in run({"kept": None, "last": None}, pd.DataFrame([r for r in rows if r[0] == k], columns=["k", "t", "v"]))[1].itertuples(index=False)]
+    assert sorted((r["k"], r["at"], -1 if r["kept"] is None else r["kept"], r["last"]) for r in got) == sorted((k, t, -1 if pd.isna(x) else int(x), v) for k, t, x, v in want)
+    assert passes.count("states") <= 5
